@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, mixing, sharding
+from tabloom.llm import line_dedup, mixing, sharding, simhash
 from tabloom.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", *rounded, "kept")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op7_sharding, op8_mixing)}
+    return {f.__name__: f for f in (op3_line_dedup, op7_sharding, op8_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
