@@ -57,15 +57,15 @@ def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-def gapless_rank(df: DataFrame, groups: list[str], order: list[str], out: str, buckets: int | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, groups: list[str], order: list[str], out: str, buckets: int | Column | None = None) -> DataFrame:
     """Add `out`: 0, 1, 2, ... within each group, without bringing a whole group into one task.
 
     Rows of a group are dealt over `buckets` by a hash of `order`; each bucket is ranked alone and starts where the
     counts of the buckets before it end. The counts (groups x buckets rows at most; groups must be few and fixed, buckets
     are 4,096 at most) are broadcast. Ties in `order` share a bucket and get neighbouring ranks.
     """
-    b = buckets or min(4096, 4 * shuffle_partitions(df.sparkSession))
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(b)).cast("int"))
+    b = buckets if buckets is not None else min(4096, 4 * shuffle_partitions(df.sparkSession))
+    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), b if isinstance(b, Column) else F.lit(b)).cast("int"))
     counts = dealt.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
