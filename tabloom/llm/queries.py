@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, mixing, packing, sharding, simhash
+from tabloom.llm import line_dedup, mixing, packing, quality, sharding, simhash
 from tabloom.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_site_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
@@ -40,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op3_line_dedup, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
