@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, mixing, packing, quality, sharding, simhash
+from tabloom.llm import line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash
 from tabloom.llm.common import table
 
 
@@ -22,6 +22,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.hash_mod("doc_id", 5) == 1
+    out = lm_scoring.score_texts(docs.withColumn("held_out", held_out), ~held_out)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 #: Tokenizer of the packed ids: its file, the same vocabulary as ranks, and its pattern.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -45,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_line_dedup, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op3_line_dedup, op4_lm_scoring, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
