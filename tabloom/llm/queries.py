@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, lm_scoring, mixing, packing, quality, sharding, simhash
+from tabloom.llm import line_dedup, lm_scoring, media, mixing, packing, quality, sharding, simhash
 from tabloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_site_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "n_dropped")
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_line_dedup, op4_lm_scoring, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
