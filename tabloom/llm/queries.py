@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import line_dedup, lm_scoring, media, mixing, packing, quality, sharding, simhash
+from tabloom.llm import licenses, line_dedup, lm_scoring, media, mixing, packing, quality, sharding, simhash
 from tabloom.llm.common import table
 
 
@@ -51,12 +51,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", *rounded, "kept")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op7_sharding, op8_mixing, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op7_sharding, op8_mixing, op9_licenses, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
