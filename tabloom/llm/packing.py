@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import gapless_rank, materialize
 
-#: Ranked pieces of one length in one task, at most about so many.
-ROWS_A_BUCKET = 1_000_000
+#: Pieces are ranked in buckets of one length that hold at most about this share of all pieces.
+BUCKETS = 4096
 
 
 @lru_cache(2)
@@ -286,7 +286,8 @@ def pack(
     counts = {r[0]: r[1] for r in cut.where(F.col("length") < capacity).groupBy("length").count().collect()}
     if not counts:
         return whole
-    per_length = F.array(*[F.lit(1 + counts.get(s, 0) // ROWS_A_BUCKET) for s in range(1, capacity)])
+    total = sum(counts.values())
+    per_length = F.array(*[F.lit(1 + BUCKETS * counts.get(s, 0) // total) for s in range(1, capacity)])
     ranked = gapless_rank(
         cut.where(F.col("length") < capacity), ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank",
         buckets=F.element_at(per_length, F.col("length").cast("int")),

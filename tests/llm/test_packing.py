@@ -66,9 +66,9 @@ def test_ids_equal_those_of_tokenizers():
         assert slow.encode(t or "", add_special_tokens=False).ids == list(fast(t or ""))
 
 
-@pytest.mark.parametrize("rows_a_bucket", [1_000_000, 3])
-def test_pack(spark, monkeypatch, rows_a_bucket):
-    monkeypatch.setattr(packing, "ROWS_A_BUCKET", rows_a_bucket)
+@pytest.mark.parametrize("buckets", [4096, 1])
+def test_pack(spark, monkeypatch, buckets):
+    monkeypatch.setattr(packing, "BUCKETS", buckets)
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(TEXTS)] + [(1, "", 6), (None, "null key", 7)], "doc_id long, text string, length int")
     rows = packing.pack(docs.repartition(3), *PATHS, capacity=128).collect()
     tok = Tokenizer.from_file(PATHS[0])
