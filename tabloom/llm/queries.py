@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import licenses, line_dedup, lm_scoring, media, mixing, packing, quality, sharding, simhash
+from tabloom.llm import ann, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, sharding, simhash
 from tabloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *TOKENIZER)
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op7_sharding, op8_mixing, op9_licenses, op10_simhash)}
+    return {f.__name__: f for f in (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op6_ann, op7_sharding, op8_mixing, op9_licenses, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
