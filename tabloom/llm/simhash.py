@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import materialize, shuffle_partitions
@@ -17,7 +18,7 @@ from tabloom.llm.components import components
 LEAF = 32
 #: Node pairs or combinations that are handled at a time, which bounds a task's memory.
 CHUNK = 200_000
-#: Runs of more fingerprints than this that agree in a 16-bit block are dealt anew by a second block.
+#: Runs of more fingerprints than this that agree in their first block of bits are dealt anew by a second one.
 HOT_RUN = 50_000
 
 
@@ -40,16 +41,18 @@ def fingerprint(text: str | None, words: int = 3, bits_at_once: int = 1 << 16) -
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str, text: str, words: int, other: int | None) -> DataFrame:
+    """(k, fp, other): the fingerprints of shingles of `words` and of `other` words (None: zero) as signed longs."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["k", "fp"])
+            texts = b.column(1).to_pylist()
+            fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            more = np.array([fingerprint(t, other) for t in texts] if other else np.zeros(len(texts)), np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(more.view(np.int64))], ["k", "fp", "other"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp bigint")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp bigint, other bigint")
 
 
 def _split(values: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
@@ -58,7 +61,7 @@ def _split(values: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
     return np.searchsorted(values, ((values[lo] >> s) | np.uint64(1)) << s)
 
 
-def _compared(values, alo, ahi, blo, bhi, budget):
+def _compared(values, alo, ahi, blo, bhi, budget, more):
     """All links between the members of paired ranges (i < j)."""
     na, nb = ahi - alo, bhi - blo
     size = na * nb
@@ -71,17 +74,22 @@ def _compared(values, alo, ahi, blo, bhi, budget):
         within = np.arange(len(pair)) - np.repeat(np.cumsum(size[cut]) - size[cut], size[cut])
         i, j = alo[pair] + within // nb[pair], blo[pair] + within % nb[pair]
         good = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-        yield i[good], j[good]
+        i, j = i[good], j[good]
+        if more is not None:
+            good = np.bitwise_count(more[0][i] ^ more[0][j]) <= more[1]
+            i, j = i[good], j[good]
+        yield i, j
         start = stop
 
 
-def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = 3):
+def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = 3, more: tuple[np.ndarray, int] | None = None):
     """Chunks (i, j) of all links within each run values[start:end], i < j.
 
-    values: sorted, distinct; the members of a run agree in their first `depth` bits, so a run is a node of the binary
+    values: sorted; the members of a run agree in their first `depth` bits, so a run is a node of the binary
     trie over values. Pairs of nodes of one level are traversed together, beginning with each run and itself. Splitting
     both gives the pairs that agree in the next bit, at the same count of differing bits, and those that don't, at one
-    more; pairs over the budget are pruned. Small ranges are compared outright.
+    more; pairs over the budget are pruned. Small ranges are compared outright. more: further fingerprints, and how many
+    of their bits a link's may differ in.
     """
     many = ends - starts > 1
     lo, hi = starts[many], ends[many]
@@ -94,7 +102,7 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
             continue
         done = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth == 64)
         if done.any():
-            yield from _compared(values, alo[done], ahi[done], blo[done], bhi[done], budget)
+            yield from _compared(values, alo[done], ahi[done], blo[done], bhi[done], budget, more)
             alo, ahi, blo, bhi, diff = (x[~done] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):
             continue
@@ -124,37 +132,38 @@ def _runs(batches):
     """Whole runs of equal (kind, block) from sorted batches, as many at a time as have come in."""
     held: list[np.ndarray] = []
     for b in batches:
-        new = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+        new = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(b.num_columns)])
         if not new.shape[1]:
             continue
         held.append(new)
-        head = np.array([held[0][0, 0], held[0][1, 0]])
-        if (new[:2, -1] == head).all():
+        if (new[:2, -1] == held[0][:2, 0]).all():
             continue  # still one run
         rows = np.concatenate(held, axis=1)
-        cut = len(rows[0]) - int(np.argmax(((rows[:2, ::-1] != rows[:2, -1:]).any(axis=0))))
+        cut = len(rows[0]) - int(np.argmax((rows[:2, ::-1] != rows[:2, -1:]).any(axis=0)))
         yield rows[:, :cut]
         held = [rows[:, cut:]]
     if held:
         yield np.concatenate(held, axis=1)
 
 
-def _link_runs(budget: int, depth: int, turns: list[list[int]]):
-    """Links of a partition's runs as a forest: (a, b), b the smallest fingerprint that a meets there. turns: for each
-    kind the order of the fingerprint's bit blocks, as (shift, bits) from the top."""
+def _link_runs(budget: int, more: int | None, turns: list[list[tuple[int, int]]], depths: list[int]):
+    """Links of a partition's runs as a forest. For each kind: the order of the fingerprint's bits in its trie, as
+    (shift, bits) from the top, and the depth of the runs' nodes."""
 
     def run(batches):
-        for kinds, blocks, fps in _runs(batches):
-            for kind in np.unique(kinds):
+        for kinds, blocks, fps, others in _runs(batches):
+            for kind in np.unique(kinds).tolist():
                 at = kinds == kind
-                fp = fps[at].view(np.uint64)
-                values = _turned(fp, turns[int(kind)])
-                order = np.argsort(values)
-                values, fp, block = values[order], fp[order], blocks[at][order]
+                fp, other, block = fps[at].view(np.uint64), others[at].view(np.uint64), blocks[at]
+                values = _turned(fp, turns[kind])
+                order = np.argsort(values, kind="stable")
+                values, fp, other, block = values[order], fp[order], other[order], block[order]
                 new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                root = _forest(len(fp), trie_links(values, new, np.append(new[1:], len(fp)), depth, budget))
+                chunks = trie_links(values, new, np.append(new[1:], len(fp)), depths[kind], budget, None if more is None else (other, more))
+                root = _forest(len(fp), chunks)
                 a = np.flatnonzero(root != np.arange(len(fp)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[root[a]].view(np.int64))], ["a", "b"])
+                cols = [x[i].view(np.int64) for i in (a, root[a]) for x in (fp, other)]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["a1", "a2", "b1", "b2"])
 
     return run
 
@@ -166,78 +175,95 @@ def _turned(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-#: Two fingerprints at 3 or fewer differing bits agree in one of four 16-bit blocks (shift, bits).
-BLOCKS = [(48, 16), (32, 16), (16, 16), (0, 16)]
+def _bits(places: list[int]) -> list[tuple[int, int]]:
+    return [(p, 1) for p in places]
 
 
-def _first(k: int) -> list[tuple[int, int]]:
-    return [BLOCKS[k]] + [b for i, b in enumerate(BLOCKS) if i != k]
+def _cut(places: list[int], parts: int) -> list[list[int]]:
+    """The places (of bits, from the top) in `parts` blocks of nearly equal length."""
+    ends = [len(places) * k // parts for k in range(parts + 1)]
+    return [places[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _second(k: int, u: int) -> list[tuple[int, int]]:
-    """Block k, then the u-th of four 12-bit blocks of the other 48 bits, then the rest, as single bits."""
-    rest = [s + x for s, n in _first(k)[1:] for x in reversed(range(n))]
-    mine = rest[12 * u : 12 * u + 12]
-    return [BLOCKS[k]] + [(s, 1) for s in mine + [s for s in rest if s not in mine]]
+def _value(places: list[int]) -> Column:
+    """The bits at these places of the fingerprint as a number."""
+    if places == list(range(places[0], places[0] - len(places), -1)):
+        return F.shiftrightunsigned(F.col("fp"), places[-1]).bitwiseAND(F.lit((1 << len(places)) - 1))
+    parts = [F.shiftleft(F.shiftrightunsigned(F.col("fp"), p).bitwiseAND(F.lit(1)), len(places) - 1 - i) for i, p in enumerate(places)]
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
 
-def links(fps: DataFrame, budget: int = 3, hot_run: int = HOT_RUN) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within `budget` (at most 3) differing bits; fps: distinct longs `fp`.
+def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int = HOT_RUN) -> DataFrame:
+    """Links (a, b) that connect all rows whose `fp` is within `budget` differing bits, and, unless more is None, whose
+    `other` is within `more`. fps: distinct (fp, other); a and b: structs of both.
 
-    Each fingerprint goes to four tries, in each of which another 16-bit block comes first; two that differ in at most
-    3 bits agree in one of these blocks, so the traversal there begins at their common node with no differing bits.
-    A trie's 16-bit nodes are dealt over all partitions, which hold whole nodes sorted. From each node comes a spanning
-    forest, never all its pairs. Nodes of over hot_run fingerprints are dealt by a further block of 12 bits, in which
-    the same argument holds for the other 48.
+    Each row goes to budget + 1 tries, in each of which another block of bits comes first; two fingerprints that differ
+    in at most `budget` bits agree in one of these blocks, so the traversal there begins at their common node with no
+    differing bits. A trie's nodes are dealt over all partitions, which hold whole nodes sorted. From each node comes a
+    spanning forest, never all its pairs. Nodes of over hot_run rows are dealt by a further block of bits, by which the
+    same argument holds for the rest.
     """
-    if not 0 <= budget <= 3:
-        raise ValueError("four blocks prove links of 3 differing bits at most")
+    if not 1 <= budget <= 7:
+        raise ValueError("the budget must be 1 to 7 bits")
     n = shuffle_partitions(fps.sparkSession)
-    block = lambda s, bits: F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << bits) - 1))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), block(*BLOCKS[k]).alias("block")) for k in range(4)])
-    dealt = fps.select("fp", F.explode(kinds).alias("x")).select(F.col("x.kind").alias("kind"), F.col("x.block").alias("block"), "fp")
-    counts = dealt.groupBy("kind", "block").count()
-    hot = [(r[0], r[1]) for r in counts.where(F.col("count") > hot_run).select("kind", "block").collect()]  # at most 4 x 65,536 by definition
-
-    def joined(rows: DataFrame, depth: int, turns) -> DataFrame:
+    places = list(range(63, -1, -1))
+    first = _cut(places, budget + 1)
+    turns = [_bits(b + [p for p in places if p not in b]) for b in first]
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _value(b).alias("block")) for k, b in enumerate(first)])
+    dealt = fps.select("fp", "other", F.explode(kinds).alias("x")).select("x.kind", "x.block", "fp", "other")
+    many = dealt.groupBy("kind", "block").count().where(F.col("count") > hot_run)
+    hot = [(r[0], r[1]) for r in many.select("kind", "block").collect()]  # at most as many as there are values of 64 / (budget + 1) bits
+
+    def joined(rows: DataFrame, turns, depths) -> DataFrame:
         placed = rows.repartition(n, "kind", "block").sortWithinPartitions("kind", "block")
-        return placed.mapInArrow(_link_runs(budget, depth, turns), "a bigint, b bigint")
+        got = placed.mapInArrow(_link_runs(budget, more, turns, depths), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+        node = lambda x: F.struct(F.col(f"{x}1").alias("fp"), F.col(f"{x}2").alias("other")).alias(x)
+        return got.select(node("a"), node("b"))
 
     if not hot:
-        return joined(dealt, 16, [_first(k) for k in range(4)])
-    is_hot = F.struct("kind", "block").isin([F.struct(F.lit(k).alias("kind"), F.lit(b).cast("long").alias("block")) for k, b in hot])
-    inner = []
-    for k in range(4):
-        for u in range(4):
-            bits = [F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit(1)) * (1 << (11 - i)) for i, (s, _) in enumerate(_second(k, u)[1:13])]
-            inner.append(F.when(F.col("kind") == k, F.struct(F.lit(4 * k + u).alias("kind"), (F.col("block") * 4096 + sum(bits)).alias("block"))))
-    again = dealt.where(is_hot).select("fp", F.explode(F.filter(F.array(*inner), lambda x: x.isNotNull())).alias("x"))
-    again = again.select(F.col("x.kind").alias("kind"), F.col("x.block").alias("block"), "fp")
-    return joined(dealt.where(~is_hot), 16, [_first(k) for k in range(4)]).unionByName(joined(again, 28, [_second(k, u) for k in range(4) for u in range(4)]))
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
+        return joined(dealt, turns, [len(b) for b in first])
+    is_hot = F.struct("kind", "block").isin([F.struct(F.lit(k).alias("kind"), F.lit(b).alias("block")) for k, b in hot])
+    inner, inner_turns, depths = [], [], []
+    for k, b in enumerate(first):
+        for second in _cut([p for p in places if p not in b], budget + 1):
+            block = F.shiftleft("block", len(second)).bitwiseOR(_value(second))
+            inner.append(F.when(F.col("kind") == k, F.struct(F.lit(len(inner)).alias("kind"), block.alias("block"))))
+            inner_turns.append(_bits(b + second + [p for p in places if p not in b and p not in second]))
+            depths.append(len(b) + len(second))
+    again = dealt.where(is_hot).select("fp", "other", F.explode(F.filter(F.array(*inner), lambda x: x.isNotNull())).alias("x"))
+    again = again.select("x.kind", "x.block", "fp", "other")
+    return joined(dealt.where(~is_hot), turns, [len(b) for b in first]).unionByName(joined(again, inner_turns, depths))
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, confirm: tuple[int, int] | None = None
+) -> DataFrame:
     """One row per input row: key, fingerprint (16 hex digits) and component_id, the smallest key that it reaches
-    over links of at most `budget` differing bits.
+    over links. Texts link if their fingerprints of shingles of `words` differ in at most `budget` bits and, with
+    confirm = (words, bits), their fingerprints of shingles of that many words in at most so many bits.
 
     Null and blank texts have fingerprint zero, which links like any other; texts of fewer words than a shingle are
     hashed whole. Repeated rows each return a row; rows with a null key have component_id of the others that they
     reach, or null. An empty table stays empty. Equal fingerprints are joined first, so groups of copies of any size
     take part as one fingerprint.
     """
-    marked = materialize(fingerprints(docs, key, text, words))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("k").alias("least")))
-    found = components(links(distinct.select("fp"), budget))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
+    marked = materialize(fingerprints(docs, key, text, words, confirm[0] if confirm else None))
+    distinct = materialize(marked.groupBy("fp", "other").agg(F.min("k").alias("least")))
+    found = components(links(distinct.select("fp", "other"), budget, confirm[1] if confirm else None))
+    found = found.select("node.fp", "node.other", "root")
+    itself = F.struct("fp", "other")
+    rooted = materialize(distinct.join(found, ["fp", "other"], "left").select("fp", "other", "least", F.coalesce("root", itself).alias("root")))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    each = rooted.join(best, "root").select("fp", "component_id")
-    out = marked.join(each, "fp")
+    each = rooted.join(best, "root").select("fp", "other", "component_id")
+    out = marked.join(each, ["fp", "other"])
     return out.select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of docs whose key is the smallest of its component; of rows that repeat one key, all stay or go."""
-    found = near_duplicates(docs, key, text, words, budget)
-    best = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__k")).distinct()
-    return docs.join(best, F.col(key) == F.col("__k"), "left_semi")
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, confirm: tuple[int, int] | None = None
+) -> DataFrame:
+    """The rows of docs whose key is the smallest of its component; of rows that repeat one key, all stay or go, and
+    rows with a null key stay."""
+    found = near_duplicates(docs, key, text, words, budget, confirm)
+    worse = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k")).distinct()
+    return docs.join(worse, F.col(key) == F.col("__k"), "left_anti")

@@ -58,16 +58,23 @@ def test_trie_links_equal_brute_force(depth):
 
 
 @pytest.mark.parametrize("hot_run", [50_000, 3])
-def test_links_connect_what_brute_force_connects(spark, hot_run):
+@pytest.mark.parametrize("budget,more", [(3, None), (4, None), (3, 2), (1, 9)])
+def test_links_connect_what_brute_force_connects(spark, hot_run, budget, more):
     rng = random.Random(7)
-    base = [rng.getrandbits(64) for _ in range(30)] + [0]
-    fps = sorted({b ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 4))}) for b in base for _ in range(20)})
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), hot_run=hot_run)
-    found = {r.node: r.root for r in simhash.components(got).collect()}
+    flip = lambda x, n: x ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, n))})
+    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(25)] + [(0, 0)]
+    pairs = sorted({(flip(a, budget + 1), flip(b, 3) if more is not None else 0) for a, b in base for _ in range(14)})
+    root = list(range(len(pairs)))
+    for i in range(len(pairs)):
+        for j in range(i):
+            if (pairs[i][0] ^ pairs[j][0]).bit_count() <= budget and (more is None or (pairs[i][1] ^ pairs[j][1]).bit_count() <= more):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    signed = [tuple(x - (1 << 64) if x >> 63 else x for x in p) for p in pairs]
+    got = simhash.links(spark.createDataFrame(signed, "fp long, other long"), budget, more, hot_run)
+    found = {tuple(r.node): tuple(r.root) for r in simhash.components(got).collect()}
     a = [found.get(x, x) for x in signed]
-    b = classes(fps)
-    assert len(set(zip(a, b))) == len(set(a)) == len(set(b))
+    assert len(set(zip(a, root))) == len(set(a)) == len(set(root))
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -87,3 +94,13 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == simhash.keep_one(docs).count() == 0
+
+
+def test_confirmed_links(spark):
+    words = [f"w{i}" for i in range(300)]
+    copy = words[:150] + ["changed"] + words[151:]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(reversed(words))), (None, " ".join(words))], "doc_id long, text string")
+    loose = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=1, budget=4).collect()}
+    strict = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=1, budget=4, confirm=(5, 14)).collect()}
+    assert loose == {1: 1, 2: 1, 3: 1, None: 1} and strict == {1: 1, 2: 1, 3: 3, None: 1}
+    assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs, words=1, budget=4, confirm=(5, 14)).collect()) == [0, 1, 3]
