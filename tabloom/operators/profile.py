@@ -18,6 +18,7 @@ from tabloom.operators.ordering import ORD
 
 TOP_MISSING, TOP_CORRELATIONS, TOP_CATEGORIES, TOP_BLOCKS, MAX_CATEGORICAL_FIGURES = 20, 15, 15, 20, 3
 _FRACTIONAL = (T.FloatType, T.DoubleType)
+TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def columns_of(df: DataFrame) -> list[T.StructField]:
@@ -122,7 +123,9 @@ def numeric_summary(df: DataFrame, target: str | None, names: Sequence[str] | No
             return out | {"abs_corr_with_target": F.lit(None).cast("double")}
         y = number(df, target)
         both = is_finite(x) & is_finite(y)
-        out["abs_corr_with_target"] = not_nan(F.abs(F.when(F.count(F.when(both, 1)) > 2, F.corr(F.when(both, x), F.when(both, y)))))
+        x, y = F.when(both, x), F.when(both, y)
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # corr() fails where a deviation is 0
+        out["abs_corr_with_target"] = F.abs(F.when(F.count(x) > 2, r))
         return out
 
     return _stack(df, names, build).orderBy(F.col("abs_corr_with_target").desc_nulls_last(), "column")
@@ -205,7 +208,7 @@ TIME_WORDS = ("date", "time", "timestamp", "period", "month", "year", "quarter",
 
 
 def time_candidates(df: DataFrame, most: int = 3) -> list[str]:
-    return [f.name for f in columns_of(df) if any(w in f.name.lower() for w in TIME_WORDS) or isinstance(f.dataType, (T.TimestampType, T.DateType))][:most]
+    return [f.name for f in columns_of(df) if any(w in f.name.lower() for w in TIME_WORDS) or isinstance(f.dataType, TIME_TYPES)][:most]
 
 
 def time_patterns(df: DataFrame, target: str | None) -> tuple[str, DataFrame] | None:

@@ -52,7 +52,8 @@ def grams(c: Column) -> Column:
 def vocabulary(train: DataFrame, name: str, n: int) -> DataFrame:
     """term, df, idf of the most frequent terms (by all occurrences, then alphabetically) that enough texts hold;
     idf = ln((1 + n) / (1 + df)) + 1."""
-    per_text = train.select(F.monotonically_increasing_id().alias("d"), F.explode(grams(F.col(f"`{name}`"))).alias("term"))
+    texts = train.select(F.monotonically_increasing_id().alias("d"), F.col(f"`{name}`").alias("t"))  # numbered before they are taken apart
+    per_text = texts.select("d", F.explode(grams(F.col("t"))).alias("term"))
     counts = per_text.groupBy("term", "d").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     kept = counts.where(F.col("df") >= fewest_documents(n)).orderBy(F.desc("tf"), "term").limit(most_terms(n))
     return kept.select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))

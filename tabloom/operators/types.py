@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.scalar import normalize_name, to_number, to_timestamp
 from tabloom.operators.ordering import ORD, head
-from tabloom.operators.profile import columns_of, value
+from tabloom.operators.profile import TIME_TYPES, columns_of, value
 
 # Names of row ids and targets, in order of preference.
 ROW_ID_NAMES = ("row_id", "id", "record_id", "sample_id", "submission_id", "index")
@@ -50,7 +50,7 @@ def column_facts(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[int, list[
     for i, f in enumerate(fields):
         text = f.name in texts
         out.append(ColumnFacts(
-            f.name, isinstance(f.dataType, (T.NumericType, T.BooleanType)), isinstance(f.dataType, T.IntegralType), isinstance(f.dataType, (T.TimestampType, T.DateType)),
+            f.name, isinstance(f.dataType, (T.NumericType, T.BooleanType)), isinstance(f.dataType, T.IntegralType), isinstance(f.dataType, TIME_TYPES),
             got[f"c{i}"], got[f"u{i}"], (got[f"m{i}"] or 0.0) if text else 0.0, (got[f"x{i}"] or 0) if text else 0,
             (got[f"l{i}"] or 0.0) if text else 0.0, (got[f"s{i}"] or 0.0) if text else 0.0, parsed.get(f.name, 0.0),
         ))

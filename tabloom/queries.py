@@ -340,8 +340,8 @@ def svd_features(spark, sf_dir):
 # ---- types, roles, descriptions ----
 
 
-@query(q("""SELECT * FROM (VALUES ('l_comment_like', 'categorical'), ('l_extendedprice', 'id_like'), ('l_linenumber', 'numeric'), ('l_orderkey', 'numeric'), ('l_quantity', 'numeric'), ('l_shipdate', 'datetime')) t(column, class)
-    WHERE column <> 'l_comment_like' AND (SELECT count(DISTINCT l_extendedprice) / count(*) FROM lineitem) > 0.95"""))
+@query(q("""SELECT * FROM (VALUES ('l_comment_like', 'categorical'), ('l_extendedprice', 'id_like'), ('l_linenumber', 'numeric'), ('l_orderkey', 'numeric'), ('l_quantity', 'numeric'), ('l_shipdate', 'datetime')) t("column", class)
+    WHERE "column" <> 'l_comment_like' AND (SELECT count(DISTINCT l_extendedprice) / count(*) FROM lineitem) > 0.95"""))
 def feature_column_types(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     return spark.createDataFrame([(c, k) for k, v in kinds.feature_types(df).items() for c in v], "column string, class string")

@@ -38,7 +38,7 @@ def find_csv_files(folder: str | Path) -> list[Path]:
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """UTF-8, or latin-1 if the file isn't UTF-8 throughout (Spark would put replacement marks there, unasked)."""
-    bad = spark.read.text(path).where(F.contains("value", F.lit("�")))
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
