@@ -66,15 +66,25 @@ def word_count(c: Column | str) -> Column:
     return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(r"(?U)\S+")).cast("double")
 
 
+def _kept(c: Column | str, kind: str) -> Column:
+    """How many characters are of a kind (a regex class's content): faster than counting matches one by one."""
+    return F.length(F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"[^{kind}]+", ""))
+
+
+#: White space as Python's str.split knows it, for a regex class.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def sentence_count(c: Column | str) -> Column:
-    """Non-blank parts between runs of . ! and ?, at least one unless the text is blank."""
+    """Non-blank parts between runs of . ! and ?, at least one unless the text is blank. A part is found by its first
+    character that isn't blank."""
     x = F.coalesce(_col(c), F.lit(""))
-    parts = F.size(F.filter(F.split(x, "[.!?]+"), lambda p: p.rlike(r"(?U)\S")))
+    parts = F.regexp_count(x, F.lit(rf"[^.!?{BLANKS}][^.!?]*"))
     return F.when(x.rlike(r"(?U)\S"), F.greatest(parts, F.lit(1))).otherwise(F.lit(0)).cast("double")
 
 
 def digit_count(c: Column | str) -> Column:
-    return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(rf"[\p{{Nd}}{SUPERSCRIPTS}]")).cast("double")
+    return _kept(c, rf"\p{{Nd}}{SUPERSCRIPTS}").cast("double")
 
 
 def punctuation_count(c: Column | str) -> Column:
@@ -82,9 +92,8 @@ def punctuation_count(c: Column | str) -> Column:
 
 
 def uppercase_ratio(c: Column | str) -> Column:
-    x = F.coalesce(_col(c), F.lit(""))
-    letters = F.regexp_count(x, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(x, F.lit(r"\p{Lu}")) / letters).otherwise(F.lit(0.0))
+    letters = _kept(c, r"\p{L}")
+    return F.when(letters > 0, _kept(c, r"\p{Lu}") / letters).otherwise(F.lit(0.0))
 
 
 def is_blank(c: Column | str) -> Column:
