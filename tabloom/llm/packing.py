@@ -6,6 +6,7 @@ import base64
 import math
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -84,57 +85,88 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(room: int, counts: dict[int, int], slack: int, most: int, steps: list[int]):
-    """Up to `most` undominated fillings of `room`, as lists of sizes, that waste at most `slack`, least waste first among equals found.
+def _reach(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each i the sums up to room that pieces of sizes[i:] can make, as the bits of a number."""
+    out = [1] * (len(sizes) + 1)
+    mask = (1 << (room + 1)) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        sums, n, step = out[i + 1], min(counts[sizes[i]], room // sizes[i]), 1
+        while n > 0:
+            take = min(step, n)
+            sums |= (sums << (take * sizes[i])) & mask
+            n -= take
+            step *= 2
+        out[i] = sums
+    return out
+
+
+def fillings(room: int, counts: dict[int, int], slack: int, most: int):
+    """Up to `most` undominated fillings of `room`, as lists of sizes, that waste at most `slack`; least waste first, and
+    of equal waste the largest pieces first.
 
     A filling is dominated if an unused piece fits into what it leaves free, or could take the place of one of its
-    smaller pieces. Sizes are tried from the largest down, so fillings of few large pieces, which dominate their
-    splits, come first. steps[0] counts down the work that the search may still do.
+    smaller pieces. What sums the smaller sizes can still make is known at each step, so no step is in vain.
     """
     sizes = sorted((s for s, c in counts.items() if c and s <= room), reverse=True)
-    if not sizes:
-        if room <= slack:
-            yield []
-        return
-    found: list[tuple[int, list[int]]] = []
-    used: dict[int, int] = {}
-    smallest = sizes[-1]
+    reach = _reach(sizes, counts, room)
 
-    def undominated(chosen: list[int], free: int) -> bool:
-        spare = [s for s in sizes if counts[s] > used.get(s, 0)]
-        return not any(s <= free for s in spare) and not any(a < s <= a + free for a in set(chosen) for s in spare)
-
-    def search(at: int, free: int, chosen: list[int]) -> None:
-        steps[0] -= 1
-        if steps[0] < 0 or len(found) >= most:
-            return
-        if free < smallest or at == len(sizes):
-            if free <= slack and undominated(chosen, free):
-                found.append((free, list(chosen)))
-            return
-        if counts.get(free, 0) > used.get(free, 0) and free <= sizes[at]:
-            found.append((0, [*chosen, free]))  # an exact single piece dominates every other way to fill `free`
+    def exactly(i: int, total: int):
+        if not total:
+            yield []
             return
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s > free or counts[s] <= used.get(s, 0):
-                continue
-            used[s] = used.get(s, 0) + 1
-            chosen.append(s)
-            search(i, free - s, chosen)
-            chosen.pop()
-            used[s] -= 1
-            if steps[0] < 0 or len(found) >= most:
+        for j in range(i, len(sizes)):
+            if not reach[j] >> total & 1:
                 return
-        if free <= slack and undominated(chosen, free):
-            found.append((free, list(chosen)))
+            s = sizes[j]
+            for k in range(min(counts[s], total // s), 0, -1):
+                if reach[j + 1] >> (total - k * s) & 1:
+                    for rest in exactly(j + 1, total - k * s):
+                        yield [s] * k + rest
 
-    search(0, room, [])
-    seen = set()
-    for _, x in sorted(found, key=lambda f: f[0]):
-        if tuple(x) not in seen:
-            seen.add(tuple(x))
-            yield x
+    def undominated(chosen: list[int], free: int) -> bool:
+        if not free:
+            return True
+        spare = [s for s in sizes if counts[s] > chosen.count(s)]
+        return not any(s <= free or any(a < s <= a + free for a in chosen) for s in spare)
+
+    for waste in range(min(slack, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
+            continue
+        for x in islice(exactly(0, room - waste), 4 * most):
+            if undominated(x, waste):
+                yield x
+                most -= 1
+                if not most:
+                    return
+
+
+def plain_filling(room: int, counts: dict[int, int]) -> list[int]:
+    """Of the fillings of least waste one whose smallest piece is largest: small pieces, which fit in anywhere, are left
+    for later. Least waste means that no other filling dominates it."""
+    sizes = sorted((s for s, c in counts.items() if c and s <= room), reverse=True)
+    mask = (1 << (room + 1)) - 1
+    down = [1]  # sums that the i largest sizes can make
+    for s in sizes:
+        sums, n, step = down[-1], min(counts[s], room // s), 1
+        while n > 0:
+            take = min(step, n)
+            sums |= (sums << (take * s)) & mask
+            n -= take
+            step *= 2
+        down.append(sums)
+        if sums >> room & 1:
+            break
+    total, out = down[-1].bit_length() - 1, []
+    i = len(down) - 1
+    while total:
+        while down[i - 1] >> total & 1:
+            i -= 1
+        s = sizes[i - 1]
+        k = next(k for k in range(1, total // s + 1) if down[i - 1] >> (total - k * s) & 1)
+        out += [s] * k
+        total -= k * s
+        i -= 1
+    return out
 
 
 def _best_fit(items: list[int], capacity: int) -> list[list[int]]:
@@ -171,7 +203,7 @@ def complete_bins(items: list[int], capacity: int, nodes: int = 20_000) -> list[
         if left[0] < 0:
             return False
         counts[top] -= 1
-        for more in fillings(capacity - top, counts, slack, 40, [3_000]):
+        for more in fillings(capacity - top, counts, slack, 40):
             for s in more:
                 counts[s] -= 1
             open_bins.append([top, *more])
@@ -195,53 +227,90 @@ def complete_bins(items: list[int], capacity: int, nodes: int = 20_000) -> list[
     return best
 
 
-def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(times, sizes) patterns that pack counts[size] pieces of each size: bin completion over the histogram.
-
-    The best undominated filling around the largest size is used as many times as the counts allow, which uses up a
-    size, so there are few patterns however many pieces. Where the bins exceed the lower bound, the last ones are
-    opened again and packed by branch and bound, in growing numbers.
-    """
+def _greedy(counts: dict[int, int], capacity: int, filling) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns that pack the counts: a filling around the largest piece, as many times as the counts allow. Each pattern
+    nearly uses up a size, so there are few however many pieces."""
     left = {s: c for s, c in counts.items() if c}
-    patterns: list[tuple[int, tuple[int, ...]]] = []
+    out: list[tuple[int, tuple[int, ...]]] = []
     while left:
         top = max(left)
         left[top] -= 1
-        more = next(fillings(capacity - top, left, capacity, 12, [6_000]), None)
+        one = (top, *filling(capacity - top, left))
         left[top] += 1
-        one = (top, *(more if more is not None else _largest_first(capacity - top, left, top)))
         need = {s: one.count(s) for s in set(one)}
         times = min(left[s] // n for s, n in need.items())
-        patterns.append((times, tuple(sorted(one, reverse=True))))
+        out.append((times, tuple(sorted(one, reverse=True))))
         for s, n in need.items():
             left[s] -= times * n
             if not left[s]:
                 del left[s]
-    bins, least = sum(t for t, _ in patterns), lower_bound(counts, capacity)
+    return out
+
+
+def _best_fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """_best_fit() of the whole histogram, bins of equal content being handled together."""
+    free: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    for s in sorted(counts, reverse=True):
+        n = counts[s]
+        while n:
+            f = min((f for f, bins in free.items() if f >= s and bins), default=0)
+            if f:
+                have, one = free[f].pop()
+                t = min(have, n)
+                if have > t:
+                    free[f].append((have - t, one))
+            else:
+                t, one, f = max(1, n // (capacity // s)), (), capacity
+            k = 1 if one else min(n, capacity // s)
+            free.setdefault(f - k * s, []).append((t, (*one, *[s] * k)))
+            n -= t * k
+    return [p for bins in free.values() for p in bins]
+
+
+def _bins(patterns: list[tuple[int, tuple[int, ...]]]) -> int:
+    return sum(t for t, _ in patterns)
+
+
+def _take(patterns, most: int, wanted) -> tuple[list, list]:
+    """(kept, taken): up to `most` bins of the patterns for which `wanted` gives a number, that many at most of each."""
+    kept, taken = [], []
+    for times, one in patterns:
+        n = min(times, most, wanted(times, one))
+        most -= n
+        kept += [(times - n, one)] if n < times else []
+        taken += [(n, one)] if n else []
+    return kept, taken
+
+
+def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(times, sizes) patterns that pack counts[size] pieces of each size: bin completion over the histogram.
+
+    Bins around pieces of over half the capacity take the undominated filling of largest pieces, others the one whose
+    smallest piece is largest; if that misses the lower bound, the second rule throughout and best fit are tried too, and the
+    fewest bins are kept. At last some bins, most waste first, are opened again and packed by branch and bound.
+    """
+    least = lower_bound(counts, capacity)
+    large = lambda room, left: next(fillings(room, left, room, 1))
+    half = lambda room, left: (large if 2 * room < capacity else plain_filling)(room, left)
+    patterns: list[tuple[int, tuple[int, ...]]] = _greedy(counts, capacity, half)
+    for other in (lambda: _best_fit_patterns(counts, capacity), lambda: _greedy(counts, capacity, plain_filling)):
+        if _bins(patterns) > least:
+            patterns = min(patterns, other(), key=_bins)
     for many in (24, 60, 150):
-        if bins <= least:
+        if _bins(patterns) <= least:
             break
-        kept, opened = list(patterns), []
-        while kept and len(opened) < many:
-            times, one = kept.pop()
-            take = min(times, max(1, (many - len(opened)) // len(one)))
-            opened += list(one) * take
-            if take < times:
-                kept.append((times - take, one))
-        again = complete_bins(opened, capacity)
-        if sum(t for t, _ in kept) + len(again) < bins:
-            patterns = kept + [(1, tuple(sorted(x, reverse=True))) for x in again]
-            bins = sum(t for t, _ in patterns)
-    return patterns
+        pieces = [0]
 
+        def wanted(times: int, one: tuple[int, ...], many=many, pieces=pieces) -> int:
+            n = min(times, max(0, many - pieces[0]) // len(one))
+            pieces[0] += n * len(one)
+            return n
 
-def _largest_first(room: int, left: dict[int, int], top: int) -> list[int]:
-    out, free = [], {s: c - (s == top) for s, c in left.items()}
-    for s in sorted(free, reverse=True):
-        n = min(free[s], room // s)
-        out += [s] * n
-        room -= n * s
-    return out
+        kept, opened = _take(sorted(patterns, key=lambda x: sum(x[1])), len(counts) + many, wanted)
+        again = complete_bins([s for t, one in opened for s in one for _ in range(t)], capacity)
+        if len(again) < _bins(opened):
+            patterns = kept + [(1, tuple(sorted(x, reverse=True))) for x in again]
+    return patterns
 
 
 def _places(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int, int]]:

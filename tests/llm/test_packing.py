@@ -60,6 +60,16 @@ def test_plan_packs_all_and_is_near_the_bound():
     assert len(packing._places(plan)) < 10_000
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_over_a_histogram_is_best_fit(seed):
+    rng = random.Random(seed)
+    items = [rng.randint(1, 60) for _ in range(400)]
+    counts = Counter(items)
+    patterns = packing._best_fit_patterns(counts, 100)
+    assert Counter(s for t, one in patterns for s in one for _ in range(t)) == counts and all(sum(one) <= 100 for _, one in patterns)
+    assert packing._bins(patterns) == len(packing._best_fit(items, 100))
+
+
 def test_ids_equal_those_of_tokenizers():
     slow, fast = Tokenizer.from_file(PATHS[0]), packing._encoder(*PATHS)
     for t in TEXTS:
