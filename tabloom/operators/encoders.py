@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalar import date_parts, to_timestamp
 from tabloom.operators.ordering import ORD
 from tabloom.operators.profile import number, value
+from tabloom.operators.quantiles import exact_quantiles
 from tabloom.operators.types import feature_types, is_id_like
 
 # Bounds of the cardinality classes, and what stands for a missing category.
@@ -94,9 +95,7 @@ def add_date_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def medians(df: DataFrame, names: Sequence[str]) -> dict[str, float | None]:
     """Exact interpolated medians, all columns in one job."""
-    if not names:
-        return {}
-    return dict(zip(names, df.agg(*[F.median(number(df, c)) for c in names]).first()))
+    return {c: q[0] for c, q in exact_quantiles(df, {c: number(df, c) for c in names}, [0.5]).items()}
 
 
 def modes(df: DataFrame, names: Sequence[str]) -> dict[str, str | None]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions.scalar import is_finite, month_period, not_nan, to_timestamp
+from tabloom.operators import quantiles
 from tabloom.operators.ordering import ORD
 
 TOP_MISSING, TOP_CORRELATIONS, TOP_CATEGORIES, TOP_BLOCKS, MAX_CATEGORICAL_FIGURES = 20, 15, 15, 20, 3
@@ -58,12 +59,14 @@ def _count_null(c: Column) -> Column:
     return F.count(F.when(c.isNull(), 1))
 
 
-def missingness(df: DataFrame) -> DataFrame:
-    """column, dtype, missing_count, missing_pct (share, 4 digits), nunique; most missing first."""
+def missingness(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """column, dtype, missing_count, missing_pct (share, 4 digits), nunique; most missing first. approximate: distinct
+    values by a sketch, which spares wide large tables a shuffle of every value."""
     kinds = dict(df.dtypes)
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     n = F.count(F.lit(1))
     out = _stack(df, [f.name for f in columns_of(df)], lambda c: {
-        "missing_count": _count_null(value(df, c)), "rows": n, "nunique": F.count_distinct(value(df, c)),
+        "missing_count": _count_null(value(df, c)), "rows": n, "nunique": distinct(value(df, c)),
     })
     dtype = F.create_map(*[F.lit(x) for k in kinds.items() for x in k])[F.col("column")]
     pct = F.round(F.coalesce(F.try_divide(F.col("missing_count"), F.col("rows")), F.lit(0.0)), 4)
@@ -83,9 +86,20 @@ def overview(df: DataFrame, role: str, path: str) -> DataFrame:
     )
 
 
-def _moments(x: Column) -> dict[str, Column]:
-    """count, mean, std (ddof 1), min, quartiles (interpolated), max, skewness (biased; null under 3 values)."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _quartiles(df: DataFrame, names: Sequence[str]) -> dict[str, list[float | None]] | None:
+    """Quartiles of large tables' columns, found beforehand; None for tables that one aggregate can hold."""
+    rows = df.count()
+    if rows <= quantiles.ONE_PASS_ROWS:
+        return None
+    return quantiles.exact_quantiles(df, {c: number(df, c) for c in names}, QUARTILES, rows)
+
+
+def _moments(x: Column, known: Sequence[float | None] | None = None) -> dict[str, Column]:
+    """count, mean, std (ddof 1), min, quartiles (interpolated; `known` ones as they are), max, skewness (biased; null under 3 values)."""
+    q = F.percentile(x, F.array(*map(F.lit, QUARTILES))) if known is None else [F.first(F.lit(v).cast("double")) for v in known]
     return {
         "count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "q25": q[0], "median": q[1], "q75": q[2], "max": F.max(x),
         "skew": not_nan(F.when(F.count(x) >= 3, F.skewness(x))),
@@ -94,10 +108,12 @@ def _moments(x: Column) -> dict[str, Column]:
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:
     x = number(df, target)
+    found = _quartiles(df, [target])
+    moments = _moments(x, found[target] if found else None)
     return df.agg(
-        F.lit(target).alias("target_column"), *[e.alias(k) for k, e in _moments(x).items()],
+        F.lit(target).alias("target_column"), *[e.alias(k) for k, e in moments.items()],
         F.count(F.when(x == 0, 1)).alias("zero_count"), F.count(F.when(x < 0, 1)).alias("negative_count"), _count_null(x).alias("missing_count"),
-    ).select("target_column", *_moments(x), "zero_count", "negative_count", "missing_count")
+    ).select("target_column", *moments, "zero_count", "negative_count", "missing_count")
 
 
 def target_by_block(df: DataFrame, target: str, block: str) -> DataFrame:
@@ -114,10 +130,11 @@ def numeric_summary(df: DataFrame, target: str | None, names: Sequence[str] | No
     """Statistics of each numeric column and |Pearson r| with the target over rows where both are finite (three at
     least of each); highest first, unknown last."""
     names = [c for c in (names or numeric_columns(df)) if c != target]
+    found = _quartiles(df, names)
 
     def build(c: str) -> dict[str, Column]:
         x = number(df, c)
-        out = _moments(x)
+        out = _moments(x, found[c] if found else None)
         out = {"count": out.pop("count"), "missing_pct": F.coalesce(F.try_divide(_count_null(x), F.count(F.lit(1))), F.lit(0.0)), **out}
         if target is None:
             return out | {"abs_corr_with_target": F.lit(None).cast("double")}

@@ -13,7 +13,29 @@ from tabloom.operators.ordering import sample_rows
 from tabloom.plans import figures, schema
 from tabloom.sources import files
 
-MAX_ROWS = 50_000
+
+
+def raw_overview(spark: SparkSession, summary: dict) -> DataFrame:
+    """relative_path, role, rows, columns of each file, from its profile: no table is read."""
+    rows = [(f["rel_path"], f["role"], f["n_rows"], f["n_cols"]) for f in summary.get("files", [])]
+    return spark.createDataFrame(rows, "relative_path string, role string, rows long, columns long")
+
+
+def modeling_overview(spark: SparkSession, log: dict) -> DataFrame:
+    """What the models were given: how many features each group has, after encoding, and rows to predict."""
+    groups = log.get("feature_groups", {})
+    rows = [(k, len(v)) for k, v in groups.items()] + [("distinct_features", len({c for k, v in groups.items() if k not in ("dropped", "text", "datetime", "medium", "high") for c in v})), ("prediction_rows", log.get("prediction_rows", 0))]
+    return spark.createDataFrame(rows, "item string, count long")
+
+
+def modalities(log: dict) -> dict:
+    """Which of numbers, categories, dates, texts and images took part."""
+    groups = log.get("feature_groups", {})
+    made = groups.get("encoded", [])
+    return {
+        "numeric": bool(groups.get("numeric")), "categorical": bool(groups.get("low") or groups.get("medium") or groups.get("high")), "datetime": bool(groups.get("datetime")),
+        "text": bool(groups.get("text")), "text_svd": any("__svd_" in c for c in made), "images": any(c.startswith("image__") for c in made),
+    }
 
 
 def run_eda(spark: SparkSession, summary: dict, root: str | Path, max_rows: int | None = None, seed: int = 42) -> dict:
@@ -58,6 +80,10 @@ def run_eda(spark: SparkSession, summary: dict, root: str | Path, max_rows: int
         return whole
 
     bars = lambda label, number, title: lambda rows: figures.bars([(r[label], r[number]) for r in rows], title)
+    log = files.read_json(files.artifacts_dir(root) / "modeling_log.json")
+    step("raw_files", lambda: raw_overview(spark, summary))
+    if log.get("feature_groups"):
+        step("modeling_frame", lambda: modeling_overview(spark, log))
     step("dataset_overview", lambda: union([profile.overview(df, r, files.role_path(summary, r)) for r, df in tables.items()]))
     step("column_types", lambda: spark.createDataFrame([{k: str(v) for k, v in kinds.type_counts(df, r).items()} for r, df in tables.items()]) if tables else None)
     if merged is not None:
@@ -85,6 +111,6 @@ def run_eda(spark: SparkSession, summary: dict, root: str | Path, max_rows: int
         step("shift_categorical", lambda: profile.shift_categorical(features, other, texts) if texts else None)
     for df in tables.values():
         df.unpersist()
-    result = {"status": "failed" if not written else "partial" if warnings else "ok", "tables": written, "figures": drawn, "warnings": warnings}
+    result = {"status": "failed" if not written else "partial" if warnings else "ok", "tables": written, "figures": drawn, "modalities": modalities(log), "warnings": warnings}
     files.write_json(result, out / "eda_summary.json")
     return result

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +148,18 @@ def image_features(spark: SparkSession, rows: DataFrame, key: str, keys: Sequenc
     right = found.where("path is not null").join(stats, "path").select(F.col("key").alias("__key"), *[F.col(c).alias(f"image__{c}") for c in STATS])
     joined = rows.join(right, F.col(key) == F.col("__key"), "left").drop("__key")
     return joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names}), names, None
+
+
+def cached_features(spark: SparkSession, folder: str, images: DataFrame, about: dict, make) -> DataFrame:
+    """The features that make() computes, from a Parquet cache below `folder` if it was written for the same images and
+    the same `about` (row counts, key columns, folder); else they are made and written anew."""
+    want = {**about, "images": signature(images)}
+    meta = f"{folder.rstrip('/')}/meta"
+    try:
+        known = json.loads(spark.read.text(meta, wholetext=True).first()[0])
+    except AnalysisException:  # nothing cached yet
+        known = None
+    if known != want:
+        make().write.mode("overwrite").parquet(f"{folder.rstrip('/')}/features")
+        spark.createDataFrame([(json.dumps(want),)], "value string").coalesce(1).write.mode("overwrite").text(meta)
+    return spark.read.parquet(f"{folder.rstrip('/')}/features")
