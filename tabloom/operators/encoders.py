@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -161,11 +161,18 @@ class Frames:
         return Assembler([c for c in self.groups.numeric + self.groups.encoded if c in self.train.columns], [c for c in self.groups.low if c in self.train.columns])
 
 
-def prepare_frames(train: DataFrame, other: DataFrame, target: str, row_id: str | None, keep: Sequence[str] = (), text: bool = True, drop_id_like: bool = True) -> Frames:
+#: Adds columns to both tables: (train, other) -> (train, other, names of the new columns, notes).
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, list[str], list[str]]]
+
+
+def prepare_frames(
+    train: DataFrame, other: DataFrame, target: str, row_id: str | None, keep: Sequence[str] = (), text: bool = True, drop_id_like: bool = True, images: Step | None = None
+) -> Frames:
     """Features of both tables, in this order: text, dates, cardinality, frequencies, dropped ids, shared columns.
 
     Classes are taken from both tables together; everything fitted is fitted on the training table alone. `keep` names
-    further columns to carry along (the row order, the block) that aren't features. Numeric columns that are nearly all
+    further columns to carry along (the row order, the block) that aren't features. `images` adds features by the key
+    columns, before any of these go. Numeric columns that are nearly all
     distinct count as ids and go, unless drop_id_like is off.
     """
     from tabloom.operators.text_features import add_text_features
@@ -179,6 +186,10 @@ def prepare_frames(train: DataFrame, other: DataFrame, target: str, row_id: str
         numbers = [f for f, t in both.dtypes if f in kinds["id_like"] and t not in ("string", "timestamp", "date")]
         groups.numeric = groups.numeric + numbers
     ids = [c for c in kinds["id_like"] if c not in groups.numeric]
+    if images:
+        train, other, made, more = images(train, other)
+        groups.encoded += made
+        notes += more
     if text:
         train, other, made, more = add_text_features(train, other, groups.text)
         groups.encoded += made

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalar import is_finite
 from tabloom.operators import joins
 from tabloom.operators import types as kinds
-from tabloom.operators.encoders import prepare_frames
+from tabloom.operators.encoders import Step, prepare_frames
 from tabloom.operators.ordering import ORD
 from tabloom.plans import eda, models, report, schema, validate
-from tabloom.sources import files
+from tabloom.sources import files, images
 
 
 def _table(spark: SparkSession, summary: dict, role: str) -> DataFrame | None:
@@ -24,6 +24,26 @@ def _table(spark: SparkSession, summary: dict, role: str) -> DataFrame | None:
     return files.read_csv(spark, path) if path and Path(path).is_file() else None
 
 
+def image_step(spark: SparkSession, folder: str, keys: list[str]) -> Step | None:
+    """Adds pixel statistics of the rows' image sidecars, matched by the key columns; None if the folder has no images."""
+    if not Path(folder).is_dir() or not any(p.suffix.lower().lstrip(".") in images.SUFFIXES for p in Path(folder).rglob("*")):
+        return None
+    found = images.find_images(spark, folder)
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+
+    def add(train: DataFrame, other: DataFrame):
+        tagged = lambda df, tag: df.select(*keys, F.concat(F.lit(tag), F.col(ORD)).alias("__row"))
+        both = tagged(train, "t").unionByName(tagged(other, "p"))
+        made, names, why = images.image_features(spark, both, "__row", keys, found, found.join(contents, "path"))
+        if why:
+            return train, other, [], [why]
+        side = made.select("__row", *names)
+        join = lambda df, tag: df.withColumn("__k", F.concat(F.lit(tag), F.col(ORD))).join(side, F.col("__k") == F.col("__row"), "left").drop("__k", "__row")
+        return join(train, "t"), join(other, "p"), names, []
+
+    return add
+
+
 def training_table(target: DataFrame, features: DataFrame | None, keys: list[str] | None) -> tuple[DataFrame, list[str]]:
     """Targets with their features; targets alone if the merge isn't possible."""
     return joins.safe_merge(target, features, keys, "inner") if features is not None and keys else (target, ["no features were merged"])
@@ -59,7 +79,9 @@ def train_and_predict(spark: SparkSession, root: str | Path, summary: dict | Non
         carry = [F.col(block).cast("string").alias("__block")] if block else []
         a = train.select(*[c for c in train.columns if c != block], *carry)
         b = rows.select(*[c for c in rows.columns if c not in (block, out_column)], *([F.col(block).cast("string").alias("__block")] if block and block in rows.columns else [F.lit(None).cast("string").alias("__block")] if block else []))
-        frames = prepare_frames(a.where(is_finite(target)), b, target, row_id, keep=["__block"] if block else [])
+        keys = [k for k in summary["join"]["predict_keys"] or [] if k in a.columns and k in b.columns]
+        pictures = image_step(spark, summary["data_dir"], keys) if keys else None
+        frames = prepare_frames(a.where(is_finite(target)), b, target, row_id, keep=["__block"] if block else [], images=pictures)
         log |= {"feature_groups": asdict(frames.groups)}
         log["notes"] += frames.notes
         assembler = frames.assembler()

@@ -151,3 +151,18 @@ def test_image_names_and_stats(spark, tmp_path):
     out, names, why = images.image_features(spark, rows.where("i in (0, 3)"), "i", ["plot", "side"], found, contents, decode)
     assert why is None and {r["image__brightness_mean"] for r in out.collect()} == {0.25} and len(names) == 14
     assert images.image_features(spark, rows.where("i = 4"), "i", ["plot", "side"], found)[2].startswith("images skipped")
+
+
+def test_images_take_part_in_a_run(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    mock.create_mock(tmp_path, train=40, predict=8)
+    for i in [*range(1, 41), *range(1001, 1009)]:
+        (tmp_path / "data" / f"e{i:05}-{2020 + ((i - 1) % 1000) % 6}.png").write_bytes(bytes(i % 7 + 1))
+    monkeypatch.setattr(images, "decoder", lambda: lambda raw: np.full((1, len(raw), 3), 0.5))
+    summary = schema.build_summary(spark, tmp_path)
+    step = runner.image_step(spark, summary["data_dir"], ["entity_id", "time_key"])
+    rows = spark.createDataFrame([(k, 1000 + k, 2020 + k - 1) for k in (1, 2)], f"{ORD} long, entity_id long, time_key long")
+    train, other, names, notes = step(rows, rows)
+    assert not notes and len(names) == 14 and {r["image__width"] for r in other.collect()} == {1001 % 7 + 1.0, 1002 % 7 + 1.0}
+    assert runner.image_step(spark, str(tmp_path / "artifacts"), ["a"]) is None
