@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple] = []
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
-        sc = spark.sparkContext
-        if getattr(sc, "_jsc", None) is None:  # the session has ended
-            continue
-        target = sc._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    for jvm, conf, path in _written:
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        except (Py4JError, OSError):  # the JVM has gone before us
+            return
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))  # usable after the session's end too
     return spark.read.schema(df.schema).parquet(path)
 
 
