@@ -22,14 +22,19 @@ CHUNK = 200_000
 HOT_RUN = 50_000
 
 
-def fingerprint(text: str | None, words: int = 3, bits_at_once: int = 1 << 16) -> int:
-    """64-bit SimHash over the XXH64 (seed 42) of the text's word shingles; without words zero."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z, only \x20 and \x09-\x0d
+def text_words(text: str | None) -> list[bytes]:
+    """Words of the text's UTF-8 with A-Z lower-cased; white space is x20 and x09 to x0d alone."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
+
+
+def word_fingerprint(w: list[bytes], words: int, bits_at_once: int = 1 << 16) -> int:
+    """64-bit SimHash over the XXH64 (seed 42) of shingles of `words` words; of no words zero."""
     if not w:
         return 0
-    if len(w) < words:
-        shingles: Iterator[bytes] = iter([b" ".join(w)])
-        n = 1
+    if words == 1:
+        shingles, n = w, len(w)
+    elif len(w) < words:
+        shingles, n = [b" ".join(w)], 1
     else:
         shingles, n = map(b" ".join, zip(*(w[i:] for i in range(words)))), len(w) - words + 1
     digest = xxhash.xxh64_intdigest
@@ -41,14 +46,20 @@ def fingerprint(text: str | None, words: int = 3, bits_at_once: int = 1 << 16) -
     return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    return word_fingerprint(text_words(text), words)
+
+
 def fingerprints(docs: DataFrame, key: str, text: str, words: int, other: int | None) -> DataFrame:
     """(k, fp, other): the fingerprints of shingles of `words` and of `other` words (None: zero) as signed longs."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            more = np.array([fingerprint(t, other) for t in texts] if other else np.zeros(len(texts)), np.uint64)
+            fps, more = np.zeros((2, b.num_rows), np.uint64)
+            for i, t in enumerate(b.column(1)):
+                w = text_words(t.as_py())
+                fps[i] = word_fingerprint(w, words)
+                more[i] = word_fingerprint(w, other) if other else 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(more.view(np.int64))], ["k", "fp", "other"])
 
     kind = docs.schema[key].dataType.simpleString()
