@@ -116,6 +116,10 @@ def mix(
     alphas names the dimensions; see targets(). `tokens` is a column of whole numbers, null counting as 0. Null values
     of a dimension are a value of their own. Equal keys share their fate, so exact repeats of a row stay together. A
     cell without tokens has weight 1 and prob 1. An empty table stays empty. Columns named weight, prob or kept are replaced.
+
+    Documents are only aggregated (before the shuffle, so that hot cells cost nothing) and joined to their cell. The
+    cell table has a row per combination of values; up to SMALL_CELLS it is raked in one task and broadcast, beyond it is
+    dealt by each dimension in turn, but for totals over all cells, which one task takes.
     """
     dims = list(alphas)
     base = docs.withColumn("__tokens", F.coalesce(F.col(tokens), F.lit(0)).cast("long"))
