@@ -77,6 +77,19 @@ def test_safe_merge_matches_nulls_keeps_first_and_suffixes(spark):
     assert joins.safe_merge(left, right, ["gone"])[1] == ["merge skipped: missing join keys ['gone']"]
 
 
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "date", "boolean", "string", "timestamp"])
+def test_safe_merge_of_key_types(spark, kind):
+    left = spark.sql(f"SELECT * FROM VALUES (CAST(NULL AS {kind}), 1), (CAST(NULL AS {kind}), 2) AS t(k, l)")
+    right = spark.sql(f"SELECT * FROM VALUES (CAST(NULL AS {kind}), 7, 1L), (CAST(NULL AS {kind}), 8, 0L) AS t(k, r, {ORD})")
+    assert [r.r for r in joins.safe_merge(left, right, ["k"], check=False)[0].collect()] == [8, 8]
+    zero = {"date": "1970-01-01", "timestamp": "1970-01-01", "boolean": "false", "string": ""}.get(kind, "0")
+    stand_in = spark.sql(f"SELECT CAST('{zero}' AS {kind}) AS k, 9 AS r, 0L AS {ORD}")
+    assert [r.r for r in joins.safe_merge(left, stand_in, ["k"], check=False)[0].collect()] == [None, None]  # null isn't its stand-in
+    if kind == "int":
+        wide = right.withColumn("k", F.col("k").cast("bigint"))
+        assert [r.r for r in joins.safe_merge(left, wide, ["k"], check=False)[0].collect()] == [8, 8]
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 @pytest.mark.parametrize("dedup", [True, False])
 def test_merge_facts_equal_pandas(spark, how, dedup):
