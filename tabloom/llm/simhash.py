@@ -20,6 +20,8 @@ LEAF = 32
 CHUNK = 200_000
 #: Runs of more fingerprints than this that agree in their first block of bits are dealt anew by a second one.
 HOT_RUN = 50_000
+#: Keys to drop are broadcast if they are no more than this (16 bytes each); beyond, Spark shuffles both sides.
+BROADCAST_KEYS = 1_000_000
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -222,8 +224,8 @@ def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int
     turns = [_bits(b + [p for p in places if p not in b]) for b in first]
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _value(b).alias("block")) for k, b in enumerate(first)])
     dealt = fps.select("fp", "other", F.explode(kinds).alias("x")).select("x.kind", "x.block", "fp", "other")
-    many = dealt.groupBy("kind", "block").count().where(F.col("count") > hot_run)
-    hot = [(r[0], r[1]) for r in many.select("kind", "block").collect()]  # at most as many as there are values of 64 / (budget + 1) bits
+    # runs are at most as many as there are values of the blocks, budget + 1 times 2 ** (64 / (budget + 1)), or (budget + 1) / hot_run of the rows
+    many = materialize(dealt.groupBy("kind", "block").count().where(F.col("count") > hot_run).select("kind", "block"))
 
     def joined(rows: DataFrame, turns, depths) -> DataFrame:
         placed = rows.repartition(n, "kind", "block").sortWithinPartitions("kind", "block")
@@ -231,9 +233,10 @@ def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int
         node = lambda x: F.struct(F.col(f"{x}1").alias("fp"), F.col(f"{x}2").alias("other")).alias(x)
         return got.select(node("a"), node("b"))
 
-    if not hot:
+    if many.isEmpty():
         return joined(dealt, turns, [len(b) for b in first])
-    is_hot = F.struct("kind", "block").isin([F.struct(F.lit(k).alias("kind"), F.lit(b).alias("block")) for k, b in hot])
+    cold = dealt.join(F.broadcast(many), ["kind", "block"], "left_anti").select("kind", "block", "fp", "other")
+    hot = dealt.join(F.broadcast(many), ["kind", "block"], "left_semi").select("kind", "block", "fp", "other")
     inner, inner_turns, depths = [], [], []
     for k, b in enumerate(first):
         for second in _cut([p for p in places if p not in b], budget + 1):
@@ -241,9 +244,9 @@ def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int
             inner.append(F.when(F.col("kind") == k, F.struct(F.lit(len(inner)).alias("kind"), block.alias("block"))))
             inner_turns.append(_bits(b + second + [p for p in places if p not in b and p not in second]))
             depths.append(len(b) + len(second))
-    again = dealt.where(is_hot).select("fp", "other", F.explode(F.filter(F.array(*inner), lambda x: x.isNotNull())).alias("x"))
+    again = hot.select("fp", "other", F.explode(F.filter(F.array(*inner), lambda x: x.isNotNull())).alias("x"))
     again = again.select("x.kind", "x.block", "fp", "other")
-    return joined(dealt.where(~is_hot), turns, [len(b) for b in first]).unionByName(joined(again, inner_turns, depths))
+    return joined(cold, turns, [len(b) for b in first]).unionByName(joined(again, inner_turns, depths))
 
 
 def near_duplicates(
@@ -276,5 +279,7 @@ def keep_one(
     """The rows of docs whose key is the smallest of its component; of rows that repeat one key, all stay or go, and
     rows with a null key stay."""
     found = near_duplicates(docs, key, text, words, budget, confirm)
-    worse = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k")).distinct()
+    worse = materialize(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k")).distinct())
+    if worse.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        worse = F.broadcast(worse)  # spares the texts a shuffle
     return docs.join(worse, F.col(key) == F.col("__k"), "left_anti")

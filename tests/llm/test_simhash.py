@@ -91,6 +91,12 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted({r.doc_id for r in kept.collect()}) == sorted({c for _, c in want.values()})
 
 
+def test_keep_one_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
+    docs = spark.createDataFrame([(i, ["a b c d", "e f g h"][i % 2]) for i in range(9)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == simhash.keep_one(docs).count() == 0
