@@ -63,8 +63,6 @@ GATE = r"(?i)licen[cs]|permission|redistribut|public domain|creative commons|cop
 #: Further lines of a block have one of these, but for GAP lines between two that have.
 NEAR = re.compile(GATE + r"|warrant|conditions|software|source|notice|version|copies|purpose")
 GAP = 2
-#: How many of the best-ranked templates are compared word by word.
-COMPARED = 6
 
 
 @dataclass(frozen=True)
@@ -117,9 +115,10 @@ def blocks(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def differences(template: tuple[str, ...], block: list[str]) -> tuple[int, str | None]:
-    """The fewest words to insert, delete or replace that turn the template into some stretch of the block, and the
-    version that stands for <v> there (of the first such stretch). By Sellers' dynamic programme, a row per word."""
+def differences(template: tuple[str, ...], block: list[str]) -> tuple[int, str | None, int, int]:
+    """The fewest words to insert, delete or replace that turn the template into some stretch of the block, the version
+    that stands for <v> there, and where it starts and ends (of the first such stretch). By Sellers' dynamic programme,
+    a row per word."""
     n = len(block)
     column = np.arange(n + 1)
     names = np.array(block, object)
@@ -133,6 +132,7 @@ def differences(template: tuple[str, ...], block: list[str]) -> tuple[int, str |
         row = np.minimum.accumulate(new - column) + column
         rows.append(row)
     j, least = int(row.argmin()), int(row.min())
+    end = j
     i, version = len(template), None
     while i and j:
         w, x = template[i - 1], block[j - 1]
@@ -145,35 +145,52 @@ def differences(template: tuple[str, ...], block: list[str]) -> tuple[int, str |
             i -= 1
         else:
             j -= 1
-    return least, version
+    return least, version, j, end
+
+
+def stretches(template: tuple[str, ...], block: list[str], most: float) -> list[tuple[int, str | None, int, int]]:
+    """differences() for all stretches of at most `most` differing words that don't overlap, the best first."""
+    left, out = list(block), []
+    has = set(block)
+    versions = any(map(_VERSION.fullmatch, has))
+    if sum(not versions if w == "<v>" else w not in has for w in template) > most:  # each of these words differs anywhere
+        return out
+    while (hit := differences(template, left))[0] <= most and hit[3] > hit[2]:
+        out.append(hit)
+        left[hit[2] : hit[3]] = [""] * (hit[3] - hit[2])  # equals no word
+    return out
 
 
 def scan_block(block: str, tolerance: float = 0.1) -> list[tuple[str, str | None, float, int, int, bool]]:
     """(license, version, reduction, differing words, template's words, confirmed) for a block.
 
-    Each template, as a raw zstandard dictionary, saves some of the block's compressed size; the templates that save the
-    largest shares are compared word by word. Confirmed are those of which at most `tolerance` of the words differ, one
-    per licence (the longest match), but for licences of which another one, with fewer differing words, matches as many
-    words. If none is, the best-ranked is returned as not confirmed.
+    Each template, as a raw zstandard dictionary, saves some of the block's compressed size, which ranks it; all templates
+    are compared word by word. Confirmed are stretches in which at most `tolerance` of a template's words differ, but for
+    those that overlap a stretch of another licence with fewer differing words that matches as many; of each licence the
+    longest match is returned. If none is confirmed, the best-ranked is returned as not confirmed, if it saves anything.
     """
     raw = block.encode("utf-8", "surrogatepass")
     plain = len(_plain().compress(raw))
-    saved = [(1 - len(t.packer.compress(raw)) / plain, -k) for k, t in enumerate(templates())]
-    ranked = [(s, templates()[-k]) for s, k in sorted(saved, reverse=True)[:COMPARED] if s > 0]
+    saved = [1 - len(t.packer.compress(raw)) / plain for t in templates()]
     own = words(block)
+    hits = [(d, -(len(t.words) - d), k, version, i, j) for k, t in enumerate(templates()) for d, version, i, j in stretches(t.words, own, tolerance * len(t.words))]
+    kept: list[tuple] = []
+    for x in sorted(hits, key=lambda x: x[:3]):
+        over = (y for y in kept if y[4] < x[5] and x[4] < y[5] and y[0] < x[0] and y[1] <= x[1])
+        if not any(templates()[y[2]].license != templates()[x[2]].license for y in over):
+            kept.append(x)
     found: dict[str, tuple] = {}
-    compared = []
-    for s, t in ranked:
-        d, version = differences(t.words, own)
-        compared.append((t.license, version, s, d, len(t.words), d <= tolerance * len(t.words)))
-        best = found.get(t.license)
-        if compared[-1][5] and (best is None or (len(t.words) - d, -d) > (best[4] - best[3], -best[3])):
-            found[t.license] = compared[-1]
-    matched = lambda x: x[4] - x[3]
-    kept = [x for x in found.values() if not any(y[3] < x[3] and matched(y) >= matched(x) for y in found.values())]
-    if kept:
-        return sorted(kept, key=lambda x: (-matched(x), x[3], x[0]))
-    return compared[:1]
+    for d, matched, k, version, _, _ in sorted(kept, key=lambda x: (x[1], x[0], -saved[x[2]])):
+        t = templates()[k]
+        found.setdefault(t.license, (t.license, version, saved[k], d, len(t.words), True))
+    if found:
+        return sorted(found.values(), key=lambda x: (x[3] - x[4], x[3], x[0]))
+    best = max(range(len(saved)), key=lambda k: (saved[k], -k))
+    if saved[best] <= 0:
+        return []
+    t = templates()[best]
+    d, version, _, _ = differences(t.words, own)
+    return [(t.license, version, saved[best], d, len(t.words), False)]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -34,6 +34,24 @@ def test_every_template_is_found_within_prose(name, text):
     assert best[1] == ("4.0" if "<v>" in text else None)
 
 
+def test_blocks_of_several_licences_lose_none():
+    short = "Licensed under the BSD License.\nLicensed under CC BY 4.0."
+    assert {r[0] for r in licenses.scan_block(short) if r[5]} == {"BSD", "CC-BY"}
+    rng = random.Random(7)
+    for n in (2, 3, 4) * 40:
+        some = rng.sample([x for x in licenses.TEMPLATES], n)
+        block = "\n".join(t.replace("<v>", "4.0") for _, t in some)
+        got = licenses.scan_block(block)
+        assert {r[0] for r in got} == {name for name, _ in some} and all(r[5] and r[3] == 0 for r in got), block
+
+
+def test_a_licence_is_suppressed_only_where_another_overlaps():
+    alike = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    assert [r[0] for r in licenses.scan_block(alike)] == ["CC-BY-SA"]
+    apart = alike + "\nThis work is licensed under a Creative Commons Attribution 3.0 Worldwide License."  # each CC-BY match differs in a word
+    assert [r[:2] + (r[3],) for r in licenses.scan_block(apart)] == [("CC-BY-SA", "4.0", 0), ("CC-BY", "3.0", 1)]
+
+
 def test_wrapped_header_and_small_changes():
     header = next(t for n, t in licenses.TEMPLATES if n == "Apache" and len(t) > 200).replace("<v>", "2.0").split(" ")
     lines = [" ".join(header[i : i + 7]) for i in range(0, len(header), 7)]
