@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialize
+from tabloom.llm.common import materialize, shuffle_partitions
 
 #: Bytes of context.
 DEPTH = 5
-#: Context nodes of the model, at most: its tables take up to 3 KB a node.
-NODES = 32_000
+#: Bytes of context by which contexts are dealt into slices.
+TOP = 2
 #: Bytes of text that share a block of statistics, and bytes that are handled at a time.
 BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
 #: Stands before and after each text; it never occurs in UTF-8.
@@ -240,7 +240,9 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 #: Rows of block statistics. kind 0: key, a context with its symbol, n times in the block's training texts. kind 1: key,
 #: a token's hash, the at-th of its block, n times in its training texts. kind 2: a text, its tokens as numbers `at` in ids.
-_STATS = "kind int, block bigint, key bigint, at int, n bigint, mark string, ids binary"
+#: kind 3: key, a slice of contexts; ids and more, the block's contexts of it with their symbols and how often the training
+#: texts have them. kind 4: a text, lower-cased, in ids.
+_STATS = "kind int, block bigint, key bigint, at int, n bigint, mark string, ids binary, more binary"
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -285,9 +287,21 @@ def _block_tokens(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
     return whole.chunk(0).dictionary.to_pylist(), [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array, depth: int):
-    key, n = _block_grams(train, texts, depth)
-    yield _rows(0, block, key=key, n=n)
+def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array, depth: int, slices: int):
+    if slices:
+        key, n = _all_grams(train, texts, depth)
+        slot = slice_of(key, depth, slices)
+        order = np.argsort(slot, kind="stable")
+        slot, key, n = slot[order], key[order], n[order]
+        first = np.flatnonzero(np.diff(slot, prepend=-1))
+        cuts = list(zip(first, [*first[1:], len(slot)]))
+        yield _rows(3, block, key=slot[first].astype(np.int64), ids=[_pack_keys(key[a:b]) for a, b in cuts], more=[_planes(n[a:b]) for a, b in cuts])
+        del slot, order
+        for a, b in _slices(texts):
+            yield _rows(4, block, mark=marks.slice(a, b - a), ids=[zstandard.compress(t, 1) for t in _as_bytes(_lower(texts.slice(a, b - a)))])
+    else:
+        key, n = _block_grams(train, texts, depth)
+        yield _rows(0, block, key=key, n=n)
     del key, n
     names, ids = _block_tokens(texts)
     codes = np.array([xxhash.xxh64_intdigest(w) for w in names] + [END], np.uint64).view(np.int64)
@@ -298,8 +312,8 @@ def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array,
     yield _rows(2, block, mark=marks, ids=[_pack(np.append(x, np.int32(len(names)))) for x in ids])
 
 
-def _stats(depth: int):
-    """Statistics of blocks of (mark, train, text), mark being what names a text."""
+def _stats(depth: int, slices: int):
+    """Statistics of blocks of (mark, train, text), mark being what names a text; with contexts in slices, or by rows if slices is 0."""
 
     def run(batches):
         part = TaskContext.get().partitionId() << 32
@@ -318,7 +332,7 @@ def _stats(depth: int):
     def flush(held, block):
         if sum(map(len, held)):
             marks, train, texts = (pa.chunked_array([h.column(k) for h in held]).combine_chunks() for k in range(3))
-            yield from _block_rows(block, marks, train.to_numpy(zero_copy_only=False).astype(bool), texts, depth)
+            yield from _block_rows(block, marks, train.to_numpy(zero_copy_only=False).astype(bool), texts, depth, slices)
             del marks, train, texts
         pa.default_memory_pool().release_unused()
 
@@ -327,11 +341,241 @@ def _stats(depth: int):
 
 def _rows(kind: int, block: int, **cols) -> pa.RecordBatch:
     n = len(next(iter(cols.values())))
-    types = {"kind": pa.int32(), "block": pa.int64(), "key": pa.int64(), "at": pa.int32(), "n": pa.int64(), "mark": pa.string(), "ids": pa.binary()}
+    types = {"kind": pa.int32(), "block": pa.int64(), "key": pa.int64(), "at": pa.int32(), "n": pa.int64(), "mark": pa.string(), "ids": pa.binary(), "more": pa.binary()}
     cols |= {"kind": np.full(n, kind, np.int32), "block": np.full(n, block, np.int64)}
     return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in types.items()], list(types))
 
 
+# The whole model. A context's bytes are reversed here, the last one first, above the symbol: contexts that share their last
+# bytes are neighbours, and each slice holds whole subtrees below contexts of TOP bytes. All contexts that occur are in the
+# tree, so a context's counts are the sum of its children's and no `rest` leaf has any.
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers, compressed byte by byte of their places."""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
+
+
+def _unplanes(packed: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=0))
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(packed, np.int64))
+
+
+def _turned_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all symbols of the texts and their ends the reversed context with the symbol; how many each text has."""
+    data, at, n = _padded(texts, depth)
+    key = np.zeros(len(at), np.int64)
+    for d in (*range(1, depth + 1), 0):
+        key <<= 8
+        key |= data[at - d]
+    return key, n
+
+
+def _all_grams(train: np.ndarray, texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct reversed contexts with symbols of all texts, and how often the training texts have them."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b in _slices(texts):
+        key, n = _turned_keys(_as_bytes(_lower(texts.slice(a, b - a))), depth)
+        key <<= 1
+        key |= np.repeat(train[a:b], n)
+        key.sort()
+        k, n = _merged(key >> 1, key & 1)
+        keys.append(k)
+        counts.append(n)
+    return _merged(np.concatenate(keys), np.concatenate(counts))
+
+
+def slice_of(keys: np.ndarray, depth: int, slices: int) -> np.ndarray:
+    """The slice of reversed contexts with symbols, by a hash of their last TOP bytes."""
+    return ((keys >> 8 * (depth + 1 - TOP)) * 2654435761 >> 8) % slices
+
+
+def _log_gammas() -> list[np.ndarray]:
+    if not _TABLES:
+        _TABLES.extend(_lgamma(np.arange(1 << 16) + x) for x in (0.5, 1.0))
+    return _TABLES
+
+
+_TABLES: list[np.ndarray] = []
+
+
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """kt_block() of whole numbers, the small ones by a table."""
+    half, one = _log_gammas()
+    out = half[np.minimum(zeros, len(half) - 1)] + half[np.minimum(ones, len(half) - 1)] - one[np.minimum(zeros + ones, len(one) - 1)] - math.log(math.pi)
+    big = zeros + ones >= len(half)
+    out[big] = kt_block(zeros[big], ones[big])
+    return out
+
+
+@dataclass
+class Level:
+    """Decisions at one depth that spell one bit: the context above the decision's number (1 to 255), counts of zeros and
+    ones, log P_w, and the posterior weight of stopping."""
+
+    codes: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    stay: np.ndarray
+
+
+def _above(codes: np.ndarray) -> np.ndarray:
+    """Codes or keys of the contexts that are one byte shorter."""
+    return codes >> 16 << 8 | codes & 255
+
+
+def subtrees(keys: np.ndarray, n: np.ndarray, depth: int) -> list[list[Level]]:
+    """For each bit, highest first, the levels of depths TOP to `depth` of whole subtrees; keys: distinct, sorted, seen n > 0 times."""
+    grams = [(keys, n)]
+    while len(grams) <= depth - TOP:
+        grams.append(_merged(_above(grams[-1][0]), grams[-1][1]))
+    out = []
+    for bit in range(8):
+        levels: list[Level] = []
+        for k, c in grams:
+            symbol = k & 255
+            codes = k >> 8 << 8 | 1 << bit | symbol >> 8 - bit  # as sorted as the keys
+            new = np.flatnonzero(np.diff(codes, prepend=-1))
+            one = symbol >> 7 - bit & 1
+            codes = codes[new]
+            zeros, ones = (np.add.reduceat(x, new) if len(new) else x for x in (c * (1 - one), c * one))
+            own = _kt(zeros, ones)
+            if levels:
+                up = np.searchsorted(codes, _above(levels[-1].codes))
+                weighted = np.logaddexp(own, np.bincount(up, levels[-1].weighted, len(codes))) - math.log(2)
+                levels.append(Level(codes, zeros, ones, weighted, np.exp(own - math.log(2) - weighted)))
+            else:
+                levels.append(Level(codes, zeros, ones, own, np.ones(len(codes))))
+        out.append(levels[::-1])
+    return out
+
+
+def top_levels(codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the decisions at contexts of TOP bytes: for each last byte (row) and decision (column) the P(1) that contexts of
+    no and one byte give on the way down, and the weight that they leave."""
+    last, j = codes >> 16, codes & 255
+    z, o, split = (np.zeros((256, 256), t) for t in (np.int64, np.int64, float))
+    for sums, x in ((z, zeros), (o, ones), (split, weighted)):
+        np.add.at(sums, (last, j), x)
+    said, left = 0.0, 1.0
+    steps = []
+    for _ in range(TOP):
+        own = _kt(z, o)
+        below = np.logaddexp(own, split) - math.log(2)
+        steps.append((np.exp(own - math.log(2) - below), (o + 0.5) / (z + o + 1.0)))
+        z, o, split = (x.sum(axis=0, keepdims=True) for x in (z, o, below))
+    for stay, p in reversed(steps):
+        said = said + left * stay * p
+        left = left * (1 - stay)
+    return said, left
+
+
+def gram_logs(keys: np.ndarray, trees: list[list[Level]], top: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """log10 probabilities of symbols after reversed contexts, for distinct sorted keys whose subtrees are given. The longest
+    contexts that occur are used; what weight they leave goes to unseen ones, which predict 1/2."""
+    out = np.zeros(len(keys))
+    symbol, last = keys & 255, keys >> 8 * depth
+    for bit, levels in enumerate(trees):
+        number = 1 << bit | symbol >> 8 - bit
+        said, left = (x[last, number] for x in top)
+        at, up = np.arange(len(keys)), None
+        for d, level in enumerate(levels, TOP):
+            if not len(level.codes) or not len(at):
+                break
+            if up is None:  # what the level's own decisions have gathered from above
+                s, w = (x[level.codes >> 16, level.codes & 255] for x in top)
+            else:
+                i = np.searchsorted(up.codes, _above(level.codes))
+                s, w = s[i], w[i]
+            s = s + w * level.stay * (level.ones + 0.5) / (level.zeros + level.ones + 1.0)
+            w, up = w * (1 - level.stay), level
+            codes = keys[at] >> 8 * (depth - d + 1) << 8 | number[at]
+            i = np.minimum(np.searchsorted(level.codes, codes), len(level.codes) - 1)
+            hit = level.codes[i] == codes
+            at, i = at[hit], i[hit]
+            said[at], left[at] = s[i], w[i]
+        one = np.clip(said + left / 2, 1e-12, 1 - 1e-12)
+        out += np.log10(np.where(symbol >> 7 - bit & 1, one, 1 - one))
+    return out
+
+
+def _slice_grams(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each block's keys of a slice; all distinct ones, and their counts."""
+    parts = [_unpack_keys(x) for x in rows.column("ids").to_pylist()]
+    counts = np.concatenate([_unplanes(x, np.int64) for x in rows.column("more").to_pylist()])
+    return parts, *_merged(np.concatenate(parts), counts)
+
+
+def _slice_top(depth: int):
+    def run(rows: pa.Table) -> pa.Table:
+        _, keys, n = _slice_grams(rows)
+        first = [levels[0] for levels in subtrees(keys[n > 0], n[n > 0], depth)]
+        cols = [_planes(np.concatenate([getattr(x, k) for x in first])) for k in ("codes", "zeros", "ones", "weighted")]
+        return pa.table([pa.array([x], pa.binary()) for x in cols], ["codes", "zeros", "ones", "weighted"])
+
+    return run
+
+
+def _slice_logs(depth: int, top):
+    def run(rows: pa.Table) -> pa.Table:
+        parts, keys, n = _slice_grams(rows)
+        logs = gram_logs(keys, subtrees(keys[n > 0], n[n > 0], depth), top.value, depth).astype(np.float32)
+        mine = [_planes(logs[np.searchsorted(keys, x)]) for x in parts]
+        return pa.table([rows.column("block"), rows.column("ids"), pa.array(mine, pa.binary())], ["block", "ids", "more"])
+
+    return run
+
+
+def _block_scores(depth: int):
+    def run(logs: pa.Table, texts: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, np.int64), *(_unpack_keys(x) for x in logs.column("ids").to_pylist())])
+        value = np.concatenate([np.zeros(0, np.float32), *(_unplanes(x, np.float32) for x in logs.column("more").to_pylist())])
+        order = np.argsort(keys)
+        keys, value = keys[order], value[order]
+        packed = texts.column("ids").to_pylist()
+        out = np.zeros(len(packed))
+        start = 0
+        while start < len(packed):
+            part, size = [], 0
+            while start + len(part) < len(packed) and len(part) < 1 << 15 and size < CHUNK_BYTES:
+                part.append(zstandard.decompress(packed[start + len(part)]))
+                size += len(part[-1]) + 1
+            key, n = _turned_keys(part, depth)
+            key = key.astype(np.uint64) << np.uint64(16) | np.repeat(np.arange(len(part), dtype=np.uint64), n)
+            key.sort()
+            gram = (key >> np.uint64(16)).astype(np.int64)
+            new = np.diff(gram, prepend=-1) != 0
+            own = value[np.searchsorted(keys, gram[new])]
+            out[start : start + len(part)] = np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), own[np.cumsum(new) - 1], len(part))
+            start += len(part)
+        return pa.table([texts.column("mark"), pa.array(out)], ["mark", "score"])
+
+    return run
+
+
+def whole_scores(stats: DataFrame, depth: int) -> DataFrame:
+    """(mark, score) from rows of kinds 3 and 4. Slices of contexts are summed over all blocks twice: for the decisions at
+    their upper ends, from which the driver makes the tree's top, and for the symbols' probabilities, which go back to the
+    blocks that have them."""
+    slices = stats.where(F.col("kind") == 3).select("key", "block", "ids", "more").groupBy("key")
+    got = slices.applyInArrow(_slice_top(depth), "codes binary, zeros binary, ones binary, weighted binary").toArrow()
+    kinds = (np.int64, np.int64, np.int64, np.float64)
+    cols = [np.concatenate([np.zeros(0, t), *(_unplanes(x, t) for x in got.column(k).to_pylist())]) for k, t in enumerate(kinds)]
+    top = stats.sparkSession.sparkContext.broadcast(top_levels(*cols))
+    logs = slices.applyInArrow(_slice_logs(depth, top), "block bigint, ids binary, more binary")
+    texts = stats.where(F.col("kind") == 4).select("block", "mark", "ids")
+    return logs.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_block_scores(depth), "mark string, score double")
+
+
 def tree_rows(counted: DataFrame, nodes: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows for build(): those of the at most `nodes` most frequent contexts of all depths; counted: key, n.
 
@@ -360,7 +604,24 @@ def _base(counts: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table([texts.column("mark"), *n], ["mark", "n_tokens", "n_known", "logs"])
 
 
-def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
+def _bounded_scores(marked: DataFrame, stats: DataFrame, nodes: int, depth: int) -> DataFrame:
+    """score and __bytes in place of the texts __t, by a model of at most `nodes` contexts."""
+    counted = stats.where(F.col("kind") == 0).groupBy("key").agg(F.sum("n").alias("n"))
+    sent = stats.sparkSession.sparkContext.broadcast(build(*tree_rows(counted, nodes, depth), depth))
+    schema = marked.drop("__t").schema.add("score", "double").add("__bytes", "long")
+
+    def score(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("__t"))
+            logs = [text_logs(sent.value, _as_bytes(_lower(texts.slice(i, j - i)))) for i, j in _slices(texts)]
+            out = [pa.array(np.concatenate(logs or [np.zeros(0)])), pc.binary_length(texts).cast(pa.int64())]
+            kept = b.drop_columns(["__t"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *out], [*kept.schema.names, "score", "__bytes"])
+
+    return marked.mapInArrow(score, schema)
+
+
+def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int = DEPTH, nodes: int | None = None) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score, score and bits_per_byte to docs; the model and the base learn
     from the rows for which `train` holds. Columns of these names are replaced.
 
@@ -369,21 +630,24 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     code length by the model, over bytes of the text and its end. Null texts count as empty; equal texts get equal
     results; without training texts all contexts predict 1/2 for each bit and base_score is 0. Empty tables stay empty.
 
-    Statistics are gathered block by block of texts, summed over all blocks by key, and follow the corpus in size. The
-    model's tables are bounded by `nodes` and broadcast; word counts, which aren't bounded, come back to the blocks
-    they came from by a second shuffle, a row for each block and token whatever the token's frequency.
+    All contexts of up to `depth` bytes that the training texts have are in the model, or, if `nodes` is given, only so many
+    of the most frequent.
+
+    Statistics are gathered block by block of texts, summed over all blocks by key, and follow the corpus in size. So does
+    the model, of which contexts of one byte alone are broadcast: longer ones are dealt into slices, and the probabilities
+    of a block's symbols come back to it by a second shuffle. With `nodes` the model is broadcast whole. Word counts come
+    back to the blocks they came from likewise, a row for each block and token whatever the token's frequency.
     """
+    if nodes is None and not TOP <= depth <= 5:
+        raise ValueError(f"without a bound of nodes the depth must be {TOP} to 5 bytes")
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     usable = F.coalesce(train, F.lit(False))
     # what names a text: rows that agree in it have equal texts and so equal results
     mark = F.md5(body.cast("binary"))
     named = docs.select(mark.alias("mark"), usable.alias("train"), body.alias("t"))
-    stats = materialize(named.mapInArrow(_stats(depth), _STATS))
-
-    counted = stats.where(F.col("kind") == 0).groupBy("key").agg(F.sum("n").alias("n"))
-    model = build(*tree_rows(counted, nodes, depth), depth)
-    sent = spark.sparkContext.broadcast(model)
+    slices = min(4096, max(32, 2 * shuffle_partitions(spark))) if nodes is None else 0
+    stats = materialize(named.mapInArrow(_stats(depth, slices), _STATS))
 
     tokens = stats.where(F.col("kind") == 1).select("block", "at", "key", "n")
     same = Window.partitionBy("key").orderBy("block")
@@ -394,21 +658,17 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     texts = stats.where(F.col("kind") == 2).select("block", "mark", "ids")
     by_text = totals.select("block", "at", "c").groupBy("block").cogroup(texts.groupBy("block"))
     base = by_text.applyInArrow(_base, "mark string, n_tokens bigint, n_known bigint, logs double")
-    base = base.groupBy("mark").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "logs")])
+    if nodes is None:
+        base = base.unionByName(whole_scores(stats, depth), allowMissingColumns=True)
+        base = base.groupBy("mark").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
+    else:
+        base = base.groupBy("mark").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "logs")])
 
     cols = [c for c in docs.columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")]
-    marked = docs.select(*cols, body.alias("__t"), mark.alias("__mark"))
-    schema = marked.drop("__t").schema.add("score", "double").add("__bytes", "long")
-
-    def score(batches):
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("__t"))
-            logs = [text_logs(sent.value, _as_bytes(_lower(texts.slice(i, j - i)))) for i, j in _slices(texts)]
-            out = [pa.array(np.concatenate(logs or [np.zeros(0)])), pc.binary_length(texts).cast(pa.int64())]
-            kept = b.drop_columns(["__t"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, *out], [*kept.schema.names, "score", "__bytes"])
-
-    scored = marked.mapInArrow(score, schema)
+    if nodes is None:
+        scored = docs.select(*cols, mark.alias("__mark"), F.octet_length(body).cast("long").alias("__bytes"))
+    else:
+        scored = _bounded_scores(docs.select(*cols, body.alias("__t"), mark.alias("__mark")), stats, nodes, depth)
     norm = math.log10(whole + 0.5 * (distinct + 1))
     joined = scored.join(base, F.col("__mark") == F.col("mark"))
     return joined.select(

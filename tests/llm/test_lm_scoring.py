@@ -140,6 +140,31 @@ def test_scores(spark, monkeypatch, block):
         assert r.bits_per_byte == pytest.approx(-want * math.log2(10) / (len(lower(r.text)) + 1), rel=1e-6)
 
 
+@pytest.mark.parametrize("block", [16 << 20, 3_000])
+def test_no_context_is_left_out(spark, monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 5_000)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrst \u00e9", k=300)) for _ in range(60)] + ["", "QZ new", "dup", "dup"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t.encode().lower() for i, t in enumerate(texts) if i % 5]
+    model, _ = model_of(train, 5, 10**9)
+    assert model.nodes > 32_000  # the bound that there was
+    want = lm.text_logs(model, [t.encode().lower() for t in texts])
+    got = {r.doc_id: r for r in lm.score_texts(docs, F.col("doc_id") % 5 != 0).collect()}
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-5)
+    assert got[3].bits_per_byte == pytest.approx(-want[3] * math.log2(10) / (len(texts[3].encode()) + 1), rel=1e-5)
+
+
+def test_whole_model_equals_definition(spark):
+    train = [b"abab", b"abba cab", b"", b"\xc3\xa9a"]
+    tree = Tree(train, 3, 1)
+    texts = [*train, b"ab", b"zz", b"\xc3\xa9b cab", b"bbbbb"]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = lm.score_texts(docs, F.col("doc_id") < len(train), depth=3).orderBy("doc_id").collect()
+    assert [r.score for r in rows] == pytest.approx([tree.log10(t) for t in texts], rel=1e-5)
+
+
 def test_empty_table_and_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_texts(empty, F.lit(True)).count() == 0
