@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialize, shuffle_partitions
+from tabloom.llm.common import materialize, shuffle_partitions, text_or_empty
 from tabloom.llm.components import components
 
 #: Node pairs whose ranges make at most so many combinations are compared outright instead of being split further.
@@ -181,6 +181,46 @@ def _link_runs(budget: int, more: int | None, turns: list[list[tuple[int, int]]]
     return run
 
 
+def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the links i, j join components that aren't joined yet, those of the fewest bits first; root, for each node the
+    smallest of its component, is brought up to date."""
+    out = [np.zeros(0, int)]
+    at = np.argsort(bits, kind="stable")
+    while len(at := at[root[i[at]] != root[j[at]]]):
+        best = np.full(len(root), len(at))
+        for ends in (i, j):
+            np.minimum.at(best, root[ends[at]], np.arange(len(at)))
+        new = at[np.unique(best[best < len(at)])]
+        out.append(new)
+        root[:] = _forest(len(root), [(root[i[new]], root[j[new]])])[root]
+    return np.concatenate(out)
+
+
+def _pair_runs(budget: int, more: int, turns: list[list[tuple[int, int]]], depths: list[int], spanning: bool):
+    """Links (a, b) of a partition's runs between rows whose labels differ: all, or a spanning forest of them."""
+
+    def run(batches):
+        for kinds, blocks, *cols in _runs(batches):
+            for kind in np.unique(kinds).tolist():
+                at = kinds == kind
+                fp, other, ids, label, block = (x[at] for x in (*cols, blocks))
+                fp, other = fp.view(np.uint64), other.view(np.uint64)
+                values = _turned(fp, turns[kind])
+                order = np.argsort(values, kind="stable")
+                values, other, ids, label, block = (x[order] for x in (values, other, ids, label, block))
+                new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                root = np.arange(len(values))
+                for i, j in trie_links(values, new, np.append(new[1:], len(values)), depths[kind], budget, (other, more)):
+                    if spanning:
+                        good = _spanning(root, i, j, np.bitwise_count(other[i] ^ other[j]))
+                    else:
+                        good = label[i] != label[j]
+                    a, b = ids[i[good]], ids[j[good]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
 def _turned(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros_like(fp)
     for shift, bits in order:
@@ -206,9 +246,11 @@ def _value(places: list[int]) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
 
-def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int = HOT_RUN) -> DataFrame:
+def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int = HOT_RUN, spanning: bool = True) -> DataFrame:
     """Links (a, b) that connect all rows whose `fp` is within `budget` differing bits, and, unless more is None, whose
-    `other` is within `more`. fps: distinct (fp, other); a and b: structs of both.
+    `other` is within `more`. fps: distinct (fp, other); a and b: structs of both. If fps has id and label (longs) too, a
+    and b are ids, a <= b, each link is itself within the bits, and without `spanning` all links between rows of different
+    labels are returned, some repeatedly.
 
     Each row goes to budget + 1 tries, in each of which another block of bits comes first; two fingerprints that differ
     in at most `budget` bits agree in one of these blocks, so the traversal there begins at their common node with no
@@ -223,20 +265,23 @@ def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int
     first = _cut(places, budget + 1)
     turns = [_bits(b + [p for p in places if p not in b]) for b in first]
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _value(b).alias("block")) for k, b in enumerate(first)])
-    dealt = fps.select("fp", "other", F.explode(kinds).alias("x")).select("x.kind", "x.block", "fp", "other")
+    cols = fps.columns
+    dealt = fps.select(*cols, F.explode(kinds).alias("x")).select("x.kind", "x.block", *cols)
     # runs are at most as many as there are values of the blocks, budget + 1 times 2 ** (64 / (budget + 1)), or (budget + 1) / hot_run of the rows
     many = materialize(dealt.groupBy("kind", "block").count().where(F.col("count") > hot_run).select("kind", "block"))
 
     def joined(rows: DataFrame, turns, depths) -> DataFrame:
         placed = rows.repartition(n, "kind", "block").sortWithinPartitions("kind", "block")
+        if "id" in cols:
+            return placed.mapInArrow(_pair_runs(budget, more, turns, depths, spanning), "a bigint, b bigint")
         got = placed.mapInArrow(_link_runs(budget, more, turns, depths), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
         node = lambda x: F.struct(F.col(f"{x}1").alias("fp"), F.col(f"{x}2").alias("other")).alias(x)
         return got.select(node("a"), node("b"))
 
     if many.isEmpty():
         return joined(dealt, turns, [len(b) for b in first])
-    cold = dealt.join(F.broadcast(many), ["kind", "block"], "left_anti").select("kind", "block", "fp", "other")
-    hot = dealt.join(F.broadcast(many), ["kind", "block"], "left_semi").select("kind", "block", "fp", "other")
+    cold = dealt.join(F.broadcast(many), ["kind", "block"], "left_anti").select("kind", "block", *cols)
+    hot = dealt.join(F.broadcast(many), ["kind", "block"], "left_semi").select("kind", "block", *cols)
     inner, inner_turns, depths = [], [], []
     for k, b in enumerate(first):
         for second in _cut([p for p in places if p not in b], budget + 1):
@@ -244,8 +289,8 @@ def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int
             inner.append(F.when(F.col("kind") == k, F.struct(F.lit(len(inner)).alias("kind"), block.alias("block"))))
             inner_turns.append(_bits(b + second + [p for p in places if p not in b and p not in second]))
             depths.append(len(b) + len(second))
-    again = hot.select("fp", "other", F.explode(F.filter(F.array(*inner), lambda x: x.isNotNull())).alias("x"))
-    again = again.select("x.kind", "x.block", "fp", "other")
+    again = hot.select(*cols, F.explode(F.filter(F.array(*inner), lambda x: x.isNotNull())).alias("x"))
+    again = again.select("x.kind", "x.block", *cols)
     return joined(cold, turns, [len(b) for b in first]).unionByName(joined(again, inner_turns, depths))
 
 
@@ -273,13 +318,77 @@ def near_duplicates(
     return out.select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _shingle_sets(words: int):
+    """(id, s): the distinct XXH64 of a text's shingles of `words` words; of fewer words, of all of them."""
+
+    def run(batches):
+        for b in batches:
+            sets = []
+            for t in b.column(1):
+                w = text_words(t.as_py())
+                shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)] if w else []
+                sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    return run
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast if they aren't many, which spares the texts a shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def near_copies(docs: DataFrame, key: str, text: str, words: int, budget: int, confirm: tuple[int, int], similar: float) -> DataFrame:
+    """One row per input row: key and component_id, the smallest key that it reaches over links. Different texts link if
+    the Jaccard similarity of their sets of shingles of confirm[0] words is at least `similar`; two without words are equal.
+
+    Only pairs that near_duplicates() would link are compared. First those of a spanning forest, of the fewest differing
+    bits; then, in groups that these leave in more than one part, all pairs between the parts. So copies of one text,
+    near or exact, don't make all their pairs, and no candidate whose outcome matters goes uncompared. Texts are told apart
+    by 64-bit hashes, and so are shingles.
+    """
+    body = text_or_empty(text)
+    named = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("id"), body.alias("t"))
+    marked = fingerprints(named.select(F.struct("k", "id").alias("n"), "t"), "n", "t", words, confirm[0])
+    marked = materialize(marked.select("k.k", "k.id", "fp", "other"))
+    nodes = materialize(marked.groupBy("id").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("other").alias("other")))
+    tried = materialize(links(nodes.select("fp", "other", "id", F.lit(0).cast("long").alias("label")), budget, confirm[1]).distinct())
+    ids = materialize(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = named.select("id", "t").join(_few(ids), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
+    sets = materialize(texts.mapInArrow(_shingle_sets(confirm[0]), "id bigint, s array<bigint>"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        for x in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("id").alias(x), F.size("s").alias(f"n{x}")), x)
+        pairs = pairs.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb"))  # others can't be; done before the sets are joined
+        for x in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")), x)
+        na, nb = F.col("na"), F.col("nb")
+        both = pairs.withColumn("n", F.size(F.array_intersect("sa", "sb")))
+        return both.where((na + nb == 0) | (F.col("n") / F.nullif(na + nb - F.col("n"), F.lit(0)) >= similar)).select("a", "b")
+
+    near = materialize(confirmed(tried))
+    group = components(tried).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    part = components(near).select(F.col("node").alias("id"), F.col("root").alias("part"))
+    parts = materialize(group.join(part, "id", "left").select("id", "group", F.coalesce("part", "id").alias("label")))
+    split = parts.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
+    again = materialize(parts.join(split, "group", "left_semi").join(nodes, "id").select("fp", "other", "id", "label"))
+    rest = materialize(links(again, budget, confirm[1], spanning=False).distinct())
+    found = components(near.unionByName(confirmed(rest)))
+    rooted = materialize(nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = marked.join(rooted.join(best, "root").select("id", "component_id"), "id")
+    return out.select(F.col("k").alias(key), "component_id")
+
+
 def keep_one(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, confirm: tuple[int, int] | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, confirm: tuple[int, int] | None = None, similar: float | None = None
 ) -> DataFrame:
-    """The rows of docs whose key is the smallest of its component; of rows that repeat one key, all stay or go, and
-    rows with a null key stay."""
-    found = near_duplicates(docs, key, text, words, budget, confirm)
+    """The rows of docs whose key is the smallest of its component, by near_copies() if `similar` is given, or else by
+    near_duplicates(); of rows that repeat one key, all stay or go, and rows with a null key stay."""
+    if similar is None:
+        found = near_duplicates(docs, key, text, words, budget, confirm)
+    else:
+        found = near_copies(docs, key, text, words, budget, confirm, similar)
     worse = materialize(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k")).distinct())
-    if worse.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        worse = F.broadcast(worse)  # spares the texts a shuffle
-    return docs.join(worse, F.col(key) == F.col("__k"), "left_anti")
+    return docs.join(_few(worse), F.col(key) == F.col("__k"), "left_anti")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tabloom.llm import simhash
 
 
@@ -110,3 +111,47 @@ def test_confirmed_links(spark):
     strict = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=1, budget=4, confirm=(5, 14)).collect()}
     assert loose == {1: 1, 2: 1, 3: 1, None: 1} and strict == {1: 1, 2: 1, 3: 3, None: 1}
     assert sorted((r.doc_id or 0) for r in simhash.keep_one(docs, words=1, budget=4, confirm=(5, 14)).collect()) == [0, 1, 3]
+
+
+def jaccard(a, b, words=5):
+    x, y = ({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_copies_are_confirmed_by_similarity(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
+        for changes in (0, 0, 1, 2, 3, 4, 6, 9, 14, 20):
+            w = list(base)
+            for p in rng.sample(range(len(w)), changes):
+                w[p] = f"v{rng.randint(0, 400)}"
+            texts.append(" ".join(w))
+    texts += ["", "  ", None, "one two", "One two"]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, texts[k]) for i, k in enumerate(order)]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    fps = [[simhash.fingerprint(t, n) for n in (1, 5)] for _, t in rows]
+    for i, (_, x) in enumerate(rows):
+        for j, (_, y) in enumerate(rows[:i]):
+            candidate = (fps[i][0] ^ fps[j][0]).bit_count() <= 7 and (fps[i][1] ^ fps[j][1]).bit_count() <= 18
+            if candidate and jaccard(x or "", y or "") >= 0.8:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    want = {i for i in range(len(rows)) if top(i) == i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in simhash.keep_one(docs, **corpus_pipeline.NEAR).collect()}
+    assert got == want
+    kept = [texts[order[i]] or "" for i in got]
+    assert not any(jaccard(x, y) >= 0.8 for i, x in enumerate(kept) for y in kept[:i])  # no pair is missed here
+    gone = [texts[order[i]] or "" for i in range(len(rows)) if i not in got]
+    assert all(sum(jaccard(x, t or "") >= 0.8 for t in texts) > 1 for x in gone)  # itself and another
+    assert simhash.keep_one(docs.limit(0), **corpus_pipeline.NEAR).count() == 0
