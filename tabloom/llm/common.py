@@ -16,9 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset and the
+    master is local (tests). Elsewhere each executor would write to its own disk, so that raises an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tabloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -54,6 +57,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key is hot if more than one in HOT_SHARE of the rows, and HOT_ROWS rows, have it; so there are under HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 2_000, 500
+
+
+def hot_join(large: DataFrame, small: DataFrame, on: list[str], rows: str) -> DataFrame:
+    """large joined with small on the columns `on`. small has one row per key; its column `rows`, which isn't returned, says how
+    many rows of large have the key. Rows of hot keys stay where they are and meet a broadcast of those few keys; the
+    others are shuffled. Both tables are read twice and should be materialized."""
+    whole = small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = small.where(F.col(rows) > max(HOT_ROWS, whole // HOT_SHARE)).drop(rows)
+    cold = small.where(F.col(rows) <= max(HOT_ROWS, whole // HOT_SHARE)).drop(rows)
+    rest = large.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return large.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

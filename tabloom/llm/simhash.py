@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialize, shuffle_partitions, text_or_empty
+from tabloom.llm.common import hot_join, materialize, shuffle_partitions, text_or_empty
 from tabloom.llm.components import components
 
 #: Node pairs whose ranges make at most so many combinations are compared outright instead of being split further.
@@ -22,6 +22,8 @@ CHUNK = 200_000
 HOT_RUN = 50_000
 #: Keys to drop are broadcast if they are no more than this (16 bytes each); beyond, Spark shuffles both sides.
 BROADCAST_KEYS = 1_000_000
+#: Shingles that are hashed for the sketches at a time.
+SKETCHED = 1 << 12
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -29,23 +31,31 @@ def text_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
 
 
-def word_fingerprint(w: list[bytes], words: int, bits_at_once: int = 1 << 16) -> int:
+def _shingled(w: list[bytes], words: int) -> tuple[Iterable[bytes], int]:
+    """The shingles of `words` words, repeats included, and their number; of fewer words, all of them are one."""
+    if words == 1 or not w:
+        return w, len(w)
+    if len(w) < words:
+        return [b" ".join(w)], 1
+    return map(b" ".join, zip(*(w[i:] for i in range(words)))), len(w) - words + 1
+
+
+def _majority(h: np.ndarray, at_once: int = 1 << 16) -> int:
+    """The 64 bits that are set in over half the hashes."""
+    count = np.zeros(64, np.int64)
+    for i in range(0, len(h), at_once):
+        part = h[i : i + at_once].view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def word_fingerprint(w: list[bytes], words: int) -> int:
     """64-bit SimHash over the XXH64 (seed 42) of shingles of `words` words; of no words zero."""
     if not w:
         return 0
-    if words == 1:
-        shingles, n = w, len(w)
-    elif len(w) < words:
-        shingles, n = [b" ".join(w)], 1
-    else:
-        shingles, n = map(b" ".join, zip(*(w[i:] for i in range(words)))), len(w) - words + 1
+    each, n = _shingled(w, words)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in shingles), np.uint64, n)
-    count = np.zeros(64, np.int64)
-    for i in range(0, n, bits_at_once):
-        part = h[i : i + bits_at_once].view(np.uint8).reshape(-1, 8)
-        count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
+    return _majority(np.fromiter((digest(s, 42) for s in each), np.uint64, n))
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -68,10 +78,18 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int, other: int |
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, fp bigint, other bigint")
 
 
-def _split(values: np.ndarray, lo: np.ndarray, depth: int) -> np.ndarray:
-    """For nodes that start at lo and agree in `depth` bits: where their upper child starts."""
-    s = np.uint64(63 - depth)
-    return np.searchsorted(values, ((values[lo] >> s) | np.uint64(1)) << s)
+def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
+    """For nodes lo:hi that agree in `depth` bits: where their upper child starts (hi: there is none)."""
+    s, one = np.uint64(63 - depth), np.uint64(1)
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        upper = (values[mid] >> s) & one == one
+        hi[open_[upper]] = mid[upper]
+        lo[open_[~upper]] = mid[~upper] + 1
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
 
 
 def _compared(values, alo, ahi, blo, bhi, budget, more):
@@ -95,15 +113,18 @@ def _compared(values, alo, ahi, blo, bhi, budget, more):
         start = stop
 
 
-def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = 3, more: tuple[np.ndarray, int] | None = None):
-    """Chunks (i, j) of all links within each run values[start:end], i < j.
+def trie_links(
+    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = 3, more: tuple[np.ndarray, int] | None = None, label: np.ndarray | None = None
+):
+    """Chunks (i, j) of all links within each run values[start:end], i < j; given labels, of those between different ones.
 
-    values: sorted; the members of a run agree in their first `depth` bits, so a run is a node of the binary
-    trie over values. Pairs of nodes of one level are traversed together, beginning with each run and itself. Splitting
+    values: sorted within each run; the members of a run agree in their first `depth` bits, so a run is a node of the binary
+    trie over its values. Pairs of nodes of one level are traversed together, beginning with each run and itself. Splitting
     both gives the pairs that agree in the next bit, at the same count of differing bits, and those that don't, at one
     more; pairs over the budget are pruned. Small ranges are compared outright. more: further fingerprints, and how many
-    of their bits a link's may differ in.
+    of their bits a link's may differ in. Pairs of nodes that hold one label alone are pruned too.
     """
+    changes = None if label is None else np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
     many = ends - starts > 1
     lo, hi = starts[many], ends[many]
     stack = [(depth, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
@@ -115,16 +136,22 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
             continue
         done = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth == 64)
         if done.any():
-            yield from _compared(values, alo[done], ahi[done], blo[done], bhi[done], budget, more)
+            for i, j in _compared(values, alo[done], ahi[done], blo[done], bhi[done], budget, more):
+                if label is not None:
+                    i, j = (x[label[i] != label[j]] for x in (i, j))
+                yield i, j
             alo, ahi, blo, bhi, diff = (x[~done] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):
             continue
-        am, bm = np.clip(_split(values, alo, depth), alo, ahi), np.clip(_split(values, blo, depth), blo, bhi)
+        am, bm = _split(values, alo, ahi, depth), _split(values, blo, bhi, depth)
         own = alo == blo  # a node with itself: its two children meet once
         parts = [(alo, am, blo, bm, diff), (am, ahi, bm, bhi, diff), (alo, am, bm, bhi, diff + 1)]
         parts.append(tuple(x[~own] for x in (am, ahi, blo, bm, diff + 1)))
         alo, ahi, blo, bhi, diff = (np.concatenate(x) for x in zip(*parts))
         live = (ahi > alo) & (bhi > blo) & (diff <= budget) & ~((alo == blo) & (ahi - alo < 2))
+        if label is not None:
+            a, b = alo[live], blo[live]
+            live[live] = (label[a] != label[b]) | (changes[a] != changes[ahi[live] - 1]) | (changes[b] != changes[bhi[live] - 1])
         stack.append((depth + 1, *(x[live] for x in (alo, ahi, blo, bhi, diff))))
 
 
@@ -181,46 +208,6 @@ def _link_runs(budget: int, more: int | None, turns: list[list[tuple[int, int]]]
     return run
 
 
-def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which of the links i, j join components that aren't joined yet, those of the fewest bits first; root, for each node the
-    smallest of its component, is brought up to date."""
-    out = [np.zeros(0, int)]
-    at = np.argsort(bits, kind="stable")
-    while len(at := at[root[i[at]] != root[j[at]]]):
-        best = np.full(len(root), len(at))
-        for ends in (i, j):
-            np.minimum.at(best, root[ends[at]], np.arange(len(at)))
-        new = at[np.unique(best[best < len(at)])]
-        out.append(new)
-        root[:] = _forest(len(root), [(root[i[new]], root[j[new]])])[root]
-    return np.concatenate(out)
-
-
-def _pair_runs(budget: int, more: int, turns: list[list[tuple[int, int]]], depths: list[int], spanning: bool):
-    """Links (a, b) of a partition's runs between rows whose labels differ: all, or a spanning forest of them."""
-
-    def run(batches):
-        for kinds, blocks, *cols in _runs(batches):
-            for kind in np.unique(kinds).tolist():
-                at = kinds == kind
-                fp, other, ids, label, block = (x[at] for x in (*cols, blocks))
-                fp, other = fp.view(np.uint64), other.view(np.uint64)
-                values = _turned(fp, turns[kind])
-                order = np.argsort(values, kind="stable")
-                values, other, ids, label, block = (x[order] for x in (values, other, ids, label, block))
-                new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-                root = np.arange(len(values))
-                for i, j in trie_links(values, new, np.append(new[1:], len(values)), depths[kind], budget, (other, more)):
-                    if spanning:
-                        good = _spanning(root, i, j, np.bitwise_count(other[i] ^ other[j]))
-                    else:
-                        good = label[i] != label[j]
-                    a, b = ids[i[good]], ids[j[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return run
-
-
 def _turned(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     out = np.zeros_like(fp)
     for shift, bits in order:
@@ -246,11 +233,9 @@ def _value(places: list[int]) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
 
-def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int = HOT_RUN, spanning: bool = True) -> DataFrame:
+def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int = HOT_RUN) -> DataFrame:
     """Links (a, b) that connect all rows whose `fp` is within `budget` differing bits, and, unless more is None, whose
-    `other` is within `more`. fps: distinct (fp, other); a and b: structs of both. If fps has id and label (longs) too, a
-    and b are ids, a <= b, each link is itself within the bits, and without `spanning` all links between rows of different
-    labels are returned, some repeatedly.
+    `other` is within `more`. fps: distinct (fp, other); a and b: structs of both.
 
     Each row goes to budget + 1 tries, in each of which another block of bits comes first; two fingerprints that differ
     in at most `budget` bits agree in one of these blocks, so the traversal there begins at their common node with no
@@ -265,15 +250,13 @@ def links(fps: DataFrame, budget: int = 3, more: int | None = None, hot_run: int
     first = _cut(places, budget + 1)
     turns = [_bits(b + [p for p in places if p not in b]) for b in first]
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), _value(b).alias("block")) for k, b in enumerate(first)])
-    cols = fps.columns
+    cols = ["fp", "other"]
     dealt = fps.select(*cols, F.explode(kinds).alias("x")).select("x.kind", "x.block", *cols)
     # runs are at most as many as there are values of the blocks, budget + 1 times 2 ** (64 / (budget + 1)), or (budget + 1) / hot_run of the rows
     many = materialize(dealt.groupBy("kind", "block").count().where(F.col("count") > hot_run).select("kind", "block"))
 
     def joined(rows: DataFrame, turns, depths) -> DataFrame:
         placed = rows.repartition(n, "kind", "block").sortWithinPartitions("kind", "block")
-        if "id" in cols:
-            return placed.mapInArrow(_pair_runs(budget, more, turns, depths, spanning), "a bigint, b bigint")
         got = placed.mapInArrow(_link_runs(budget, more, turns, depths), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
         node = lambda x: F.struct(F.col(f"{x}1").alias("fp"), F.col(f"{x}2").alias("other")).alias(x)
         return got.select(node("a"), node("b"))
@@ -307,88 +290,200 @@ def near_duplicates(
     take part as one fingerprint.
     """
     marked = materialize(fingerprints(docs, key, text, words, confirm[0] if confirm else None))
-    distinct = materialize(marked.groupBy("fp", "other").agg(F.min("k").alias("least")))
+    distinct = materialize(marked.groupBy("fp", "other").agg(F.min("k").alias("least"), F.count("*").alias("rows")))
     found = components(links(distinct.select("fp", "other"), budget, confirm[1] if confirm else None))
     found = found.select("node.fp", "node.other", "root")
     itself = F.struct("fp", "other")
-    rooted = materialize(distinct.join(found, ["fp", "other"], "left").select("fp", "other", "least", F.coalesce("root", itself).alias("root")))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    each = rooted.join(best, "root").select("fp", "other", "component_id")
-    out = marked.join(each, ["fp", "other"])
+    rooted = materialize(distinct.join(found, ["fp", "other"], "left").select("fp", "other", "least", "rows", F.coalesce("root", itself).alias("root")))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    each = materialize(hot_join(rooted, best, ["root"], "nodes").select("fp", "other", "rows", "component_id"))
+    out = hot_join(marked, each, ["fp", "other"], "rows")
     return out.select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(w: list[bytes], words: int) -> np.ndarray:
+    """The distinct XXH64 of shingles of `words` words, sorted."""
+    each, n = _shingled(w, words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, each), np.uint64, n))
+
+
+def sketches(hashes: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """For each band a number that two sets share with probability (their similarity) ** rows: their `rows` minima under
+    as many hash functions, folded."""
+    n = rows * bands
+    keys = np.array([[xxhash.xxh64_intdigest(str(i), seed) for i in range(n)] for seed in (1, 2)], np.uint64)
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), SKETCHED):
+        x = (hashes[i : i + SKETCHED] ^ keys[0][:, None]) * (keys[1] | np.uint64(1))[:, None]
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    out = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
+def _sketched(words: int, rows: int, bands: int):
+    """(k, id, fp, n, blocks): the SimHash of the set of a text's shingles, its size and its sketches (null: no shingles)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(text_words(t.as_py()), words) for t in b.column(2)]
+            fps = np.array([_majority(h) for h in sets], np.uint64).view(np.int64)
+            blocks = [sketches(h, rows, bands).view(np.int64) if len(h) else None for h in sets]
+            cols = [b.column(0), b.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), pa.array(blocks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "id", "fp", "n", "blocks"])
+
+    return run
+
+
 def _shingle_sets(words: int):
-    """(id, s): the distinct XXH64 of a text's shingles of `words` words; of fewer words, of all of them."""
+    """(id, s): a text's distinct shingles."""
 
     def run(batches):
         for b in batches:
-            sets = []
-            for t in b.column(1):
-                w = text_words(t.as_py())
-                shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)] if w else []
-                sets.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64)).view(np.int64))
+            sets = [shingles(text_words(t.as_py()), words).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     return run
 
 
+def _alike(fp, n, i, j, budget: int, similar: float) -> np.ndarray:
+    """Whether the texts i and j can be similar, by their fingerprints and their sizes."""
+    return (np.bitwise_count(fp[i] ^ fp[j]) <= budget) & (np.minimum(n[i], n[j]) >= similar * np.maximum(n[i], n[j]))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _neighbours(budget: int, similar: float):
+    """Pairs of rows (kind, block, fp, id, n) that follow one another in a run and can be similar."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            new = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
+            if not new.shape[1]:
+                continue
+            rows = new if held is None else np.concatenate([held, new], axis=1)
+            held = rows[:, -1:]
+            i = np.flatnonzero((rows[:2, 1:] == rows[:2, :-1]).all(axis=0))
+            good = i[_alike(rows[2].view(np.uint64), rows[4], i, i + 1, budget, similar)]
+            yield _pairs(rows[3][good], rows[3][good + 1])
+
+    return run
+
+
+def _between(budget: int, similar: float):
+    """Pairs within the runs of rows (kind, block, fp, id, n, label) that can be similar and differ in their labels."""
+
+    def run(batches):
+        for kinds, blocks, fps, ids, n, label in _runs(batches):
+            fps = fps.view(np.uint64)
+            order = np.lexsort((fps, blocks, kinds))
+            kinds, blocks, fps, ids, n, label = (x[order] for x in (kinds, blocks, fps, ids, n, label))
+            new = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])]))
+            for i, j in trie_links(fps, new, np.append(new[1:], len(fps)), 0, budget, label=label):
+                good = _alike(fps, n, i, j, budget, similar)
+                yield _pairs(ids[i[good]], ids[j[good]])
+
+    return run
+
+
+def _cells(rows: DataFrame, hot_run: int) -> DataFrame:
+    """Rows (kind, block, fp, id, n, label) of runs that hold several labels, runs of over hot_run rows dealt in cells.
+
+    In a cell stands a part of the run's commonest label, of hot_run rows or so, and a part of its other rows, or two
+    parts of these. So all pairs of different labels meet, pairs of the commonest label don't, and no task holds a hot run.
+    """
+    each = rows.groupBy("kind", "block", "label").agg(F.count("*").alias("c"))
+    runs = each.groupBy("kind", "block").agg(F.count("*").alias("labels"), F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
+    runs = materialize(runs.where("labels > 1").drop("labels"))
+    both = rows.join(runs.where(F.col("all") <= hot_run).select("kind", "block"), ["kind", "block"], "left_semi").select(*rows.columns)
+    large = runs.where(F.col("all") > hot_run)  # fewer than the sketches' share of the rows over hot_run
+    if large.isEmpty():
+        return both
+    parts = lambda n: F.ceil(n / F.lit(hot_run)).cast("int")
+    mine = rows.join(F.broadcast(large) if large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else large, ["kind", "block"])
+    mine = mine.withColumns({"m": parts(F.col("most")), "o": parts(F.col("all") - F.col("most"))})
+    h, first = F.xxhash64("id"), F.col("label") == F.col("main")
+    own = F.when(first, F.pmod(h, F.col("m"))).otherwise(F.col("m") + F.pmod(h, F.col("o"))).cast("int")
+    others = F.when(first, F.sequence(F.col("m"), F.col("m") + F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("m") + F.col("o") - 1))
+    met = mine.withColumn("own", own).withColumn("met", F.explode(others))
+    cell = F.xxhash64("block", F.least("own", "met"), F.greatest("own", "met"))
+    return both.unionByName(met.withColumn("block", cell).select(*rows.columns))
+
+
 def _few(keys: DataFrame) -> DataFrame:
     """The keys, to be broadcast if they aren't many, which spares the texts a shuffle."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def near_copies(docs: DataFrame, key: str, text: str, words: int, budget: int, confirm: tuple[int, int], similar: float) -> DataFrame:
-    """One row per input row: key and component_id, the smallest key that it reaches over links. Different texts link if
-    the Jaccard similarity of their sets of shingles of confirm[0] words is at least `similar`; two without words are equal.
+def near_copies(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, budget: int = 18, rows: int = 3, bands: int = 10, hot_run: int = HOT_RUN
+) -> tuple[DataFrame, DataFrame]:
+    """(k, id) for every input row, and (id, least, component_id) for every different text: the smallest key that has
+    it, and the smallest that it reaches over links. Texts link if the Jaccard similarity of their sets of shingles of `words`
+    words is at least `similar`. Texts are told apart by 64-bit hashes of their words, and so are shingles.
+
+    Every text stands in `bands` tries over the SimHash of its shingles, each of which is dealt by a sketch: texts of
+    similarity s share one with probability 1 - (1 - s ** rows) ** bands (0.999 at 0.8). Pairs of nodes are traversed together
+    under a budget of differing bits (at 0.8 fingerprints differ in 9.7 of 64 bits on average, in 18 or fewer with probability
+    0.998), and each pair that is left is confirmed by its exact similarity. A budget so wide leaves nothing to deal by
+    blocks of bits, as links() does.
 
-    Only pairs that near_duplicates() would link are compared. First those of a spanning forest, of the fewest differing
-    bits; then, in groups that these leave in more than one part, all pairs between the parts. So copies of one text,
-    near or exact, don't make all their pairs, and no candidate whose outcome matters goes uncompared. Texts are told apart
-    by 64-bit hashes, and so are shingles.
+    Neighbours in a run are compared first. What these join has one label from then on, and nodes of one label aren't
+    paired, so a large group of near copies doesn't make all its pairs; all other pairs of a run are compared.
     """
+    kind = docs.schema[key].dataType.simpleString()
     body = text_or_empty(text)
+    body = F.when(F.rlike(body, F.lit(r"^[ \t-\r]*+$")), "").otherwise(body)  # no words: no sketches either, so these are one text
     named = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("id"), body.alias("t"))
-    marked = fingerprints(named.select(F.struct("k", "id").alias("n"), "t"), "n", "t", words, confirm[0])
-    marked = materialize(marked.select("k.k", "k.id", "fp", "other"))
-    nodes = materialize(marked.groupBy("id").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("other").alias("other")))
-    tried = materialize(links(nodes.select("fp", "other", "id", F.lit(0).cast("long").alias("label")), budget, confirm[1]).distinct())
-    ids = materialize(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    marked = materialize(named.mapInArrow(_sketched(words, rows, bands), f"k {kind}, id bigint, fp bigint, n int, blocks array<bigint>"))
+    nodes = materialize(marked.groupBy("id").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("blocks").alias("blocks")))
+    partitions = shuffle_partitions(docs.sparkSession)
+    cols = ["kind", "block", "fp", "id", "n"]
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select(F.posexplode("blocks").alias("kind", "block"), "fp", "id", "n", *more).select(*cols, *more)
+
+    placed = dealt(nodes).repartitionByRange(partitions, "kind", "block", "fp").sortWithinPartitions("kind", "block", "fp")
+    first = materialize(placed.mapInArrow(_neighbours(budget, similar), "a bigint, b bigint").distinct())
+    near = materialize(_confirmed(first, named, words, similar))
+    part = components(near)
+    labelled = materialize(nodes.join(part.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
+    mixed = _cells(dealt(labelled, "label"), hot_run).repartition(partitions, "kind", "block").sortWithinPartitions("kind", "block")
+    rest = materialize(mixed.mapInArrow(_between(budget, similar), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti"))
+    more = materialize(_confirmed(rest, named, words, similar))
+    found = components(near.unionByName(more)).select(F.col("node").alias("id"), F.col("root").alias("root"))
+    rooted = materialize(nodes.select("id", "least").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows"))
+    return marked.select("k", "id"), hot_join(rooted, best, ["root"], "rows").select("id", "least", "component_id")
+
+
+def _confirmed(pairs: DataFrame, named: DataFrame, words: int, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts whose sets of shingles are similar; named: (id, t)."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = named.select("id", "t").join(_few(ids), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
-    sets = materialize(texts.mapInArrow(_shingle_sets(confirm[0]), "id bigint, s array<bigint>"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        for x in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("id").alias(x), F.size("s").alias(f"n{x}")), x)
-        pairs = pairs.where(F.least("na", "nb") >= F.lit(similar) * F.greatest("na", "nb"))  # others can't be; done before the sets are joined
-        for x in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")), x)
-        na, nb = F.col("na"), F.col("nb")
-        both = pairs.withColumn("n", F.size(F.array_intersect("sa", "sb")))
-        return both.where((na + nb == 0) | (F.col("n") / F.nullif(na + nb - F.col("n"), F.lit(0)) >= similar)).select("a", "b")
-
-    near = materialize(confirmed(tried))
-    group = components(tried).select(F.col("node").alias("id"), F.col("root").alias("group"))
-    part = components(near).select(F.col("node").alias("id"), F.col("root").alias("part"))
-    parts = materialize(group.join(part, "id", "left").select("id", "group", F.coalesce("part", "id").alias("label")))
-    split = parts.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
-    again = materialize(parts.join(split, "group", "left_semi").join(nodes, "id").select("fp", "other", "id", "label"))
-    rest = materialize(links(again, budget, confirm[1], spanning=False).distinct())
-    found = components(near.unionByName(confirmed(rest)))
-    rooted = materialize(nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root")))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = marked.join(rooted.join(best, "root").select("id", "component_id"), "id")
-    return out.select(F.col("k").alias(key), "component_id")
+    sets = materialize(texts.mapInArrow(_shingle_sets(words), "id bigint, s array<bigint>"))
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")), x)
+    pairs = pairs.withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    return pairs.where(F.col("n") >= F.lit(similar) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
 def keep_one(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3, confirm: tuple[int, int] | None = None, similar: float | None = None
 ) -> DataFrame:
-    """The rows of docs whose key is the smallest of its component, by near_copies() if `similar` is given, or else by
-    near_duplicates(); of rows that repeat one key, all stay or go, and rows with a null key stay."""
+    """The rows of docs whose key is the smallest of its component, by near_copies() if `similar` is given (with `words` words and
+    a budget of `budget` bits), or else by near_duplicates(). Of rows that repeat one key, all stay or go, and rows with a null
+    key stay. An empty table stays empty; null and empty texts are copies of each other; other columns are handed through."""
     if similar is None:
         found = near_duplicates(docs, key, text, words, budget, confirm)
+        worse = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k"))
     else:
-        found = near_copies(docs, key, text, words, budget, confirm, similar)
-    worse = materialize(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__k")).distinct())
+        rows, texts = near_copies(docs, key, text, words, similar, budget)
+        stay = texts.where(F.col("least") == F.col("component_id")).select(F.col("least").alias("k"))
+        worse = rows.where(F.col("k").isNotNull()).join(stay, "k", "left_anti").select(F.col("k").alias("__k"))
+    worse = materialize(worse.distinct())
     return docs.join(_few(worse), F.col(key) == F.col("__k"), "left_anti")

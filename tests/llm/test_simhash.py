@@ -139,11 +139,9 @@ def test_near_copies_are_confirmed_by_similarity(spark):
             i = root[i]
         return i
 
-    fps = [[simhash.fingerprint(t, n) for n in (1, 5)] for _, t in rows]
     for i, (_, x) in enumerate(rows):
         for j, (_, y) in enumerate(rows[:i]):
-            candidate = (fps[i][0] ^ fps[j][0]).bit_count() <= 7 and (fps[i][1] ^ fps[j][1]).bit_count() <= 18
-            if candidate and jaccard(x or "", y or "") >= 0.8:
+            if jaccard(x or "", y or "") >= 0.8:
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     want = {i for i in range(len(rows)) if top(i) == i}
@@ -155,3 +153,42 @@ def test_near_copies_are_confirmed_by_similarity(spark):
     gone = [texts[order[i]] or "" for i in range(len(rows)) if i not in got]
     assert all(sum(jaccard(x, t or "") >= 0.8 for t in texts) > 1 for x in gone)  # itself and another
     assert simhash.keep_one(docs.limit(0), **corpus_pipeline.NEAR).count() == 0
+
+
+def test_hot_runs_are_dealt_in_cells(spark):
+    rng = random.Random(5)
+    texts = []
+    for changes in (3, 8, 14):  # families of near copies whose members also stand near other families
+        base = [f"w{i}" for i in range(150)]
+        for p in range(changes * 3):
+            base[p * 3] = f"u{changes}"
+        for _ in range(40):
+            w = list(base)
+            for p in rng.sample(range(len(w)), rng.randint(0, 5)):
+                w[p] = f"v{rng.randint(0, 400)}"
+            texts.append(" ".join(w))
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8 and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for hot_run in (7, 30, 50_000):
+        rows, found = simhash.near_copies(docs, hot_run=hot_run)
+        by_id = {r.id: r.component_id for r in found.collect()}
+        assert [by_id[r.id] for r in rows.orderBy("k").collect()] == root
+
+
+def test_cells_let_all_pairs_of_different_labels_meet(spark):
+    labels = [0] * 50 + [1] * 9 + [2] * 8 + list(range(3, 10))
+    rows = [(0, 5, i, i, 1, x) for i, x in enumerate(labels)] + [(1, 5, i, i, 1, 0) for i in range(30)] + [(0, 6, i, i, 1, i % 2) for i in range(4)]
+    df = spark.createDataFrame(rows, "kind int, block long, fp long, id long, n int, label long")
+    got = simhash._cells(df, 10)
+    cells = {}
+    for r in got.collect():
+        cells.setdefault((r.kind, r.block), set()).add((r.id, r.label))
+    assert max(map(len, cells.values())) < 50 and not any(k == 1 for k, _ in cells)
+    met = {(a, b) for k, c in cells.items() if k != (0, 6) for a, x in c for b, y in c if x != y}
+    assert met == {(i, j) for i, x in enumerate(labels) for j, y in enumerate(labels) if x != y}
+    assert len(cells[0, 6]) == 4
