@@ -14,10 +14,9 @@ from tabloom.llm.queries import TOKENIZER
 
 #: Documents are rejected if they are likelier bad than good.
 REJECT_BELOW = 0.5
-#: Near copies: at least 0.8 of the five-word shingles of both texts together (Jaccard) are shared. Compared are texts whose
-#: word fingerprints differ in at most 7 bits and whose five-word fingerprints differ in at most 18; at 0.8 the latter differ in
-#: 9.7 bits on average.
-NEAR = {"words": 1, "budget": 7, "confirm": (5, 18), "similar": 0.8}
+#: Near copies: at least 0.8 of the five-word shingles of both texts together (Jaccard) are shared. Compared are texts that
+#: share a sketch and whose fingerprints differ in at most 18 of 64 bits; at 0.8 they differ in 9.7 on average.
+NEAR = {"words": 5, "budget": 18, "similar": 0.8}
 #: Share of all tokens that the mixed sample keeps.
 KEEP = 0.9
 
