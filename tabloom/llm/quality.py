@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text whose lines are handled at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Documents of each label that a model is fitted on, at most.
 FIT_DOCS = 1_500
 #: Longer texts are left out of the fitting sample, which bounds what the driver gets to 2 * FIT_DOCS * FIT_BYTES.
@@ -164,8 +164,10 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column, key: str =
         sample += [(r[0], r[1], good) for r in got.select("__k", "__t").orderBy(order, "__k", "__t").limit(FIT_DOCS).collect()]
     if not sample:
         return Model(np.zeros(WIDTH), np.zeros((2, 2)))
-    x, _, doc = line_features(_bytes(t for _, t, _ in sample))
-    return fit(x, doc, np.array([g for _, _, g in sample], float)[doc])
+    texts, good = _bytes(t for _, t, _ in sample), np.array([g for _, _, g in sample], float)
+    parts = [(a, *line_features(texts[a:b])) for a, b in _chunks(texts)]
+    doc = np.concatenate([a + d for a, _, _, d in parts])
+    return fit(np.concatenate([x for _, x, _, _ in parts]), doc, good[doc])
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
