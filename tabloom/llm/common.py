@@ -6,6 +6,9 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,6 +75,18 @@ def hot_join(large: DataFrame, small: DataFrame, on: list[str], rows: str) -> Da
     return large.join(F.broadcast(hot), on).unionByName(rest)
 
 
+def text_slices(texts, at_once: int = 1 << 20):
+    """(place of the first, list of UTF-8 bytes) of an Arrow column of texts, null as empty, about `at_once` bytes at a time, so that
+    a batch of long texts isn't held in several copies."""
+    start, n = 0, len(texts)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    while start < n:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + at_once, "right")))
+        yield start, [t or b"" for t in texts[start:stop].cast(pa.binary()).to_pylist()]
+        start = stop
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import text_slices
+
 #: Bytes of text whose lines are handled at a time.
 CHUNK_BYTES = 1 << 20
 #: Documents of each label that a model is fitted on, at most.
@@ -178,8 +180,8 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", out: str
 
     def run(batches):
         for b in batches:
-            texts = _bytes(b.column(b.schema.get_field_index(text)).to_pylist())
-            score = pa.array(text_scores(model, texts), pa.float64())
+            parts = text_slices(b.column(b.schema.get_field_index(text)), CHUNK_BYTES)
+            score = pa.array(np.concatenate([text_scores(model, texts) for _, texts in parts] or [[]]), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, out])
 
     return docs.select(*cols).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import hot_join, materialize, shuffle_partitions, text_or_empty
+from tabloom.llm.common import hot_join, materialize, shuffle_partitions, text_or_empty, text_slices
 from tabloom.llm.components import components
 
 #: Node pairs whose ranges make at most so many combinations are compared outright instead of being split further.
@@ -20,15 +20,18 @@ LEAF = 32
 CHUNK = 200_000
 #: Runs of more fingerprints than this that agree in their first block of bits are dealt anew by a second one.
 HOT_RUN = 50_000
+#: Runs of near-copy tries that hold more shingles than this (8 bytes each) are dealt in cells.
+HOT_SHINGLES = 4_000_000
 #: Keys to drop are broadcast if they are no more than this (16 bytes each); beyond, Spark shuffles both sides.
 BROADCAST_KEYS = 1_000_000
 #: Shingles that are hashed for the sketches at a time.
 SKETCHED = 1 << 12
 
 
-def text_words(text: str | None) -> list[bytes]:
+def text_words(text: str | bytes | None) -> list[bytes]:
     """Words of the text's UTF-8 with A-Z lower-cased; white space is x20 and x09 to x0d alone."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.lower().split()  # of bytes: ASCII only
 
 
 def _shingled(w: list[bytes], words: int) -> tuple[Iterable[bytes], int]:
@@ -68,10 +71,10 @@ def fingerprints(docs: DataFrame, key: str, text: str, words: int, other: int |
     def run(batches):
         for b in batches:
             fps, more = np.zeros((2, b.num_rows), np.uint64)
-            for i, t in enumerate(b.column(1)):
-                w = text_words(t.as_py())
-                fps[i] = word_fingerprint(w, words)
-                more[i] = word_fingerprint(w, other) if other else 0
+            for start, texts in text_slices(b.column(1)):
+                for i, w in enumerate(map(text_words, texts), start):
+                    fps[i] = word_fingerprint(w, words)
+                    more[i] = word_fingerprint(w, other) if other else 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(more.view(np.int64))], ["k", "fp", "other"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -169,21 +172,27 @@ def _forest(n: int, chunks) -> np.ndarray:
 
 
 def _runs(batches):
-    """Whole runs of equal (kind, block) from sorted batches, as many at a time as have come in."""
-    held: list[np.ndarray] = []
+    """Whole runs of equal (kind, block), the first two columns, from sorted batches, as many at a time as have come in."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
-        new = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(b.num_columns)])
-        if not new.shape[1]:
+        if not b.num_rows:
             continue
-        held.append(new)
-        if (new[:2, -1] == held[0][:2, 0]).all():
-            continue  # still one run
-        rows = np.concatenate(held, axis=1)
-        cut = len(rows[0]) - int(np.argmax((rows[:2, ::-1] != rows[:2, -1:]).any(axis=0)))
-        yield rows[:, :cut]
-        held = [rows[:, cut:]]
+        kind, block = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        other = (kind != kind[-1]) | (block != block[-1])
+        cut = b.num_rows - int(np.argmax(other[::-1])) if other.any() else 0  # where the batch's last run begins
+        if cut or last != (kind[-1], block[-1]):
+            if held or cut:
+                yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(b.slice(cut))
+        last = kind[-1], block[-1]
     if held:
-        yield np.concatenate(held, axis=1)
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _longs(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(x).to_numpy().astype(np.int64) for x in names]
 
 
 def _link_runs(budget: int, more: int | None, turns: list[list[tuple[int, int]]], depths: list[int]):
@@ -191,7 +200,8 @@ def _link_runs(budget: int, more: int | None, turns: list[list[tuple[int, int]]]
     (shift, bits) from the top, and the depth of the runs' nodes."""
 
     def run(batches):
-        for kinds, blocks, fps, others in _runs(batches):
+        for t in _runs(batches):
+            kinds, blocks, fps, others = _longs(t, "kind", "block", "fp", "other")
             for kind in np.unique(kinds).tolist():
                 at = kinds == kind
                 fp, other, block = fps[at].view(np.uint64), others[at].view(np.uint64), blocks[at]
@@ -327,11 +337,13 @@ def _sketched(words: int, rows: int, bands: int):
 
     def run(batches):
         for b in batches:
-            sets = [shingles(text_words(t.as_py()), words) for t in b.column(2)]
-            fps = np.array([_majority(h) for h in sets], np.uint64).view(np.int64)
-            blocks = [sketches(h, rows, bands).view(np.int64) if len(h) else None for h in sets]
-            cols = [b.column(0), b.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), pa.array(blocks, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "id", "fp", "n", "blocks"])
+            for start, texts in text_slices(b.column(2)):
+                sets = [shingles(text_words(t), words) for t in texts]
+                fps = np.array([_majority(h) for h in sets], np.uint64).view(np.int64)
+                blocks = [sketches(h, rows, bands).view(np.int64) if len(h) else None for h in sets]
+                cols = [b.column(k).slice(start, len(texts)) for k in range(2)]
+                cols += [pa.array(fps), pa.array(list(map(len, sets)), pa.int32()), pa.array(blocks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "id", "fp", "n", "blocks"])
 
     return run
 
@@ -341,8 +353,9 @@ def _shingle_sets(words: int):
 
     def run(batches):
         for b in batches:
-            sets = [shingles(text_words(t.as_py()), words).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            for start, texts in text_slices(b.column(1)):
+                sets = [shingles(text_words(t), words).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
     return run
 
@@ -375,36 +388,60 @@ def _neighbours(budget: int, similar: float):
 
 
 def _between(budget: int, similar: float):
-    """Pairs within the runs of rows (kind, block, fp, id, n, label) that can be similar and differ in their labels."""
+    """Links (a, b) within the runs of rows (kind, block, fp, id, n, label, s) that join all labels that similar texts join. Pairs
+    of the fewest differing bits come first; what is joined already isn't compared."""
 
     def run(batches):
-        for kinds, blocks, fps, ids, n, label in _runs(batches):
+        for t in _runs(batches):
+            kinds, blocks, fps, ids, n, label = _longs(t, "kind", "block", "fp", "id", "n", "label")
+            sets = t.column("s").combine_chunks()
+            sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+            flat, stop = sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())
             fps = fps.view(np.uint64)
             order = np.lexsort((fps, blocks, kinds))
-            kinds, blocks, fps, ids, n, label = (x[order] for x in (kinds, blocks, fps, ids, n, label))
+            kinds, blocks, fps, ids, n, label, stop = (x[order] for x in (kinds, blocks, fps, ids, n, label, stop))
             new = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])]))
+            part = np.unique(label, return_inverse=True)[1].tolist()
+            root = list(range(len(label)))
+
+            def top(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
             for i, j in trie_links(fps, new, np.append(new[1:], len(fps)), 0, budget, label=label):
                 good = _alike(fps, n, i, j, budget, similar)
-                yield _pairs(ids[i[good]], ids[j[good]])
+                i, j = i[good], j[good]
+                near = np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable")
+                found = []
+                for x, y in zip(i[near].tolist(), j[near].tolist()):
+                    p, q = top(part[x]), top(part[y])
+                    if p != q:
+                        both = len(np.intersect1d(flat[stop[x] - n[x] : stop[x]], flat[stop[y] - n[y] : stop[y]], assume_unique=True))
+                        if both >= similar * (n[x] + n[y] - both):
+                            root[max(p, q)] = min(p, q)
+                            found.append((x, y))
+                x, y = np.array(found, int).reshape(-1, 2).T
+                yield _pairs(ids[x], ids[y])
 
     return run
 
 
 def _cells(rows: DataFrame, hot_run: int) -> DataFrame:
-    """Rows (kind, block, fp, id, n, label) of runs that hold several labels, runs of over hot_run rows dealt in cells.
+    """Rows (kind, block, fp, id, n, label) of runs that hold several labels, runs of over hot_run shingles dealt in cells.
 
-    In a cell stands a part of the run's commonest label, of hot_run rows or so, and a part of its other rows, or two
+    In a cell stands a part of the run's commonest label, of hot_run shingles or so, and a part of its other rows, or two
     parts of these. So all pairs of different labels meet, pairs of the commonest label don't, and no task holds a hot run.
     """
-    each = rows.groupBy("kind", "block", "label").agg(F.count("*").alias("c"))
+    each = rows.groupBy("kind", "block", "label").agg(F.sum("n").alias("c"))
     runs = each.groupBy("kind", "block").agg(F.count("*").alias("labels"), F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main"))
     runs = materialize(runs.where("labels > 1").drop("labels"))
     both = rows.join(runs.where(F.col("all") <= hot_run).select("kind", "block"), ["kind", "block"], "left_semi").select(*rows.columns)
-    large = runs.where(F.col("all") > hot_run)  # fewer than the sketches' share of the rows over hot_run
+    large = runs.where(F.col("all") > hot_run)
     if large.isEmpty():
         return both
     parts = lambda n: F.ceil(n / F.lit(hot_run)).cast("int")
-    mine = rows.join(F.broadcast(large) if large.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else large, ["kind", "block"])
+    mine = rows.join(_few(large), ["kind", "block"])
     mine = mine.withColumns({"m": parts(F.col("most")), "o": parts(F.col("all") - F.col("most"))})
     h, first = F.xxhash64("id"), F.col("label") == F.col("main")
     own = F.when(first, F.pmod(h, F.col("m"))).otherwise(F.col("m") + F.pmod(h, F.col("o"))).cast("int")
@@ -420,7 +457,7 @@ def _few(keys: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, budget: int = 18, rows: int = 3, bands: int = 10, hot_run: int = HOT_RUN
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similar: float = 0.8, budget: int = 18, rows: int = 3, bands: int = 10, hot_run: int = HOT_SHINGLES
 ) -> tuple[DataFrame, DataFrame]:
     """(k, id) for every input row, and (id, least, component_id) for every different text: the smallest key that has
     it, and the smallest that it reaches over links. Texts link if the Jaccard similarity of their sets of shingles of `words`
@@ -433,7 +470,8 @@ def near_copies(
     blocks of bits, as links() does.
 
     Neighbours in a run are compared first. What these join has one label from then on, and nodes of one label aren't
-    paired, so a large group of near copies doesn't make all its pairs; all other pairs of a run are compared.
+    paired, so a large group of near copies doesn't make all its pairs; all other pairs of a run are compared where it stands,
+    unless links found there have joined their labels meanwhile. A null key counts as no key; repeated rows and keys do no harm.
     """
     kind = docs.schema[key].dataType.simpleString()
     body = text_or_empty(text)
@@ -452,20 +490,25 @@ def near_copies(
     near = materialize(_confirmed(first, named, words, similar))
     part = components(near)
     labelled = materialize(nodes.join(part.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
-    mixed = _cells(dealt(labelled, "label"), hot_run).repartition(partitions, "kind", "block").sortWithinPartitions("kind", "block")
-    rest = materialize(mixed.mapInArrow(_between(budget, similar), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti"))
-    more = materialize(_confirmed(rest, named, words, similar))
+    mixed = materialize(_cells(dealt(labelled, "label"), hot_run))
+    with_sets = mixed.join(_sets(mixed.select("id").distinct(), named, words), "id").select(*cols, "label", "s")
+    mixed = with_sets.repartition(partitions, "kind", "block").sortWithinPartitions("kind", "block")
+    more = materialize(mixed.mapInArrow(_between(budget, similar), "a bigint, b bigint").distinct())
     found = components(near.unionByName(more)).select(F.col("node").alias("id"), F.col("root").alias("root"))
     rooted = materialize(nodes.select("id", "least").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows"))
     return marked.select("k", "id"), hot_join(rooted, best, ["root"], "rows").select("id", "least", "component_id")
 
 
+def _sets(ids: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(id, s): the sets of shingles of the texts with these ids; named: (id, t)."""
+    texts = named.select("id", "t").join(_few(materialize(ids)), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
+    return materialize(texts.mapInArrow(_shingle_sets(words), "id bigint, s array<bigint>"))
+
+
 def _confirmed(pairs: DataFrame, named: DataFrame, words: int, similar: float) -> DataFrame:
-    """Those of the pairs (a, b) of texts whose sets of shingles are similar; named: (id, t)."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = named.select("id", "t").join(_few(ids), "id", "left_semi").groupBy("id").agg(F.first("t").alias("t"))
-    sets = materialize(texts.mapInArrow(_shingle_sets(words), "id bigint, s array<bigint>"))
+    """Those of the pairs (a, b) of texts whose sets of shingles are similar."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), named, words)
     for x in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")), x)
     pairs = pairs.withColumn("n", F.size(F.array_intersect("sa", "sb")))
