@@ -58,11 +58,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-#: A line with one of these can begin a candidate block.
-GATE = r"(?i)licen[cs]|permission|redistribut|public domain|creative commons|copyright|free software"
-#: Further lines of a block have one of these, but for GAP lines between two that have.
-NEAR = re.compile(GATE + r"|warrant|conditions|software|source|notice|version|copies|purpose")
-GAP = 2
+#: Candidate windows lie around these. Every template has one of them.
+GATE = r"(?i)licen[cs]|permission|redistribut|public domain|creative commons|copyright|free software|gnu gpl"
+#: Share of a template's words that may differ.
+TOLERANCE = 0.1
 
 
 @dataclass(frozen=True)
@@ -93,26 +92,40 @@ def templates() -> tuple[Template, ...]:
     return tuple(Template(name, tuple(words(t)), _packer(t)) for name, t in TEMPLATES)
 
 
+@lru_cache(1)
+def _span() -> int:
+    """The most words that a stretch of at most TOLERANCE differing words can have."""
+    return max(int(len(t.words) * (1 + TOLERANCE)) for t in templates())
+
+
 @lru_cache(1)
 def _plain() -> zstandard.ZstdCompressor:
     return _packer()
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(number of the first line, text) of candidate blocks: lines with NEAR's words that stand at most GAP other lines
-    apart, none of them blank, with what is between; one line at least has GATE's words."""
-    lines = text.split("\n")
-    near = [i for i, x in enumerate(lines) if NEAR.search(x)]
-    out: list[tuple[int, str]] = []
-    start = 0
-    for k in range(1, len(near) + 1):
-        if k < len(near) and near[k] - near[k - 1] <= GAP + 1 and all(x.strip() for x in lines[near[k - 1] + 1 : near[k]]):
+def windows(text: str) -> tuple[list[re.Match], list[list[tuple[int, int]]]]:
+    """The words of a text, and its candidate regions, each cut into windows: ranges of words.
+
+    A region holds all words that stand within a template's length of one of GATE's words. Windows are two such lengths long and
+    begin at every multiple of one, so every stretch that can match and holds such a word lies in one window whole.
+    """
+    found = list(_WORD.finditer(text))
+    starts, span = np.array([m.start() for m in found]), _span()
+    out: list[list[tuple[int, int]]] = []
+    region = None
+    for gate in re.finditer(GATE, text):
+        at = max(int(np.searchsorted(starts, gate.start(), "right")) - 1, 0)
+        lo, hi = max(at - span, 0), min(at + span + 1, len(found))
+        if region and lo <= region[1]:
+            region[1] = hi
             continue
-        block = "\n".join(lines[near[start] : near[k - 1] + 1])
-        if re.search(GATE, block):
-            out.append((near[start], block))
-        start = k
-    return out
+        if region:
+            out.append(region)
+        region = [lo, hi]
+    if region:
+        out.append(region)
+    cut = lambda lo, hi: [(i, min(i + 2 * span, hi)) for i in range(lo, max(hi - span, lo + 1), span)]
+    return found, [cut(lo, hi) for lo, hi in out if hi > lo]
 
 
 def differences(template: tuple[str, ...], block: list[str]) -> tuple[int, str | None, int, int]:
@@ -161,58 +174,79 @@ def stretches(template: tuple[str, ...], block: list[str], most: float) -> list[
     return out
 
 
-def scan_block(block: str, tolerance: float = 0.1) -> list[tuple[str, str | None, float, int, int, bool]]:
-    """(license, version, reduction, differing words, template's words, confirmed) for a block.
-
-    Each template, as a raw zstandard dictionary, saves some of the block's compressed size, which ranks it; all templates
-    are compared word by word. Confirmed are stretches in which at most `tolerance` of a template's words differ, but for
-    those that overlap a stretch of another licence with fewer differing words that matches as many; of each licence the
-    longest match is returned. If none is confirmed, the best-ranked is returned as not confirmed, if it saves anything.
-    """
-    raw = block.encode("utf-8", "surrogatepass")
-    plain = len(_plain().compress(raw))
-    saved = [1 - len(t.packer.compress(raw)) / plain for t in templates()]
-    own = words(block)
-    hits = [(d, -(len(t.words) - d), k, version, i, j) for k, t in enumerate(templates()) for d, version, i, j in stretches(t.words, own, tolerance * len(t.words))]
+def _apart(hits: list[tuple]) -> list[tuple]:
+    """The matches (differing words, words matched, template, version, start, end) that stay. Of overlapping ones of a licence that
+    with the most words matched; of a licence and another, not the one that another beats by fewer differing words and at least as
+    many matched."""
+    own: dict[str, list[tuple]] = {}
+    for x in sorted(set(hits), key=lambda x: (-x[1], x[0], x[4], x[2])):
+        mine = own.setdefault(templates()[x[2]].license, [])
+        if not any(y[4] < x[5] and x[4] < y[5] for y in mine):
+            mine.append(x)
     kept: list[tuple] = []
-    for x in sorted(hits, key=lambda x: x[:3]):
-        over = (y for y in kept if y[4] < x[5] and x[4] < y[5] and y[0] < x[0] and y[1] <= x[1])
-        if not any(templates()[y[2]].license != templates()[x[2]].license for y in over):
+    for x in sorted((x for mine in own.values() for x in mine), key=lambda x: (x[0], -x[1], x[2], x[4])):
+        if not any(y[4] < x[5] and x[4] < y[5] and y[0] < x[0] and y[1] >= x[1] for y in kept):
             kept.append(x)
-    found: dict[str, tuple] = {}
-    for d, matched, k, version, _, _ in sorted(kept, key=lambda x: (x[1], x[0], -saved[x[2]])):
-        t = templates()[k]
-        found.setdefault(t.license, (t.license, version, saved[k], d, len(t.words), True))
-    if found:
-        return sorted(found.values(), key=lambda x: (x[3] - x[4], x[3], x[0]))
-    best = max(range(len(saved)), key=lambda k: (saved[k], -k))
-    if saved[best] <= 0:
-        return []
-    t = templates()[best]
-    d, version, _, _ = differences(t.words, own)
-    return [(t.license, version, saved[best], d, len(t.words), False)]
+    return sorted(kept, key=lambda x: (x[4], x[5], x[2]))
+
+
+def scan_text(text: str) -> list[tuple[str, str | None, float, int, int, bool, int, int]]:
+    """(license, version, reduction, differing words, template's words, confirmed, line, word) of each notice in a text, line and word
+    being the numbers of those that it begins with.
+
+    Each template, as a raw zstandard dictionary, saves some of a window's compressed size, which ranks it. All that save
+    anything are compared with the window word by word; confirmed is every stretch in which at most TOLERANCE of the template's
+    words differ, see _apart() for overlaps. A region without any gives the best-ranked template of all its windows as not confirmed.
+    """
+    found, regions = windows(text)
+    lower = [m.group().lower() for m in found]
+    line = lambda i: text.count("\n", 0, found[i].start())
+    out = []
+    for region in regions:
+        hits, saved, best = [], {}, (0.0, 0, 0, 0)
+        for lo, hi in region:
+            raw = text[found[lo].start() : found[hi - 1].end()].encode("utf-8", "surrogatepass")
+            plain = len(_plain().compress(raw))
+            own = lower[lo:hi]
+            for k, t in enumerate(templates()):
+                less = 1 - len(t.packer.compress(raw)) / plain
+                best = max(best, (less, -k, lo, hi), key=lambda x: x[:2])
+                if less > 0:
+                    for d, version, i, j in stretches(t.words, own, TOLERANCE * len(t.words)):
+                        hits.append((d, len(t.words) - d, k, version, lo + i, lo + j))
+                        saved[k, lo + i] = max(less, saved.get((k, lo + i), 0.0))
+        for d, _, k, version, i, _ in _apart(hits):
+            out.append((templates()[k].license, version, saved[k, i], d, len(templates()[k].words), True, line(i), i))
+        if not hits and best[0] > 0:
+            less, k, lo, hi = best
+            t = templates()[-k]
+            d, version, i, _ = differences(t.words, lower[lo:hi])
+            i = min(lo + i, hi - 1)
+            out.append((t.license, version, less, d, len(t.words), False, line(i), i))
+    return out
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per licence found in a block of a text: doc_id, line (where the block begins, from 0), license, version,
-    reduction (share of the block's compressed size that the template saves), differing_words, template_words, confirmed.
+    """One row per occurrence of a licence notice in a text: doc_id, line and word (where it begins, from 0), license, version,
+    reduction (share of the window's compressed size that the template saves), differing_words, template_words, confirmed.
 
-    Whole texts are searched; blocks in which no template is confirmed give one row for the template that ranks first,
-    confirmed being false, or none if no template saves anything. Null and empty texts have no rows; repeated rows
-    repeat theirs; other columns are not looked at.
+    Whole texts are searched, in windows of words around GATE's words, so long lines are like any others; candidate regions in which
+    no template is confirmed give one row for the template that ranks first, confirmed being false, or none if no template saves
+    anything. Of equal matches at one place the template listed first counts. Null and empty texts have no rows; repeated rows
+    repeat theirs; an empty table has none; other columns, of whatever names, are not looked at.
     """
-    names = ["doc_id", "line", "license", "version", "reduction", "differing_words", "template_words", "confirmed"]
+    names = ["doc_id", "license", "version", "reduction", "differing_words", "template_words", "confirmed", "line", "word"]
 
     def run(batches):
         for b in batches:
             hit = pc.fill_null(pc.match_substring_regex(b.column(1), GATE), False)
             b = b.filter(hit)
-            rows = [(i, line, *r) for i, t in enumerate(b.column(1).to_pylist()) for line, block in blocks(t) for r in scan_block(block)]
+            rows = [(i, *r) for i, t in enumerate(b.column(1).to_pylist()) for r in scan_text(t)]
             cols = list(zip(*rows)) or [()] * len(names)
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_()]
+            kinds = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
             ids = b.column(0).take(pa.array(cols[0], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, line int, license string, version string, reduction double, differing_words int, template_words int, confirmed boolean"
+    schema = f"doc_id {kind}, license string, version string, reduction double, differing_words int, template_words int, confirmed boolean, line int, word int"
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
