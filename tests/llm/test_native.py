@@ -64,18 +64,21 @@ def test_gapless_rank_with_null_groups_and_ties(spark):
 PAGES = (
     [(i, f"header\nunique {i}\nfooter", "a") for i in range(30)] + [(100 + i, f"header\nown {i}\n\n\n", "b") for i in range(25)]
     + [(200 + i, "header\nfooter", "small") for i in range(9)] + [(300, None, "a"), (301, "", "a"), (302, None, None), (303, "header", "a"), (303, "header", "a")]
-    + [(400 + i, "null host line\nx%d" % i, None) for i in range(30)] + [(500, "seldom\n" * 40, "a")]
+    + [(400 + i, "null host line\nx%d" % i, None) for i in range(30)] + [(500, "seldom\n" * 40, "a")] + [(600 + i, "one copy\nof many", "b") for i in range(40)]
+    + [(700 + i, f"on few pages\nz{i}", "c") for i in range(2)] + [(800, "long line " * 30_000 + "\nheader", "a")] + [(900 + i, f"header\nfew {i}", "tiny") for i in range(3)]
 )
 
 
-def test_line_dedup_equals_brute_force_and_sql(spark):
-    docs = spark.createDataFrame([(i, t, s, "n") for i, t, s in PAGES], "doc_id long, text string, source string, n_lines string").repartition(4)
-    got = line_dedup.drop_site_boilerplate(docs, ratio=0.2, min_pages=3, min_host_pages=10)
+def test_line_dedup_equals_brute_force_and_sql(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, s, "n", 3) for i, t, s in PAGES], "doc_id long, text string, source string, n_lines string, h int").repartition(4)
+    args = {"ratio": 0.2, "min_pages": 3}
+    got = line_dedup.drop_site_boilerplate(docs, **args)
     assert got.columns == [*docs.columns, "n_dropped"]
-    pages = Counter(s for _, _, s in PAGES)
-    seen = Counter((s, x) for _, t, s in PAGES for x in set((t or "").split("\n")) if x.strip())
-    bad = {k for k, n in seen.items() if pages[k[0]] >= 10 and n >= 3 and n > 0.2 * pages[k[0]]}
-    assert {x for _, x in bad} == {"header", "footer", "null host line"}
+    different = {(s, t or "") for _, t, s in PAGES}
+    pages = Counter(s for s, _ in different)
+    seen = Counter((s, x) for s, t in different for x in set(t.split("\n")) if x.strip())
+    bad = {k for k, n in seen.items() if n >= 3 and n > 0.2 * pages[k[0]]}
+    assert bad == {("a", "header"), ("a", "footer"), ("b", "header"), (None, "null host line"), ("tiny", "header")}
 
     def row(i, t, s):
         lines = t.split("\n") if t is not None else []
@@ -87,14 +90,12 @@ def test_line_dedup_equals_brute_force_and_sql(spark):
     assert order((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == want
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
-    assert order(con.execute(line_dedup.oracle(0.2, 3, 10)).fetchall()) == want
-    small = line_dedup.BROADCAST_LINES
-    line_dedup.BROADCAST_LINES = 0
-    try:
-        again = line_dedup.drop_site_boilerplate(docs, ratio=0.2, min_pages=3, min_host_pages=10)
+    assert order(con.execute(line_dedup.oracle(0.2, 3)).fetchall()) == want
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    for share in (1, 3, 1_000):
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        again = line_dedup.drop_site_boilerplate(docs, **args)
         assert order((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in again.collect()) == want
-    finally:
-        line_dedup.BROADCAST_LINES = small
     assert line_dedup.drop_site_boilerplate(docs.limit(0)).count() == 0
 
 
