@@ -7,33 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom import queries_inference, registry  # noqa: F401 (the former registers its queries)
 from tabloom.functions import metrics, scalar
 from tabloom.operators import encoders, joins, ordering, profile, text_features
-from tabloom.operators import types as kinds
-from tabloom.plans import description, models, report, schema, validate
-from tabloom.sources import images
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def q(sql: str) -> str:
-    return " ".join(sql.split())
-
+from tabloom.plans import description, models, validate
+from tabloom.registry import q, query, read, union
 
 # ---- metrics ----
 
@@ -83,21 +61,17 @@ def target_by_block(spark, sf_dir):
     return profile.target_by_block(read(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
 
 
-def _union(parts: list[str]) -> str:
-    return " UNION ALL ".join(parts)
-
-
 _CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
 
-@query(_union([q(f"""SELECT '{c}' AS column, '{t}' AS dtype, count(*) - count(v) AS missing_count, round((count(*) - count(v)) / count(*), 4) AS missing_pct, count(DISTINCT v) AS nunique
+@query(union([q(f"""SELECT '{c}' AS column, '{t}' AS dtype, count(*) - count(v) AS missing_count, round((count(*) - count(v)) / count(*), 4) AS missing_pct, count(DISTINCT v) AS nunique
     FROM (SELECT {"nullif(c_mktsegment, 'BUILDING')" if c == "c_mktsegment" else c} AS v FROM customer)""") for c, t in _CUSTOMER.items()]))
 def missingness(spark, sf_dir):
     df = read(spark, sf_dir, "customer").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING")))
     return profile.missingness(df)
 
 
-@query(_union([q(f"""SELECT 'table' AS role, '{t}' AS relative_path, count(*) AS rows, {n} AS columns,
+@query(union([q(f"""SELECT 'table' AS role, '{t}' AS relative_path, count(*) AS rows, {n} AS columns,
     count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows, 0 AS missing_cells, 0.0 AS missing_pct FROM {t}""") for t, n in (("region", 2), ("nation", 3), ("supplier", 4), ("customer", 5), ("part", 6))]))
 def dataset_overview(spark, sf_dir):
     out = None
@@ -110,11 +84,12 @@ def dataset_overview(spark, sf_dir):
 _NUMBERS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-@query(_union([q(f"""SELECT '{c}' AS column, {_moments('x')}, round({_G1}, 6) AS skew, 0.0 AS missing_pct, round(abs(corr(x, y)), 9) AS abs_corr_with_target
-    FROM (SELECT {c}::DOUBLE AS x, l_extendedprice AS y FROM lineitem)""") for c in _NUMBERS]))
+@query(union([q(f"""SELECT '{c}' AS column, {_moments('x')}, round({_G1}, 6) AS skew, round(avg((x IS NULL)::INT), 9) AS missing_pct, round(abs(corr(x, y)), 9) AS abs_corr_with_target
+    FROM (SELECT CASE WHEN l_linenumber <> 3 THEN {c}::DOUBLE END AS x, l_extendedprice AS y FROM lineitem)""") for c in _NUMBERS]))
 def numeric_summary_corr(spark, sf_dir):
-    out = profile.numeric_summary(read(spark, sf_dir, "lineitem"), "l_extendedprice", _NUMBERS)
-    return out.withColumns({"skew": F.round("skew", 6), "abs_corr_with_target": F.round("abs_corr_with_target", 9)})
+    gaps = {c: F.when(F.col("l_linenumber") != 3, F.col(c)).alias(c) for c in _NUMBERS}
+    out = profile.numeric_summary(read(spark, sf_dir, "lineitem").withColumns(gaps), "l_extendedprice", _NUMBERS)
+    return out.withColumns({"skew": F.round("skew", 6), "abs_corr_with_target": F.round("abs_corr_with_target", 9), "missing_pct": F.round("missing_pct", 9)})
 
 
 def _category(t: str, c: str) -> str:
@@ -123,7 +98,7 @@ def _category(t: str, c: str) -> str:
         count(*) FILTER (v IS NOT NULL) > 50 OR count(*) FILTER (v IS NOT NULL) > 0.5 * sum(n) AS high_cardinality FROM (SELECT {c} AS v, count(*) AS n FROM {t} GROUP BY {c})"""
 
 
-@query(_union([q(_category("lineitem", c)) for c in ("l_returnflag", "l_linestatus")]))
+@query(union([q(_category("lineitem", c)) for c in ("l_returnflag", "l_linestatus")]))
 def categorical_summary(spark, sf_dir):
     return profile.categorical_summary(read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
 
@@ -131,17 +106,22 @@ def categorical_summary(spark, sf_dir):
 _CUT = "TIMESTAMP '1996-01-01'"
 
 
-@query(_union([q(f"""SELECT '{c}' AS column, a.m AS train_mean, b.m AS validation_mean, round((b.m - a.m) / w.s, 9) AS standardized_mean_diff, 0.0 AS train_missing_pct,
-    0.0 AS validation_missing_pct, 0.0 AS missing_pct_diff FROM (SELECT avg({c}) AS m FROM lineitem WHERE l_shipdate < {_CUT}) a, (SELECT avg({c}) AS m FROM lineitem WHERE l_shipdate >= {_CUT}) b,
-    (SELECT stddev_pop({c}) AS s FROM lineitem) w""") for c in ("l_quantity", "l_extendedprice")]))
+def _gaps(c: str) -> str:
+    return f"(SELECT l_shipdate, CASE WHEN l_linenumber <> 2 AND (l_linenumber <> 4 OR l_shipdate < {_CUT}) THEN {c} END AS x FROM lineitem)"
+
+
+@query(union([q(f"""SELECT '{c}' AS column, a.m AS train_mean, b.m AS validation_mean, round((b.m - a.m) / w.s, 9) AS standardized_mean_diff, round(a.n, 9) AS train_missing_pct,
+    round(b.n, 9) AS validation_missing_pct, round(b.n - a.n, 9) AS missing_pct_diff FROM (SELECT avg(x) AS m, avg((x IS NULL)::INT) AS n FROM {_gaps(c)} WHERE l_shipdate < {_CUT}) a, (SELECT avg(x) AS m, avg((x IS NULL)::INT) AS n FROM {_gaps(c)} WHERE l_shipdate >= {_CUT}) b,
+    (SELECT stddev_pop(x) AS s FROM {_gaps(c)}) w""") for c in ("l_quantity", "l_extendedprice")]))
 def shift_numeric(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem")
+    there = (F.col("l_linenumber") != 2) & ((F.col("l_linenumber") != 4) | F.expr(f"l_shipdate < {_CUT}"))
+    df = read(spark, sf_dir, "lineitem").withColumns({c: F.when(there, F.col(c)) for c in ("l_quantity", "l_extendedprice")})
     early, late = (df.where(f"l_shipdate {op} {_CUT}") for op in ("<", ">="))
     out = profile.shift_numeric(early, late, ["l_quantity", "l_extendedprice"])
-    return out.withColumn("standardized_mean_diff", F.round("standardized_mean_diff", 9))
+    return out.withColumns({c: F.round(c, 9) for c in ("standardized_mean_diff", "train_missing_pct", "validation_missing_pct", "missing_pct_diff")})
 
 
-@query(_union([q(f"""SELECT '{c}' AS column, (SELECT count(DISTINCT {c}) FROM part WHERE p_size <= 10) AS train_nunique, count(DISTINCT {c}) AS validation_nunique,
+@query(union([q(f"""SELECT '{c}' AS column, (SELECT count(DISTINCT {c}) FROM part WHERE p_size <= 10) AS train_nunique, count(DISTINCT {c}) AS validation_nunique,
     count(DISTINCT CASE WHEN {c} NOT IN (SELECT {c} FROM part WHERE p_size <= 10) THEN {c} END) AS unseen_validation_categories_count,
     avg(CASE WHEN {c} NOT IN (SELECT {c} FROM part WHERE p_size <= 10) THEN 1.0 ELSE 0.0 END) AS unseen_validation_categories_pct, 0.0 AS train_missing_pct, 0.0 AS validation_missing_pct
     FROM part WHERE p_size > 10""") for c in ("p_brand", "p_type", "p_name")]))
@@ -214,7 +194,7 @@ def merge_null_safe(spark, sf_dir):
 _SETS = [("l_orderkey",), ("l_linenumber",), ("l_orderkey", "l_linenumber"), ("l_partkey", "l_suppkey")]
 
 
-@query(_union([q(f"SELECT '{'+'.join(k)}' AS keys, count(*) AS rows, count(DISTINCT ({', '.join(k)},)) AS distinct_rows, round(1 - count(DISTINCT ({', '.join(k)},)) / count(*), 9) AS duplicate_rate FROM lineitem") for k in _SETS]))
+@query(union([q(f"SELECT '{'+'.join(k)}' AS keys, count(*) AS rows, count(DISTINCT ({', '.join(k)},)) AS distinct_rows, round(1 - count(DISTINCT ({', '.join(k)},)) / count(*), 9) AS duplicate_rate FROM lineitem") for k in _SETS]))
 def right_duplicate_rate(spark, sf_dir):
     rows, found = joins.distinct_counts(read(spark, sf_dir, "lineitem"), _SETS)
     return spark.createDataFrame([("+".join(k), rows, n, round(1 - n / rows, 9)) for k, n in found.items()], "keys string, rows long, distinct_rows long, duplicate_rate double")
@@ -231,15 +211,6 @@ def join_key_facts(spark, sf_dir):
     return spark.createDataFrame([row], "keys string, left_rows long, right_rows long, merged_rows long, right_duplicate_rate double, feature_match_rate double")
 
 
-@query()
-def join_key_scores(spark, sf_dir):
-    left = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("group"), "o_totalprice")
-    right = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("group"), "o_orderdate")
-    sets = joins.key_candidates(left, right)
-    search = joins.KeySearch(left, right, True, sets)
-    return spark.createDataFrame([("+".join(k), search.score(k)) for k in sets], "keys string, score double")
-
-
 @query(q("""SELECT c.c_custkey, c.c_acctbal, c.c_nationkey, s.n_name, s.n_regionkey FROM customer c JOIN nation s ON c.c_nationkey = s.n_nationkey"""))
 def checked_inner_merge(spark, sf_dir):
     left = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
@@ -258,10 +229,11 @@ def frequency_encode(spark, sf_dir):
     return encoders.frequency_encode(df.where("p_size <= 25"), df.where("p_size > 25"), ["p_brand", "p_type"])[1].drop("p_size")
 
 
-@query(q("""SELECT o_orderkey, year(o_orderdate)::DOUBLE AS o_orderdate__year, month(o_orderdate)::DOUBLE AS o_orderdate__month, day(o_orderdate)::DOUBLE AS o_orderdate__day,
-    (isodow(o_orderdate) - 1)::DOUBLE AS o_orderdate__dayofweek, 0.0 AS o_orderdate__is_missing_datetime FROM orders"""))
+@query(q("""SELECT o_orderkey, year(d)::DOUBLE AS d__year, month(d)::DOUBLE AS d__month, day(d)::DOUBLE AS d__day, (isodow(d) - 1)::DOUBLE AS d__dayofweek, (d IS NULL)::INT::DOUBLE AS d__is_missing_datetime
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderdate END AS d FROM orders)"""))
 def datetime_features(spark, sf_dir):
-    return encoders.add_date_features(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"])
+    d = F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderdate")).alias("d")
+    return encoders.add_date_features(read(spark, sf_dir, "orders").select("o_orderkey", d), ["d"])
 
 
 @query(q("""SELECT c AS column, CASE WHEN regexp_matches(c, '(^|_)id$|^uuid$|^index$') OR (u / n > 0.95 AND u > 20) THEN 'dropped' WHEN u <= 50 THEN 'low' WHEN u <= 500 THEN 'medium' WHEN u / n > 0.99 THEN 'dropped' ELSE 'high' END AS class
@@ -330,37 +302,9 @@ def tfidf_terms(spark, sf_dir):
     return text_features.tfidf(df, "item_id", "text", vocab).withColumn("weight", F.round("weight", 6))
 
 
-@query()
-def svd_features(spark, sf_dir):
-    df = read(spark, sf_dir, "benchmark").withColumn(ordering.ORD, F.col("item_id"))
-    out, _, names, _ = text_features.add_svd(df, df, "text", ordering.ORD)
-    return out.select("item_id", *names)
-
-
 # ---- types, roles, descriptions ----
 
 
-@query(q("""SELECT * FROM (VALUES ('l_comment_like', 'categorical'), ('l_extendedprice', 'id_like'), ('l_linenumber', 'numeric'), ('l_orderkey', 'numeric'), ('l_quantity', 'numeric'), ('l_shipdate', 'datetime')) t("column", class)
-    WHERE "column" <> 'l_comment_like' AND (SELECT count(DISTINCT l_extendedprice) / count(*) FROM lineitem) > 0.95"""))
-def feature_column_types(spark, sf_dir):
-    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
-    return spark.createDataFrame([(c, k) for k, v in kinds.feature_types(df).items() for c in v], "column string, class string")
-
-
-@query()
-def column_types_profile(spark, sf_dir):
-    got = kinds.profile_types(read(spark, sf_dir, "documents"))
-    return spark.createDataFrame([(k, c) for k, v in got.items() for c in v], "class string, column string")
-
-
-@query(q("""SELECT * FROM (VALUES ('train/target.csv', 'train_target', 9.5), ('train/features.csv', 'train_features', 6.5), ('val/features.csv', 'validation_features', 8.0), ('sample_submission.csv', 'sample_submission', 7.5)) t(path, role, score)"""))
-def file_roles(spark, sf_dir):
-    features = ["entity_id", "time_key", "segment", "numeric_feature_1", "numeric_feature_2", "categorical_feature", "text_feature", "event_date"]
-    tables = {"train/target.csv": (["entity_id", "time_key", "segment", "target_value"], 3), "train/features.csv": (features, 4), "val/features.csv": (features, 4),
-              "sample_submission.csv": (["row_id", "entity_id", "time_key", "segment", "target_value"], 4)}
-    return spark.createDataFrame([(p, *schema.file_role(p, c, n)[:2]) for p, (c, n) in tables.items()], "path string, role string, score double")
-
-
 @query(q("""SELECT event_type AS value, count(*) AS rows, lower(trim(event_type)) IN ('view', 'click', 'purchase') AS official FROM events GROUP BY event_type"""))
 def described_blocks(spark, sf_dir):
     spec = description.metric_spec("Scoring categories: `view`, `click`, `purchase`. Categories are nested and never sum across them.")
@@ -420,17 +364,6 @@ def clip_and_repair(spark, sf_dir):
     return models.repair(read(spark, sf_dir, "customer").select("c_custkey", p.alias("prediction")), 5.0, not_negative=True)
 
 
-def _line_task(spark, sf_dir) -> models.Task:
-    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
-    return models.Task(df, "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag"], key="l_orderkey")
-
-
-def _fit_predict(spark, sf_dir, name):
-    task = _line_task(spark, sf_dir)
-    fitted = models.fit(next(c for c in models.registry() if c.name == name), task.train, task.target, task.numeric, task.categories)
-    return fitted.transform(task.train).select("l_orderkey", "l_linenumber", "prediction")
-
-
 @query(q("""WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey, round(my + b * sxx / (sxx + 1) * (l_quantity - mx), 3) AS prediction FROM lineitem, m"""))
 def ridge_fit_predict(spark, sf_dir):
@@ -439,34 +372,6 @@ def ridge_fit_predict(spark, sf_dir):
     return fitted.transform(df).select("l_orderkey", "l_linenumber", "l_partkey", F.round("prediction", 3).alias("prediction"))
 
 
-@query()
-def elastic_net_fit_predict(spark, sf_dir):
-    return _fit_predict(spark, sf_dir, "elastic_net_alpha0.01_l10.3")
-
-
-@query()
-def forest_fit_predict(spark, sf_dir):
-    return _fit_predict(spark, sf_dir, "random_forest_depth6_leaf2_n80")
-
-
-@query()
-def boosting_fit_predict(spark, sf_dir):
-    return _fit_predict(spark, sf_dir, "gradient_boosting_n60_lr0.05_depth2")
-
-
-@query()
-def model_selection(spark, sf_dir):
-    names = ("dummy_median", "ridge_alpha1", "elastic_net_alpha0.01_l10.3")
-    task = _line_task(spark, sf_dir)
-    pool = [c for c in models.registry() if c.name in names]
-    return models.cv_frame(spark, models.choose(task, task.train.count(), candidates=pool).rows)
-
-
-@query()
-def cv_report(spark, sf_dir):
-    return report.global_comparison(model_selection(spark, sf_dir))
-
-
 # ---- validation ----
 
 
@@ -515,22 +420,9 @@ def _balance():
     return Window.orderBy("c_acctbal", "c_custkey")
 
 
-@query(q("SELECT count(*) AS rows, count(*) AS finite, 0 AS not_finite FROM customer"))
-def prediction_facts(spark, sf_dir):
-    return report.prediction_facts(read(spark, sf_dir, "customer"), "c_acctbal")
-
-
 # ---- images ----
 
 
-@query(q("""WITH w AS (SELECT n_nationkey, lower(n_name) AS t FROM nation), i AS (SELECT page_id, lower(url) AS path FROM pages)
-    SELECT n_nationkey AS key, 0 AS candidates, NULL::VARCHAR AS path FROM nation WHERE (SELECT count(*) FROM i WHERE contains(path, 'no such image')) = 0"""))
-def token_match(spark, sf_dir):
-    names = images.with_tokens(read(spark, sf_dir, "pages").select(F.concat(F.lit("/img/page_"), F.col("page_id"), F.lit(".png")).alias("path")))
-    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return images.match_images(rows, "n_nationkey", ["n_name"], names)
-
-
 @query(q("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS norm, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS squashed, round(log(1 + greatest(c_acctbal, 0)) / log(exp(1)), 6) AS log_balance FROM customer"))
 def scalar_functions(spark, sf_dir):
     df = read(spark, sf_dir, "customer")
@@ -538,8 +430,8 @@ def scalar_functions(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
