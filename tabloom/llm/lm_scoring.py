@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import materialize, shuffle_partitions
@@ -21,8 +21,10 @@ from tabloom.llm.common import materialize, shuffle_partitions
 DEPTH = 5
 #: Bytes of context by which contexts are dealt into slices.
 TOP = 2
-#: Bytes of text that share a block of statistics, and bytes that are handled at a time.
-BLOCK_BYTES, CHUNK_BYTES = 16 << 20, 2 << 20
+#: Bytes of text that share a block of statistics, that are handled at a time, and that are scored at a time.
+BLOCK_BYTES, CHUNK_BYTES, SCORE_BYTES = 16 << 20, 2 << 20, 1 << 19
+#: Bytes of text for which there is a slice of statistics, and the fewest and most slices.
+SLICE_BYTES, SLICES = 256 << 20, (32, 65_536)
 #: Stands before and after each text; it never occurs in UTF-8.
 EDGE = 255
 #: Hash of the end token, which no word has as its bytes.
@@ -239,7 +241,8 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 #: Rows of block statistics. kind 0: key, a context with its symbol, n times in the block's training texts. kind 1: key,
-#: a token's hash, the at-th of its block, n times in its training texts. kind 2: a text, its tokens as numbers `at` in ids.
+#: a slice of tokens; ids and more, the hashes of the block's tokens in it and how often the training texts have them. kind 2:
+#: a text, its tokens in ids, by their places among all of the block in the order of slices and hashes.
 #: kind 3: key, a slice of contexts; ids and more, the block's contexts of it with their symbols and how often the training
 #: texts have them. kind 4: a text, lower-cased, in ids.
 _STATS = "kind int, block bigint, key bigint, at int, n bigint, mark string, ids binary, more binary"
@@ -287,15 +290,12 @@ def _block_tokens(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
     return whole.chunk(0).dictionary.to_pylist(), [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array, depth: int, slices: int):
-    if slices:
+def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array, depth: int, parts: int, whole: bool):
+    if whole:
         key, n = _all_grams(train, texts, depth)
-        slot = slice_of(key, depth, slices)
+        slot = slice_of(key, depth, parts).astype(np.int64)
         order = np.argsort(slot, kind="stable")
-        slot, key, n = slot[order], key[order], n[order]
-        first = np.flatnonzero(np.diff(slot, prepend=-1))
-        cuts = list(zip(first, [*first[1:], len(slot)]))
-        yield _rows(3, block, key=slot[first].astype(np.int64), ids=[_pack_keys(key[a:b]) for a, b in cuts], more=[_planes(n[a:b]) for a, b in cuts])
+        yield _slice_rows(3, block, slot[order], key[order], n[order])
         del slot, order
         for a, b in _slices(texts):
             yield _rows(4, block, mark=marks.slice(a, b - a), ids=[zstandard.compress(t, 1) for t in _as_bytes(_lower(texts.slice(a, b - a)))])
@@ -304,16 +304,30 @@ def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array,
         yield _rows(0, block, key=key, n=n)
     del key, n
     names, ids = _block_tokens(texts)
-    codes = np.array([xxhash.xxh64_intdigest(w) for w in names] + [END], np.uint64).view(np.int64)
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in names] + [END], np.uint64)
     in_train = np.zeros(len(codes), np.int64)
     in_train += np.bincount(np.concatenate([x for x, t in zip(ids, train) if t] or [np.zeros(0, np.int32)]), minlength=len(codes))
     in_train[-1] = train.sum()
-    yield _rows(1, block, key=codes, at=np.arange(len(codes), dtype=np.int32), n=in_train)
-    yield _rows(2, block, mark=marks, ids=[_pack(np.append(x, np.int32(len(names)))) for x in ids])
+    slot = (codes % np.uint64(parts)).astype(np.int64)
+    codes = codes.view(np.int64)
+    order = np.lexsort((codes, slot))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    codes, in_train, slot = codes[order], in_train[order], slot[order]
+    yield _slice_rows(1, block, slot, codes, in_train)
+    yield _rows(2, block, mark=marks, ids=[_pack(place[np.append(x, np.int32(len(names)))]) for x in ids])
 
 
-def _stats(depth: int, slices: int):
-    """Statistics of blocks of (mark, train, text), mark being what names a text; with contexts in slices, or by rows if slices is 0."""
+def _slice_rows(kind: int, block: int, slot: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each slice: its keys and their counts, packed; all in the order of slot."""
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    cuts = list(zip(first, [*first[1:], len(slot)]))
+    return _rows(kind, block, key=slot[first], ids=[_pack_keys(keys[a:b]) for a, b in cuts], more=[_planes(n[a:b]) for a, b in cuts])
+
+
+def _stats(depth: int, parts: int, whole: bool):
+    """Statistics of blocks of (mark, train, text), mark being what names a text; with `parts` slices of tokens, and of contexts if
+    the whole model is wanted, which otherwise are rows."""
 
     def run(batches):
         part = TaskContext.get().partitionId() << 32
@@ -332,7 +346,7 @@ def _stats(depth: int, slices: int):
     def flush(held, block):
         if sum(map(len, held)):
             marks, train, texts = (pa.chunked_array([h.column(k) for h in held]).combine_chunks() for k in range(3))
-            yield from _block_rows(block, marks, train.to_numpy(zero_copy_only=False).astype(bool), texts, depth, slices)
+            yield from _block_rows(block, marks, train.to_numpy(zero_copy_only=False).astype(bool), texts, depth, parts, whole)
             del marks, train, texts
         pa.default_memory_pool().release_unused()
 
@@ -380,16 +394,22 @@ def _turned_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _all_grams(train: np.ndarray, texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct reversed contexts with symbols of all texts, and how often the training texts have them."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Distinct reversed contexts with symbols of all texts, and how often the training texts have them. Chunks' keys are merged
+    whenever there are as many new ones as old, which bounds the memory."""
+    keys, counts, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for a, b in _slices(texts):
         key, n = _turned_keys(_as_bytes(_lower(texts.slice(a, b - a))), depth)
         key <<= 1
         key |= np.repeat(train[a:b], n)
         key.sort()
         k, n = _merged(key >> 1, key & 1)
+        del key
         keys.append(k)
         counts.append(n)
+        size += len(k)
+        if size > max(len(keys[0]), 1 << 20):
+            k, n = _merged(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, size = [k], [n], 0
     return _merged(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -546,7 +566,7 @@ def _block_scores(depth: int):
         start = 0
         while start < len(packed):
             part, size = [], 0
-            while start + len(part) < len(packed) and len(part) < 1 << 15 and size < CHUNK_BYTES:
+            while start + len(part) < len(packed) and len(part) < 1 << 15 and size < SCORE_BYTES:
                 part.append(zstandard.decompress(packed[start + len(part)]))
                 size += len(part[-1]) + 1
             key, n = _turned_keys(part, depth)
@@ -557,6 +577,8 @@ def _block_scores(depth: int):
             own = value[np.searchsorted(keys, gram[new])]
             out[start : start + len(part)] = np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), own[np.cumsum(new) - 1], len(part))
             start += len(part)
+        del keys, value
+        pa.default_memory_pool().release_unused()
         return pa.table([texts.column("mark"), pa.array(out)], ["mark", "score"])
 
     return run
@@ -594,10 +616,18 @@ def tree_rows(counted: DataFrame, nodes: int, depth: int) -> tuple[np.ndarray, n
     return tuple(got.column(k).to_numpy() for k in range(3))  # type: ignore[return-value]
 
 
+def _slice_counts(rows: pa.Table) -> pa.Table:
+    """A slice's counts over all blocks, packed, for the tokens of each block; on the first row their sum and how many aren't 0."""
+    parts, keys, n = _slice_grams(rows)
+    sums = [[int(x)] + [0] * (len(parts) - 1) for x in (n.sum(), (n > 0).sum())]
+    mine = [_planes(n[np.searchsorted(keys, x)]) for x in parts]
+    return pa.table([rows.column("block"), rows.column("key"), pa.array(mine, pa.binary()), *(pa.array(x, pa.int64()) for x in sums)], ["block", "key", "more", "whole", "tokens"])
+
+
 def _base(counts: pa.Table, texts: pa.Table) -> pa.Table:
     """For a block: per text its n_tokens, n_known and sum of log10(c + 0.5)."""
-    c = np.zeros(len(counts), np.int64)
-    c[counts.column("at").to_numpy()] = counts.column("c").to_numpy()
+    counts = counts.sort_by("key")
+    c = np.concatenate([np.zeros(0, np.int64), *(_unplanes(x, np.int64) for x in counts.column("more").to_pylist())])
     logs, known = np.log10(c + 0.5), c > 0
     ids = [_unpack(x) for x in texts.column("ids").to_pylist()]
     n = [pa.array([f(x) for x in ids], kind) for f, kind in ((len, pa.int64()), (lambda x: int(known[x].sum()), pa.int64()), (lambda x: float(logs[x].sum()), pa.float64()))]
@@ -636,7 +666,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     Statistics are gathered block by block of texts, summed over all blocks by key, and follow the corpus in size. So does
     the model, of which contexts of one byte alone are broadcast: longer ones are dealt into slices, and the probabilities
     of a block's symbols come back to it by a second shuffle. With `nodes` the model is broadcast whole. Word counts come
-    back to the blocks they came from likewise, a row for each block and token whatever the token's frequency.
+    back to the blocks they came from likewise, packed slice by slice.
     """
     if nodes is None and not TOP <= depth <= 5:
         raise ValueError(f"without a bound of nodes the depth must be {TOP} to 5 bytes")
@@ -646,17 +676,15 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     # what names a text: rows that agree in it have equal texts and so equal results
     mark = F.md5(body.cast("binary"))
     named = docs.select(mark.alias("mark"), usable.alias("train"), body.alias("t"))
-    slices = min(4096, max(32, 2 * shuffle_partitions(spark))) if nodes is None else 0
-    stats = materialize(named.mapInArrow(_stats(depth, slices), _STATS))
-
-    tokens = stats.where(F.col("kind") == 1).select("block", "at", "key", "n")
-    same = Window.partitionBy("key").orderBy("block")
-    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = tokens.select("block", "at", F.sum("n").over(every).alias("c"), (F.row_number().over(same) == 1).alias("one"))
-    totals = materialize(totals)
-    whole, distinct = totals.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    size = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    slices = min(SLICES[1], max(SLICES[0], 2 * shuffle_partitions(spark), size // SLICE_BYTES))
+    stats = materialize(named.mapInArrow(_stats(depth, slices, nodes is None), _STATS))
+
+    tokens = stats.where(F.col("kind") == 1).select("key", "block", "ids", "more").groupBy("key")
+    totals = materialize(tokens.applyInArrow(_slice_counts, "block bigint, key bigint, more binary, whole bigint, tokens bigint"))
+    whole, distinct = totals.agg(F.coalesce(F.sum("whole"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     texts = stats.where(F.col("kind") == 2).select("block", "mark", "ids")
-    by_text = totals.select("block", "at", "c").groupBy("block").cogroup(texts.groupBy("block"))
+    by_text = totals.select("block", "key", "more").groupBy("block").cogroup(texts.groupBy("block"))
     base = by_text.applyInArrow(_base, "mark string, n_tokens bigint, n_known bigint, logs double")
     if nodes is None:
         base = base.unionByName(whole_scores(stats, depth), allowMissingColumns=True)
