@@ -14,8 +14,10 @@ ORD = "__ord"
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] | None = None) -> DataFrame:
-    """Of the rows that agree in the keys (nulls agree with nulls) the first in `order` (by default the file's)."""
-    w = Window.partitionBy(*keys).orderBy(*(order or [ORD if ORD in df.columns else F.lit(0)]))
+    """Of the rows that agree in the keys (nulls agree with nulls) the first in `order` (by default the file's, or where rows have no place in a file, that
+    of all their other columns)."""
+    rest = [F.col(f"`{c}`") for c, t in df.dtypes if c not in keys and not t.startswith(("map", "variant"))]
+    w = Window.partitionBy(*keys).orderBy(*(order or ([ORD] if ORD in df.columns else rest or [F.lit(0)])))
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 

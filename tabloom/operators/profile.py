@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.scalar import is_finite, month_period, not_nan, to_timestamp
 from tabloom.operators import quantiles
-from tabloom.operators.ordering import ORD
+from tabloom.operators.ordering import ORD, head
 
 TOP_MISSING, TOP_CORRELATIONS, TOP_CATEGORIES, TOP_BLOCKS, MAX_CATEGORICAL_FIGURES = 20, 15, 15, 20, 3
 _FRACTIONAL = (T.FloatType, T.DoubleType)
@@ -75,14 +75,19 @@ def missingness(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def overview(df: DataFrame, role: str, path: str) -> DataFrame:
-    """role, relative_path, rows, columns, duplicate_rows, missing_cells, missing_pct. Duplicates are all but the first of equal rows."""
+    """role, relative_path, rows, columns, duplicate_rows, missing_cells, missing_pct, memory_mb. Duplicates are all but the first
+    of equal rows. memory_mb: 8 bytes a value, and for texts their UTF-8 besides."""
     names = [f.name for f in columns_of(df)]
     equal = df.groupBy(*[value(df, c).alias(f"c{i}") for i, c in enumerate(names)]).agg(F.count("*").alias("n"))
     blanks = reduce(lambda a, b: a + b, [F.col(f"c{i}").isNull().cast("long") for i in range(len(names))], F.lit(0))
-    got = equal.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dup"), F.coalesce(F.sum(F.col("n") * blanks), F.lit(0)).alias("cells"))
+    texts = [i for i, f in enumerate(columns_of(df)) if isinstance(f.dataType, T.StringType)]
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(f"c{i}"), F.lit(0)).cast("long") for i in texts], F.lit(8 * len(names)).cast("long"))
+    got = equal.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("dup"), F.coalesce(F.sum(F.col("n") * blanks), F.lit(0)).alias("cells"),
+                    F.coalesce(F.sum(F.col("n") * size), F.lit(0)).alias("bytes"))
     return got.select(
         F.lit(role).alias("role"), F.lit(path).alias("relative_path"), "rows", F.lit(len(names)).cast("long").alias("columns"), F.col("dup").alias("duplicate_rows"),
         F.col("cells").alias("missing_cells"), F.round(F.coalesce(F.try_divide(F.col("cells"), F.col("rows") * len(names)), F.lit(0.0)), 4).alias("missing_pct"),
+        F.round(F.col("bytes") / (1 << 20), 4).alias("memory_mb"),
     )
 
 
@@ -224,8 +229,15 @@ def time_counts(df: DataFrame, column: str, target: str | None = None) -> DataFr
 TIME_WORDS = ("date", "time", "timestamp", "period", "month", "year", "quarter", "week", "day")
 
 
-def time_candidates(df: DataFrame, most: int = 3) -> list[str]:
-    return [f.name for f in columns_of(df) if any(w in f.name.lower() for w in TIME_WORDS) or isinstance(f.dataType, TIME_TYPES)][:most]
+def time_candidates(df: DataFrame, most: int = 3, sample: int = 200) -> list[str]:
+    """Columns that hold times by their name or type, then text columns of whose first values at least 70 % are times."""
+    fields = columns_of(df)
+    named = [f.name for f in fields if any(w in f.name.lower() for w in TIME_WORDS) or isinstance(f.dataType, TIME_TYPES)]
+    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType) and f.name not in named] if len(named) < most else []
+    if texts:
+        shares = head(df, sample).agg(*[F.avg(F.when(F.col(f"`{c}`").isNotNull(), to_timestamp(F.col(f"`{c}`")).isNotNull().cast("double"))).alias(f"c{i}") for i, c in enumerate(texts)]).first()
+        named += [c for c, s in zip(texts, shares) if s is not None and s >= 0.7]
+    return named[:most]
 
 
 def time_patterns(df: DataFrame, target: str | None) -> tuple[str, DataFrame] | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,12 +14,22 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import TEXT_STATS
 
-# Accented letters and what they are without accents, for the letters that are common in European texts.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 FEWEST_ROWS = 20
 
 
+def _accents() -> tuple[str, str]:
+    """All lower-case letters of the basic plane that are another letter and accents, and what they are without these."""
+    letters = [c for c in map(chr, range(0xC0, 0x2000)) if c.islower() and unicodedata.decomposition(c)]
+    plain = ["".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in letters]
+    pairs = [(a, b) for a, b in zip(letters, plain) if len(b) == 1 and b != a]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _accents()
+#: Accents that stand alone, after their letter.
+COMBINING = r"\p{Mn}+"
+
+
 def text_stats(df: DataFrame, name: str) -> DataFrame:
     """Add <name>__char_len, __word_count, __sentence_count, __digit_count, __punctuation_count, __uppercase_ratio, __is_missing."""
     return df.withColumns({f"{name}__{k}": f(F.col(f"`{name}`")) for k, f in TEXT_STATS.items()})
@@ -38,7 +49,7 @@ def components_for(n: int) -> int:
 
 def tokens(c: Column) -> Column:
     """Lower-case words of at least two word characters, without accents."""
-    low = F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN)
+    low = F.regexp_replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), ACCENTED, PLAIN), COMBINING, "")
     return F.regexp_extract_all(low, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
 
 

@@ -143,7 +143,11 @@ def fit(candidate: Candidate, train: DataFrame, target: str, numeric: Sequence[s
         return Fitted(candidate, median or 0.0)
     assembler = Assembler(numeric, categories).fit(rows)
     estimator = candidate.make(std or 1.0, len(numeric), n).setFeaturesCol("features").setLabelCol("__label").setPredictionCol("prediction")
-    return Fitted(candidate, median, assembler, estimator.fit(assembler.transform(rows).cache()))
+    features = assembler.transform(rows).cache()
+    try:
+        return Fitted(candidate, median, assembler, estimator.fit(features))
+    finally:
+        features.unpersist()
 
 
 CV_SCHEMA = T.StructType([
@@ -263,7 +267,8 @@ class BlockChoice:
 
 def search_per_block(task: Task, clock: Clock, seed: int = 42) -> tuple[dict[str, BlockChoice], float | None, list[Row]]:
     """For each block (by its normalised value) the best candidate, scored by MAE within it. Blocks of under
-    MIN_BLOCK_ROWS rows, or too few for folds, take their median, scored on the rows it comes from. The overall score is the mean of
+    MIN_BLOCK_ROWS rows, or too few for folds, take their median, scored on the rows it comes from, and so do those that the clock leaves no time for, with a row for each
+    candidate that it skips. The overall score is the mean of
     the blocks' scores (official blocks alone where the description names them)."""
     key = block_key(task.block)
     sizes = task.train.where(is_finite(task.target) & key.isNotNull()).groupBy(key.alias("b")).agg(F.count("*").alias("n"), F.median(F.col(task.target).cast("double")).alias("m")).orderBy("b").collect()
@@ -276,18 +281,20 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42) -> tuple[dict[str
         part = task.train.where(key == s["b"])
         here = replace(task, train=part, spec=MetricSpec(), block=None)
         best = BlockChoice(None, None)
-        if s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None and not clock.over():
+        enough = s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None
+        if enough:
             for c in select(s["n"], len(task.numeric) + len(task.categories), "per_block", seed):
+                if clock.over():
+                    found.append(Row("per_block", s["b"], c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+                    continue
                 r = cross_validate(here, c, s["n"], "per_block", s["b"])
                 found.append(r)
                 if r.status == "ok" and (best.score is None or r.score_mean < best.score):
                     best = BlockChoice(c, r.score_mean)
-                if clock.over():
-                    break
         if best.candidate is None:
             score = part.where(is_finite(task.target)).agg(F.avg(F.abs(F.col(task.target).cast("double") - F.lit(s["m"])))).first()[0]
             best = BlockChoice(None, score)
-            found.append(Row("per_block", s["b"], "median_fallback", score_mean=score, mae_mean=score, status="fallback_insufficient_rows", notes=f"{s['n']} rows", model_family="dummy"))
+            found.append(Row("per_block", s["b"], "median_fallback", score_mean=score, mae_mean=score, status="fallback_time_budget" if enough and clock.over() else "fallback_failed" if enough else "fallback_insufficient_rows", notes=f"{s['n']} rows", model_family="dummy"))
         chosen[s["b"]] = best
     scores = [c.score for c in chosen.values() if c.score is not None]
     return chosen, sum(scores) / len(scores) if scores else None, found

@@ -72,7 +72,7 @@ def missingness(spark, sf_dir):
 
 
 @query(union([q(f"""SELECT 'table' AS role, '{t}' AS relative_path, count(*) AS rows, {n} AS columns,
-    count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows, 0 AS missing_cells, 0.0 AS missing_pct FROM {t}""") for t, n in (("region", 2), ("nation", 3), ("supplier", 4), ("customer", 5), ("part", 6))]))
+    count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows, 0 AS missing_cells, 0.0 AS missing_pct, round((count(*) * 8 * {n} + sum({'+'.join(f'strlen({c})' for c in cs) or 0})) / 1048576, 4) AS memory_mb FROM {t}""") for t, n, cs in (("region", 2, ["r_name"]), ("nation", 3, ["n_name"]), ("supplier", 4, ["s_name"]), ("customer", 5, ["c_name", "c_mktsegment"]), ("part", 6, ["p_name", "p_brand", "p_type"]))]))
 def dataset_overview(spark, sf_dir):
     out = None
     for t in ("region", "nation", "supplier", "customer", "part"):
@@ -279,7 +279,7 @@ def text_stats(spark, sf_dir):
     return text_features.text_stats(read(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
 
 
-_GRAMS = """words AS (SELECT item_id AS d, regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\\p{L}\\p{N}_]{2,}') AS w FROM benchmark),
+_GRAMS = """words AS (SELECT item_id AS d, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS w FROM benchmark),
     grams AS (SELECT d, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM words), n AS (SELECT count(*) AS n FROM benchmark),
     counts AS (SELECT term, count(*) AS tf, count(DISTINCT d) AS df FROM grams GROUP BY term),
     vocab AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM counts, n WHERE df >= greatest(1, least(2, n // 50)) ORDER BY tf DESC, term LIMIT (SELECT least(2000, greatest(100, 5 * count(*))) FROM benchmark))"""

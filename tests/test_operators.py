@@ -72,9 +72,9 @@ def test_safe_merge_matches_nulls_keeps_first_and_suffixes(spark):
     right = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), (None, 3, 2)], f"k string, y int, {ORD} long")
     merged, warnings = joins.safe_merge(left, right, ["k"])
     assert sorted((r.k or "", r.y_feat) for r in merged.collect()) == [("", 3), ("a", 1)]
-    assert "duplicate rate 0.333" in warnings[0] and "deduplicated" in warnings[1] and len(warnings) == 2
+    assert "33.3%" in warnings[0] and "only the first" in warnings[1] and len(warnings) == 2
     assert joins.safe_merge(left, None, ["k"])[0] is left
-    assert joins.safe_merge(left, right, ["gone"])[1] == ["merge skipped: missing join keys ['gone']"]
+    assert joins.safe_merge(left, right, ["gone"])[1] == ["not merged: a table lacks ['gone']"]
 
 
 @pytest.mark.parametrize("kind", ["int", "bigint", "double", "date", "boolean", "string", "timestamp"])
@@ -122,7 +122,7 @@ def test_key_search(spark):
     train = joins.KeySearch(target, features, False, [("entity_id", "time_key")])
     assert train.score(("entity_id", "time_key")) == 124
     free = joins.infer_pipeline_keys(target, features, sample, validation, {"row_id", "target_value"}, None)
-    assert set(free.predict_keys) >= {"entity_id"} and free.predict_source == "cross-table shared keys"
+    assert set(free.predict_keys) >= {"entity_id"} and free.predict_source == "columns that the other merge shares"
     candidates = joins.key_candidates(sample, validation, {"row_id"})
     assert len(candidates) == 7 and all(joins.KeySearch(sample, validation, True, candidates).bound(k) >= joins.KeySearch(sample, validation, True, candidates).score(k) for k in candidates)
     text_keys = validation.withColumn("entity_id", F.col("entity_id").cast("string"))
@@ -213,3 +213,20 @@ def test_svd_equals_numpy(spark):
     got = np.array([tuple(r[n] for n in names) for r in out.orderBy(ORD).collect()])
     assert np.allclose(np.abs(got[:, :3]), np.abs(w.values @ vt[:3].T), atol=1e-8)
     assert text_features.add_svd(df.limit(5), df, "t", ORD)[3]
+
+
+def test_keep_first_without_file_order_takes_the_least_row(spark):
+    rows = [(1, "b", 2.0), (1, "a", 9.0), (1, "a", 3.0), (None, "z", 1.0), (None, None, 5.0)]
+    df = spark.createDataFrame(rows, "k int, s string, x double").repartition(3)
+    assert sorted(ordering.keep_first(df, ["k"]).collect(), key=repr) == sorted([(1, "a", 3.0), (None, None, 5.0)], key=repr)
+
+
+def test_time_columns_are_found_by_their_values(spark):
+    df = spark.createDataFrame([(f"2024-0{1 + i % 3}-11", f"note {i}", i) for i in range(30)], "made string, note string, n int")
+    assert profile.time_candidates(df) == ["made"]
+
+
+def test_accents_of_many_languages_are_taken_off(spark):
+    df = spark.createDataFrame([("Žluťoučký kůň łódź ŞIŞLİ Việt été",)], "t string")
+    (got,) = df.select(text_features.tokens(F.col("t"))).first()
+    assert got[:2] == ["zlutoucky", "kun"] and "viet" in got and "ete" in got and any(w.startswith("sisl") for w in got)
