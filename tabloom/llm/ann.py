@@ -60,7 +60,7 @@ def fit(x: np.ndarray, k: int, rounds: int = 30) -> Codes:
     if n > k + 1:
         words = codes.of(x).view(">u8")[:, 0]
         found = []
-        for i in range(min(n, FIT_QUERIES)):
+        for i in np.random.default_rng(7).choice(n, min(n, FIT_QUERIES), replace=False):
             score = u @ u[i]
             score[i] = -2
             best = np.argpartition(-score, k)[:k]

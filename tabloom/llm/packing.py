@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import random
 import zlib
 from functools import lru_cache
 from itertools import islice
@@ -85,6 +86,10 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
+#: Fillings of a node that are tried first, and groups of bins that are packed again at most.
+FIRST_FILLINGS, TURNS = 40, 24
+
+
 def _reach(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
     """For each i the sums up to room that pieces of sizes[i:] can make, as the bits of a number."""
     out = [1] * (len(sizes) + 1)
@@ -100,9 +105,10 @@ def _reach(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def fillings(room: int, counts: dict[int, int], slack: int, most: int):
-    """Up to `most` undominated fillings of `room`, as lists of sizes, that waste at most `slack`; least waste first, and
-    of equal waste the largest pieces first.
+def fillings(room: int, counts: dict[int, int], slack: int, most: int | None = None, left: list[int] | None = None):
+    """The undominated fillings of `room`, as lists of sizes, that waste at most `slack`; least waste first, and of equal waste
+    the largest pieces first. Given `most`, only so many, found among the first 4 * most of each waste. left: a budget that each
+    filling takes one of, dominated or not; without any left there are no more.
 
     A filling is dominated if an unused piece fits into what it leaves free, or could take the place of one of its
     smaller pieces. What sums the smaller sizes can still make is known at each step, so no step is in vain.
@@ -132,12 +138,17 @@ def fillings(room: int, counts: dict[int, int], slack: int, most: int):
     for waste in range(min(slack, room) + 1):
         if not reach[0] >> (room - waste) & 1:
             continue
-        for x in islice(exactly(0, room - waste), 4 * most):
+        for x in islice(exactly(0, room - waste), None if most is None else 4 * most):
+            if left is not None:
+                left[0] -= 1
+                if left[0] < 0:
+                    return
             if undominated(x, waste):
                 yield x
-                most -= 1
-                if not most:
-                    return
+                if most is not None:
+                    most -= 1
+                    if not most:
+                        return
 
 
 def plain_filling(room: int, counts: dict[int, int]) -> list[int]:
@@ -184,18 +195,24 @@ def _best_fit(items: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def complete_bins(items: list[int], capacity: int, nodes: int = 20_000) -> list[list[int]]:
-    """Branch and bound over a list of pieces. The incumbent is the best-fit packing; each node fills a bin around the
-    largest piece left, tries its undominated fillings, and is pruned once the waste so far exceeds what a packing of
-    one bin fewer than the incumbent may waste. Ends with a proven optimum, or when `nodes` are used up."""
-    best = _best_fit(items, capacity)
+def complete_bins(items: list[int], capacity: int, nodes: int = 20_000, best: list[list[int]] | None = None) -> tuple[list[list[int]], bool]:
+    """Branch and bound over a list of pieces: (bins, whether they are proven fewest). The incumbent is the best-fit packing, or
+    `best`; each node fills a bin around the largest piece left, tries its undominated fillings, and is pruned once the waste so
+    far exceeds what a packing of one bin fewer than the incumbent may waste.
+
+    Fewer bins are looked for twice: among the first few fillings of each node, which reaches far apart packings soon, and then
+    among all of them. The bins are proven fewest if they meet the lower bound, or if the second search ends before `nodes`
+    fillings are used up.
+    """
+    fit = _best_fit(items, capacity)
+    best = fit if best is None or len(fit) < len(best) else best
     counts: dict[int, int] = {}
     for s in items:
         counts[s] = counts.get(s, 0) + 1
     least = lower_bound(counts, capacity) if items else 0
     left = [nodes]
 
-    def search(open_bins: list[list[int]], slack: int) -> bool:
+    def search(open_bins: list[list[int]], slack: int, few: int | None) -> bool:
         left[0] -= 1
         top = max((s for s, c in counts.items() if c), default=0)
         if not top:
@@ -203,11 +220,11 @@ def complete_bins(items: list[int], capacity: int, nodes: int = 20_000) -> list[
         if left[0] < 0:
             return False
         counts[top] -= 1
-        for more in fillings(capacity - top, counts, slack, 40):
+        for more in fillings(capacity - top, counts, slack, few, left):
             for s in more:
                 counts[s] -= 1
             open_bins.append([top, *more])
-            if search(open_bins, slack - (capacity - top - sum(more))):
+            if search(open_bins, slack - (capacity - top - sum(more)), few):
                 return True
             open_bins.pop()
             for s in more:
@@ -215,16 +232,18 @@ def complete_bins(items: list[int], capacity: int, nodes: int = 20_000) -> list[
         counts[top] += 1
         return False
 
-    while len(best) > least and left[0] > 0:
-        found: list[list[int]] = []
-        for s in counts:
-            counts[s] = 0
-        for s in items:
-            counts[s] += 1
-        if not search(found, (len(best) - 1) * capacity - sum(items)):
-            break
-        best = found
-    return best
+    for few in (FIRST_FILLINGS, None):
+        left[0] = nodes
+        while len(best) > least:
+            found: list[list[int]] = []
+            for s in counts:
+                counts[s] = 0
+            for s in items:
+                counts[s] += 1
+            if not search(found, (len(best) - 1) * capacity - sum(items), few):
+                break
+            best = found
+    return best, len(best) <= least or left[0] > 0
 
 
 def _greedy(counts: dict[int, int], capacity: int, filling) -> list[tuple[int, tuple[int, ...]]]:
@@ -287,7 +306,8 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple
 
     Bins around pieces of over half the capacity take the undominated filling of largest pieces, others the one whose
     smallest piece is largest; if that misses the lower bound, the second rule throughout and best fit are tried too, and the
-    fewest bins are kept. At last some bins, most waste first, are opened again and packed by branch and bound.
+    fewest bins are kept. Then, as long as the bound isn't met, TURNS groups of bins are opened again, most waste first and later by chance,
+    and packed by branch and bound. Only a packing that meets the bound is known to be the best one.
     """
     least = lower_bound(counts, capacity)
     large = lambda room, left: next(fillings(room, left, room, 1))
@@ -296,19 +316,26 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple
     for other in (lambda: _best_fit_patterns(counts, capacity), lambda: _greedy(counts, capacity, plain_filling)):
         if _bins(patterns) > least:
             patterns = min(patterns, other(), key=_bins)
-    for many in (24, 60, 150):
+    rng = random.Random(5)
+    for turn in range(TURNS):
         if _bins(patterns) <= least:
             break
-        pieces = [0]
+        pieces, many = [0], (24, 60, 150)[turn % 3]
 
         def wanted(times: int, one: tuple[int, ...], many=many, pieces=pieces) -> int:
             n = min(times, max(0, many - pieces[0]) // len(one))
+            if turn > 2:
+                n = min(n, 1 + many // 30)  # bins of many patterns
             pieces[0] += n * len(one)
             return n
 
-        kept, opened = _take(sorted(patterns, key=lambda x: sum(x[1])), len(counts) + many, wanted)
-        again = complete_bins([s for t, one in opened for s in one for _ in range(t)], capacity)
-        if len(again) < _bins(opened):
+        # at first the most wasteful bins, then these beside others by chance, whose pieces they may be exchanged with
+        wasted = {one: capacity - sum(one) for _, one in patterns}
+        order = sorted(patterns, key=lambda x: -wasted[x[1]] if turn < 3 else -rng.random() * (1 + wasted[x[1]]))
+        kept, opened = _take(order, len(counts) + many, wanted)
+        bins = [list(one) for t, one in opened for _ in range(t)]
+        again, _ = complete_bins([s for x in bins for s in x], capacity, best=bins)
+        if len(again) < len(bins):
             patterns = kept + [(1, tuple(sorted(x, reverse=True))) for x in again]
     return patterns
 

@@ -84,3 +84,14 @@ def test_blocks_of_rows_and_queries(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "QUERIES", 30)
     assert found(ann.nearest(table(spark, rows), F.col("vec_id") % 5 == 0)) == one
+
+
+def test_recall_where_ids_follow_clusters(spark):
+    """The smallest ids are near copies of one another; the radius must fit the others all the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x[:600] = x[0] + 0.01 * rng.normal(size=(600, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(ann.nearest(table(spark, rows), F.col("vec_id") % 50 == 0)), brute(rows, 50)
+    hits = [len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 5 for q in want if q >= 600]
+    assert np.mean(hits) >= 0.95

@@ -38,10 +38,12 @@ def optimum(items, capacity):
 def test_branch_and_bound_is_optimal_on_small_inputs(seed):
     rng = random.Random(seed)
     items = sorted((rng.randint(8, 60) for _ in range(11)), reverse=True)
-    bins = packing.complete_bins(items, 100)
+    bins, proven = packing.complete_bins(items, 100)
     assert Counter(x for b in bins for x in b) == Counter(items) and all(sum(b) <= 100 for b in bins)
     want = optimum(items, 100)
-    assert len(bins) == want >= packing.lower_bound(Counter(items), 100)
+    assert proven and len(bins) == want >= packing.lower_bound(Counter(items), 100)
+    few, proven = packing.complete_bins(items, 100, nodes=3)
+    assert len(few) >= want and (not proven or len(few) == want)
     plan = packing.plan_packing(Counter(items), 100)
     assert sum(t for t, _ in plan) <= want + 1
 
