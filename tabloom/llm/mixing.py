@@ -138,9 +138,16 @@ def mix(
     return out.select(*docs.columns, *[c for c in ("weight", "prob", "kept") if c not in docs.columns])
 
 
-def mix_documents(docs: DataFrame, keep: float = 0.5, sweeps: int = 12) -> DataFrame:
-    """Mix documents by source, lang and topic: sources and languages are flattened, topics a little less."""
-    shaped = docs.withColumns({"topic": topic_of(), "n_tokens": word_count()})
+def mix_documents(docs: DataFrame, keep: float = 0.5, sweeps: int = 12, columns: list[str] | None = None) -> DataFrame:
+    """Mix documents by source, lang and topic: sources and languages are flattened, topics a little less.
+
+    Returns `columns` of docs (by default all) with topic, n_tokens, weight, prob and kept, which replace columns of these names.
+    Null texts are empty, and so of topic `empty` with no tokens; null sources and languages are values of their own; texts are
+    read whole, and once: topics and tokens are written with the other columns before cells are counted. Repeated rows and
+    doc_ids share their fate, an empty table stays empty.
+    """
+    names = [c for c in columns or docs.columns if c not in ("topic", "n_tokens")]
+    shaped = materialize(docs.select(*names, topic_of().alias("topic"), word_count().alias("n_tokens")))
     return mix(shaped, ALPHAS, "n_tokens", keep=keep, sweeps=sweeps)
 
 

@@ -50,7 +50,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    out = mixing.mix_documents(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
     rounded = [F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob")]
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", *rounded, "kept")
 
