@@ -156,39 +156,167 @@ def markdown(c: dict) -> str:
     return "\n".join(line for title, lines in sections(c) for line in (f"## {title}" if title != "Cover" else "# Report", "", *lines, "")) + "\n"
 
 
+def charts(c: dict) -> list[tuple[str, list[tuple[str, float]]]]:
+    """(title, bars) of the exploration's figures: the label and the height of each bar."""
+    wanted = [("Missing share by column", "missingness", "column", "missing_pct"), ("Strongest linear relations with the target", "top_numeric_correlations", "column", "abs_corr_with_target"),
+              ("Target", "target_histogram", "low", "count"), ("Mean target by block", "target_by_block", "block", "mean_target"), ("Rows by month", "time_summary", "period", "rows")]
+    out = []
+    for title, name, label, height in wanted:
+        rows = [r for r in c["eda"].get(name, []) if r.get(height) not in (None, "")]
+        bars = [(shorten(r.get(label) or "-", 14), float(r[height])) for r in rows[:24]]
+        if any(h for _, h in bars):
+            out.append((title, bars))
+    return out
+
+
+class Canvas:
+    """Letter pages that are filled from the top; what doesn't fit goes on the next page."""
+
+    LEFT, RIGHT, TOP, BOTTOM = 54, 558, 734, 54
+    FONTS = {"F1": "Helvetica", "F2": "Helvetica-Bold"}
+
+    def __init__(self, title: str):
+        self.title, self.pages, self.y = title, [], 0.0
+        self.turn()
+
+    def turn(self) -> None:
+        self.pages.append([])
+        self.y = self.TOP
+
+    def room(self, height: float) -> None:
+        if self.y - height < self.BOTTOM:
+            self.turn()
+
+    def put(self, op: str) -> None:
+        self.pages[-1].append(op.encode("cp1252", "replace"))
+
+    def text(self, x: float, y: float, line: str, size: float = 9.5, font: str = "F1") -> None:
+        safe = line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
+        self.put(f"BT /{font} {size} Tf {x:.1f} {y:.1f} Td ({safe}) Tj ET")
+
+    def box(self, x: float, y: float, w: float, h: float, grey: float) -> None:
+        self.put(f"{grey} g {x:.1f} {y:.1f} {w:.1f} {h:.1f} re f 0 g")
+
+    @staticmethod
+    def wrap(line: str, width: float, size: float) -> list[str]:
+        """Lines of at most about this width; words that are longer are broken."""
+        return textwrap.wrap(line, max(3, int(width / (0.5 * size)))) or [""]
+
+    def heading(self, line: str, size: float = 15) -> None:
+        self.room(size + 60)
+        self.y -= size + 8
+        self.text(self.LEFT, self.y, line, size, "F2")
+        self.y -= 8
+
+    def paragraph(self, line: str) -> None:
+        bullet = line.startswith("- ")
+        for i, part in enumerate(self.wrap(line[2:] if bullet else line, self.RIGHT - self.LEFT - 12 * bullet, 9.5)):
+            self.room(13)
+            self.y -= 13
+            if bullet and not i:
+                self.text(self.LEFT, self.y, "\u2022")
+            self.text(self.LEFT + 12 * bullet, self.y, part)
+
+    def table(self, rows: list[list[str]], size: float = 8) -> None:
+        """Rows of cells, the first the heading, which is repeated on each page; columns are as wide as their contents ask for."""
+        asks = [min(32, max(len(r[i]) for r in rows)) + 2 for i in range(len(rows[0]))]
+        widths = [(self.RIGHT - self.LEFT) * a / sum(asks) for a in asks]
+        self.y -= 6
+
+        def row(cells: list[str], head: bool) -> None:
+            parts = [self.wrap(x, w - 6, size * 1.05) for x, w in zip(cells, widths)]
+            height = max(map(len, parts)) * (size + 2) + 4
+            if self.y - height < self.BOTTOM and not head:
+                self.turn()
+                row(rows[0], True)
+            self.y -= height
+            if head:
+                self.box(self.LEFT, self.y, self.RIGHT - self.LEFT, height, 0.88)
+            x = self.LEFT
+            for lines, w in zip(parts, widths):
+                for k, line in enumerate(lines):
+                    self.text(x + 3, self.y + height - (k + 1) * (size + 2), line, size, "F2" if head else "F1")
+                x += w
+            self.put(f"0.7 G 0.4 w {self.LEFT} {self.y:.1f} m {self.RIGHT} {self.y:.1f} l S 0 G")
+
+        self.room(3 * (size + 6))
+        for i, r in enumerate(rows):
+            row(r, not i)
+        self.y -= 6
+
+    def chart(self, title: str, bars: list[tuple[str, float]], height: float = 120) -> None:
+        """Bars from a line at zero, with the greatest and the least value and every label that finds room."""
+        self.room(height + 60)
+        self.y -= 20
+        self.text(self.LEFT, self.y, title, 10, "F2")
+        top, floor = self.y - 10, self.y - 10 - height
+        hi, lo = max(0.0, *(h for _, h in bars)), min(0.0, *(h for _, h in bars))
+        scale, step = height / ((hi - lo) or 1.0), (self.RIGHT - self.LEFT - 50) / len(bars)
+        zero = floor - lo * scale
+        for i, (label, h) in enumerate(bars):
+            x = self.LEFT + 50 + i * step
+            self.box(x, min(zero, zero + h * scale), 0.8 * step, abs(h) * scale, 0.45)
+            if i % max(1, int(60 / step)) == 0:
+                self.text(x, floor - 10, label, 7)
+        self.put(f"0.4 w {self.LEFT + 50} {zero:.1f} m {self.RIGHT} {zero:.1f} l S")
+        self.text(self.LEFT, top - 7, show(float(hi)), 7)
+        self.text(self.LEFT, floor, show(float(lo)), 7)
+        self.y = floor - 18
+
+    def bytes(self) -> bytes:
+        objects: list[bytes] = []
+        add = lambda x: objects.append(x) or len(objects)
+        fonts = {k: add(f"<< /Type /Font /Subtype /Type1 /BaseFont /{v} /Encoding /WinAnsiEncoding >>".encode()) for k, v in self.FONTS.items()}
+        tree = len(objects) + 2 * len(self.pages) + 1
+        used = " ".join(f"/{k} {v} 0 R" for k, v in fonts.items()).encode()
+        kids = []
+        for k, ops in enumerate(list(self.pages), 1):
+            self.pages.append([])  # header and footer are written like any text
+            self.text(self.LEFT, 756, self.title, 8)
+            self.text(self.RIGHT - 60, 30, f"Page {k} of {len(self.pages) - 1}", 8)
+            stream = b"\n".join(ops + self.pages.pop())
+            content = add(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream))
+            kids.append(add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 612 792] /Resources << /Font << %s >> >> /Contents %d 0 R >>" % (tree, used, content)))
+        add(b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids)))
+        root = add(b"<< /Type /Catalog /Pages %d 0 R >>" % tree)
+        out, places = bytearray(b"%PDF-1.4\n"), []
+        for k, o in enumerate(objects, 1):
+            places.append(len(out))
+            out += b"%d 0 obj\n%s\nendobj\n" % (k, o)
+        start = len(out)
+        out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+        return bytes(out + b"trailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, root, start))
+
+
 def pdf(c: dict) -> bytes:
-    """The sections as Letter pages of monospaced lines, with page numbers. Needs no library."""
-    pages: list[list[str]] = []
-    for title, lines in sections(c):
-        page = [title.upper(), ""]
-        for line in lines:
-            plain = re.sub(r"^\| - \|.*$", "", line)
-            for part in textwrap.wrap(plain, 96, subsequent_indent="    ") or [""]:
-                if len(page) == 60:
-                    pages.append(page)
-                    page = [f"{title.upper()} (continued)", ""]
-                page.append(part)
-        pages.append(page)
-    objects: list[bytes] = []
-    add = lambda x: objects.append(x) or len(objects)
-    font = add(b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>")
-    tree = font + 2 * len(pages) + 1
-    kids = []
-    for k, page in enumerate(pages, 1):
-        text = [*page, *[""] * (61 - len(page)), f"Page {k} of {len(pages)}"]
-        escaped = [t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") for t in text]
-        stream = b"BT /F1 9 Tf 11.5 TL 50 750 Td\n" + b"\n".join(b"(" + t + b") Tj T*" for t in escaped) + b"\nET"
-        content = add(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream))
-        kids.append(add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 612 792] /Resources << /Font << /F1 %d 0 R >> >> /Contents %d 0 R >>" % (tree, font, content)))
-    add(b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids)))
-    root = add(b"<< /Type /Catalog /Pages %d 0 R >>" % tree)
-    out, places = bytearray(b"%PDF-1.4\n"), []
-    for k, o in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (k, o)
-    start = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
-    return bytes(out + b"trailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, root, start))
+    """The sections as pages with headings, tables, the exploration's figures, headers and footers. Needs no library."""
+    page = Canvas("Automatic analysis and prediction report")
+    for k, (title, lines) in enumerate(sections(c)):
+        if title == "Cover":
+            page.y -= 120
+            page.heading(lines[0], 22)
+            lines = lines[1:]
+        else:
+            if k == 1:
+                page.turn()
+            page.heading(f"{k}. {title}")
+        rows: list[list[str]] = []
+        for line in [*lines, ""]:
+            if line.startswith("|"):
+                if not re.fullmatch(r"[| -]+", line):
+                    rows.append([x.strip() for x in line.strip().strip("|").split("|")])
+                continue
+            if rows:
+                page.table(rows)
+                rows = []
+            if line.endswith(":") and not line.startswith("- "):
+                page.heading(line[:-1].replace("_", " ").capitalize(), 11)
+            elif line:
+                page.paragraph(line)
+        if title == "Exploration":
+            for name, bars in charts(c):
+                page.chart(name, bars)
+    return page.bytes()
 
 
 def write_report(root: str | Path) -> Path:

@@ -166,3 +166,17 @@ def test_images_take_part_in_a_run(spark, tmp_path, monkeypatch):
     train, other, names, notes = step(rows, rows)
     assert not notes and len(names) == 14 and {r["image__width"] for r in other.collect()} == {1001 % 7 + 1.0, 1002 % 7 + 1.0}
     assert runner.image_step(spark, str(tmp_path / "artifacts"), ["a"]) is None
+
+
+def test_pdf_has_tables_figures_and_numbered_pages():
+    missing = [{"column": f"column {i}", "missing_pct": str(i / 100), "note": "long (text) " * 9} for i in range(60)]
+    c = {"schema": {"files": [{"rel_path": "a\\b.csv", "role": "train_target", "n_rows": 3, "n_cols": 2}], "warnings": ["é and … and 漢"]}, "modeling": {}, "validation": {"status": "passed"}, "eda": {"missingness": missing}, "cv": [], "log": {}}
+    raw = report.pdf(c)
+    pages = raw.count(b"/Type /Page ")
+    assert raw.startswith(b"%PDF-1.4") and raw.endswith(b"%%EOF\n") and pages >= 3
+    assert f"(Page 1 of {pages})".encode() in raw and f"(Page {pages} of {pages})".encode() in raw
+    assert raw.count(b"(column)") == 1 and b"(Missing share by column)" in raw and raw.count(b" re f") > 20  # a heading of one page, bars
+    assert b"long \\(text\\)" in raw and b"a\\\\b.csv" in raw and all(f"{i}. {s}".encode() in raw for i, s in enumerate(report.SECTIONS) if i)
+    start = int(raw.rsplit(b"startxref\n", 1)[1].split()[0])
+    assert raw[start : start + 4] == b"xref"
+    assert [t for t, _ in report.charts(c)] == ["Missing share by column"] and len(report.charts(c)[0][1]) == 24
