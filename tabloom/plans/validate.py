@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import to_number
@@ -53,19 +53,27 @@ def id_difference(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:
     return ids(a).distinct().join(ids(b).withColumnRenamed(row_id, "__id"), F.col(row_id).eqNullSafe(F.col("__id")), "left_anti")
 
 
-def order_mismatches(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:
-    """mismatches: places at which the ids of both tables, in their row order, differ. Both need __ord."""
-    from pyspark.sql import Window
+#: Rows that are ranked together, about.
+RANKED_ROWS = 1_000_000
+
 
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        # __ord rises with the place but may have gaps: rank it in blocks, whose sizes are summed up
-        block = F.shiftright(ORD, 33)
-        sizes = df.groupBy(block.alias("b")).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = sizes.select("b", before.alias("s"))
-        rank = F.row_number().over(Window.partitionBy("b").orderBy(ORD))
-        return df.withColumn("b", block).join(F.broadcast(starts), "b").select((F.col("s") + rank).alias("place"), F.col(f"`{row_id}`").cast("string").alias(name))
+def places(df: DataFrame) -> DataFrame:
+    """df with `place`, 1, 2, ... in the order of __ord, which must be numbers: ranked within ranges of __ord of about RANKED_ROWS
+    rows, each of which starts where the counts of those before it end."""
+    many = -(-df.count() // RANKED_ROWS)
+    bounds = sorted(set(df.approxQuantile(ORD, [k / many for k in range(1, many)], 0.1 / many))) if many > 1 else []
+    block = F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds]), lambda x: x < F.col(ORD))) if bounds else F.lit(0)
+    cut = df.withColumn("__block", block)
+    sizes = cut.groupBy("__block").agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__block", before.alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy(ORD))
+    return cut.join(F.broadcast(starts), "__block").withColumn("place", F.col("__before") + rank).select(*df.columns, "place")
 
+
+def order_mismatches(a: DataFrame, b: DataFrame, row_id: str) -> DataFrame:
+    """mismatches: places at which the ids of both tables, in their row order, differ. Both need __ord."""
+    placed = lambda df, name: places(df.select(F.col(f"`{row_id}`").cast("string").alias(name), ORD)).select("place", name)
     both = placed(a, "__x").join(placed(b, "__y"), "place")
     return both.agg(F.count(F.when(~F.col("__x").eqNullSafe(F.col("__y")), 1)).alias("mismatches"))
 

@@ -410,19 +410,11 @@ def validate_extra_ids(spark, sf_dir):
     SELECT count(*) FILTER (a.c_custkey <> b.c_custkey) AS mismatches FROM a JOIN b USING (place)"""))
 def validate_row_order(spark, sf_dir):
     df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    by_balance = df.withColumn(ordering.ORD, (F.rank().over(_balance()) - 1).cast("long"))
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    by_balance = df.withColumn(ordering.ORD, cents * 1_000_000_000 + F.col("c_custkey"))
     return validate.order_mismatches(df.withColumn(ordering.ORD, F.col("c_custkey")), by_balance, "c_custkey")
 
 
-def _balance():
-    from pyspark.sql import Window
-
-    return Window.orderBy("c_acctbal", "c_custkey")
-
-
-# ---- images ----
-
-
 @query(q("SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_') AS norm, regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS squashed, round(log(1 + greatest(c_acctbal, 0)) / log(exp(1)), 6) AS log_balance FROM customer"))
 def scalar_functions(spark, sf_dir):
     df = read(spark, sf_dir, "customer")

@@ -180,3 +180,11 @@ def test_pdf_has_tables_figures_and_numbered_pages():
     start = int(raw.rsplit(b"startxref\n", 1)[1].split()[0])
     assert raw[start : start + 4] == b"xref"
     assert [t for t, _ in report.charts(c)] == ["Missing share by column"] and len(report.charts(c)[0][1]) == 24
+
+
+def test_places_are_ranked_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(validate, "RANKED_ROWS", 40)
+    df = spark.range(1000).select(F.col("id").alias("row_id"), (F.pmod(F.xxhash64("id"), F.lit(7)) * 100_000 + F.col("id") * 3).alias(ORD)).repartition(5)
+    want = {r.row_id: i for i, r in enumerate(sorted(df.collect(), key=lambda r: r[ORD]), 1)}
+    assert {r.row_id: r.place for r in validate.places(df).collect()} == want
+    assert validate.places(df.limit(0)).count() == 0
