@@ -135,19 +135,48 @@ class Fitted:
         return out.withColumn("prediction", F.when(good, F.col("prediction")).otherwise(F.lit(self.median))).select(*df.columns, "prediction")
 
 
+@dataclass
+class Prepared:
+    """Rows with a finite label as models take them, whichever the candidate: their number, the labels' deviation and median, and,
+    once a candidate needs them, the fitted assembler and the cached features."""
+
+    train: DataFrame
+    target: str
+    numeric: Sequence[str]
+    categories: Sequence[str]
+
+    def __post_init__(self) -> None:
+        self.rows = self.train.where(is_finite(self.target)).withColumn("__label", F.col(self.target).cast("double"))
+        self.n, self.std, self.median = self.rows.agg(F.count("*"), F.stddev_pop("__label"), F.median("__label")).first()
+        self._made: tuple[Assembler, DataFrame] | None = None
+
+    def features(self) -> tuple[Assembler, DataFrame]:
+        if self._made is None:
+            assembler = Assembler(self.numeric, self.categories).fit(self.rows)
+            self._made = assembler, assembler.transform(self.rows).select("features", "__label").cache()
+        return self._made
+
+    def close(self) -> None:
+        if self._made is not None:
+            self._made[1].unpersist()
+            self._made = None
+
+    def fit(self, candidate: Candidate) -> Fitted:
+        """Without features or rows every candidate is the median."""
+        if candidate.make is None or not self.n or not (self.numeric or self.categories):
+            return Fitted(candidate, self.median or 0.0)
+        assembler, features = self.features()
+        estimator = candidate.make(self.std or 1.0, len(self.numeric), self.n).setFeaturesCol("features").setLabelCol("__label").setPredictionCol("prediction")
+        return Fitted(candidate, self.median, assembler, estimator.fit(features))
+
+
 def fit(candidate: Candidate, train: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str]) -> Fitted:
-    """Fit on the rows with a finite label. Without features or rows every candidate is the median."""
-    rows = train.where(is_finite(target)).withColumn("__label", F.col(target).cast("double"))
-    n, std, median = rows.agg(F.count("*"), F.stddev_pop("__label"), F.median("__label")).first()
-    if candidate.make is None or not n or not (numeric or categories):
-        return Fitted(candidate, median or 0.0)
-    assembler = Assembler(numeric, categories).fit(rows)
-    estimator = candidate.make(std or 1.0, len(numeric), n).setFeaturesCol("features").setLabelCol("__label").setPredictionCol("prediction")
-    features = assembler.transform(rows).cache()
+    """Fit on the rows with a finite label."""
+    rows = Prepared(train, target, numeric, categories)
     try:
-        return Fitted(candidate, median, assembler, estimator.fit(features))
+        return rows.fit(candidate)
     finally:
-        features.unpersist()
+        rows.close()
 
 
 CV_SCHEMA = T.StructType([
@@ -194,18 +223,43 @@ class Task:
         return replace(self, train=df)
 
 
-def cross_validate(task: Task, candidate: Candidate, rows: int, strategy: str = "global", block: str = "__all__") -> Row:
+class Folds:
+    """A task's folds, prepared once for all candidates."""
+
+    def __init__(self, task: Task, rows: int):
+        self.task, self.k = task, fold_count(rows)
+        self.folded = with_folds(task.train, self.k, task.key) if self.k else task.train
+        self._made: dict[int, Prepared] = {}
+
+    def train(self, i: int) -> Prepared:
+        if i not in self._made:
+            self._made[i] = Prepared(self.folded.where(F.col("fold") != i), self.task.target, self.task.numeric, self.task.categories)
+        return self._made[i]
+
+    def held_out(self, i: int) -> DataFrame:
+        return self.folded.where(F.col("fold") == i)
+
+    def __enter__(self) -> Folds:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for p in self._made.values():
+            p.close()
+
+
+def cross_validate(task: Task, candidate: Candidate, rows: int, strategy: str = "global", block: str = "__all__", folds: Folds | None = None) -> Row:
     """Mean and deviation (ddof 0) over folds of the candidate's score under the task's metric."""
+    if folds is None:
+        with Folds(task, rows) as own:
+            return cross_validate(task, candidate, rows, strategy, block, own)
     out = Row(strategy, block, candidate.name, metric_mode=task.spec.mode, model_family=candidate.family, is_third_party=candidate.third_party, is_heavy=candidate.heavy, notes=candidate.note)
-    k = fold_count(rows)
-    if k is None:
+    if folds.k is None:
         return replace(out, status="skipped_insufficient_rows", notes=f"{rows} rows are too few for folds")
-    folded = with_folds(task.train, k, task.key)
     parts = []
     try:
-        for i in range(k):
-            model = fit(candidate, folded.where(F.col("fold") != i), task.target, task.numeric, task.categories)
-            parts.append(model.transform(folded.where(F.col("fold") == i)).select(F.lit(i).alias("fold"), task.target, "prediction", *([task.block] if task.block else [])))
+        for i in range(folds.k):
+            model = folds.train(i).fit(candidate)
+            parts.append(model.transform(folds.held_out(i)).select(F.lit(i).alias("fold"), task.target, "prediction", *([task.block] if task.block else [])))
         got = _fold_scores(parts, task)
     except Exception as e:  # one candidate's failure is a row of the table, not the end of the search
         return replace(out, status="failed", notes=f"{type(e).__name__}: {str(e)[:200]}")
@@ -215,7 +269,7 @@ def cross_validate(task: Task, candidate: Candidate, rows: int, strategy: str =
         return replace(out, status="failed", notes="no fold has a finite score")
     mean = lambda x: sum(x) / len(x)
     std = lambda x: (sum((v - mean(x)) ** 2 for v in x) / len(x)) ** 0.5
-    return replace(out, cv_folds=k, score_mean=mean(scores), score_std=std(scores), mae_mean=mean(errors), mae_std=std(errors))
+    return replace(out, cv_folds=folds.k, score_mean=mean(scores), score_std=std(scores), mae_mean=mean(errors), mae_std=std(errors))
 
 
 def _fold_scores(parts: list[DataFrame], task: Task) -> list[tuple[float | None, float | None]]:
@@ -248,14 +302,15 @@ def search_global(task: Task, candidates: Sequence[Candidate], rows: int, clock:
     """The candidate of strictly least score, the first of equals, and all rows; candidates beyond the clock are skipped."""
     found: list[Row] = []
     best, score = None, None
-    for c in candidates:
-        if clock.over():
-            found.append(Row("global", "__all__", c.name, metric_mode=task.spec.mode, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
-            continue
-        r = cross_validate(task, c, rows)
-        found.append(r)
-        if r.status == "ok" and (score is None or r.score_mean < score):
-            best, score = c, r.score_mean
+    with Folds(task, rows) as folds:
+        for c in candidates:
+            if clock.over():
+                found.append(Row("global", "__all__", c.name, metric_mode=task.spec.mode, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+                continue
+            r = cross_validate(task, c, rows, folds=folds)
+            found.append(r)
+            if r.status == "ok" and (score is None or r.score_mean < score):
+                best, score = c, r.score_mean
     return best, score, found
 
 
@@ -283,14 +338,15 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42) -> tuple[dict[str
         best = BlockChoice(None, None)
         enough = s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None
         if enough:
-            for c in select(s["n"], len(task.numeric) + len(task.categories), "per_block", seed):
-                if clock.over():
-                    found.append(Row("per_block", s["b"], c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
-                    continue
-                r = cross_validate(here, c, s["n"], "per_block", s["b"])
-                found.append(r)
-                if r.status == "ok" and (best.score is None or r.score_mean < best.score):
-                    best = BlockChoice(c, r.score_mean)
+            with Folds(here, s["n"]) as folds:
+                for c in select(s["n"], len(task.numeric) + len(task.categories), "per_block", seed):
+                    if clock.over():
+                        found.append(Row("per_block", s["b"], c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+                        continue
+                    r = cross_validate(here, c, s["n"], "per_block", s["b"], folds)
+                    found.append(r)
+                    if r.status == "ok" and (best.score is None or r.score_mean < best.score):
+                        best = BlockChoice(c, r.score_mean)
         if best.candidate is None:
             score = part.where(is_finite(task.target)).agg(F.avg(F.abs(F.col(task.target).cast("double") - F.lit(s["m"])))).first()[0]
             best = BlockChoice(None, score)
