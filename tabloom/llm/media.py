@@ -147,6 +147,8 @@ def parse(content: bytes) -> list[Track]:
     _walk(data, 0, len(data), top, found, 0)
     if b"mvhd" not in top:
         raise Malformed("there is no movie header")
+    if b"moof" in top or b"mvex" in top:
+        raise Malformed("the samples are in fragments, which have no sample tables")
     out = []
     try:
         for t in found:
@@ -183,7 +185,7 @@ TRACKS = (
 def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
     """Add tracks (one struct per track, with codec, duration in timescale units and the keyframes' byte ranges) and
     problem (null, or why the container can't be read) to rows with a binary column. A null or malformed container has
-    null tracks; an empty one is malformed; in a track without a sync-sample table every sample is a keyframe, and
+    null tracks; an empty one is malformed, and so is one in fragments (moof), whose samples stand in no table; in a track without a sync-sample table every sample is a keyframe, and
     ranges that touch are joined. Columns of these names are replaced. Empty tables stay empty; equal contents get equal values."""
     cols = [c for c in df.columns if c not in ("tracks", "problem")]
 

@@ -87,6 +87,12 @@ def test_whatever_is_cut_or_changed_is_malformed_or_read():
             pass
 
 
+def test_fragmented_files_say_so():
+    whole = movie([b"ab", b"cde"], [2])
+    with pytest.raises(media.Malformed, match="fragments"):
+        media.parse(box(b"moof", box(b"mfhd", bytes(8))) + whole)
+
+
 def test_media_columns(spark):
     good = movie(SAMPLES, [3, 2, 2, 1], sync=[1, 4])
     df = spark.createDataFrame([(1, good, 5), (2, None, 5), (3, b"", 5), (4, b"junk", 5), (5, good, 5)], "id long, content binary, tracks int")
