@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import ann, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, sharding, simhash
+from tabloom.llm import ann, collocations, fim, licenses, line_dedup, lm_scoring, media, mixing, packing, quality, secrets, sharding, simhash
 from tabloom.llm.common import table
 
 
@@ -63,9 +63,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source stands for an owner, its texts in one language for a repository."""
+    repo = F.concat_ws("/", "source", F.coalesce("lang", F.lit("")))
+    return secrets.document_digests(table(spark, sf_dir, "documents"), repo=repo)
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op6_ann, op7_sharding, op8_mixing, op9_licenses, op10_simhash)}
+    first = (op1_quality, op2_media, op3_line_dedup, op4_lm_scoring, op5_packing, op6_ann, op7_sharding, op8_mixing, op9_licenses, op10_simhash)
+    return {f.__name__: f for f in (*first, op11_secrets, op12_fim, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.oracle(), "op8_mixing": mixing.oracle()}
+    return {"op3_line_dedup": line_dedup.oracle(), "op8_mixing": mixing.oracle(), "op11_secrets": secrets.oracle(), "op12_fim": fim.ORACLE, "op13_collocations": collocations.ORACLE}
