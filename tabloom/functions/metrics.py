@@ -19,7 +19,7 @@ class MetricSpec:
     mode: str = "global"
     block_column: str | None = None
     block_values: tuple[str, ...] | None = None
-    source: str = "default global MAE"
+    source: str = "nothing but the global error is asked for"
     higher_is_better: bool = False
 
     def as_dict(self) -> dict:
