@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import hot_join, materialize
 
 #: Bytes of text in a shard. Longer texts are cut where a piece ends, since no phrase crosses that.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: So many hashes that passed go to every task (8 bytes each); more of them meet the shards by a shuffle.
+BROADCAST_HASHES = 2_000_000
 #: Phrases of up to so many words are counted by hash before their words are looked at; see `collocations`.
 SIEVED = 3
 
@@ -29,8 +31,12 @@ _CLASS = np.full(256, _WORD, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 
-_SHARD = "shard long, tokens binary, starts binary, words array<string>, langs array<string>, h array<long>, c array<long>"
+_SHARD = "shard long, tokens binary, starts binary, words array<string>, langs array<string>"
 _FOUND = "k array<int>, lang array<string>, phrase array<string>, n array<long>"
+_STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
+_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS)])
+_FOUND_ARROW = pa.schema([("k", pa.list_(pa.int32())), ("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
+_TOTAL_ARROW = pa.schema([("total_lang", _STRINGS), ("total_n", _LONGS)])
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray, at_once: int) -> Iterator[tuple[int, int]]:
@@ -137,25 +143,23 @@ def _spell(words: pa.Array, tokens: np.ndarray, at: np.ndarray, k: int) -> pa.Ar
     return pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
 
 
-def _counted(shard: int, tokens: np.ndarray, allowed: np.ndarray, words: list[str], langs: list[str], k: int) -> dict:
-    """A row of _SHARD with the hashed counts of the phrases of k words that begin at allowed places."""
-    at, count, _, _ = Suffixes(tokens, k, allowed).intervals(k)
-    h = _phrase_hash(_hashes(words, langs), tokens, at, k) if len(at) else np.zeros(0, np.int64)
-    packed = {"tokens": tokens.astype(np.int32).tobytes(), "starts": np.packbits(allowed).tobytes()}
-    return {"shard": shard, **packed, "words": words, "langs": langs, "h": h, "c": count.astype(np.int64)}
+def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, words, langs) -> dict:
+    """A row of _SHARD: tokens, the places at which phrases may begin, and the words of the ids."""
+    return {"shard": shard, "tokens": tokens.astype(np.int32).tobytes(), "starts": np.packbits(starts).tobytes(), "words": words, "langs": langs}
 
 
-def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({f.name: pa.array([r[f.name] for r in rows], f.type) for f in schema}, schema)
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int32)
+    starts = np.unpackbits(np.frombuffer(batch.column("starts")[i].as_buffer(), np.uint8), count=len(tokens)).astype(bool)
+    return batch.column("shard")[i].as_py(), tokens, starts, batch.column("words")[i].values, batch.column("langs")[i].values
 
 
-_STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
-_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS), ("h", _LONGS), ("c", _LONGS)])
-_FOUND_ARROW = pa.schema([("k", pa.list_(pa.int32())), ("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
+def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({f.name: pa.array([row[f.name]], f.type) for f in schema}, schema)
 
 
 def _first(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
-    """Texts to shards with hashed counts of their words."""
+    """Texts to shards and how many words each lang has in them."""
     from pyspark import TaskContext
 
     base, made = TaskContext.get().partitionId() << 32, 0
@@ -167,25 +171,37 @@ def _first(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Recor
             first, end = np.searchsorted(offsets, start, "right") - 1, np.searchsorted(offsets, stop, "left")
             tokens, words, of = shard_tokens(data[start:stop], np.maximum(offsets[first:end] - start, 0), numbers[first:end])
             if len(tokens):
-                spelled = pc.cast(words, pa.large_string()).to_pylist()
-                yield _batch([_counted(base + made, tokens, tokens > 0, spelled, [names[i] for i in of], 1)], _SHARD_ARROW)
+                each = np.bincount(of[tokens[tokens > 0] - 1], minlength=len(names))
+                row = _packed(base + made, tokens, tokens > 0, pc.cast(words, pa.string()), [names[i] for i in of]) | {"total_lang": names, "total_n": each}
+                yield _batch(row, pa.schema([*_SHARD_ARROW, *_TOTAL_ARROW]))
                 made += 1
 
 
-def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Shards whose phrases of k words have been sieved (column kept: the numbers of those left) to their exact counts and, hashed, those of k + 1
-    words; if k is SIEVED or longest, to the exact counts of all longer ones too."""
+def _hashed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of k words of each shard: their numbers in it, hashes and counts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, tokens, starts, words, langs = _unpacked(batch, i)
+            at, count, _, _ = Suffixes(tokens, k, starts).intervals(k)
+            h = _phrase_hash(_hashes(words.to_pylist(), langs.to_pylist()), tokens, at, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(h), pa.array(count.astype(np.int64))], ["shard", "number", "h", "c"])
+
+
+def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Of each shard the exact counts of its phrases of k words that were kept (their hashes are in `often`, sorted, or their numbers in the column kept)
+    and the shard cut down to where phrases of k + 1 words may be; at the last k the exact counts of all longer ones instead."""
     last = k == min(SIEVED, longest)
     schema = _FOUND_ARROW if last else pa.schema([*_SHARD_ARROW, *_FOUND_ARROW])
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i] for name in ("shard", "tokens", "starts", "words", "langs", "kept")}
-            tokens = np.frombuffer(row["tokens"].as_buffer(), np.int32)
-            allowed = np.unpackbits(np.frombuffer(row["starts"].as_buffer(), np.uint8), count=len(tokens)).astype(bool)
+            shard, tokens, allowed, words, langs = _unpacked(batch, i)
             at, count, places, number = Suffixes(tokens, k, allowed).intervals(k)
             kept = np.zeros(len(at), bool)
-            kept[row["kept"].values.to_numpy()] = True
-            words, langs = row["words"].values, row["langs"].values
+            if often is None:
+                kept[batch.column("kept")[i].values.to_numpy()] = True
+            elif len(often):
+                h = _phrase_hash(_hashes(words.to_pylist(), langs.to_pylist()), tokens, at, k)
+                kept = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
             at, count = at[kept], count[kept]
             found = [(k, at, count)]
             starts = np.zeros(len(tokens) + 1, bool)
@@ -204,10 +220,9 @@ def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int) -> Iterator[p
                 "n": np.concatenate([c for _, _, c in found]).astype(np.int64),
             }
             if not last:
-                covered = reduce(np.logical_or, [np.concatenate([np.zeros(i, bool), follow[: len(follow) - i]]) for i in range(k + 1)])
-                rest, follow, used_words, used_langs = _compact(tokens, covered, follow, words.to_pylist(), langs.to_pylist())
-                out |= _counted(row["shard"].as_py(), rest, follow, used_words, used_langs, k + 1)
-            yield _batch([out], schema)
+                covered = reduce(np.logical_or, [np.concatenate([np.zeros(j, bool), follow[: len(follow) - j]]) for j in range(k + 1)])
+                out |= _packed(shard, *_compact(tokens, covered, follow, words.to_pylist(), langs.to_pylist()))
+            yield _batch(out, schema)
 
 
 def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words: list[str], langs: list[str]):
@@ -222,36 +237,40 @@ def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words:
     return ids.astype(np.int32), follow, [words[i] for i in keep], [langs[i] for i in keep]
 
 
-def _sieve(shards: DataFrame, least: int) -> DataFrame:
-    """shards with `kept`: the numbers of their phrases whose hashes occur `least` times over all shards. Hashes that collide only leave more."""
-    hashed = shards.select("shard", F.posexplode(F.arrays_zip("h", "c")).alias("number", "x")).select("shard", "number", F.col("x.h").alias("h"), F.col("x.c").alias("c"))
-    often = hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h")
-    kept = hashed.drop("c").join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
-    return shards.select("shard", "tokens", "starts", "words", "langs").join(kept, "shard")
-
-
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals). phrases: lang, k, phrase, f for every phrase of 1 to `longest` words that occurs `least` times in a
     lang; totals: lang, n (all word occurrences).
 
     Each shard of texts becomes word ids, a suffix array by prefix doubling, and counts from its LCP intervals; counts are merged by
-    key over all shards. So that not every phrase that occurs once must be shuffled, phrases of up to SIEVED words are first merged
+    key over all shards. So that not every phrase that occurs once must be shuffled as text, phrases of up to SIEVED words are first merged
     by a 64-bit hash alone, and a longer phrase is only counted where both its parts of one word less passed. That loses none
-    that occurs `least` times, and the counts returned are summed by the phrases themselves.
+    that occurs `least` times (hashes that collide only let more pass), and the counts returned are summed by the phrases themselves. The hashes that passed are
+    broadcast if they are BROADCAST_HASHES at most; else they are joined to the shards.
     """
     read = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), _SHARD))
-    # a word's occurrences in a shard are its count, in the order of its id
-    totals = shards.select(F.explode(F.arrays_zip("langs", "c")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.c").alias("n"))
+    shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"))
+    totals = shards.select(F.explode(F.arrays_zip("total_lang", "total_n")).alias("x")).groupBy(F.col("x.total_lang").alias("lang")).agg(F.sum("x.total_n").alias("n")).where("n > 0")
     found = []
     for k in range(1, min(SIEVED, longest) + 1):
-        last = k == min(SIEVED, longest)
-        shards = materialize(_sieve(shards, least).mapInArrow(lambda batches, k=k: _next(batches, k, longest), _FOUND if last else f"{_SHARD}, {_FOUND}"))
+        state = shards.select("shard", "tokens", "starts", "words", "langs")
+        hashed = state.mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
+        often = materialize(hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
+        if often.count() <= BROADCAST_HASHES:
+            sent = often.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64)))
+            step = state.mapInArrow(lambda batches, k=k, sent=sent: _next(batches, k, longest, sent.value), _next_schema(k, longest))
+        else:
+            kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
+            step = state.join(kept, "shard").mapInArrow(lambda batches, k=k: _next(batches, k, longest, None), _next_schema(k, longest))
+        shards = materialize(step)
         found.append(shards.select(F.explode(F.arrays_zip("k", "lang", "phrase", "n")).alias("x")).select("x.*"))
     merged = reduce(DataFrame.unionByName, found).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
     return materialize(merged.where(F.col("f") >= least)), totals
 
 
+def _next_schema(k: int, longest: int) -> str:
+    return _FOUND if k == min(SIEVED, longest) else f"{_SHARD}, {_FOUND}"
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, first: int = 2_000, absorb: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The `first` best phrases of 2 to `longest` words of each lang: lang, rank, phrase, a, l, r, n, score.
 
