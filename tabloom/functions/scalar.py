@@ -129,6 +129,6 @@ def month_period(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM"), F.lit("NaT"))
 
 
-def row_bucket(key: Column | str, k: int) -> Column:
-    """A fold 0 .. k-1 by the key's md5, the same in every engine."""
-    return F.pmod(F.conv(F.substring(F.md5(_col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")
+def row_bucket(key: Column | str, k: int | Column) -> Column:
+    """A fold 0 .. k-1 by the key's md5, the same in every engine; k may differ by row."""
+    return F.pmod(F.conv(F.substring(F.md5(_col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint"), k if isinstance(k, Column) else F.lit(k)).cast("int")

@@ -124,11 +124,10 @@ def target_summary(df: DataFrame, target: str) -> DataFrame:
 def target_by_block(df: DataFrame, target: str, block: str) -> DataFrame:
     """Target statistics of each block, null among them; most rows first."""
     x = number(df, target)
-    return (
-        df.groupBy(F.col(block).alias("block"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.avg(x).alias("mean_target"), F.stddev_samp(x).alias("std_target"), F.median(x).alias("median_target"), F.min(x).alias("min_target"), F.max(x).alias("max_target"), _count_null(x).alias("missing_target_count"))
-        .orderBy(F.desc("rows"), F.col("block").asc_nulls_last())
-    )
+    named = df.withColumn("block", F.col(block))
+    out = named.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.avg(x).alias("mean_target"), F.stddev_samp(x).alias("std_target"), F.min(x).alias("min_target"), F.max(x).alias("max_target"), _count_null(x).alias("missing_target_count"))
+    medians = quantiles.grouped_quantiles(named, ["block"], {"m": x}, [0.5]).select(F.col("block").alias("__b"), F.get("m", 0).alias("median_target"))
+    return out.join(medians, F.col("block").eqNullSafe(F.col("__b"))).select("block", "rows", "mean_target", "std_target", "median_target", "min_target", "max_target", "missing_target_count").orderBy(F.desc("rows"), F.col("block").asc_nulls_last())
 
 
 def numeric_summary(df: DataFrame, target: str | None, names: Sequence[str] | None = None) -> DataFrame:

@@ -9,15 +9,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import metrics
 from tabloom.functions.metrics import MetricSpec, block_key
-from tabloom.functions.scalar import is_finite
+from tabloom.functions.scalar import is_finite, row_bucket
 from tabloom.operators.encoders import Assembler
 from tabloom.operators.ordering import ORD, fold_count, with_folds
+from tabloom.operators.quantiles import exact_quantiles, grouped_quantiles
+from tabloom.plans import grouped, trees
+from tabloom.plans.trees import TreeSpec
 
 MIN_BLOCK_ROWS = 15
 DEFAULT_BUDGET_S = 1200
@@ -28,7 +31,8 @@ DEEPEST = 30
 @dataclass(frozen=True)
 class Candidate:
     """A model that may be tried. make: standard deviation of the labels (population) and their number -> estimator, or
-    None for the median of the labels. note: how it differs from the model of that name elsewhere."""
+    None for the median of the labels and for what needs no estimator: linear (alpha, share of the absolute penalty or None for ridge), trees.
+    note: how it differs from the model of that name elsewhere."""
 
     name: str
     family: str
@@ -37,9 +41,13 @@ class Candidate:
     heavy: bool = False
     third_party: bool = False
     note: str = ""
+    linear: tuple[float, float | None] | None = None
+    trees: TreeSpec | None = None
 
 
 def _linear(alpha: float, ratio: float | None, huber: bool = False):
+    """MLlib's estimator: for Huber's loss, and for more terms than sums of products are kept for."""
+
     def make(std: float, n: int, rows: int):
         if huber:
             return LinearRegression(loss="huber", epsilon=1.35, regParam=alpha / max(rows, 1), standardization=False)
@@ -63,10 +71,10 @@ def registry(seed: int = 42) -> list[Candidate]:
     """All built-in candidates."""
     sizes = ((6, 80, "6"), (10, 100, "10"), (DEEPEST, 140, "none"))
     out = [Candidate("dummy_median", "dummy", 900, None)]
-    out += [Candidate(f"ridge_alpha{a}", "ridge", 300, _linear(a, None)) for a in (0.1, 1, 10)]
-    out += [Candidate(f"elastic_net_alpha{a}_l1{r}", "elastic_net", 320, _linear(a, r)) for a, r in ((0.001, 0.1), (0.01, 0.3), (0.1, 0.5))]
+    out += [Candidate(f"ridge_alpha{a}", "ridge", 300, _linear(a, None), linear=(a, None)) for a in (0.1, 1, 10)]
+    out += [Candidate(f"elastic_net_alpha{a}_l1{r}", "elastic_net", 320, _linear(a, r), linear=(a, r)) for a, r in ((0.001, 0.1), (0.01, 0.3), (0.1, 0.5))]
     out += [Candidate("huber_epsilon1p35", "huber", 420, _linear(1e-4, None, True), note="approximate: another scale estimate")]
-    out += [Candidate(f"extra_trees_depth{s}_leaf2_n{t}", "extra_trees", 120, _forest(t, d, seed + 1), s == "none", note="substitute: a random forest; MLlib has no extra trees") for d, t, s in sizes]
+    out += [Candidate(f"extra_trees_depth{s}_leaf2_n{t}", "extra_trees", 120, _forest(t, d, seed + 1), s == "none", note="approximate: cuts are drawn from a node's box", trees=TreeSpec(t, d)) for d, t, s in sizes]
     out += [Candidate(f"random_forest_depth{s}_leaf2_n{t}", "random_forest", 150, _forest(t, d, seed), s == "none", note="approximate: binned splits") for d, t, s in sizes]
     out += [Candidate(f"gradient_boosting_n{n}_lr{r}_depth{d}", "gradient_boosting", 220, _boosted(n, r, d, seed), n >= 120, note="approximate: binned splits") for n, r, d in ((60, 0.05, 2), (80, 0.05, 3), (120, 0.03, 3))]
     out += [Candidate("bagging_tree_depth8_n30", "bagging", 500, _forest(30, 8, seed, leaf=1), True, note="a forest over all features")]
@@ -135,6 +143,55 @@ class Fitted:
         return out.withColumn("prediction", F.when(good, F.col("prediction")).otherwise(F.lit(self.median))).select(*df.columns, "prediction")
 
 
+@dataclass
+class Direct:
+    """A linear model or a forest of trees of all rows: transform() adds `prediction`, the labels' median where it isn't finite."""
+
+    candidate: Candidate
+    median: float
+    value: Callable[[], Column]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("__p", self.value())
+        return out.withColumn("prediction", F.when(is_finite("__p"), F.col("__p")).otherwise(F.lit(self.median))).drop("__p")
+
+
+def _groups(task: Task, k: int, block: Column | None = None, rows: int | None = None) -> grouped.Groups:
+    """The task's rows with a finite label: one group, or one for each block."""
+    good = task.train.where(is_finite(task.target)).withColumn("__label", F.col(task.target).cast("double"))
+    good = good.withColumn("__group", F.lit("all") if block is None else block)
+    key = F.col(task.key) if task.key in task.train.columns else F.monotonically_increasing_id()
+    good = good.withColumn("__key", key.cast("string")).withColumn("__fold", row_bucket("__key", k) if k else F.lit(-1))
+    return grouped.Groups(good, k, task.numeric, task.categories, good.count() if rows is None else rows)
+
+
+def _direct(task: Task, candidate: Candidate) -> Direct | None:
+    """candidate fitted on all rows from one scan of sums, or by growing its trees; None where that can't be (no rows, no features, too many terms)."""
+    groups = _groups(task, 0)
+    if not groups.n_rows or not (task.numeric or task.categories):
+        return None
+    if candidate.linear:
+        solved = grouped.solve(groups, [candidate.linear])
+        if solved is None:
+            return None
+        r = solved.table.first()
+        w = r["__weights"][0][0]
+
+        def value() -> Column:
+            out = F.lit(w[0])
+            for x, c in zip(w[1:], solved.terms.columns):
+                out = out + F.lit(x) * c
+            return out
+
+        return Direct(candidate, r["__medians"][0], value)
+    made = trees.features(groups, not candidate.trees.random)
+    if made is None:
+        return None
+    forest = trees.grow(groups, candidate.trees, made, [0])
+    median = exact_quantiles(groups.rows, {"y": F.col("__label")}, [0.5], groups.n_rows)["y"][0]
+    return Direct(candidate, median, lambda: trees.prediction(forest, made, F.lit(0)))
+
+
 @dataclass
 class Prepared:
     """Rows with a finite label as models take them, whichever the candidate: their number, the labels' deviation and median, and,
@@ -147,7 +204,8 @@ class Prepared:
 
     def __post_init__(self) -> None:
         self.rows = self.train.where(is_finite(self.target)).withColumn("__label", F.col(self.target).cast("double"))
-        self.n, self.std, self.median = self.rows.agg(F.count("*"), F.stddev_pop("__label"), F.median("__label")).first()
+        self.n, self.std = self.rows.agg(F.count("*"), F.stddev_pop("__label")).first()
+        self.median = exact_quantiles(self.rows, {"y": F.col("__label")}, [0.5], self.n)["y"][0]
         self._made: tuple[Assembler, DataFrame] | None = None
 
     def features(self) -> tuple[Assembler, DataFrame]:
@@ -170,8 +228,12 @@ class Prepared:
         return Fitted(candidate, self.median, assembler, estimator.fit(features))
 
 
-def fit(candidate: Candidate, train: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str]) -> Fitted:
+def fit(candidate: Candidate, train: DataFrame, target: str, numeric: Sequence[str], categories: Sequence[str], key: str = ORD) -> Fitted | Direct:
     """Fit on the rows with a finite label."""
+    if candidate.linear or candidate.trees:
+        direct = _direct(Task(train, target, list(numeric), list(categories), key=key), candidate)
+        if direct is not None:
+            return direct
     rows = Prepared(train, target, numeric, categories)
     try:
         return rows.fit(candidate)
@@ -257,6 +319,8 @@ def cross_validate(task: Task, candidate: Candidate, rows: int, strategy: str =
         return replace(out, status="skipped_insufficient_rows", notes=f"{rows} rows are too few for folds")
     parts = []
     try:
+        if candidate.trees and (task.numeric or task.categories) and (made := _forest_row(task, candidate, folds.k)):
+            return replace(made, strategy=strategy, block=block)
         for i in range(folds.k):
             model = folds.train(i).fit(candidate)
             parts.append(model.transform(folds.held_out(i)).select(F.lit(i).alias("fold"), task.target, "prediction", *([task.block] if task.block else [])))
@@ -272,6 +336,52 @@ def cross_validate(task: Task, candidate: Candidate, rows: int, strategy: str =
     return replace(out, cv_folds=folds.k, score_mean=mean(scores), score_std=std(scores), mae_mean=mean(errors), mae_std=std(errors))
 
 
+def _row(task: Task, candidate: Candidate, strategy: str, block: str, scores: Sequence[float], errors: Sequence[float]) -> Row:
+    mean = lambda x: sum(x) / len(x)
+    std = lambda x: (sum((v - mean(x)) ** 2 for v in x) / len(x)) ** 0.5
+    out = Row(strategy, block, candidate.name, metric_mode=task.spec.mode, model_family=candidate.family, is_third_party=candidate.third_party, is_heavy=candidate.heavy, notes=candidate.note)
+    if not scores:
+        return replace(out, status="failed", notes="no fold has a finite score")
+    return replace(out, cv_folds=len(scores), score_mean=mean(scores), score_std=std(scores), mae_mean=mean(errors), mae_std=std(errors))
+
+
+def _official(task: Task) -> Column:
+    wanted = metrics.clean_blocks(task.spec.block_values)
+    return block_key(task.block).isin(wanted) if wanted else F.lit(True)
+
+
+def _side_by_side(task: Task, candidates: Sequence[Candidate], k: int) -> dict[str, Row]:
+    """Rows of the linear candidates and the median, from one scan for all folds' sums and one for all errors. Empty if there are too many terms."""
+    linear = [c for c in candidates if c.linear] if task.numeric or task.categories else []
+    simple = [c for c in candidates if c.family == "dummy"]
+    if not linear and not simple:
+        return {}
+    groups = _groups(task, k)
+    solved = grouped.solve(groups, [c.linear for c in linear])
+    if solved is None:
+        return {}
+    by_block = task.spec.mode == "block_averaged" and task.block
+    got = grouped.errors(groups, solved, [F.col(task.block).alias("__b"), _official(task).alias("__o")] if by_block else [])
+    each = [f"e{i}" for i in range(len(linear) + 1)]
+    sums = [(F.sum(F.col(e) * F.col("n")) / F.sum("n")).alias(f"mae_{e}") for e in each]
+    score = [F.avg(F.when(F.col("__o"), F.col(e)) if by_block else F.col(e)).alias(f"score_{e}") for e in each]
+    rows = got.groupBy("__fold").agg(*sums, *score).orderBy("__fold").collect()
+    pick = lambda name: [r[name] for r in rows if r[name] is not None]
+    return {c.name: _row(task, c, "global", "__all__", pick(f"score_{e}"), pick(f"mae_{e}")) for c, e in zip([*linear, *simple[:1]], [*each[: len(linear)], each[-1]])}
+
+
+def _forest_row(task: Task, candidate: Candidate, k: int) -> Row | None:
+    """All folds' trees grown in shared passes; None if there are too many features."""
+    groups = _groups(task, k)
+    made = trees.features(groups, not candidate.trees.random)
+    if made is None:
+        return None
+    forest = trees.grow(groups, candidate.trees, made, list(range(k)))
+    parts = groups.rows.withColumn("fold", F.col("__fold")).withColumn("prediction", trees.prediction(forest, made, F.col("__fold")))
+    got = _fold_scores([parts.select("fold", task.target, "prediction", *([task.block] if task.block else []))], task)
+    return _row(task, candidate, "global", "__all__", [s for s, _ in got if s is not None], [m for _, m in got if m is not None])
+
+
 def _fold_scores(parts: list[DataFrame], task: Task) -> list[tuple[float | None, float | None]]:
     """(score, mae) of each fold, all folds in one job."""
     rows = parts[0]
@@ -298,16 +408,24 @@ class Clock:
         return time.monotonic() > self.end
 
 
+def _ready(task: Task, candidates: Sequence[Candidate], k: int) -> dict[str, Row]:
+    try:
+        return _side_by_side(task, candidates, k)
+    except Exception:  # each candidate then runs alone, and its own failure is its row
+        return {}
+
+
 def search_global(task: Task, candidates: Sequence[Candidate], rows: int, clock: Clock) -> tuple[Candidate | None, float | None, list[Row]]:
     """The candidate of strictly least score, the first of equals, and all rows; candidates beyond the clock are skipped."""
     found: list[Row] = []
     best, score = None, None
     with Folds(task, rows) as folds:
+        ready = _ready(task, candidates, folds.k) if folds.k and not clock.over() else {}
         for c in candidates:
-            if clock.over():
+            if clock.over() and c.name not in ready:
                 found.append(Row("global", "__all__", c.name, metric_mode=task.spec.mode, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
                 continue
-            r = cross_validate(task, c, rows, folds=folds)
+            r = ready.get(c.name) or cross_validate(task, c, rows, folds=folds)
             found.append(r)
             if r.status == "ok" and (score is None or r.score_mean < score):
                 best, score = c, r.score_mean
@@ -326,36 +444,61 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42) -> tuple[dict[str
     candidate that it skips. The overall score is the mean of
     the blocks' scores (official blocks alone where the description names them)."""
     key = block_key(task.block)
-    sizes = task.train.where(is_finite(task.target) & key.isNotNull()).groupBy(key.alias("b")).agg(F.count("*").alias("n"), F.median(F.col(task.target).cast("double")).alias("m")).orderBy("b").collect()
     official = set(metrics.clean_blocks(task.spec.block_values))
+    train = task.train.where(key.isNotNull() & (key.isin(list(official)) if official else F.lit(True)))
+    here = replace(task, train=train, spec=MetricSpec(), block=None)
+    groups = _groups(here, 1, key)
+    medians = grouped_quantiles(groups.rows, ["__group"], {"m": F.col("__label")}, [0.5], groups.n_rows).select("__group", F.get("m", 0).alias("m"))
+    sizes = groups.rows.join(medians, "__group").groupBy("__group").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("__label") - F.col("m"))).alias("error")).orderBy("__group").collect()
+    pool = select(0, len(task.numeric) + len(task.categories), "per_block", seed)
+    enough = {s["__group"] for s in sizes if s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None}
+    ready = _blocks_ready(here, groups, pool, clock) if enough and not clock.over() else {}
     chosen: dict[str, BlockChoice] = {}
     found: list[Row] = []
     for s in sizes:
-        if official and s["b"] not in official:
-            continue
-        part = task.train.where(key == s["b"])
-        here = replace(task, train=part, spec=MetricSpec(), block=None)
-        best = BlockChoice(None, None)
-        enough = s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None
-        if enough:
-            with Folds(here, s["n"]) as folds:
-                for c in select(s["n"], len(task.numeric) + len(task.categories), "per_block", seed):
-                    if clock.over():
-                        found.append(Row("per_block", s["b"], c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+        b, best, late = s["__group"], BlockChoice(None, None), False
+        rest = [c for c in pool if (b, c.name) not in ready]
+        part = replace(here, train=train.where(key == b))
+        if b in enough:
+            with Folds(part, s["n"]) as folds:
+                for c in pool:
+                    if clock.over() and c in rest:
+                        late = True
+                        found.append(Row("per_block", b, c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
                         continue
-                    r = cross_validate(here, c, s["n"], "per_block", s["b"], folds)
+                    r = ready.get((b, c.name)) or cross_validate(part, c, s["n"], "per_block", b, folds)
                     found.append(r)
                     if r.status == "ok" and (best.score is None or r.score_mean < best.score):
                         best = BlockChoice(c, r.score_mean)
         if best.candidate is None:
-            score = part.where(is_finite(task.target)).agg(F.avg(F.abs(F.col(task.target).cast("double") - F.lit(s["m"])))).first()[0]
-            best = BlockChoice(None, score)
-            found.append(Row("per_block", s["b"], "median_fallback", score_mean=score, mae_mean=score, status="fallback_time_budget" if enough and clock.over() else "fallback_failed" if enough else "fallback_insufficient_rows", notes=f"{s['n']} rows", model_family="dummy"))
-        chosen[s["b"]] = best
+            status = "fallback_insufficient_rows" if b not in enough else "fallback_time_budget" if late else "fallback_failed"
+            best = BlockChoice(None, s["error"])
+            found.append(Row("per_block", b, "median_fallback", score_mean=s["error"], mae_mean=s["error"], status=status, notes=f"{s['n']} rows", model_family="dummy"))
+        chosen[b] = best
     scores = [c.score for c in chosen.values() if c.score is not None]
     return chosen, sum(scores) / len(scores) if scores else None, found
 
 
+def _blocks_ready(task: Task, groups: grouped.Groups, pool: Sequence[Candidate], clock: Clock) -> dict[tuple[str, str], Row]:
+    """Rows of the linear candidates and the median for every block that is large enough, all blocks and folds in one aggregate and one pass for errors."""
+    linear = [c for c in pool if c.linear] if task.numeric or task.categories else []
+    simple = [c for c in pool if c.family == "dummy"][:1]
+    counts = groups.rows.groupBy("__group").agg(F.count("*").alias("__n")).where(F.col("__n") >= max(MIN_BLOCK_ROWS, 20))
+    k = F.when(F.col("__n") >= 1000, 3).when(F.col("__n") >= 50, 5).otherwise(3)  # as fold_count()
+    rows = groups.rows.join(counts, "__group").withColumn("__fold", row_bucket("__key", k)).drop("__n")
+    folded = replace(groups, rows=rows, folds=5)
+    solved = grouped.solve(folded, [c.linear for c in linear])
+    if solved is None:
+        return {}
+    out: dict[tuple[str, str], Row] = {}
+    each = [f"e{i}" for i in range(len(linear))] + [f"e{len(linear)}"]
+    per = grouped.errors(folded, solved).groupBy("__group").agg(*[F.collect_list(e).alias(e) for e in each])
+    for r in per.collect():
+        for c, e in zip([*linear, *simple], each):
+            out[r["__group"], c.name] = _row(task, c, "per_block", r["__group"], r[e], r[e])
+    return out
+
+
 @dataclass
 class Selection:
     strategy: str
@@ -394,24 +537,28 @@ def cv_frame(spark, rows: Sequence[Row]) -> DataFrame:
 
 @dataclass
 class Predictor:
-    """What was chosen, fitted: predict() adds `prediction` to rows, all blocks in one plan."""
+    """What was chosen, fitted: predict() adds `prediction` to rows. Blocks with a linear model or the median share one plan, in which their weights are joined to the rows;
+    `models` are the few others."""
 
-    models: dict[str, Fitted]
-    whole: Fitted
-    medians: dict[str, float]
-    block: str | None
+    models: dict[str, Fitted | Direct]
+    whole: Fitted | Direct
+    medians: DataFrame | None = None
+    block: str | None = None
+    solved: grouped.Solved | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        if not self.models and not self.medians:
+        if self.block is None:
             return self.whole.transform(df)
         key = block_key(self.block)
-        known = list(self.models)
         parts = [m.transform(df.where(key == b)) for b, m in self.models.items()]
-        rest = df.where(~F.coalesce(key.isin(known), F.lit(False)))
-        value = F.lit(self.whole.median)
-        for b, m in self.medians.items():
-            value = F.when(key == b, F.lit(m)).otherwise(value)
-        out = rest.withColumn("prediction", value)
+        rest = df.where(~F.coalesce(key.isin(list(self.models)), F.lit(False))) if self.models else df
+        met = rest.withColumn("__group", key).join(self.medians, "__group", "left")
+        value = F.coalesce("__median", F.lit(self.whole.median))
+        if self.solved is not None:
+            met = self.solved.joined(met, "left")
+            p = self.solved.prediction(F.lit(self.solved.folds), F.col("__model"))
+            value = F.when(F.col("__model").isNotNull() & is_finite(p), p).otherwise(value)
+        out = met.withColumn("prediction", value).select(*df.columns, "prediction")
         for p in parts:
             out = out.unionByName(p)
         return out
@@ -421,30 +568,41 @@ def fit_selection(task: Task, chosen: Selection) -> Predictor:
     """Fit the chosen strategy on all rows with a label; blocks of the median strategy, and blocks unseen in training, get medians."""
     dummy = Candidate("dummy_median", "dummy", 900, None)
     if chosen.strategy == "global":
-        return Predictor({}, fit(chosen.candidate or dummy, task.train, task.target, task.numeric, task.categories), {}, None)
+        return Predictor({}, fit(chosen.candidate or dummy, task.train, task.target, task.numeric, task.categories, task.key))
     key = block_key(task.block)
-    models, med = {}, block_medians(task.train, task.target, task.block)
-    for b, c in chosen.blocks.items():
-        if c.candidate is not None:
-            models[b] = fit(c.candidate, task.train.where(key == b), task.target, task.numeric, task.categories)
-    return Predictor(models, fit(dummy, task.train, task.target, [], []), {b: m for b, m in med.items() if b not in models}, task.block)
+    groups = _groups(replace(task, train=task.train.where(key.isNotNull())), 0, key)
+    medians = grouped_quantiles(groups.rows, ["__group"], {"m": F.col("__label")}, [0.5], groups.n_rows).select("__group", F.get("m", 0).alias("__median"))
+    picked = {b: c.candidate for b, c in chosen.blocks.items() if c.candidate is not None and c.candidate.family != "dummy"}
+    linear = list(dict.fromkeys(c.linear for c in picked.values() if c.linear))
+    solved = grouped.solve(groups, linear) if linear and (task.numeric or task.categories) else None
+    models = {}
+    numbers = []
+    for b, c in picked.items():
+        if c.linear and solved is not None:
+            numbers.append((b, linear.index(c.linear)))
+        else:
+            models[b] = fit(c, task.train.where(key == b), task.target, task.numeric, task.categories, task.key)
+    if numbers:
+        medians = medians.join(task.train.sparkSession.createDataFrame(numbers, "__group string, __model int"), "__group", "left")
+    return Predictor(models, fit(dummy, task.train, task.target, [], []), medians, task.block, solved if numbers else None)
 
 
 def block_medians(train: DataFrame, target: str, block: str) -> dict[str, float]:
-    """Median label of each block that isn't null, by its normalised value. Blocks are few: the search has visited each."""
-    got = train.where(is_finite(target) & F.col(block).isNotNull()).groupBy(block_key(block).alias("b")).agg(F.median(F.col(target).cast("double")).alias("m"))
-    return {r["b"]: r["m"] for r in got.collect()}
+    """Median label of each block that isn't null, by its normalised value."""
+    rows = train.where(is_finite(target) & F.col(block).isNotNull()).select(block_key(block).alias("b"), F.col(target).alias("y"))
+    return {r["b"]: r["m"][0] for r in grouped_quantiles(rows, ["b"], {"m": F.col("y")}, [0.5]).collect()}
 
 
 def fallback_predictions(train: DataFrame, target: str, rows: DataFrame, block: str | None = None) -> DataFrame:
     """rows with `prediction`: their block's median label, else the median of all, else 0."""
     good = train.where(is_finite(target))
     y = F.col(target).cast("double")
-    whole = F.broadcast(good.agg(F.coalesce(F.median(y), F.lit(0.0)).alias("__all")))  # one row
+    whole = exact_quantiles(good, {"y": y}, [0.5])["y"][0] or 0.0
     if not block or block not in train.columns or block not in rows.columns:
-        return rows.join(whole).withColumnRenamed("__all", "prediction")
-    by = good.where(F.col(block).isNotNull()).groupBy(F.col(block).alias("__b")).agg(F.median(y).alias("__m"))
-    return rows.join(by, F.col(block) == F.col("__b"), "left").join(whole).withColumn("prediction", F.coalesce("__m", "__all")).drop("__b", "__m", "__all")
+        return rows.withColumn("prediction", F.lit(whole))
+    named = good.where(F.col(block).isNotNull()).select(F.col(block).alias("__b"), y.alias("__y"))
+    by = grouped_quantiles(named, ["__b"], {"__m": F.col("__y")}, [0.5]).select("__b", F.get("__m", 0).alias("__m"))
+    return rows.join(by, F.col(block) == F.col("__b"), "left").withColumn("prediction", F.coalesce("__m", F.lit(whole))).drop("__b", "__m")
 
 
 def repair(predictions: DataFrame, fallback: float, not_negative: bool) -> DataFrame:
