@@ -18,8 +18,8 @@ from tabloom.llm.common import hot_join, materialize
 SHARD_BYTES = 4 << 20
 #: So many hashes that passed go to every task (8 bytes each); more of them meet the shards by a shuffle.
 BROADCAST_HASHES = 2_000_000
-#: Phrases of up to so many words are counted by hash before their words are looked at; see `collocations`.
-SIEVED = 3
+#: Bits of the hashes by which phrases are first merged; phrases that share one only pass together.
+HASH_BITS = 40
 
 #: A cut's score; 1000 * a * n may pass 64 bits, and a quotient of decimals without scale is exact.
 SCORE = "(1000BD * cast({a} as decimal(15,0)) * cast({n} as decimal(18,0))) div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))"
@@ -31,10 +31,10 @@ _CLASS = np.full(256, _WORD, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 
-_SHARD = "shard long, tokens binary, starts binary, words array<string>, langs array<string>"
+_SHARD = "shard long, tokens binary, starts binary, hashes binary, words array<string>, langs array<string>"
 _FOUND = "k array<int>, lang array<string>, phrase array<string>, n array<long>"
 _STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
-_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS)])
+_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS)])
 _FOUND_ARROW = pa.schema([("k", pa.list_(pa.int32())), ("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
 _TOTAL_ARROW = pa.schema([("total_lang", _STRINGS), ("total_n", _LONGS)])
 
@@ -84,6 +84,19 @@ def shard_tokens(data: np.ndarray, text_starts: np.ndarray, text_langs: np.ndarr
     return tokens, words, (pairs // len(coded.dictionary)).astype(np.int32)
 
 
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ranks): places by key, equal ones by place, and the key's rank, equal ones alike. Key and place are sorted as one number where they fit."""
+    n, bits = len(key), int(len(key)).bit_length()
+    if not n or int(key.max()).bit_length() + bits > 62:
+        return np.argsort(key, kind="stable"), np.unique(key, return_inverse=True)[1]
+    both = (key << bits) | np.arange(n)
+    both.sort()
+    order, key = both & ((1 << bits) - 1), both >> bits
+    ranks = np.empty(n, np.int64)
+    ranks[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    return order, ranks
+
+
 class Suffixes:
     """Suffix array of word ids (0 ends a piece) by prefix doubling, as deep as `depth` words, of the places in `of`."""
 
@@ -98,11 +111,11 @@ class Suffixes:
             behind = np.zeros(n, np.int64)
             behind[: n - step] = rank[step:]
             behind[self.left <= step] = 0
-            rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + behind, return_inverse=True)[1]
+            rank = ranked(rank * (int(rank.max(initial=0)) + 1) + behind)[1]
             width += step
             self.ranks[width] = rank
         places = np.flatnonzero(of)
-        self.places = places[np.argsort(rank[places], kind="stable")]
+        self.places = places[ranked(rank[places])[0]]
         self.depth = depth
         self.lcp = self._lcp()
 
@@ -135,7 +148,8 @@ def _phrase_hash(word_hash: np.ndarray, tokens: np.ndarray, at: np.ndarray, k: i
     out = np.full(len(at), k, np.uint64)
     for i in range(k):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word_hash[tokens[at + i] - 1]
-    return out.view(np.int64)
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (out >> np.uint64(64 - HASH_BITS)).view(np.int64)
 
 
 def _spell(words: pa.Array, tokens: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
@@ -143,15 +157,16 @@ def _spell(words: pa.Array, tokens: np.ndarray, at: np.ndarray, k: int) -> pa.Ar
     return pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
 
 
-def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, words, langs) -> dict:
-    """A row of _SHARD: tokens, the places at which phrases may begin, and the words of the ids."""
-    return {"shard": shard, "tokens": tokens.astype(np.int32).tobytes(), "starts": np.packbits(starts).tobytes(), "words": words, "langs": langs}
+def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, hashes: np.ndarray, words, langs) -> dict:
+    """A row of _SHARD: tokens, the places at which phrases may begin, and the words of the ids with their hashes."""
+    return {"shard": shard, "tokens": tokens.astype(np.int32).tobytes(), "starts": np.packbits(starts).tobytes(), "hashes": hashes.tobytes(), "words": words, "langs": langs}
 
 
-def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, tokens, places and hashes of a shard."""
     tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int32)
     starts = np.unpackbits(np.frombuffer(batch.column("starts")[i].as_buffer(), np.uint8), count=len(tokens)).astype(bool)
-    return batch.column("shard")[i].as_py(), tokens, starts, batch.column("words")[i].values, batch.column("langs")[i].values
+    return batch.column("shard")[i].as_py(), tokens, starts, np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
 
 
 def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -172,7 +187,8 @@ def _first(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Recor
             tokens, words, of = shard_tokens(data[start:stop], np.maximum(offsets[first:end] - start, 0), numbers[first:end])
             if len(tokens):
                 each = np.bincount(of[tokens[tokens > 0] - 1], minlength=len(names))
-                row = _packed(base + made, tokens, tokens > 0, pc.cast(words, pa.string()), [names[i] for i in of]) | {"total_lang": names, "total_n": each}
+                words, langs = pc.cast(words, pa.string()), [names[i] for i in of]
+                row = _packed(base + made, tokens, tokens > 0, _hashes(words.to_pylist(), langs), words, langs) | {"total_lang": names, "total_n": each}
                 yield _batch(row, pa.schema([*_SHARD_ARROW, *_TOTAL_ARROW]))
                 made += 1
 
@@ -181,60 +197,51 @@ def _hashed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     """The phrases of k words of each shard: their numbers in it, hashes and counts."""
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, tokens, starts, words, langs = _unpacked(batch, i)
+            shard, tokens, starts, hashes = _unpacked(batch, i)
             at, count, _, _ = Suffixes(tokens, k, starts).intervals(k)
-            h = _phrase_hash(_hashes(words.to_pylist(), langs.to_pylist()), tokens, at, k)
+            h = _phrase_hash(hashes, tokens, at, k)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(h), pa.array(count.astype(np.int64))], ["shard", "number", "h", "c"])
 
 
 def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Of each shard the exact counts of its phrases of k words that were kept (their hashes are in `often`, sorted, or their numbers in the column kept)
-    and the shard cut down to where phrases of k + 1 words may be; at the last k the exact counts of all longer ones instead."""
-    last = k == min(SIEVED, longest)
+    and, but for the last k, the shard cut down to where phrases of k + 1 words may be."""
+    last = k == longest
     schema = _FOUND_ARROW if last else pa.schema([*_SHARD_ARROW, *_FOUND_ARROW])
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, tokens, allowed, words, langs = _unpacked(batch, i)
+            shard, tokens, allowed, hashes = _unpacked(batch, i)
+            words, langs = batch.column("words")[i].values, batch.column("langs")[i].values
             at, count, places, number = Suffixes(tokens, k, allowed).intervals(k)
             kept = np.zeros(len(at), bool)
             if often is None:
                 kept[batch.column("kept")[i].values.to_numpy()] = True
             elif len(often):
-                h = _phrase_hash(_hashes(words.to_pylist(), langs.to_pylist()), tokens, at, k)
+                h = _phrase_hash(hashes, tokens, at, k)
                 kept = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
             at, count = at[kept], count[kept]
-            found = [(k, at, count)]
-            starts = np.zeros(len(tokens) + 1, bool)
-            starts[places[kept[number]]] = True
-            follow = starts[:-1] & starts[1:]  # phrases of k + 1 words of which both parts are left
-            if last:
-                suffixes, of = Suffixes(tokens, longest, follow), follow
-                for j in range(k + 1, longest + 1):
-                    at, count = suffixes.intervals(j)[:2]
-                    found.append((j, at[of[at]], count[of[at]]))
-                    of = of & np.append(of[1:], False)
-            out = {
-                "k": np.concatenate([np.full(len(a), j, np.int32) for j, a, _ in found]),
-                "lang": pa.concat_arrays([langs.take(pa.array(tokens[a] - 1)) for _, a, _ in found]),
-                "phrase": pa.concat_arrays([_spell(words, tokens, a, j) for j, a, _ in found]),
-                "n": np.concatenate([c for _, _, c in found]).astype(np.int64),
-            }
+            out = {"k": np.full(len(at), k, np.int32), "lang": langs.take(pa.array(tokens[at] - 1)), "phrase": _spell(words, tokens, at, k), "n": count.astype(np.int64)}
             if not last:
-                covered = reduce(np.logical_or, [np.concatenate([np.zeros(j, bool), follow[: len(follow) - j]]) for j in range(k + 1)])
-                out |= _packed(shard, *_compact(tokens, covered, follow, words.to_pylist(), langs.to_pylist()))
+                starts = np.zeros(len(tokens) + 1, bool)
+                starts[places[kept[number]]] = True
+                follow = starts[:-1] & starts[1:]  # phrases of k + 1 words of which both parts are left
+                covered = follow.copy()
+                for j in range(1, min(k + 1, len(follow))):
+                    covered[j:] |= follow[:-j]
+                out |= _packed(shard, *_compact(tokens, covered, follow, hashes, words, langs))
             yield _batch(out, schema)
 
 
-def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words: list[str], langs: list[str]):
+def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, hashes: np.ndarray, words: pa.Array, langs: pa.Array):
     """Only the covered places and the words that they use; whatever lies between becomes one end of a piece."""
     ends = np.concatenate([[False], covered[:-1]]) & ~covered
     stay = covered | ends
     tokens, follow = np.where(covered, tokens, 0)[stay], follow[stay]
-    used, ids = np.unique(tokens, return_inverse=True)
-    if not len(used) or used[0]:  # no end: nothing is left
-        used, ids = np.concatenate([[0], used]), ids + 1
-    keep = used[1:] - 1
-    return ids.astype(np.int32), follow, [words[i] for i in keep], [langs[i] for i in keep]
+    used = np.zeros(len(hashes) + 1, bool)
+    used[tokens] = True
+    used[0] = True
+    keep = np.flatnonzero(used)[1:] - 1
+    return (np.cumsum(used) - 1)[tokens], follow, hashes[keep], words.take(pa.array(keep)), langs.take(pa.array(keep))
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -242,8 +249,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     lang; totals: lang, n (all word occurrences).
 
     Each shard of texts becomes word ids, a suffix array by prefix doubling, and counts from its LCP intervals; counts are merged by
-    key over all shards. So that not every phrase that occurs once must be shuffled as text, phrases of up to SIEVED words are first merged
-    by a 64-bit hash alone, and a longer phrase is only counted where both its parts of one word less passed. That loses none
+    key over all shards. So that not every phrase that occurs once must be shuffled as text, phrases of 1, 2, ... words are first merged
+    by a hash alone, and a longer phrase is only counted where both its parts of one word less passed. That loses none
     that occurs `least` times (hashes that collide only let more pass), and the counts returned are summed by the phrases themselves. The hashes that passed are
     broadcast if they are BROADCAST_HASHES at most; else they are joined to the shards.
     """
@@ -251,9 +258,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"))
     totals = shards.select(F.explode(F.arrays_zip("total_lang", "total_n")).alias("x")).groupBy(F.col("x.total_lang").alias("lang")).agg(F.sum("x.total_n").alias("n")).where("n > 0")
     found = []
-    for k in range(1, min(SIEVED, longest) + 1):
-        state = shards.select("shard", "tokens", "starts", "words", "langs")
-        hashed = state.mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
+    for k in range(1, longest + 1):
+        state = shards.select("shard", "tokens", "starts", "hashes", "words", "langs")
+        hashed = state.drop("words", "langs").mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
         often = materialize(hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
         if often.count() <= BROADCAST_HASHES:
             sent = often.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64)))
@@ -268,7 +275,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
 
 
 def _next_schema(k: int, longest: int) -> str:
-    return _FOUND if k == min(SIEVED, longest) else f"{_SHARD}, {_FOUND}"
+    return _FOUND if k == longest else f"{_SHARD}, {_FOUND}"
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, first: int = 2_000, absorb: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -81,6 +81,19 @@ def test_products_pass_64_bits(spark):
     assert got == 1000 * a * n // (l * r)
 
 
+def test_hashes_that_collide_let_more_pass_only(spark, monkeypatch):
+    """With 3 bits nearly every phrase passes; the counts stay exact."""
+    monkeypatch.setattr(c, "HASH_BITS", 3)
+    rows = texts(6)
+    assert sorted(map(tuple, c.collocations(spark.createDataFrame(rows, SCHEMA), least=4).collect())) == brute(rows, least=4)
+
+
+def test_ranks_of_large_and_small_numbers():
+    for key in (np.array([5, 1, 5, 0, 1]), np.array([2**60, 3, 2**60, 7]), np.zeros(0, np.int64)):
+        order, ranks = c.ranked(key)
+        assert list(order) == list(np.argsort(key, kind="stable")) and list(ranks) == list(np.unique(key, return_inverse=True)[1])
+
+
 def test_suffix_array_is_sorted_with_true_lcps():
     rnd = np.random.default_rng(5)
     for depth in (1, 2, 3, 4, 5, 6):
