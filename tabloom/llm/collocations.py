@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import hot_join, materialize
 
 #: Bytes of text in a shard. Longer texts are cut where a piece ends, since no phrase crosses that.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: So many hashes that passed go to every task (8 bytes each); more of them meet the shards by a shuffle.
 BROADCAST_HASHES = 2_000_000
 #: Bits of the hashes by which phrases are first merged; phrases that share one only pass together.
