@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabloom.functions import metrics
 from tabloom.functions.metrics import MetricSpec, block_key
 from tabloom.functions.scalar import is_finite, row_bucket
-from tabloom.operators.encoders import Assembler
+from tabloom.operators.encoders import Assembler, impute
 from tabloom.operators.ordering import ORD, fold_count, with_folds
 from tabloom.operators.quantiles import exact_quantiles, grouped_quantiles
 from tabloom.plans import grouped, trees
@@ -26,6 +26,8 @@ MIN_BLOCK_ROWS = 15
 DEFAULT_BUDGET_S = 1200
 #: The deepest tree that MLlib grows; stands for unlimited depth.
 DEEPEST = 30
+#: Forests up to this depth grow in shared passes; deeper ones have too many (node, cut) pairs to merge and are MLlib's.
+SHALLOW = 6
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ def registry(seed: int = 42) -> list[Candidate]:
     out += [Candidate(f"elastic_net_alpha{a}_l1{r}", "elastic_net", 320, _linear(a, r), linear=(a, r)) for a, r in ((0.001, 0.1), (0.01, 0.3), (0.1, 0.5))]
     out += [Candidate("huber_epsilon1p35", "huber", 420, _linear(1e-4, None, True), note="approximate: another scale estimate")]
     out += [Candidate(f"extra_trees_depth{s}_leaf2_n{t}", "extra_trees", 120, _forest(t, d, seed + 1), s == "none", note="approximate: cuts are drawn from a node's box", trees=TreeSpec(t, d)) for d, t, s in sizes]
-    out += [Candidate(f"random_forest_depth{s}_leaf2_n{t}", "random_forest", 150, _forest(t, d, seed), s == "none", note="approximate: binned splits") for d, t, s in sizes]
+    out += [Candidate(f"random_forest_depth{s}_leaf2_n{t}", "random_forest", 150, _forest(t, d, seed), s == "none", note="approximate: binned splits", trees=TreeSpec(t, d, random=False) if d <= SHALLOW else None) for d, t, s in sizes]
     out += [Candidate(f"gradient_boosting_n{n}_lr{r}_depth{d}", "gradient_boosting", 220, _boosted(n, r, d, seed), n >= 120, note="approximate: binned splits") for n, r, d in ((60, 0.05, 2), (80, 0.05, 3), (120, 0.03, 3))]
     out += [Candidate("bagging_tree_depth8_n30", "bagging", 500, _forest(30, 8, seed, leaf=1), True, note="a forest over all features")]
     return out + boosters()
@@ -207,6 +209,7 @@ class Prepared:
         self.n, self.std = self.rows.agg(F.count("*"), F.stddev_pop("__label")).first()
         self.median = exact_quantiles(self.rows, {"y": F.col("__label")}, [0.5], self.n)["y"][0]
         self._made: tuple[Assembler, DataFrame] | None = None
+        self._merged: tuple[Assembler, DataFrame, bool] | None = None
 
     def features(self) -> tuple[Assembler, DataFrame]:
         if self._made is None:
@@ -214,17 +217,34 @@ class Prepared:
             self._made = assembler, assembler.transform(self.rows).select("features", "__label").cache()
         return self._made
 
+    def merged(self) -> tuple[Assembler, DataFrame] | None:
+        """The features with rows of equal features as one, with their mean label and their number as `__weight`; None unless that halves the rows. For
+        squared errors a fit on these is the fit on all rows."""
+        if self._merged is None:
+            assembler = Assembler(self.numeric, self.categories).fit(self.rows)
+            names = [*self.numeric, *self.categories]
+            alike = impute(self.rows, assembler.numbers, assembler.texts).groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.avg("__label").alias("__label"), F.count("*").cast("double").alias("__weight"))
+            cells = assembler.transform(alike).select("features", "__label", "__weight").cache()
+            self._merged = assembler, cells, 2 * cells.count() <= self.n
+        return self._merged[:2] if self._merged[2] else None
+
     def close(self) -> None:
         if self._made is not None:
             self._made[1].unpersist()
             self._made = None
+        if self._merged is not None:
+            self._merged[1].unpersist()
+            self._merged = None
 
     def fit(self, candidate: Candidate) -> Fitted:
         """Without features or rows every candidate is the median."""
         if candidate.make is None or not self.n or not (self.numeric or self.categories):
             return Fitted(candidate, self.median or 0.0)
-        assembler, features = self.features()
+        merged = self.merged() if candidate.family == "gradient_boosting" else None
+        assembler, features = merged or self.features()
         estimator = candidate.make(self.std or 1.0, len(self.numeric), self.n).setFeaturesCol("features").setLabelCol("__label").setPredictionCol("prediction")
+        if merged:
+            estimator.setWeightCol("__weight")
         return Fitted(candidate, self.median, assembler, estimator.fit(features))
 
 
@@ -438,7 +458,7 @@ class BlockChoice:
     score: float | None
 
 
-def search_per_block(task: Task, clock: Clock, seed: int = 42) -> tuple[dict[str, BlockChoice], float | None, list[Row]]:
+def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Sequence[Candidate] | None = None) -> tuple[dict[str, BlockChoice], float | None, list[Row]]:
     """For each block (by its normalised value) the best candidate, scored by MAE within it. Blocks of under
     MIN_BLOCK_ROWS rows, or too few for folds, take their median, scored on the rows it comes from, and so do those that the clock leaves no time for, with a row for each
     candidate that it skips. The overall score is the mean of
@@ -450,26 +470,28 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42) -> tuple[dict[str
     groups = _groups(here, 1, key)
     medians = grouped_quantiles(groups.rows, ["__group"], {"m": F.col("__label")}, [0.5], groups.n_rows).select("__group", F.get("m", 0).alias("m"))
     sizes = groups.rows.join(medians, "__group").groupBy("__group").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("__label") - F.col("m"))).alias("error")).orderBy("__group").collect()
-    pool = select(0, len(task.numeric) + len(task.categories), "per_block", seed)
+    pool = candidates if candidates is not None else select(0, len(task.numeric) + len(task.categories), "per_block", seed)
     enough = {s["__group"] for s in sizes if s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None}
     ready = _blocks_ready(here, groups, pool, clock) if enough and not clock.over() else {}
     chosen: dict[str, BlockChoice] = {}
     found: list[Row] = []
     for s in sizes:
         b, best, late = s["__group"], BlockChoice(None, None), False
-        rest = [c for c in pool if (b, c.name) not in ready]
-        part = replace(here, train=train.where(key == b))
-        if b in enough:
-            with Folds(part, s["n"]) as folds:
-                for c in pool:
-                    if clock.over() and c in rest:
-                        late = True
-                        found.append(Row("per_block", b, c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
-                        continue
-                    r = ready.get((b, c.name)) or cross_validate(part, c, s["n"], "per_block", b, folds)
-                    found.append(r)
-                    if r.status == "ok" and (best.score is None or r.score_mean < best.score):
-                        best = BlockChoice(c, r.score_mean)
+        alone = None  # the block's own rows and folds, for candidates that aren't ready
+        for c in pool if b in enough else ():
+            r = ready.get((b, c.name))
+            if r is None and clock.over():
+                late = True
+                found.append(Row("per_block", b, c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+                continue
+            if r is None:
+                alone = alone or Folds(replace(here, train=train.where(key == b)), s["n"])
+                r = cross_validate(alone.task, c, s["n"], "per_block", b, alone)
+            found.append(r)
+            if r.status == "ok" and (best.score is None or r.score_mean < best.score):
+                best = BlockChoice(c, r.score_mean)
+        if alone:
+            alone.__exit__()
         if best.candidate is None:
             status = "fallback_insufficient_rows" if b not in enough else "fallback_time_budget" if late else "fallback_failed"
             best = BlockChoice(None, s["error"])

@@ -269,32 +269,71 @@ def strategy_report(spark, sf_dir):
     return _rounded(report.strategy_comparison(models.cv_frame(spark, _selection(spark, sf_dir).rows)), "strategy_score")
 
 
+def _suppliers(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_acctbal", "n_name")
+
+
 def _nation_task(spark, sf_dir) -> models.Task:
-    df = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where("s_suppkey <= 60").select("s_suppkey", "s_acctbal", "n_name")
-    return models.Task(df, "s_acctbal", [], [], MetricSpec(mode="block_averaged", block_column="n_name"), block="n_name", key="s_suppkey")
+    return models.Task(_suppliers(spark, sf_dir), "s_acctbal", [], [], MetricSpec(mode="block_averaged", block_column="n_name"), block="n_name", key="s_suppkey")
 
 
-_SMALL = "(SELECT s_suppkey, s_acctbal AS y, lower(trim(n_name)) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey <= 60)"
-_SMALL_MEDIANS = f"b AS (SELECT b, median(y) AS m, count(*) AS n FROM {_SMALL} GROUP BY b)"
+_DUMMY = [c for c in models.registry() if c.family == "dummy"]
+_BY_NATION = "(SELECT s_suppkey, s_acctbal AS y, lower(trim(n_name)) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_FOLDS = "CASE WHEN n >= 1000 THEN 3 WHEN n >= 50 THEN 5 ELSE 3 END"
 
 
-@query(q(f"WITH {_SMALL_MEDIANS} SELECT b AS block, round(avg(abs(y - m)), 6) AS score_mean, CASE WHEN any_value(n) < 15 THEN 'fallback_insufficient_rows' END AS status, any_value(n) || ' rows' AS notes FROM {_SMALL} JOIN b USING (b) GROUP BY b"))
+@query(q(f"""WITH b AS (SELECT b, median(y) AS m, count(*) AS n FROM {_BY_NATION} GROUP BY b), f AS (SELECT b, y, n, {_FOLD.replace('o_orderkey', 's_suppkey').replace('% 3', f'% {_FOLDS}')} AS fold FROM {_BY_NATION} JOIN b USING (b) WHERE n >= 20),
+    k AS (SELECT DISTINCT b, fold FROM f), m AS (SELECT k.b, k.fold, median(f.y) AS med FROM k JOIN f ON f.b = k.b AND f.fold <> k.fold GROUP BY k.b, k.fold), e AS (SELECT b, fold, avg(abs(y - med)) AS mae FROM f JOIN m USING (b, fold) GROUP BY b, fold)
+    SELECT b AS block, round(avg(abs(y - m)), 6) AS score_mean, 'fallback_insufficient_rows' AS status, any_value(n) || ' rows' AS notes FROM {_BY_NATION} JOIN b USING (b) WHERE n < 20 GROUP BY b UNION ALL SELECT b, round(avg(mae), 6), 'ok', '' FROM e GROUP BY b"""))
 def block_fallbacks(spark, sf_dir):
-    """Blocks too small for models: their medians, scored on the rows that they come from."""
-    task = _nation_task(spark, sf_dir)
-    _, _, rows = models.search_per_block(task, models.Clock(3600))
+    """Blocks too small for models: their medians, scored on the rows that they come from. Larger ones: the median's cross-validated score."""
+    _, _, rows = models.search_per_block(_nation_task(spark, sf_dir), models.Clock(3600), candidates=_DUMMY)
     return _rounded(models.cv_frame(spark, rows), "score_mean", digits=6).select("block", "score_mean", "status", "notes")
 
 
-@query(q(f"""WITH {_SMALL_MEDIANS}, g AS (SELECT median(y) AS m FROM {_SMALL}) SELECT s_suppkey, n_name, coalesce(b.m, g.m) AS prediction FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'nowhere' ELSE n_name END AS n_name
+@query(q(f"""WITH b AS (SELECT b, median(y) AS m FROM {_BY_NATION} GROUP BY b), g AS (SELECT median(y) AS m FROM {_BY_NATION}) SELECT s_suppkey, n_name, coalesce(b.m, g.m) AS prediction FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 'nowhere' ELSE n_name END AS n_name
     FROM supplier JOIN nation ON s_nationkey = n_nationkey) s LEFT JOIN b ON lower(trim(s.n_name)) = b.b, g"""))
 def block_predictions(spark, sf_dir):
     """The per-block strategy fitted and applied: each block's median, and that of all rows for blocks not seen."""
     task = _nation_task(spark, sf_dir)
-    blocks, score, rows = models.search_per_block(task, models.Clock(3600))
+    blocks, score, rows = models.search_per_block(task, models.Clock(3600), candidates=_DUMMY)
+    fitted = models.fit_selection(task, models.Selection("per_block", score, None, blocks, rows))
+    return fitted.predict(_suppliers(spark, sf_dir).select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "nowhere").otherwise(F.col("n_name")).alias("n_name")))
+
+
+#: Lines of each day of the year, one block a day and part: 300 or so blocks with models of their own.
+_DAY = "strftime(l_shipdate, '%m-%d') || l_returnflag"
+_BLOCK_CV = f"""r AS (SELECT lower(trim({_DAY})) AS b, l_orderkey, l_extendedprice AS y, l_quantity AS x FROM lineitem), c AS (SELECT b, count(*) AS n FROM r GROUP BY b),
+    f AS (SELECT b, y, x, {_FOLD.replace('o_orderkey', 'l_orderkey').replace('% 3', f'% {_FOLDS}')} AS fold FROM r JOIN c USING (b) WHERE n >= 20), k AS (SELECT DISTINCT b, fold FROM f),
+    m AS (SELECT k.b, k.fold, median(f.y) AS med, regr_slope(f.y, f.x) AS w, regr_sxx(f.y, f.x) AS sxx, avg(f.x) AS mx, avg(f.y) AS my FROM k JOIN f ON f.b = k.b AND f.fold <> k.fold GROUP BY k.b, k.fold),
+    s AS (SELECT 3 AS place, 'dummy_median' AS model, b, fold, avg(abs(y - med)) AS mae FROM f JOIN m USING (b, fold) GROUP BY b, fold
+        {''.join(f" UNION ALL SELECT {i}, 'ridge_alpha{a}', b, fold, avg(abs(y - my - w * sxx / (sxx + {a}) * (x - mx))) FROM f JOIN m USING (b, fold) GROUP BY b, fold" for i, a in enumerate(_ALPHAS))}),
+    t AS (SELECT b, place, model, count(*)::INT AS cv_folds, avg(mae) AS score_mean FROM s GROUP BY b, place, model), best AS (SELECT b, arg_min(model, (score_mean, place)) AS model FROM t GROUP BY b)"""
+
+
+def _lines_by_day(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.concat(F.date_format("l_shipdate", "MM-dd"), "l_returnflag").alias("day"))
+    task = models.Task(df, "l_extendedprice", ["l_quantity"], [], MetricSpec(mode="block_averaged", block_column="day"), block="day", key="l_orderkey")
+    pool = [c for c in models.registry() if c.family == "ridge"] + _DUMMY
+    return task, models.search_per_block(task, models.Clock(3600), candidates=pool)
+
+
+@query(q(f"WITH {_BLOCK_CV} SELECT b AS block, model, cv_folds, round(score_mean, 3) AS score_mean FROM t UNION ALL SELECT b, 'median_fallback', 0, round(avg(abs(y - m)), 3) FROM r JOIN (SELECT b, median(y) AS m FROM r GROUP BY b) USING (b) JOIN c USING (b) WHERE n < 20 GROUP BY b"))
+def block_models(spark, sf_dir):
+    """Every block's candidates, cross-validated within it, all blocks in one plan."""
+    _, (_, _, rows) = _lines_by_day(spark, sf_dir)
+    return _rounded(models.cv_frame(spark, rows), "score_mean").select("block", "model", "cv_folds", "score_mean")
+
+
+@query(q(f"""WITH {_BLOCK_CV}, w AS (SELECT b, median(y) AS med, regr_slope(y, x) AS w, regr_sxx(y, x) AS sxx, avg(x) AS mx, avg(y) AS my FROM r GROUP BY b)
+    SELECT b AS block, count(*) AS rows, round(avg(CASE WHEN starts_with(model, 'ridge_alpha') THEN my + w * sxx / (sxx + replace(model, 'ridge_alpha', '')::DOUBLE) * (x - mx) ELSE med END), 3) AS mean_prediction,
+    round(avg(abs(y - CASE WHEN starts_with(model, 'ridge_alpha') THEN my + w * sxx / (sxx + replace(model, 'ridge_alpha', '')::DOUBLE) * (x - mx) ELSE med END)), 3) AS mae FROM r JOIN w USING (b) LEFT JOIN best USING (b) GROUP BY b"""))
+def block_model_predictions(spark, sf_dir):
+    """The best model of every block, fitted on all its rows and applied by a join."""
+    task, (blocks, score, rows) = _lines_by_day(spark, sf_dir)
     fitted = models.fit_selection(task, models.Selection("per_block", score, None, blocks, rows))
-    new = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, "nowhere").otherwise(F.col("n_name")).alias("n_name"))
-    return fitted.predict(new)
+    got = fitted.predict(task.train)
+    return got.groupBy(models.block_key("day").alias("block")).agg(F.count("*").alias("rows"), F.round(F.avg("prediction"), 3).alias("mean_prediction"), F.round(F.avg(F.abs(F.col("l_extendedprice") - F.col("prediction"))), 3).alias("mae"))
 
 
 def _fit_facts(spark, sf_dir, name: str) -> DataFrame:
@@ -319,6 +358,28 @@ def elastic_net_fit(spark, sf_dir):
     return _fit_facts(spark, sf_dir, "elastic_net_alpha0.01_l10.3")
 
 
+@query(q("""WITH s AS (SELECT count(*) AS n, regr_sxy(l_extendedprice, l_quantity) AS sxy, regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem),
+    w AS (SELECT sign(sxy) * greatest(abs(sxy / n) - 0.1 * 0.5, 0) / (sxx / n + 0.1 * 0.5) AS w, mx, my FROM s) SELECT l_quantity, round(any_value(my + w * (l_quantity - mx)), 3) AS prediction, count(*) AS rows FROM lineitem, w GROUP BY l_quantity"""))
+def elastic_net_line(spark, sf_dir):
+    """Elastic net in one feature: the slope is the soft-thresholded covariance over the penalised variance."""
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    fitted = models.fit(next(c for c in models.registry() if c.name == "elastic_net_alpha0.1_l10.5"), df, "l_extendedprice", ["l_quantity"], [], "l_orderkey")
+    return fitted.transform(df).groupBy("l_quantity").agg(F.round(F.first("prediction"), 3).alias("prediction"), F.count("*").alias("rows"))
+
+
+@query(_FIT_FACTS)
+def extra_trees_fit(spark, sf_dir):
+    return _fit_facts(spark, sf_dir, "extra_trees_depth6_leaf2_n80")
+
+
+@query(q("SELECT l_returnflag, l_linestatus, count(*) AS rows, round(avg(l_extendedprice), 4) AS prediction FROM lineitem GROUP BY l_returnflag, l_linestatus"))
+def extra_trees_means(spark, sf_dir):
+    """On indicators alone every random cut parts values, so that deep enough trees end with the mean of each combination."""
+    df = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_extendedprice")
+    fitted = models.fit(next(c for c in models.registry() if c.name == "extra_trees_depth10_leaf2_n100"), df, "l_extendedprice", [], ["l_returnflag", "l_linestatus"], "l_orderkey")
+    return fitted.transform(df).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("rows"), F.round(F.avg("prediction"), 4).alias("prediction"))
+
+
 @query(_FIT_FACTS)
 def forest_fit(spark, sf_dir):
     return _fit_facts(spark, sf_dir, "random_forest_depth6_leaf2_n80")
