@@ -58,8 +58,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
-#: Candidate windows lie around these. Every template has one of them.
-GATE = r"(?i)licen[cs]|permission|redistribut|public domain|creative commons|copyright|free software|gnu gpl"
 #: Share of a template's words that may differ.
 TOLERANCE = 0.1
 
@@ -98,6 +96,27 @@ def _span() -> int:
     return max(int(len(t.words) * (1 + TOLERANCE)) for t in templates())
 
 
+@lru_cache(1)
+def gate() -> str:
+    """A pattern of pairs of neighbouring words around which candidate windows lie; no match can be without one.
+
+    A template in which d words may differ has d + 1 pairs here that share no word. A word replaced, left out or put in spoils one of them at
+    most, so that one is whole in every stretch that matches. The pairs are the longest, those that serve other templates already first.
+    """
+    chosen: dict[tuple[str, str], None] = {}
+    for t in sorted(templates(), key=lambda t: len(t.words)):
+        need, used = int(TOLERANCE * len(t.words)) + 1, set()
+        pairs = [(i, t.words[i : i + 2]) for i in range(len(t.words) - 1) if "<v>" not in t.words[i : i + 2]]
+        for i, pair in sorted(pairs, key=lambda x: (x[1] not in chosen, -len(x[1][0]) - len(x[1][1]), x[0])):
+            if need and not used & {i, i + 1}:
+                chosen[pair] = None
+                used |= {i, i + 1}
+                need -= 1
+        if need:
+            raise ValueError(f"the {t.license} notice of {len(t.words)} words has too few pairs for a gate")
+    return "(?i)" + "|".join(rf"{re.escape(a)}[\W_]+{re.escape(b)}" for a, b in sorted(chosen))
+
+
 @lru_cache(1)
 def _plain() -> zstandard.ZstdCompressor:
     return _packer()
@@ -106,15 +125,15 @@ def _plain() -> zstandard.ZstdCompressor:
 def windows(text: str) -> tuple[list[re.Match], list[list[tuple[int, int]]]]:
     """The words of a text, and its candidate regions, each cut into windows: ranges of words.
 
-    A region holds all words that stand within a template's length of one of GATE's words. Windows are two such lengths long and
-    begin at every multiple of one, so every stretch that can match and holds such a word lies in one window whole.
+    A region holds all words that stand within a template's length of one of gate()'s pairs. Windows are two such lengths long and
+    begin at every multiple of one, so every stretch that can match lies in one window whole.
     """
     found = list(_WORD.finditer(text))
     starts, span = np.array([m.start() for m in found]), _span()
     out: list[list[tuple[int, int]]] = []
     region = None
-    for gate in re.finditer(GATE, text):
-        at = max(int(np.searchsorted(starts, gate.start(), "right")) - 1, 0)
+    for hit in re.finditer(gate(), text):
+        at = max(int(np.searchsorted(starts, hit.start(), "right")) - 1, 0)
         lo, hi = max(at - span, 0), min(at + span + 1, len(found))
         if region and lo <= region[1]:
             region[1] = hi
@@ -230,7 +249,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per occurrence of a licence notice in a text: doc_id, line and word (where it begins, from 0), license, version,
     reduction (share of the window's compressed size that the template saves), differing_words, template_words, confirmed.
 
-    Whole texts are searched, in windows of words around GATE's words, so long lines are like any others; candidate regions in which
+    Whole texts are searched, in windows of words around gate()'s pairs, so long lines are like any others; candidate regions in which
     no template is confirmed give one row for the template that ranks first, confirmed being false, or none if no template saves
     anything. Of equal matches at one place the template listed first counts. Null and empty texts have no rows; repeated rows
     repeat theirs; an empty table has none; other columns, of whatever names, are not looked at.
@@ -239,7 +258,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            hit = pc.fill_null(pc.match_substring_regex(b.column(1), GATE), False)
+            hit = pc.fill_null(pc.match_substring_regex(b.column(1), gate()), False)
             b = b.filter(hit)
             rows = [(i, *r) for i, t in enumerate(b.column(1).to_pylist()) for r in scan_text(t)]
             cols = list(zip(*rows)) or [()] * len(names)

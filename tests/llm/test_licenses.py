@@ -78,13 +78,14 @@ def test_scan_equals_brute_force_over_all_templates_and_places():
 def test_windows_hold_every_stretch_near_a_gate():
     rng = random.Random(4)
     for _ in range(40):
-        text = "\n".join(rng.choice(["word", "license", "x"] if rng.random() < 0.02 else ["word", "x"]) for _ in range(2_000))
+        pair = re.sub(r"\(\?i\)|\\", "", licenses.gate()).split("|")[rng.randrange(10)].split("[W_]+")
+        text = "\n".join(rng.choice(["word", "\n".join(pair), "x"] if rng.random() < 0.02 else ["word", "x"]) for _ in range(2_000))
         found, regions = licenses.windows(text)
         ranges = [w for r in regions for w in r]
         span = licenses._span()
         for g, m in enumerate(found):
-            if m.group() == "license":
-                for i in range(max(0, g - span + 1), g + 1):
+            if m.group() == pair[0] and g + 1 < len(found) and found[g + 1].group() == pair[1]:
+                for i in range(max(0, g + 1 - span + 1), g + 1):
                     assert any(lo <= i and min(i + span, len(found)) <= hi for lo, hi in ranges)
 
 
@@ -121,3 +122,40 @@ def test_scan(spark):
     got = sorted((r.doc_id or 0, r.line, r.license, r.version or "", r.differing_words) for r in licenses.scan(docs).collect() if r.confirmed)
     assert got == [(0, 0, "MIT", "", 0), (1, 1, "MIT", "", 0), (1, 1, "MIT", "", 0), (5, 0, "CC-BY-NC", "4.0", 0), (5, 2, "GPL", "3", 0), (6, 1, "Apache", "2.0", 0)]
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def changed(rng, words, times):
+    """The words after so many words replaced, left out or put in, at places taken by chance."""
+    out = list(words)
+    for _ in range(times):
+        i, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[i : i + (kind != 2)] = [] if kind == 1 and len(out) > 1 else [f"zq{rng.randrange(99)}"]
+    return out
+
+
+def test_gate_loses_no_match():
+    """Each template with each single word replaced, and with as many changes as are allowed at once, has a pair of the gate."""
+    rng = random.Random(1)
+    pattern = re.compile(licenses.gate())
+    tested = 0
+    for t in licenses.templates():
+        words = ["2.0" if w == "<v>" else w for w in t.words]
+        allowed = int(licenses.TOLERANCE * len(words))
+        versions = [[w if j != i else "zqx" for j, w in enumerate(words)] for i in range(len(words))] if allowed else [words]
+        versions += [changed(rng, words, allowed) for _ in range(200)]
+        for v in versions:
+            text = rng.choice([" ", " * ", "\n# "]).join(w.upper() if rng.random() < 0.2 else w for w in v)
+            assert pattern.search(text), text
+            tested += 1
+    assert tested > 5000
+
+
+def test_changed_notices_are_confirmed():
+    """Every notice of ten or more words with any one word replaced is found, whichever word it is."""
+    for t in licenses.templates():
+        words = ["2.0" if w == "<v>" else w for w in t.words]
+        if len(words) < 10 or len(words) > 40:
+            continue
+        for i in range(len(words)):
+            got = licenses.scan_text("lorem ipsum " * 20 + " ".join(w if j != i else "zqx" for j, w in enumerate(words)) + " dolor sit" * 20)
+            assert any(r[0] == t.license and r[5] for r in got), (t.license, i)
