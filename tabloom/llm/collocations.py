@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import hot_join, materialize
@@ -18,6 +19,8 @@ from tabloom.llm.common import hot_join, materialize
 SHARD_BYTES = 2 << 20
 #: So many hashes that passed go to every task (8 bytes each); more of them meet the shards by a shuffle.
 BROADCAST_HASHES = 2_000_000
+#: Shards that a task looks at together.
+SHARDS_AT_ONCE = 3
 #: Bits of the hashes by which phrases are first merged; phrases that share one only pass together.
 HASH_BITS = 40
 
@@ -244,6 +247,18 @@ def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, hashes
     return (np.cumsum(used) - 1)[tokens], follow, hashes[keep], words.take(pa.array(keep)), langs.take(pa.array(keep))
 
 
+@contextmanager
+def _rows_at_once(spark: SparkSession, rows: int):
+    """Jobs within hand so many rows at once to Python: a shard takes some MB in a row, so that ten thousand, as usual, are a whole partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals). phrases: lang, k, phrase, f for every phrase of 1 to `longest` words that occurs `least` times in a
     lang; totals: lang, n (all word occurrences).
@@ -261,14 +276,16 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     for k in range(1, longest + 1):
         state = shards.select("shard", "tokens", "starts", "hashes", "words", "langs")
         hashed = state.drop("words", "langs").mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
-        often = materialize(hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
+        with _rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
+            often = materialize(hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
         if often.count() <= BROADCAST_HASHES:
             sent = often.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64)))
             step = state.mapInArrow(lambda batches, k=k, sent=sent: _next(batches, k, longest, sent.value), _next_schema(k, longest))
         else:
             kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
             step = state.join(kept, "shard").mapInArrow(lambda batches, k=k: _next(batches, k, longest, None), _next_schema(k, longest))
-        shards = materialize(step)
+        with _rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
+            shards = materialize(step)
         found.append(shards.select(F.explode(F.arrays_zip("k", "lang", "phrase", "n")).alias("x")).select("x.*"))
     merged = reduce(DataFrame.unionByName, found).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
     return materialize(merged.where(F.col("f") >= least)), totals
