@@ -5,11 +5,13 @@ from __future__ import annotations
 import importlib.util
 import os
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -427,6 +429,37 @@ class Clock:
     def over(self) -> bool:
         return time.monotonic() > self.end
 
+    def within(self, spark: SparkSession, work: Callable):
+        """work()'s value, or None if the clock ends first: its jobs are then cancelled, however far they are."""
+        group, got = f"tabloom-{uuid.uuid4().hex}", []
+
+        def run() -> None:
+            spark.sparkContext.setJobGroup(group, "a candidate under a time limit", True)
+            try:
+                got.append((work(), None))
+            except Exception as e:
+                got.append((None, e))
+
+        thread = InheritableThread(target=run, daemon=True)
+        thread.start()
+        thread.join(max(0.0, self.end - time.monotonic()))
+        if thread.is_alive():
+            for _ in range(100):  # work may begin another job before it notices
+                spark.sparkContext.cancelJobGroup(group)
+                thread.join(0.1)
+                if not thread.is_alive():
+                    break
+            return None
+        value, error = got[0]
+        if error is not None:
+            raise error
+        return value
+
+
+def _late(strategy: str, block: str, c: Candidate, task: Task) -> Row:
+    """The row of a candidate that the clock left out or stopped."""
+    return Row(strategy, block, c.name, metric_mode=task.spec.mode, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy)
+
 
 def _ready(task: Task, candidates: Sequence[Candidate], k: int) -> dict[str, Row]:
     try:
@@ -440,12 +473,15 @@ def search_global(task: Task, candidates: Sequence[Candidate], rows: int, clock:
     found: list[Row] = []
     best, score = None, None
     with Folds(task, rows) as folds:
-        ready = _ready(task, candidates, folds.k) if folds.k and not clock.over() else {}
+        ready = (clock.within(task.train.sparkSession, lambda: _ready(task, candidates, folds.k)) or {}) if folds.k and not clock.over() else {}
         for c in candidates:
             if clock.over() and c.name not in ready:
-                found.append(Row("global", "__all__", c.name, metric_mode=task.spec.mode, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+                found.append(_late("global", "__all__", c, task))
+                continue
+            r = ready.get(c.name) or clock.within(task.train.sparkSession, lambda c=c: cross_validate(task, c, rows, folds=folds))
+            if r is None:
+                found.append(_late("global", "__all__", c, task))
                 continue
-            r = ready.get(c.name) or cross_validate(task, c, rows, folds=folds)
             found.append(r)
             if r.status == "ok" and (score is None or r.score_mean < score):
                 best, score = c, r.score_mean
@@ -472,7 +508,7 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Seque
     sizes = groups.rows.join(medians, "__group").groupBy("__group").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("__label") - F.col("m"))).alias("error")).orderBy("__group").collect()
     pool = candidates if candidates is not None else select(0, len(task.numeric) + len(task.categories), "per_block", seed)
     enough = {s["__group"] for s in sizes if s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None}
-    ready = _blocks_ready(here, groups, pool, clock) if enough and not clock.over() else {}
+    ready = (clock.within(train.sparkSession, lambda: _blocks_ready(here, groups, pool)) or {}) if enough and not clock.over() else {}
     chosen: dict[str, BlockChoice] = {}
     found: list[Row] = []
     for s in sizes:
@@ -480,13 +516,13 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Seque
         alone = None  # the block's own rows and folds, for candidates that aren't ready
         for c in pool if b in enough else ():
             r = ready.get((b, c.name))
-            if r is None and clock.over():
+            if r is None and not clock.over():
+                alone = alone or Folds(replace(here, train=train.where(key == b)), s["n"])
+                r = clock.within(train.sparkSession, lambda c=c, alone=alone, s=s, b=b: cross_validate(alone.task, c, s["n"], "per_block", b, alone))
+            if r is None:
                 late = True
-                found.append(Row("per_block", b, c.name, status="skipped_time_budget", model_family=c.family, is_third_party=c.third_party, is_heavy=c.heavy))
+                found.append(_late("per_block", b, c, here))
                 continue
-            if r is None:
-                alone = alone or Folds(replace(here, train=train.where(key == b)), s["n"])
-                r = cross_validate(alone.task, c, s["n"], "per_block", b, alone)
             found.append(r)
             if r.status == "ok" and (best.score is None or r.score_mean < best.score):
                 best = BlockChoice(c, r.score_mean)
@@ -501,7 +537,7 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Seque
     return chosen, sum(scores) / len(scores) if scores else None, found
 
 
-def _blocks_ready(task: Task, groups: grouped.Groups, pool: Sequence[Candidate], clock: Clock) -> dict[tuple[str, str], Row]:
+def _blocks_ready(task: Task, groups: grouped.Groups, pool: Sequence[Candidate]) -> dict[tuple[str, str], Row]:
     """Rows of the linear candidates and the median for every block that is large enough, all blocks and folds in one aggregate and one pass for errors."""
     linear = [c for c in pool if c.linear] if task.numeric or task.categories else []
     simple = [c for c in pool if c.family == "dummy"][:1]

@@ -34,10 +34,13 @@ def with_tokens(files: DataFrame) -> DataFrame:
 
 
 def signature(images: DataFrame) -> str:
-    """SHA-1 of the sorted paths: changes when files come or go, not when their contents do. Paths are hashed one by one
-    and summed in blocks, so the list is never gathered."""
-    h = images.agg(F.count("*"), F.sum(F.xxhash64("path").cast("decimal(38,0)")), F.sum(F.xxhash64("path", F.lit(1)).cast("decimal(38,0)"))).first()
-    return hashlib.sha1("|".join(map(str, h)).encode()).hexdigest()
+    """A SHA-1 over the SHA-1 hashes of all paths in order: changes when files come or go (copies count), not when their contents do, nor with
+    the partitioning. The list is never gathered: hashes of one beginning are hashed together, then those hashes, then again."""
+    level = images.select(F.sha1("path").alias("h")).withColumn("at", F.col("h"))
+    for digits in (4, 2, 0):  # 65,536 parts, 256, one
+        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha1(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]))).alias("h"))
+    found = level.first()
+    return found["h"] if found else hashlib.sha1(b"").hexdigest()
 
 
 def decoder():
@@ -105,31 +108,50 @@ def row_tokens(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*each)))
 
 
+#: Lengths of the pieces of names that are indexed. A token is looked up by pieces of the largest of these that it has.
+PIECES = (1, 2, 3, 6, 12)
+
+
+def _cut(c: Column, n: int) -> Column:
+    """All pieces of n letters."""
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def _lookups(token: Column) -> Column:
+    """The pieces by which a token can be looked up: it's contained in a name only if all of them are."""
+    out = _cut(token, PIECES[0])
+    for n in PIECES[1:]:
+        out = F.when(F.length(token) >= n, _cut(token, n)).otherwise(out)
+    return out
+
+
+def candidate_pairs(sets: DataFrame, images: DataFrame) -> DataFrame:
+    """sets (want: tokens) with each image that has the rarest piece of all pieces of its tokens; sets of which a piece is in no name have none.
+
+    Names are indexed by their pieces (a posting for each), and a piece's frequency is the length of its postings, so a set meets
+    no more images than hold its rarest piece."""
+    posted = images.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.array(*[_cut(F.col("norm"), n) for n in PIECES])))))
+    frequency = posted.groupBy("piece").agg(F.count("*").alias("n"))
+    asked = sets.select("want", F.explode(F.array_distinct(F.flatten(F.transform("want", _lookups)))).alias("piece"))
+    rarest = asked.join(frequency, "piece", "left").groupBy("want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("least"))
+    return rarest.where("least.n > 0").select("want", F.col("least.piece").alias("piece")).join(posted, "piece").drop("piece")
+
+
 def match_images(rows: DataFrame, key: str, keys: Sequence[str], images: DataFrame) -> DataFrame:
     """key, path, candidates: the one image all of whose row's tokens match (a token of the name, or contained in the
     squashed or raw name). Rows with none or several have no path.
 
-    Rows are reduced to their distinct token sets; a set meets the images that share its longest token by an equi-join
-    on its first three letters, and the rest of the test is a filter.
+    Rows are reduced to their distinct token sets, which are looked up in an index of the names' pieces; the rest of the test is a filter.
     """
     tokens = row_tokens(rows, keys)
-    wanted = rows.select(F.col(key).alias("key"), tokens.alias("want")).where(F.size("want") > 0)
-    sets = wanted.groupBy(F.array_sort("want").alias("want")).agg(F.count("*").alias("rows"))
-    longest = F.array_max(F.transform("want", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    sets = sets.withColumn("piece", F.substring(longest, 1, 3))
-    norm = images.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("norm")))))
+    wanted = rows.select(F.col(key).alias("key"), tokens.alias("want")).where(F.size("want") > 0).withColumn("want", F.array_sort("want"))
     hit = F.forall("want", lambda t: F.array_contains("tokens", t) | F.contains("norm", t) | F.contains("stem", t))
-    found = sets.join(norm, "piece").where(hit).groupBy("want").agg(F.count_distinct("path").alias("candidates"), F.min("path").alias("path"))
-    out = wanted.withColumn("want", F.array_sort("want")).join(found, "want", "left")
+    pairs = candidate_pairs(wanted.select("want").distinct(), images).where(hit)
+    found = pairs.groupBy("want").agg(F.count_distinct("path").alias("candidates"), F.min("path").alias("path"))
+    out = wanted.join(found, "want", "left")
     return out.select("key", F.when(F.col("candidates") == 1, F.col("path")).alias("path"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-def _pieces(norm: Column) -> Column:
-    """All 3-letter pieces of a name, and its shorter ends, by which a token of one or two letters is found too."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(norm), F.lit(1)))
-    return F.flatten(F.transform(at, lambda i: F.array(*[F.substring(norm, i, n) for n in (1, 2, 3)])))
-
-
 MATCHED_AT_LEAST = 0.3
 
 

@@ -1,5 +1,7 @@
 """Linear models from sums of products, and trees that grow in shared passes, against plain computations."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +162,21 @@ def test_grouped_quantiles(spark, monkeypatch, one_pass_rows, broadcast):
             assert got[g][c] == pytest.approx(np.quantile([r[k] for r in rows if r[0] == g and r[k] is not None], probs))
     by = profile.target_by_block(df, "a", "g").collect()
     assert [r.block for r in by][:1] == ["hot"] and by[0].median_target == pytest.approx(np.median([r[1] for r in rows if r[0] == "hot"]))
+
+
+def test_a_slow_candidate_ends_with_the_clock(spark):
+    """Its running job is cancelled, and those after it are skipped."""
+    df, _ = table(spark, 100)
+    slow = models.Candidate("slow", "x", 1, lambda *a: spark.range(10**13).selectExpr("sum(hash(id, id % 7))").first())
+    dummy = next(c for c in models.registry() if c.family == "dummy")
+    models.choose(models.Task(df, "y", ["x"], []), 100, candidates=[dummy], seconds=60)
+    began = time.monotonic()
+    chosen = models.choose(models.Task(df, "y", ["x"], []), 100, candidates=[dummy, slow, next(c for c in models.registry() if c.family == "huber")], seconds=8)
+    assert time.monotonic() - began < 9.5
+    assert [r.status for r in chosen.rows][:3] == ["ok", "skipped_time_budget", "skipped_time_budget"] and chosen.candidate is dummy
+    assert spark.range(5).count() == 5
+
+
+def test_errors_of_candidates_come_through(spark):
+    with pytest.raises(KeyError):
+        models.Clock(30).within(spark, lambda: {}["no"])
