@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.ml.linalg import DenseMatrix
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,19 +76,45 @@ def tfidf(df: DataFrame, key: str, name: str, vocab: DataFrame) -> DataFrame:
     return tf.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+#: Texts whose weights a task holds as a dense matrix at once.
+DENSE_ROWS = 512
+
+
+def term_products(weights: DataFrame, index: DataFrame, n: int) -> np.ndarray:
+    """n x n: the products of two terms' weights summed over all texts. Each task sums its own texts with numpy and the sums are merged row by
+    row; only the result, of at most 2000 terms, comes to the driver."""
+    texts = weights.join(F.broadcast(index), "term").groupBy("key").agg(F.collect_list("i").alias("i"), F.collect_list("weight").alias("w")).select("i", "w")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            for start in range(0, len(batch), DENSE_ROWS):
+                part = batch.iloc[start : start + DENSE_ROWS]
+                x = np.zeros((len(part), n))
+                for row, (i, w) in enumerate(zip(part["i"], part["w"])):
+                    x[row, i] = w
+                total += x.T @ x
+        there = np.flatnonzero(total.diagonal())
+        yield pd.DataFrame({"i": there, "sums": [total[j] for j in there]})
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts.head(1).assign(sums=[np.sum(np.stack(parts["sums"].to_numpy()), axis=0)])
+
+    out = np.zeros((n, n))
+    for r in texts.mapInPandas(partial, "i int, sums array<double>").groupBy("i").applyInPandas(merge, "i int, sums array<double>").collect():
+        out[r["i"]] = r["sums"]
+    return out
+
+
 def fit_svd(weights: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
     """term, v: the term's loadings on the k leading right singular vectors, signed so that each vector's largest
     loading is positive."""
     terms = [r[0] for r in vocab.select("term").orderBy("term").collect()]  # at most 2000
-    place = {t: i for i, t in enumerate(terms)}
-    index = weights.sparkSession.createDataFrame(list(place.items()), "term string, i int")
-    rows = weights.join(F.broadcast(index), "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("x"))
-    n = len(terms)
-    vectors = rows.rdd.map(lambda r: OldVectors.sparse(n, [p[0] for p in r.x], [p[1] for p in r.x]))
-    v: DenseMatrix = RowMatrix(vectors, numCols=n).computeSVD(k, computeU=False).V
-    load = v.toArray()
+    index = weights.sparkSession.createDataFrame(list(zip(terms, range(len(terms)))), "term string, i int")
+    _, vectors = np.linalg.eigh(term_products(weights, index, len(terms)))
+    load = vectors[:, ::-1][:, :k]
     load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
-    return weights.sparkSession.createDataFrame([(t, load[i].tolist()) for t, i in place.items()], "term string, v array<double>")
+    return weights.sparkSession.createDataFrame([(t, load[i].tolist()) for i, t in enumerate(terms)], "term string, v array<double>")
 
 
 def project(weights: DataFrame, loadings: DataFrame, k: int) -> DataFrame:

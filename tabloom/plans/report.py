@@ -55,6 +55,15 @@ def display_columns(rows: Sequence[dict]) -> list[str]:
     return [c for c in names if any(str(show(r.get(c))).strip().lower() not in (*NOT_KNOWN, "-") for r in rows)]
 
 
+def shown_columns(df: DataFrame) -> list[str]:
+    """display_columns() of a whole table, in one aggregate."""
+    if not df.columns:
+        return []
+    text = lambda c: F.lower(F.trim(F.col(f"`{c}`").cast("string")))
+    found = df.agg(*[F.bool_or(F.coalesce(~text(c).isin(*NOT_KNOWN, "-"), F.lit(False))) for c in df.columns]).first()
+    return [c for c, there in zip(df.columns, found) if there]
+
+
 def table(rows: Sequence[dict], most: int = 20) -> list[str]:
     if not rows:
         return ["(no rows)"]

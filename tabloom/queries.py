@@ -71,11 +71,21 @@ def missingness(spark, sf_dir):
     return profile.missingness(df)
 
 
-@query(union([q(f"""SELECT 'table' AS role, '{t}' AS relative_path, count(*) AS rows, {n} AS columns,
-    count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows, 0 AS missing_cells, 0.0 AS missing_pct, round((count(*) * 8 * {n} + sum({'+'.join(f'strlen({c})' for c in cs) or 0})) / 1048576, 4) AS memory_mb FROM {t}""") for t, n, cs in (("region", 2, ["r_name"]), ("nation", 3, ["n_name"]), ("supplier", 4, ["s_name"]), ("customer", 5, ["c_name", "c_mktsegment"]), ("part", 6, ["p_name", "p_brand", "p_type"]))]))
+_CELLS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]}
+
+
+def _overview(t: str, cs: list[str]) -> str:
+    gaps = "+".join(f"({c} IS NULL)::INT" for c in cs)
+    texts = "+".join(f"strlen({c})" for c in cs if c.endswith(("_name", "_mktsegment", "_brand", "_type")))
+    return f"""SELECT 'table' AS role, '{t}' AS relative_path, count(*) AS rows, {len(cs)} AS columns, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows,
+        sum({gaps})::BIGINT AS missing_cells, sum({gaps}) / (count(*) * {len(cs)})::DOUBLE AS missing_pct, round((count(*) * 8 * {len(cs)} + sum({texts})) / 1048576, 4) AS memory_mb FROM {t}"""
+
+
+@query(union([q(_overview(t, cs)) for t, cs in _CELLS.items()]))
 def dataset_overview(spark, sf_dir):
     out = None
-    for t in ("region", "nation", "supplier", "customer", "part"):
+    for t in _CELLS:
         one = profile.overview(read(spark, sf_dir, t), "table", t)
         out = one if out is None else out.unionByName(one)
     return out
@@ -295,6 +305,20 @@ def tfidf_vocabulary(spark, sf_dir):
     return _vocabulary(spark, sf_dir)[1].withColumn("idf", F.round("idf", 9))
 
 
+@query(q(f"""WITH {_GRAMS}, w AS (SELECT d, term, count(*) * any_value(idf) AS w FROM grams JOIN vocab USING (term) GROUP BY d, term), scaled AS (SELECT d, term, w / sqrt(sum(w * w) OVER (PARTITION BY d)) AS w FROM w),
+    p AS (SELECT a.d AS a, b.d AS b, sum(a.w * b.w) AS dot FROM scaled a JOIN scaled b USING (term) GROUP BY a.d, b.d) SELECT (SELECT count(DISTINCT d) FROM scaled) AS texts, round(sum(CASE WHEN a = b THEN dot END), 6) AS squares, round(sum(dot * dot), 6) AS fourth_powers FROM p"""))
+def svd_energy(spark, sf_dir):
+    """All singular values: their squares add up to the trace of the texts' products, their fourth powers to the sum of squared products."""
+    df = read(spark, sf_dir, "benchmark")
+    n = df.count()
+    vocab = text_features.vocabulary(df, "text", n)
+    weights = text_features.tfidf(df, "item_id", "text", vocab)
+    k = vocab.count()
+    parts = text_features.project(weights, text_features.fit_svd(weights, vocab, k), k)
+    values = parts.select("key", F.posexplode("svd").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    return values.agg(F.round(F.sum("s"), 6).alias("squares"), F.round(F.sum(F.col("s") * F.col("s")), 6).alias("fourth_powers")).select(F.lit(parts.count()).alias("texts"), "squares", "fourth_powers")
+
+
 @query(q(f"""WITH {_GRAMS}, w AS (SELECT d, term, count(*) * any_value(idf) AS w FROM grams JOIN vocab USING (term) GROUP BY d, term)
     SELECT d AS key, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY d)), 6) AS weight FROM w"""))
 def tfidf_terms(spark, sf_dir):

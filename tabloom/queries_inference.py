@@ -3,6 +3,7 @@ the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,18 +135,21 @@ def file_roles(spark, sf_dir):
 # ---- descriptions ----
 
 
-@query(q("""SELECT r_regionkey, 'id_' || replace(lower(r_name), ' ', '_') || ', day_' || r_regionkey AS keys, CASE WHEN r_regionkey % 2 = 0 THEN 'group_' || r_regionkey END AS block_column, lower(r_name) || ', rest' AS blocks,
-    CASE WHEN r_regionkey % 2 = 0 THEN 'block_averaged' ELSE 'global' END AS mode FROM region"""))
+@query(q("""SELECT c_custkey, 'id_' || c_nationkey || ', day_' || c_custkey AS keys, CASE WHEN c_custkey % 2 = 0 THEN 'group_' || c_custkey END AS block_column, lower(c_mktsegment) || ', rest' AS blocks,
+    CASE WHEN c_custkey % 2 = 0 THEN 'block_averaged' ELSE 'global' END AS mode FROM customer"""))
 def described_tasks(spark, sf_dir):
-    """What descriptions say that are written from the regions' names, one in two of them about blocks."""
-    rows = []
-    for r in read(spark, sf_dir, "region").collect():  # five rows, by the schema
-        name, n = r["r_name"].lower(), r["r_regionkey"]
-        text = f"Rows are described below.\nMerge on `id {name}` and `day_{n}`.\n"
-        text += f"Block column: group_{n}\nScoring categories: {name}, rest. Categories are nested.\n" if n % 2 == 0 else f"{{{name}, rest}} are regions.\n"
-        spec = description.metric_spec(text)
-        rows.append((n, ", ".join(description.join_keys(text)), description.block_column(text), ", ".join(description.block_values(text)), spec.mode))
-    return spark.createDataFrame(rows, "r_regionkey int, keys string, block_column string, blocks string, mode string")
+    """What descriptions say that are written from the customers' columns, one in two of them about blocks; read where the rows are."""
+    even = F.format_string("Block column: group_%d\nScoring categories: %s, rest. Categories are nested.\n", "c_custkey", F.lower("c_mktsegment"))
+    odd = F.format_string("{%s, rest} are segments.\n", F.lower("c_mktsegment"))
+    head = F.format_string("Rows are described below.\nMerge on `id %d` and `day_%d`.\n", "c_nationkey", "c_custkey")
+    texts = read(spark, sf_dir, "customer").select("c_custkey", F.concat(head, F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd)).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            said = [(", ".join(description.join_keys(t)), description.block_column(t), ", ".join(description.block_values(t)), description.metric_spec(t).mode) for t in b["text"]]
+            yield pd.DataFrame(said, columns=["keys", "block_column", "blocks", "mode"]).assign(c_custkey=b["c_custkey"].to_numpy())
+
+    return texts.mapInPandas(run, f"keys string, block_column string, blocks string, mode string, c_custkey {dict(texts.dtypes)['c_custkey']}")
 
 
 # ---- keys ----
@@ -423,6 +427,20 @@ def labelled_rows(spark, sf_dir):
 # ---- texts, dates, images ----
 
 
+_PHOTOS = """i AS (SELECT '/img/' || replace(lower(c_name), '#', '-') || '_' || x || '.jpg' AS path, replace(lower(c_name), '#', '-') || '_' || x AS stem, regexp_replace(lower(c_name) || x, '[^a-z0-9]', '', 'g') AS norm
+    FROM customer, (SELECT unnest(['front', 'back']) AS x) WHERE c_custkey % 3 > 0 AND (x = 'front' OR c_custkey % 5 = 0))"""
+
+
+@query(q(f"""WITH {_PHOTOS}, w AS (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS t FROM customer)
+    SELECT c_custkey AS key, count(i.path) AS candidates, CASE WHEN count(i.path) = 1 THEN min(i.path) END AS path FROM w LEFT JOIN i ON contains(norm, t) OR contains(stem, t) GROUP BY c_custkey"""))
+def customer_photos(spark, sf_dir):
+    """Photos named after customers, whose names differ in a number alone: none, one or two of each."""
+    df = read(spark, sf_dir, "customer")
+    shots = df.where("c_custkey % 3 > 0").select("c_custkey", "c_name", F.explode(F.array(F.lit("front"), F.lit("back"))).alias("x")).where("x = 'front' OR c_custkey % 5 = 0")
+    names = images.with_tokens(shots.select(F.concat(F.lit("/img/"), F.replace(F.lower("c_name"), F.lit("#"), F.lit("-")), F.lit("_"), "x", F.lit(".jpg")).alias("path")))
+    return images.match_images(df.select("c_custkey", "c_name"), "c_custkey", ["c_name"], names)
+
+
 @query(q("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM benchmark) SELECT count(*) AS rows, true AS finite, bool_and(len(w) > 0) AS norms_within_one, count(*) > 8 AS falling FROM w"""))
 def svd_features(spark, sf_dir):
     """Properties of the components: as the rows of TF-IDF have norm 1, none's projection is longer; squares fall by component."""
@@ -488,22 +506,31 @@ def validation_errors(spark, sf_dir):
     return spark.createDataFrame([(e,) for e in validate.validate(wrong, sample, ["id", "p"], "id", "p").errors], "error string")
 
 
-@query(q("""SELECT n_nationkey, format('{:.4g}', n_nationkey * 1234.5678) AS number, CASE WHEN n_nationkey % 2 = 0 THEN 'yes' ELSE 'no' END AS flag, CASE WHEN n_nationkey % 3 > 0 THEN n_name ELSE '-' END AS name,
-    CASE WHEN length(n_name) > 6 THEN substr(n_name, 1, 5) || '…' ELSE n_name END AS short, CASE WHEN n_nationkey = 1 THEN '1 row' ELSE n_nationkey || ' rows' END AS counted,
-    CASE WHEN n_nationkey = 0 THEN '-' ELSE array_to_string(range(0, least(n_nationkey, 8)), ', ') || CASE WHEN n_nationkey > 8 THEN ' and ' || (n_nationkey - 8) || ' more' ELSE '' END END AS listed FROM nation"""))
+@query(q("""SELECT c_custkey, format('{:.4g}', c_acctbal * 1.5) AS number, CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'no' END AS flag, CASE WHEN c_custkey % 3 > 0 THEN c_name ELSE '-' END AS name,
+    CASE WHEN length(c_mktsegment) > 8 THEN substr(c_mktsegment, 1, 7) || '…' ELSE c_mktsegment END AS short, CASE WHEN c_nationkey = 1 THEN '1 row' ELSE c_nationkey || ' rows' END AS counted,
+    CASE WHEN c_nationkey = 0 THEN '-' ELSE array_to_string(range(0, least(c_nationkey, 8)), ', ') || CASE WHEN c_nationkey > 8 THEN ' and ' || (c_nationkey - 8) || ' more' ELSE '' END END AS listed FROM customer"""))
 def displayed_values(spark, sf_dir):
-    rows = []
-    for r in read(spark, sf_dir, "nation").collect():  # 25 rows, by the schema
-        k, name = r["n_nationkey"], r["n_name"]
-        rows.append((k, report.show(k * 1234.5678), report.show(k % 2 == 0), report.show(name if k % 3 else None), report.shorten(name, 6), report.plural(k, "row"), report.compact(list(range(k)))))
-    return spark.createDataFrame(rows, "n_nationkey int, number string, flag string, name string, short string, counted string, listed string")
+    """How a report shows the customers' values, made where the rows are."""
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_name", "c_mktsegment", "c_nationkey")
+
+    def run(batches):
+        for b in batches:
+            made = [
+                (report.show(x * 1.5), report.show(k % 2 == 0), report.show(name if k % 3 else None), report.shorten(segment, 8), report.plural(n, "row"), report.compact(list(range(n))))
+                for k, x, name, segment, n in b.itertuples(index=False)
+            ]
+            yield pd.DataFrame(made, columns=["number", "flag", "name", "short", "counted", "listed"]).assign(c_custkey=b["c_custkey"].to_numpy())
+
+    return df.mapInPandas(run, f"number string, flag string, name string, short string, counted string, listed string, c_custkey {dict(df.dtypes)['c_custkey']}")
+
+
+_DISPLAYED = {"c_name": "c_name", "seldom": "CASE WHEN c_custkey % 50 = 0 THEN 'x' END", "nothing": "nullif(c_custkey, c_custkey)", "dashes": "CASE WHEN c_custkey % 2 = 0 THEN ' N/A' ELSE '-' END", "once": "CASE WHEN c_custkey = 7 THEN 'none' WHEN c_custkey = 77 THEN 'some' END"}
 
 
-@query(q("""SELECT 'c_name' AS "column" FROM customer HAVING count(c_name) > 0 UNION ALL SELECT 'seldom' FROM customer WHERE c_custkey % 50 = 0 HAVING count(*) > 0 UNION ALL SELECT 'nothing' FROM customer HAVING count(nullif(c_custkey, c_custkey)) > 0
-    UNION ALL SELECT 'dashes' FROM customer HAVING count(CASE WHEN 'n/a' NOT IN ('', 'na', 'nan', 'none', 'null', 'n/a', '-') THEN 1 END) > 0"""))
+@query(union([q(f"""SELECT '{c}' AS "column" FROM (SELECT {e} AS v FROM customer) HAVING count(*) FILTER (lower(trim(v::VARCHAR)) NOT IN ('', 'na', 'nan', 'none', 'null', 'n/a', '-')) > 0""") for c, e in _DISPLAYED.items()]))
 def displayed_columns(spark, sf_dir):
-    rows = [{"c_name": r["c_name"], "seldom": "x" if r["c_custkey"] % 50 == 0 else None, "nothing": None, "dashes": "n/a"} for r in read(spark, sf_dir, "customer").orderBy("c_custkey").limit(100).collect()]  # a display's rows
-    return spark.createDataFrame([(c,) for c in report.display_columns(rows)], "column string")
+    rows = read(spark, sf_dir, "customer").select(*[F.expr(e).alias(c) for c, e in _DISPLAYED.items()])
+    return spark.createDataFrame([(c,) for c in report.shown_columns(rows)], "column string")
 
 
 @query(q(union([f"SELECT '{p}' AS relative_path, '{t}' AS role, (SELECT count(*) FROM {t}) AS rows, (SELECT count(*) FROM (DESCRIBE {t})) AS columns" for t, p in _FILES.items()])))
@@ -529,12 +556,14 @@ def modeling_overview(spark, sf_dir):
 
 
 @query(q("""SELECT 'numeric' AS modality, any_value(typeof(n_chars)) IN ('INTEGER', 'BIGINT') AS present FROM documents UNION ALL SELECT 'categorical', count(DISTINCT lang) <= 50 FROM documents UNION ALL SELECT 'datetime', bool_or(try_strptime(text, '%Y-%m-%d') IS NOT NULL) FROM documents
-    UNION ALL SELECT 'text', avg(length(text)) >= 40 FROM documents UNION ALL SELECT 'text_svd', count(*) < 0 FROM documents UNION ALL SELECT 'images', count(*) < 0 FROM documents"""))
+    UNION ALL SELECT 'text', avg(length(text)) >= 40 FROM documents UNION ALL SELECT 'text_svd', count(*) >= 20 AND count(*) FILTER (trim(text) <> '') > 0 FROM documents UNION ALL SELECT 'images', count(*) FILTER (regexp_matches(lower(text), '\\.(png|jpg|jpeg|webp)$')) > 0 FROM documents"""))
 def modalities(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("text", "lang", "n_chars")
     found = kinds.feature_types(docs)
     low = encoders.cardinality(docs, found["categorical"])
-    got = eda.modalities({"feature_groups": {**{k: found[k] for k in ("numeric", "text", "datetime")}, **low}})
+    keyed = docs.withColumn(ordering.ORD, F.monotonically_increasing_id())
+    made = text_features.add_text_features(keyed, keyed, found["text"])[2]
+    got = eda.modalities({"feature_groups": {**{k: found[k] for k in ("numeric", "text", "datetime")}, **low, "encoded": made}})
     return spark.createDataFrame(list(got.items()), "modality string, present boolean")
 
 
