@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import hot_join, materialize
+from tabloom.llm.common import discard, hot_join, materialize
 
 #: Bytes of text in a shard. Longer texts are cut where a piece ends, since no phrase crosses that.
 SHARD_BYTES = 2 << 20
@@ -34,10 +35,10 @@ _CLASS = np.full(256, _WORD, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 
-_SHARD = "shard long, tokens binary, starts binary, hashes binary, words array<string>, langs array<string>"
+_SHARD = "shard long, tokens binary, starts binary, words array<string>, langs array<string>"
 _FOUND = "k array<int>, lang array<string>, phrase array<string>, n array<long>"
 _STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
-_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS)])
+_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS)])
 _FOUND_ARROW = pa.schema([("k", pa.list_(pa.int32())), ("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
 _TOTAL_ARROW = pa.schema([("total_lang", _STRINGS), ("total_n", _LONGS)])
 
@@ -80,7 +81,11 @@ def shard_tokens(data: np.ndarray, text_starts: np.ndarray, text_langs: np.ndarr
     coded = spelled.dictionary_encode()
     piece = np.cumsum((kind == _BREAK) | first, dtype=np.int32)[at]
     lang = text_langs[np.searchsorted(text_starts, at, "right") - 1].astype(np.int64)
-    pairs, ids = np.unique(lang * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    pairs, ids, often = np.unique(lang * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    common = np.argsort(-often, kind="stable")  # common words get small ids
+    place = np.empty(len(common), np.int64)
+    place[common] = np.arange(len(common))
+    pairs, ids = pairs[common], place[ids]
     ends = np.flatnonzero(np.concatenate([piece[1:] != piece[:-1], [True]]))
     tokens = np.insert(ids.astype(np.int32) + 1, ends + 1, 0)
     words = coded.dictionary.take(pa.array(pairs % len(coded.dictionary)))
@@ -160,16 +165,30 @@ def _spell(words: pa.Array, tokens: np.ndarray, at: np.ndarray, k: int) -> pa.Ar
     return pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
 
 
-def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, hashes: np.ndarray, words, langs) -> dict:
-    """A row of _SHARD: tokens, the places at which phrases may begin, and the words of the ids with their hashes."""
-    return {"shard": shard, "tokens": tokens.astype(np.int32).tobytes(), "starts": np.packbits(starts).tobytes(), "hashes": hashes.tobytes(), "words": words, "langs": langs}
+def _pack(numbers: np.ndarray) -> bytes:
+    """Token ids, their low bytes first and then the higher ones, compressed: common words have small ids, so that most high bytes are 0."""
+    width = 2 if int(numbers.max(initial=0)) < 1 << 16 else 4
+    planes = numbers.astype("<u2" if width == 2 else "<u4").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view("<u2" if width == 2 else "<u4").ravel().astype(np.int32)
+
+
+def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, words, langs) -> dict:
+    """A row of _SHARD: tokens, the places at which phrases may begin, and the words of the ids."""
+    return {"shard": shard, "tokens": _pack(tokens), "starts": zstandard.ZstdCompressor(level=3).compress(np.packbits(starts).tobytes()), "words": words, "langs": langs}
 
 
 def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Number, tokens, places and hashes of a shard."""
-    tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.int32)
-    starts = np.unpackbits(np.frombuffer(batch.column("starts")[i].as_buffer(), np.uint8), count=len(tokens)).astype(bool)
-    return batch.column("shard")[i].as_py(), tokens, starts, np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
+    """Number, tokens, places and the words' hashes of a shard."""
+    tokens = _unpack(batch.column("tokens")[i].as_py())
+    starts = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("starts")[i].as_py()), np.uint8), count=len(tokens)).astype(bool)
+    words, langs = (batch.column(c)[i].values.to_pylist() for c in ("words", "langs"))
+    return batch.column("shard")[i].as_py(), tokens, starts, _hashes(words, langs)
 
 
 def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -190,8 +209,7 @@ def _first(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Recor
             tokens, words, of = shard_tokens(data[start:stop], np.maximum(offsets[first:end] - start, 0), numbers[first:end])
             if len(tokens):
                 each = np.bincount(of[tokens[tokens > 0] - 1], minlength=len(names))
-                words, langs = pc.cast(words, pa.string()), [names[i] for i in of]
-                row = _packed(base + made, tokens, tokens > 0, _hashes(words.to_pylist(), langs), words, langs) | {"total_lang": names, "total_n": each}
+                row = _packed(base + made, tokens, tokens > 0, pc.cast(words, pa.string()), [names[i] for i in of]) | {"total_lang": names, "total_n": each}
                 yield _batch(row, pa.schema([*_SHARD_ARROW, *_TOTAL_ARROW]))
                 made += 1
 
@@ -231,20 +249,20 @@ def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.nda
                 covered = follow.copy()
                 for j in range(1, min(k + 1, len(follow))):
                     covered[j:] |= follow[:-j]
-                out |= _packed(shard, *_compact(tokens, covered, follow, hashes, words, langs))
+                out |= _packed(shard, *_compact(tokens, covered, follow, words, langs))
             yield _batch(out, schema)
 
 
-def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, hashes: np.ndarray, words: pa.Array, langs: pa.Array):
+def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words: pa.Array, langs: pa.Array):
     """Only the covered places and the words that they use; whatever lies between becomes one end of a piece."""
     ends = np.concatenate([[False], covered[:-1]]) & ~covered
     stay = covered | ends
     tokens, follow = np.where(covered, tokens, 0)[stay], follow[stay]
-    used = np.zeros(len(hashes) + 1, bool)
+    used = np.zeros(len(words) + 1, bool)
     used[tokens] = True
     used[0] = True
     keep = np.flatnonzero(used)[1:] - 1
-    return (np.cumsum(used) - 1)[tokens], follow, hashes[keep], words.take(pa.array(keep)), langs.take(pa.array(keep))
+    return (np.cumsum(used) - 1)[tokens], follow, words.take(pa.array(keep)), langs.take(pa.array(keep))
 
 
 @contextmanager
@@ -272,10 +290,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     read = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"))
     totals = shards.select(F.explode(F.arrays_zip("total_lang", "total_n")).alias("x")).groupBy(F.col("x.total_lang").alias("lang")).agg(F.sum("x.total_n").alias("n")).where("n > 0")
+    totals = materialize(totals)
     found = []
     for k in range(1, longest + 1):
-        state = shards.select("shard", "tokens", "starts", "hashes", "words", "langs")
-        hashed = state.drop("words", "langs").mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
+        state = shards.select("shard", "tokens", "starts", "words", "langs")
+        hashed = state.mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
         with _rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
             often = materialize(hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
         if often.count() <= BROADCAST_HASHES:
@@ -285,8 +304,9 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
             kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
             step = state.join(kept, "shard").mapInArrow(lambda batches, k=k: _next(batches, k, longest, None), _next_schema(k, longest))
         with _rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
-            shards = materialize(step)
-        found.append(shards.select(F.explode(F.arrays_zip("k", "lang", "phrase", "n")).alias("x")).select("x.*"))
+            before, shards = shards, materialize(step)
+        found.append(materialize(shards.select(F.explode(F.arrays_zip("k", "lang", "phrase", "n")).alias("x")).select("x.*")))
+        discard(before)  # its counts and what is left of it have been written
     merged = reduce(DataFrame.unionByName, found).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
     return materialize(merged.where(F.col("f") >= least)), totals
 

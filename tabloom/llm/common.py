@@ -53,7 +53,16 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))  # usable after the session's end too
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df, once nothing reads it any more: all that was made from it is written itself."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
