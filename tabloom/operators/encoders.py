@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import date_parts, to_timestamp
 from tabloom.operators.ordering import ORD
-from tabloom.operators.profile import number, value
+from tabloom.operators.profile import decided_counts, number, value
 from tabloom.operators.quantiles import exact_quantiles
 from tabloom.operators.types import feature_types, is_id_like
 
@@ -37,20 +37,20 @@ class Groups:
 
 def cardinality(train: DataFrame, names: Sequence[str]) -> dict[str, list[str]]:
     """Categorical columns by their distinct values in the training table: low, medium, high, or dropped (id-like, or
-    over 99 % distinct beyond the medium class). One aggregation."""
+    over 99 % distinct beyond the medium class). Sketches first; exact where a class hangs on it."""
     out: dict[str, list[str]] = {k: [] for k in ("low", "medium", "high", "dropped")}
     if not names:
         return out
-    r = train.agg(F.count(F.lit(1)), *[F.count_distinct(value(train, c)) for c in names]).first()
-    for c, u in zip(names, r[1:]):
-        if is_id_like(c, u, r[0]):
+    n, found = decided_counts(train, {c: value(train, c) for c in names}, (0.95, DROPPED_OVER))
+    for c, u in found.items():
+        if is_id_like(c, u, n):
             kind = "dropped"
         elif u <= LOW_AT_MOST:
             kind = "low"
         elif u <= MEDIUM_AT_MOST:
             kind = "medium"
         else:
-            kind = "dropped" if u / max(r[0], 1) > DROPPED_OVER else "high"
+            kind = "dropped" if u / max(n, 1) > DROPPED_OVER else "high"
         out[kind].append(c)
     return out
 

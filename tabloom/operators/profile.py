@@ -6,7 +6,7 @@ Each is one or two aggregations over all columns together, so a table is scanned
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +59,30 @@ def _count_null(c: Column) -> Column:
     return F.count(F.when(c.isNull(), 1))
 
 
+#: The sketches have 2^14 registers, so one standard deviation of their error is under 1 %; the margin that is allowed for; and up to how many values are simply collected.
+SKETCH_BITS, SKETCH_MARGIN, FEW_VALUES = 14, 0.05, 1_000
+
+
+def sketched_counts(df: DataFrame, columns: Mapping[str, Column]) -> tuple[int, dict[str, int]]:
+    """Rows, and about how many distinct values each column has (nulls left out): one pass of mergeable sketches, whatever the number of columns."""
+    hashes = [F.when(c.isNotNull(), F.xxhash64(c)) for c in columns.values()]
+    got = df.agg(F.count(F.lit(1)), *[F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(h, F.lit(SKETCH_BITS))), F.lit(0)) for h in hashes]).first()
+    return got[0], dict(zip(columns, got[1:]))
+
+
+def decided_counts(df: DataFrame, columns: Mapping[str, Column], shares: Sequence[float] = ()) -> tuple[int, dict[str, int]]:
+    """Rows, and distinct values by column (nulls left out): exact where few or where their share of the rows is near one of `shares`, at which something is decided;
+    elsewhere to the sketch's error. Few values are collected in one aggregate; only columns near a share are counted by a shuffle, each alone."""
+    n, found = sketched_counts(df, columns)
+    few = [c for c, u in found.items() if u <= FEW_VALUES]
+    if few:
+        found |= dict(zip(few, df.agg(*[F.size(F.collect_set(columns[c])) for c in few]).first()))
+    for c, u in found.items():
+        if u > FEW_VALUES and any(abs(u - share * n) <= SKETCH_MARGIN * share * n for share in shares):
+            found[c] = df.agg(F.count_distinct(columns[c])).first()[0]
+    return n, found
+
+
 def missingness(df: DataFrame, approximate: bool = False) -> DataFrame:
     """column, dtype, missing_count, missing_pct (share, 4 digits), nunique; most missing first. approximate: distinct
     values by a sketch, which spares wide large tables a shuffle of every value."""

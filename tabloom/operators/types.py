@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.scalar import normalize_name, to_number, to_timestamp
 from tabloom.operators.ordering import ORD, head
-from tabloom.operators.profile import TIME_TYPES, columns_of, value
+from tabloom.operators.profile import TIME_TYPES, columns_of, decided_counts, value
 
 # Names of row ids and targets, in order of preference.
 ROW_ID_NAMES = ("row_id", "id", "record_id", "sample_id", "submission_id", "index")
@@ -33,6 +33,10 @@ class ColumnFacts:
     parsed: float  # share of the first 50 present values that parse as times
 
 
+#: Shares of distinct values at which a column's class changes.
+SHARES = (0.9, 0.95)
+
+
 def column_facts(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[int, list[ColumnFacts]]:
     """Rows, and facts of each column."""
     fields = [f for f in columns_of(df) if f.name not in set(exclude)]
@@ -41,17 +45,18 @@ def column_facts(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[int, list[
     for i, f in enumerate(fields):
         v = value(df, f.name)
         aggs += [F.count(v).alias(f"c{i}")]
-        aggs.append((F.count_distinct(v) if not isinstance(f.dataType, (T.ArrayType, T.MapType)) else F.lit(0)).alias(f"u{i}"))
         if f.name in texts:
             aggs += [F.avg(F.length(v)).alias(f"m{i}"), F.max(F.length(v)).alias(f"x{i}"), F.avg(v.rlike("[A-Za-z]").cast("double")).alias(f"l{i}"), F.avg(v.rlike(r"\s").cast("double")).alias(f"s{i}")]
     got = df.agg(*aggs).first()
+    plain = {f.name: value(df, f.name) for f in fields if not isinstance(f.dataType, (T.ArrayType, T.MapType))}
+    distinct = decided_counts(df, plain, SHARES)[1] if plain else {}
     parsed = _parse_rates(df, texts)
     out = []
     for i, f in enumerate(fields):
         text = f.name in texts
         out.append(ColumnFacts(
             f.name, isinstance(f.dataType, (T.NumericType, T.BooleanType)), isinstance(f.dataType, T.IntegralType), isinstance(f.dataType, TIME_TYPES),
-            got[f"c{i}"], got[f"u{i}"], (got[f"m{i}"] or 0.0) if text else 0.0, (got[f"x{i}"] or 0) if text else 0,
+            got[f"c{i}"], distinct.get(f.name, 0), (got[f"m{i}"] or 0.0) if text else 0.0, (got[f"x{i}"] or 0) if text else 0,
             (got[f"l{i}"] or 0.0) if text else 0.0, (got[f"s{i}"] or 0.0) if text else 0.0, parsed.get(f.name, 0.0),
         ))
     return got["n"], out
@@ -61,12 +66,22 @@ def _parse_rates(df: DataFrame, names: Sequence[str], first: int = 50) -> dict[s
     """Share of each text column's first 50 present values that are times."""
     if not names:
         return {}
-    order = [F.col(ORD)] if ORD in df.columns else []
+    if ORD not in df.columns:
+        out = {}
+        for c in names:
+            few = df.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("v")).limit(first)
+            out[c] = few.agg(F.avg(to_timestamp("v").isNotNull().cast("double"))).first()[0] or 0.0
+        return out
+    # the head holds the first present values of all columns but those that are seldom present, which have a scan of their own
+    top = df.select(ORD, *[F.col(f"`{c}`") for c in names]).orderBy(ORD).limit(4 * first).collect()
     out = {}
     for c in names:
-        present = df.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("v"), *order)
-        few = (present.orderBy(ORD) if order else present).limit(first)
-        out[c] = few.agg(F.avg(to_timestamp("v").isNotNull().cast("double"))).first()[0] or 0.0
+        present = [r[c] for r in top if r[c] is not None][:first]
+        if len(present) < first and len(top) == 4 * first:
+            rest = df.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("v"), ORD).orderBy(ORD).limit(first)
+        else:
+            rest = df.sparkSession.createDataFrame([(v,) for v in present], "v string")
+        out[c] = rest.agg(F.avg(to_timestamp("v").isNotNull().cast("double"))).first()[0] or 0.0
     return out
 
 
