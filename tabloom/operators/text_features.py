@@ -54,7 +54,8 @@ def tokens(c: Column) -> Column:
 def grams(c: Column) -> Column:
     """Single words and pairs of neighbouring words."""
     words = tokens(c)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat_ws(" ", a, b))  # in one walk: an index into words would find them anew for each pair
     return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
 
 
