@@ -13,7 +13,7 @@ from tabloom.operators import encoders, joins, ordering, profile, text_features
 from tabloom.operators import types as kinds
 from tabloom.plans import description, eda, models, report, schema, validate
 from tabloom.registry import q, query, read, union
-from tabloom.sources import images
+from tabloom.sources import files, images
 
 # ---- types and roles ----
 
@@ -567,3 +567,16 @@ def modalities(spark, sf_dir):
     return spark.createDataFrame(list(got.items()), "modality string, present boolean")
 
 
+
+
+@query(q("""SELECT coalesce(lang, 'none') AS lang, count(*) AS n, count(*) FILTER (text LIKE '%' || chr(10) || '%') AS with_line_ends, sum(length(text))::BIGINT AS chars, sum(n_chars)::BIGINT AS n_chars,
+    sum(('0x' || substr(md5(doc_id || text), 1, 8))::BIGINT)::BIGINT AS texts FROM documents GROUP BY 1"""))
+def csv_texts(spark, sf_dir):
+    """All documents written as CSV, with their line ends and quotes, and read back by records."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    with files.scratch_folder(spark) as folder:
+        docs.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
+        digest = F.conv(F.substring(F.md5(F.concat("doc_id", "text").cast("binary")), 1, 8), 16, 10).cast("bigint")
+        sums = [F.count(F.when(F.contains("text", F.lit("\n")), 1)).alias("with_line_ends"), F.sum(F.length("text")).alias("chars"), F.sum("n_chars").alias("n_chars"), F.sum(digest).alias("texts")]
+        found = files.read_csv(spark, folder).groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("n"), *sums)
+        return spark.createDataFrame(found.collect(), found.schema)  # a row for each language

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import math
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalar import missing, to_number
 from tabloom.operators.ordering import ORD, head
 from tabloom.operators.profile import rounded
+from tabloom.sources.records import fields, read_records
 
 # Where a description is looked for, in this order.
 DESCRIPTIONS = ("DATA_DESCRIPTION.md", "Data_Description.md", "data_description.md", "README.md")
@@ -30,27 +36,50 @@ def artifacts_dir(root: str | Path) -> Path:
     return out
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder that the driver and all executors see (below spark.checkpoint.dir; a local one where that is unset), deleted in the end."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def find_csv_files(folder: str | Path) -> list[Path]:
     """All CSV files below a folder, sorted by path; none if it isn't there."""
     folder = Path(folder)
     return sorted(p for p in folder.rglob("*.csv") if p.is_file()) if folder.is_dir() else []
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8, or latin-1 if the file isn't UTF-8 throughout (Spark would put replacement marks there, unasked)."""
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+def _names(header: Sequence[str | None]) -> list[str]:
+    """Names of a header's values as Spark's reader makes them: those without one are numbered, repeated ones get their place."""
+    lower = [(h or "").lower() for h in header]
+    return [f"_c{i}" if not h else f"{h}{i}" if lower.count(h.lower()) > 1 else h for i, h in enumerate(header)]
 
 
-def read_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns as text, missing tokens as null, and __ord, which rises with the row's place in the file.
+def read_raw(spark: SparkSession, path: str, multi_line: bool = True, most: int | None = None) -> DataFrame:
+    """All columns as text, missing tokens as null, and __ord, which rises with the row's place in the file; with `most` only so many
+    first rows. An empty file has no column but __ord.
 
-    multi_line reads values that hold line ends, but a file then is one task; turn it off for large files without them.
+    Values may hold line ends, whichever task they fall to; multi_line=False spares the scan that looks for them.
     """
-    options = {"header": True, "multiLine": multi_line, "escape": '"', "encoding": encoding_of(spark, path), "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df = spark.read.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).csv(path)
-    df = df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})
-    return df.select(*[missing(F.col(f"`{c}`")).alias(c) for c in df.columns], F.monotonically_increasing_id().alias(ORD))
+    if multi_line:
+        found, header = read_records(spark, path, most)
+        if header is None:
+            return spark.createDataFrame([], f"{ORD} bigint")
+        names = _names(next(csv.reader(io.StringIO(header, newline=""))))
+        values = found.select("id", fields(F.col("record"), len(names)).alias("v"))
+        df = values.select(*[F.col(f"v.c{i}").alias(c) for i, c in enumerate(names)], F.col("id").alias(ORD))
+    else:
+        df = spark.read.options(header="true", escape='"').csv(path).withColumn(ORD, F.monotonically_increasing_id())
+        df = head(df, most) if most is not None else df
+    columns = [c for c in df.columns if c != ORD]
+    return df.select(*[missing(F.col(f"`{c}`")).alias(c.strip()) for c in columns], ORD)
 
 
 def inferred(df: DataFrame) -> dict[str, str]:
@@ -91,13 +120,13 @@ def read_csv(spark: SparkSession, path: str | Path, multi_line: bool = True) ->
 
 def read_csv_head(spark: SparkSession, path: str | Path, n: int = 200) -> DataFrame:
     """The first n rows, typed by these rows alone."""
-    raw = head(read_raw(spark, str(path)), n)
+    raw = read_raw(spark, str(path), most=n)
     return typed(raw, inferred(raw))
 
 
 def read_csv_for_schema(spark: SparkSession, path: str | Path, most: int = SCHEMA_ROWS) -> DataFrame:
     """Up to `most` first rows, for the search of join keys."""
-    raw = head(read_raw(spark, str(path)), most)
+    raw = read_raw(spark, str(path), most=most)
     return typed(raw, inferred(raw))
 
 
