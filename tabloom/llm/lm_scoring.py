@@ -19,8 +19,9 @@ from tabloom.llm.common import materialize, shuffle_partitions
 
 #: Bytes of context.
 DEPTH = 5
-#: Bytes of context by which contexts are dealt into slices.
-TOP = 2
+#: Bytes of context by which contexts are dealt into slices, and one in how many symbols must follow such a context for it to be hot:
+#: hot ones, fewer than HOT_PAIRS, are dealt by a byte more.
+TOP, HOT_PAIRS = 2, 2_000
 #: Bytes of text that share a block of statistics, that are handled at a time, and that are scored at a time.
 BLOCK_BYTES, CHUNK_BYTES, SCORE_BYTES = 16 << 20, 2 << 20, 1 << 19
 #: Bytes of text for which there is a slice of statistics, and the fewest and most slices.
@@ -290,10 +291,10 @@ def _block_tokens(texts: pa.Array) -> tuple[list[str], list[np.ndarray]]:
     return whole.chunk(0).dictionary.to_pylist(), [ids[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array, depth: int, parts: int, whole: bool):
-    if whole:
+def _block_rows(block: int, marks: pa.Array, train: np.ndarray, texts: pa.Array, depth: int, parts: int, hot: np.ndarray | None):
+    if hot is not None:
         key, n = _all_grams(train, texts, depth)
-        slot = slice_of(key, depth, parts).astype(np.int64)
+        slot = slice_of(key, depth, parts, hot)
         order = np.argsort(slot, kind="stable")
         yield _slice_rows(3, block, slot[order], key[order], n[order])
         del slot, order
@@ -325,9 +326,20 @@ def _slice_rows(kind: int, block: int, slot: np.ndarray, keys: np.ndarray, n: np
     return _rows(kind, block, key=slot[first], ids=[_pack_keys(keys[a:b]) for a, b in cuts], more=[_planes(n[a:b]) for a, b in cuts])
 
 
-def _stats(depth: int, parts: int, whole: bool):
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many symbols follow each context of TOP bytes."""
+    n = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        for i, j in _slices(b.column(0)):
+            data, at, _ = _padded(_as_bytes(_lower(b.column(0).slice(i, j - i))), TOP)
+            n += np.bincount(data[at - 1].astype(np.int64) << 8 | data[at - 2], minlength=len(n))
+    seen = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], ["pair", "n"])
+
+
+def _stats(depth: int, parts: int, hot: np.ndarray | None):
     """Statistics of blocks of (mark, train, text), mark being what names a text; with `parts` slices of tokens, and of contexts if
-    the whole model is wanted, which otherwise are rows."""
+    the whole model is wanted, for which the hot pairs are given; otherwise contexts are rows."""
 
     def run(batches):
         part = TaskContext.get().partitionId() << 32
@@ -346,7 +358,7 @@ def _stats(depth: int, parts: int, whole: bool):
     def flush(held, block):
         if sum(map(len, held)):
             marks, train, texts = (pa.chunked_array([h.column(k) for h in held]).combine_chunks() for k in range(3))
-            yield from _block_rows(block, marks, train.to_numpy(zero_copy_only=False).astype(bool), texts, depth, parts, whole)
+            yield from _block_rows(block, marks, train.to_numpy(zero_copy_only=False).astype(bool), texts, depth, parts, hot)
             del marks, train, texts
         pa.default_memory_pool().release_unused()
 
@@ -361,7 +373,8 @@ def _rows(kind: int, block: int, **cols) -> pa.RecordBatch:
 
 
 # The whole model. A context's bytes are reversed here, the last one first, above the symbol: contexts that share their last
-# bytes are neighbours, and each slice holds whole subtrees below contexts of TOP bytes. All contexts that occur are in the
+# bytes are neighbours, and each slice holds whole subtrees below contexts of TOP bytes, or below contexts of a byte more that
+# end in hot ones: no hot pair of bytes makes a slice that can't be split. All contexts that occur are in the
 # tree, so a context's counts are the sum of its children's and no `rest` leaf has any.
 
 
@@ -413,9 +426,14 @@ def _all_grams(train: np.ndarray, texts: pa.Array, depth: int) -> tuple[np.ndarr
     return _merged(np.concatenate(keys), np.concatenate(counts))
 
 
-def slice_of(keys: np.ndarray, depth: int, slices: int) -> np.ndarray:
-    """The slice of reversed contexts with symbols, by a hash of their last TOP bytes."""
-    return ((keys >> 8 * (depth + 1 - TOP)) * 2654435761 >> 8) % slices
+def slice_of(keys: np.ndarray, depth: int, slices: int, hot: np.ndarray) -> np.ndarray:
+    """The slice of reversed contexts with symbols, by a hash of their last TOP bytes (0 to slices - 1), or of a byte more if the pair is
+    hot (slices and above)."""
+    pair = keys >> 8 * (depth + 1 - TOP)
+    out = (pair * 2654435761 >> 8) % slices
+    split = np.isin(pair, hot)
+    out[split] = slices + ((keys[split] >> 8 * (depth - TOP)) * 2654435761 >> 8) % slices
+    return out
 
 
 def _log_gammas() -> list[np.ndarray]:
@@ -453,10 +471,10 @@ def _above(codes: np.ndarray) -> np.ndarray:
     return codes >> 16 << 8 | codes & 255
 
 
-def subtrees(keys: np.ndarray, n: np.ndarray, depth: int) -> list[list[Level]]:
-    """For each bit, highest first, the levels of depths TOP to `depth` of whole subtrees; keys: distinct, sorted, seen n > 0 times."""
+def subtrees(keys: np.ndarray, n: np.ndarray, depth: int, root: int) -> list[list[Level]]:
+    """For each bit, highest first, the levels of depths `root` to `depth` of whole subtrees; keys: distinct, sorted, seen n > 0 times."""
     grams = [(keys, n)]
-    while len(grams) <= depth - TOP:
+    while len(grams) <= depth - root:
         grams.append(_merged(_above(grams[-1][0]), grams[-1][1]))
     out = []
     for bit in range(8):
@@ -479,48 +497,80 @@ def subtrees(keys: np.ndarray, n: np.ndarray, depth: int) -> list[list[Level]]:
     return out
 
 
-def top_levels(codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From the decisions at contexts of TOP bytes: for each last byte (row) and decision (column) the P(1) that contexts of
-    no and one byte give on the way down, and the weight that they leave."""
-    last, j = codes >> 16, codes & 255
-    z, o, split = (np.zeros((256, 256), t) for t in (np.int64, np.int64, float))
-    for sums, x in ((z, zeros), (o, ones), (split, weighted)):
-        np.add.at(sums, (last, j), x)
+@dataclass
+class Top:
+    """What the contexts above the slices' roots give on the way down, their P(1), and the weight that they leave: for last byte (row) and decision
+    (column), and for the decisions at hot pairs by their codes."""
+
+    said: np.ndarray
+    left: np.ndarray
+    codes: np.ndarray
+    hot_said: np.ndarray
+    hot_left: np.ndarray
+
+
+def top_levels(roots: np.ndarray, codes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Top:
+    """The tree's top from its decisions one byte above the slices' roots: depth of the roots, code, counts, and the sum of the roots' log P_w."""
+    hot = roots > TOP
+    order = np.flatnonzero(hot)[np.argsort(codes[hot])]
+    code, z, o, split = codes[order], zeros[order], ones[order], below[order]
+    own = _kt(z, o)
+    weighted = np.logaddexp(own, split) - math.log(2)
+    hot_stay, hot_p = np.exp(own - math.log(2) - weighted), (o + 0.5) / (z + o + 1.0)
+    up = np.concatenate([codes[~hot], _above(code)])
+    last, j = up >> 8, up & 255
+    sums = []
+    for x, y in ((zeros, z), (ones, o), (below, weighted)):
+        sums.append(np.zeros((256, 256), x.dtype))
+        np.add.at(sums[-1], (last, j), np.concatenate([x[~hot], y]))
+    z, o, split = sums
     said, left = 0.0, 1.0
     steps = []
     for _ in range(TOP):
         own = _kt(z, o)
-        below = np.logaddexp(own, split) - math.log(2)
-        steps.append((np.exp(own - math.log(2) - below), (o + 0.5) / (z + o + 1.0)))
-        z, o, split = (x.sum(axis=0, keepdims=True) for x in (z, o, below))
+        under = np.logaddexp(own, split) - math.log(2)
+        steps.append((np.exp(own - math.log(2) - under), (o + 0.5) / (z + o + 1.0)))
+        z, o, split = (x.sum(axis=0, keepdims=True) for x in (z, o, under))
     for stay, p in reversed(steps):
         said = said + left * stay * p
         left = left * (1 - stay)
-    return said, left
+    at = code >> 16, code & 255
+    return Top(said, left, code, said[at] + left[at] * hot_stay * hot_p, left[at] * (1 - hot_stay))
 
 
-def gram_logs(keys: np.ndarray, trees: list[list[Level]], top: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """log10 probabilities of symbols after reversed contexts, for distinct sorted keys whose subtrees are given. The longest
+def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted codes are among sorted ones, and which are there at all."""
+    i = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return i, codes[i] == wanted if len(codes) else np.zeros(len(wanted), bool)
+
+
+def gram_logs(keys: np.ndarray, trees: list[list[Level]], top: Top, depth: int, root: int) -> np.ndarray:
+    """log10 probabilities of symbols after reversed contexts, for distinct sorted keys whose subtrees from depth `root` on are given. The longest
     contexts that occur are used; what weight they leave goes to unseen ones, which predict 1/2."""
     out = np.zeros(len(keys))
     symbol, last = keys & 255, keys >> 8 * depth
     for bit, levels in enumerate(trees):
         number = 1 << bit | symbol >> 8 - bit
-        said, left = (x[last, number] for x in top)
+        said, left = top.said[last, number], top.left[last, number]
+        if root > TOP:
+            i, hit = _find(top.codes, keys >> 8 * (depth + 1 - TOP) << 8 | number)
+            said[hit], left[hit] = top.hot_said[i[hit]], top.hot_left[i[hit]]
         at, up = np.arange(len(keys)), None
-        for d, level in enumerate(levels, TOP):
+        for d, level in enumerate(levels, root):
             if not len(level.codes) or not len(at):
                 break
-            if up is None:  # what the level's own decisions have gathered from above
-                s, w = (x[level.codes >> 16, level.codes & 255] for x in top)
+            if up is None and root > TOP:  # what the level's own decisions have gathered from above
+                i = np.searchsorted(top.codes, _above(level.codes))
+                s, w = top.hot_said[i], top.hot_left[i]
+            elif up is None:
+                s, w = (x[level.codes >> 16, level.codes & 255] for x in (top.said, top.left))
             else:
                 i = np.searchsorted(up.codes, _above(level.codes))
                 s, w = s[i], w[i]
             s = s + w * level.stay * (level.ones + 0.5) / (level.zeros + level.ones + 1.0)
             w, up = w * (1 - level.stay), level
             codes = keys[at] >> 8 * (depth - d + 1) << 8 | number[at]
-            i = np.minimum(np.searchsorted(level.codes, codes), len(level.codes) - 1)
-            hit = level.codes[i] == codes
+            i, hit = _find(level.codes, codes)
             at, i = at[hit], i[hit]
             said[at], left[at] = s[i], w[i]
         one = np.clip(said + left / 2, 1e-12, 1 - 1e-12)
@@ -535,26 +585,76 @@ def _slice_grams(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarr
     return parts, *_merged(np.concatenate(parts), counts)
 
 
-def _slice_top(depth: int):
-    def run(rows: pa.Table) -> pa.Table:
-        _, keys, n = _slice_grams(rows)
-        first = [levels[0] for levels in subtrees(keys[n > 0], n[n > 0], depth)]
-        cols = [_planes(np.concatenate([getattr(x, k) for x in first])) for k in ("codes", "zeros", "ones", "weighted")]
-        return pa.table([pa.array([x], pa.binary()) for x in cols], ["codes", "zeros", "ones", "weighted"])
+def _root(key: int, slices: int) -> int:
+    return TOP + (key >= slices)
+
+
+_SUMS = "root int, code bigint, zeros bigint, ones bigint, below double, key bigint, ids binary, more binary"
+
+
+def _slice_sums(depth: int, slices: int):
+    """A slice over all blocks, which come one after another: its grams and counts, packed, and the decisions above its roots as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, size, slot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+        for b in batches:
+            slot = b.column(0)[0].as_py()
+            for ids, more in zip(b.column(1), b.column(2)):
+                keys.append(_unpack_keys(ids.as_py()))
+                counts.append(_unplanes(more.as_py(), np.int64))
+                size += len(keys[-1])
+                if size > max(len(keys[0]), 1 << 20):
+                    k, n = _merged(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, size = [k], [n], 0
+        k, n = _merged(np.concatenate(keys), np.concatenate(counts))
+        del keys, counts
+        root = _root(slot, slices)
+        parts = []
+        for first, *_ in subtrees(k[n > 0], n[n > 0], depth, root):
+            codes, at = np.unique(_above(first.codes), return_inverse=True)
+            sums = [np.bincount(at, x, len(codes)) for x in (first.zeros, first.ones, first.weighted)]
+            parts.append((codes, *(x.astype(t) for x, t in zip(sums, (np.int64, np.int64, float)))))
+        cols = [np.concatenate(x) for x in zip(*parts)]
+        rows = len(cols[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(np.full(rows, root), 0), pa.int32()), *(pa.array(np.append(x, 0).astype(x.dtype)) for x in cols),
+             pa.array([None] * rows + [slot], pa.int64()), pa.array([None] * rows + [_pack_keys(k)], pa.binary()), pa.array([None] * rows + [_planes(n)], pa.binary())],
+            [x.split()[0] for x in _SUMS.split(", ")],
+        )
 
     return run
 
 
-def _slice_logs(depth: int, top):
-    def run(rows: pa.Table) -> pa.Table:
-        parts, keys, n = _slice_grams(rows)
-        logs = gram_logs(keys, subtrees(keys[n > 0], n[n > 0], depth), top.value, depth).astype(np.float32)
-        mine = [_planes(logs[np.searchsorted(keys, x)]) for x in parts]
-        return pa.table([rows.column("block"), rows.column("ids"), pa.array(mine, pa.binary())], ["block", "ids", "more"])
+def _slice_logs(depth: int, slices: int, top):
+    """For rows of slices, sorted: of each first the sums (block null), then the blocks' keys, for which the logs are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = logs = None
+        for b in batches:
+            out, size = [], 0
+            for slot, block, ids, more in zip(*b.columns):
+                if block.as_py() is None:
+                    keys, n = _unpack_keys(ids.as_py()), _unplanes(more.as_py(), np.int64)
+                    root = _root(slot.as_py(), slices)
+                    logs = gram_logs(keys, subtrees(keys[n > 0], n[n > 0], depth, root), top.value, depth, root).astype(np.float32)
+                    continue
+                mine = _planes(logs[np.searchsorted(keys, _unpack_keys(ids.as_py()))])
+                out.append((block, ids, mine))
+                size += len(mine)
+                if size > 4 << 20:
+                    yield _log_rows(out)
+                    out, size = [], 0
+            yield _log_rows(out)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _log_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = [[r[0].as_py() for r in rows], [r[1].as_py() for r in rows], [r[2] for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["block", "ids", "more"])
+
+
 def _block_scores(depth: int):
     def run(logs: pa.Table, texts: pa.Table) -> pa.Table:
         keys = np.concatenate([np.zeros(0, np.int64), *(_unpack_keys(x) for x in logs.column("ids").to_pylist())])
@@ -584,16 +684,16 @@ def _block_scores(depth: int):
     return run
 
 
-def whole_scores(stats: DataFrame, depth: int) -> DataFrame:
-    """(mark, score) from rows of kinds 3 and 4. Slices of contexts are summed over all blocks twice: for the decisions at
-    their upper ends, from which the driver makes the tree's top, and for the symbols' probabilities, which go back to the
-    blocks that have them."""
-    slices = stats.where(F.col("kind") == 3).select("key", "block", "ids", "more").groupBy("key")
-    got = slices.applyInArrow(_slice_top(depth), "codes binary, zeros binary, ones binary, weighted binary").toArrow()
-    kinds = (np.int64, np.int64, np.int64, np.float64)
-    cols = [np.concatenate([np.zeros(0, t), *(_unplanes(x, t) for x in got.column(k).to_pylist())]) for k, t in enumerate(kinds)]
-    top = stats.sparkSession.sparkContext.broadcast(top_levels(*cols))
-    logs = slices.applyInArrow(_slice_logs(depth, top), "block bigint, ids binary, more binary")
+def whole_scores(stats: DataFrame, depth: int, slices: int) -> DataFrame:
+    """(mark, score) from rows of kinds 3 and 4. Slices of contexts are summed over all blocks; from the decisions above their
+    roots (65,536 and 256 for each hot pair at most) the driver makes the tree's top. Then the blocks' rows pass their slice's sums, and the
+    symbols' probabilities go back to the blocks that have them. A task holds the distinct grams of one slice and a batch of blocks' rows."""
+    grams = stats.where(F.col("kind") == 3).select("key", "block", "ids", "more")
+    summed = materialize(grams.select("key", "ids", "more").groupBy("key").applyInArrow(_slice_sums(depth, slices), _SUMS))
+    above = summed.where("root > 0").groupBy("root", "code").agg(F.sum("zeros").alias("z"), F.sum("ones").alias("o"), F.sum("below").alias("b")).toArrow()
+    top = stats.sparkSession.sparkContext.broadcast(top_levels(*(x.to_numpy() for x in above.columns)))
+    both = summed.where("root = 0").select("key", F.lit(None).cast("bigint").alias("block"), "ids", "more").unionByName(grams)
+    logs = both.repartition("key").sortWithinPartitions("key", F.col("block").asc_nulls_first()).mapInArrow(_slice_logs(depth, slices, top), "block bigint, ids binary, more binary")
     texts = stats.where(F.col("kind") == 4).select("block", "mark", "ids")
     return logs.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_block_scores(depth), "mark string, score double")
 
@@ -664,8 +764,8 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     of the most frequent.
 
     Statistics are gathered block by block of texts, summed over all blocks by key, and follow the corpus in size. So does
-    the model, of which contexts of one byte alone are broadcast: longer ones are dealt into slices, and the probabilities
-    of a block's symbols come back to it by a second shuffle. With `nodes` the model is broadcast whole. Word counts come
+    the model, of which contexts of one byte, and of two where these are hot, alone are broadcast: longer ones are dealt into slices by
+    their last two bytes, hot ones by three, and the probabilities of a block's symbols come back to it by a second shuffle. With `nodes` the model is broadcast whole. Word counts come
     back to the blocks they came from likewise, packed slice by slice.
     """
     if nodes is None and not TOP <= depth <= 5:
@@ -676,9 +776,16 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     # what names a text: rows that agree in it have equal texts and so equal results
     mark = F.md5(body.cast("binary"))
     named = docs.select(mark.alias("mark"), usable.alias("train"), body.alias("t"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    hot = None
+    if nodes is None:
+        pairs = named.select("t").mapInArrow(_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+        n = pairs.column("n").to_numpy()
+        size = int(n.sum())
+        hot = pairs.column("pair").to_numpy()[n > size // HOT_PAIRS] if depth > TOP else np.zeros(0, np.int64)
+    else:
+        size = named.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     slices = min(SLICES[1], max(SLICES[0], 2 * shuffle_partitions(spark), size // SLICE_BYTES))
-    stats = materialize(named.mapInArrow(_stats(depth, slices, nodes is None), _STATS))
+    stats = materialize(named.mapInArrow(_stats(depth, slices, hot), _STATS))
 
     tokens = stats.where(F.col("kind") == 1).select("key", "block", "ids", "more").groupBy("key")
     totals = materialize(tokens.applyInArrow(_slice_counts, "block bigint, key bigint, more binary, whole bigint, tokens bigint"))
@@ -687,7 +794,7 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", depth: int =
     by_text = totals.select("block", "key", "more").groupBy("block").cogroup(texts.groupBy("block"))
     base = by_text.applyInArrow(_base, "mark string, n_tokens bigint, n_known bigint, logs double")
     if nodes is None:
-        base = base.unionByName(whole_scores(stats, depth), allowMissingColumns=True)
+        base = base.unionByName(whole_scores(stats, depth, slices), allowMissingColumns=True)
         base = base.groupBy("mark").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
     else:
         base = base.groupBy("mark").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "logs")])

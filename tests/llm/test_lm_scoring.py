@@ -171,3 +171,23 @@ def test_empty_table_and_nothing_to_learn_from(spark):
     one = lm.score_texts(spark.createDataFrame([(1, "ab c")], "doc_id long, text string"), F.lit(False)).first()
     assert (one.n_tokens, one.n_known, one.train_tokens, one.base_score) == (3, 0, 0, 0.0)
     assert one.bits_per_byte == pytest.approx(8)
+
+
+def test_hot_pairs_are_dealt_by_a_byte_more():
+    keys = np.sort(np.array([97 << 40 | 98 << 32 | c << 24 | s for c in range(60) for s in range(3)] + [97 << 40 | 99 << 32 | c << 24 for c in range(60)], np.int64))
+    slot = lm.slice_of(keys, 5, 32, np.array([97 << 8 | 98]))
+    hot = keys >> 32 == 97 << 8 | 98
+    assert (slot[hot] >= 32).all() and len(set(slot[hot])) > 15 and len(set(slot[~hot])) == 1 and slot[~hot][0] < 32
+    assert len({(k >> 24, s) for k, s in zip(keys[hot].tolist(), slot[hot].tolist())}) == 60  # a context of three bytes stays whole
+
+
+@pytest.mark.parametrize("hot", [1, 20, 10**9])
+def test_scores_are_the_same_however_many_pairs_are_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm, "HOT_PAIRS", hot)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "then", "hen", "Ende", "zig"], k=rng.randint(0, 40))) for _ in range(30)] + ["", None, "a" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    lower = [(t or "").encode().lower() for t in texts]
+    model, _ = model_of([t for i, t in enumerate(lower) if i % 3], 5, 10**9)
+    rows = lm.score_texts(docs, F.col("doc_id") % 3 != 0).orderBy("doc_id").collect()
+    assert [r.score for r in rows] == pytest.approx(lm.text_logs(model, lower).tolist(), rel=1e-5)
