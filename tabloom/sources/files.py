@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tabloom.functions.scalar import missing, to_number
 from tabloom.operators.ordering import ORD, head
 from tabloom.operators.profile import rounded
-from tabloom.sources.records import fields, read_records
+from tabloom.sources.records import charset_of, fields, read_records, splits_of
 
 # Where a description is looked for, in this order.
 DESCRIPTIONS = ("DATA_DESCRIPTION.md", "Data_Description.md", "data_description.md", "README.md")
@@ -66,17 +66,19 @@ def read_raw(spark: SparkSession, path: str, multi_line: bool = True, most: int
     """All columns as text, missing tokens as null, and __ord, which rises with the row's place in the file; with `most` only so many
     first rows. An empty file has no column but __ord.
 
-    Values may hold line ends, whichever task they fall to; multi_line=False spares the scan that looks for them.
+    Values may hold line ends, whichever task they fall to; files without such values go through Spark's reader of lines.
+    multi_line=False spares the scan that looks for them.
     """
-    if multi_line:
-        found, header = read_records(spark, path, most)
+    splits = splits_of(spark, path) if multi_line else []
+    if multi_line and (most is not None or any(s.spans for s in splits) or all(s.first is None for s in splits)):
+        found, header = read_records(spark, path, most, splits)
         if header is None:
             return spark.createDataFrame([], f"{ORD} bigint")
         names = _names(next(csv.reader(io.StringIO(header, newline=""))))
         values = found.select("id", fields(F.col("record"), len(names)).alias("v"))
         df = values.select(*[F.col(f"v.c{i}").alias(c) for i, c in enumerate(names)], F.col("id").alias(ORD))
     else:
-        df = spark.read.options(header="true", escape='"').csv(path).withColumn(ORD, F.monotonically_increasing_id())
+        df = spark.read.options(header="true", escape='"', encoding=charset_of(splits)).csv(path).withColumn(ORD, F.monotonically_increasing_id())
         df = head(df, most) if most is not None else df
     columns = [c for c in df.columns if c != ORD]
     return df.select(*[missing(F.col(f"`{c}`")).alias(c.strip()) for c in columns], ORD)

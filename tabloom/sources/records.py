@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # Rest of a line from the start of a field on: whole fields, then one that opens a quote and doesn't close it.
@@ -58,23 +58,25 @@ def _flags(part: pa.RecordBatch, start: bool) -> np.ndarray:
     return states(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("from_out", "from_in")), start)
 
 
-_SUMMARY = "split string, out_to boolean, in_to boolean, in_starts boolean, utf8 boolean, first bigint"
+_SUMMARY = "split string, out_to boolean, in_to boolean, in_starts boolean, utf8 boolean, first bigint, spans boolean"
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list] = {}
     for batch in batches:
         for split, part in _runs(batch):
-            s = found.setdefault(split, [False, True, False, True, None])
+            s = found.setdefault(split, [False, True, False, True, None, False])
             inside = _flags(part, s[1])
-            s[0], s[1] = bool(_flags(part, s[0])[-1]), bool(inside[-1])
+            outside = _flags(part, s[0])
+            s[0], s[1] = bool(outside[-1]), bool(inside[-1])
+            s[5] |= bool(outside.any())
             s[2] |= not inside[:-1].all()
             s[3] &= pc.all(part.column("utf8")).as_py()
             if s[4] is None:
                 filled = part.column("id").filter(pc.invert(pc.is_in(part.column("line"), value_set=pa.array([b"", b"\r"], part.column("line").type))))
                 s[4] = filled[0].as_py() if len(filled) else None
     rows = [[k, *v] for k, v in found.items()]
-    types = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()]
+    types = [pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.bool_()]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in _SUMMARY.split(", ")])
 
 
@@ -137,6 +139,16 @@ def _cut(begins: dict[str, tuple[bool, str | None]], most: int | None):
     return run
 
 
+def splits_of(spark: SparkSession, path: str) -> list[Row]:
+    """Each split's lines as one function of the state, and whether a record of it spans lines if it begins outside quotes (spans)."""
+    return sorted(physical_lines(spark, path).mapInArrow(_summaries, _SUMMARY).collect())
+
+
+def charset_of(splits: list[Row]) -> str:
+    """UTF-8, or latin-1 if not all is UTF-8."""
+    return "UTF-8" if all(s.utf8 for s in splits) else "ISO-8859-1"
+
+
 def _first_record(lines: DataFrame, first: int) -> bytes:
     """The record that begins at a line, from as many lines as it has."""
     n = 1
@@ -149,7 +161,7 @@ def _first_record(lines: DataFrame, first: int) -> bytes:
         n *= 8
 
 
-def read_records(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, str | None]:
+def read_records(spark: SparkSession, path: str, most: int | None = None, splits: list[Row] | None = None) -> tuple[DataFrame, str | None]:
     """(id, record) of a CSV file (or folder of files with equal headers) less its header, line ends within quotes kept; and the header (None if all is
     blank). Blank records are left out.
 
@@ -158,7 +170,7 @@ def read_records(spark: SparkSession, path: str, most: int | None = None) -> tup
     for each split.
     """
     lines = physical_lines(spark, path)
-    splits = sorted(lines.mapInArrow(_summaries, _SUMMARY).collect())
+    splits = splits_of(spark, path) if splits is None else splits
     begins, headers, state, owner, file, torn_any = {}, {}, False, None, None, False
     for s in splits:
         name = s.split.rpartition(":")[0]
@@ -174,7 +186,7 @@ def read_records(spark: SparkSession, path: str, most: int | None = None) -> tup
             owner = s.split
     if not headers:
         return spark.createDataFrame([], "id bigint, record string"), None
-    charset = "UTF-8" if all(s.utf8 for s in splits) else "ISO-8859-1"
+    charset = charset_of(splits)
     parts = lines.select("split", "id", "line", "from_out", "from_in").mapInArrow(_cut(begins, None if most is None else most + 1), _PARTS)
     whole = parts.where("owner IS NULL").select("id", "record")
     if torn_any:  # else no record runs over splits
