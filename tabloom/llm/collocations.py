@@ -20,8 +20,14 @@ from tabloom.llm.common import discard, hot_join, materialize
 SHARD_BYTES = 2 << 20
 #: So many hashes that passed go to every task (8 bytes each); more of them meet the shards by a shuffle.
 BROADCAST_HASHES = 2_000_000
-#: Shards that a task looks at together.
-SHARDS_AT_ONCE = 3
+#: Texts, and shards, that a task looks at together.
+TEXTS_AT_ONCE, SHARDS_AT_ONCE = 1_000, 3
+#: Hashes or phrases of several shards that a task merges before it hands them on.
+HELD_HASHES, HELD_PHRASES = 2_000_000, 400_000
+#: Phrases in a row of counts.
+ROW_PHRASES = 50_000
+#: Bytes of a row group of shards: a task holds the columns of one, compressed.
+GROUP_BYTES = 16 << 20
 #: Bits of the hashes by which phrases are first merged; phrases that share one only pass together.
 HASH_BITS = 40
 
@@ -35,11 +41,11 @@ _CLASS = np.full(256, _WORD, np.uint8)
 _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 
-_SHARD = "shard long, tokens binary, starts binary, words array<string>, langs array<string>"
-_FOUND = "k array<int>, lang array<string>, phrase array<string>, n array<long>"
+_SHARD = "shard long, tokens binary, starts binary, words binary, langs binary, names array<string>"
+_FOUND = "lang array<string>, phrase array<string>, n array<long>"
 _STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
-_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", _STRINGS), ("langs", _STRINGS)])
-_FOUND_ARROW = pa.schema([("k", pa.list_(pa.int32())), ("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
+_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", pa.binary()), ("langs", pa.binary()), ("names", _STRINGS)])
+_FOUND_ARROW = pa.schema([("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
 _TOTAL_ARROW = pa.schema([("total_lang", _STRINGS), ("total_n", _LONGS)])
 
 
@@ -148,8 +154,30 @@ class Suffixes:
         return places[new], np.bincount(number, minlength=int(new.sum())), places, number
 
 
-def _hashes(words: list[str], langs: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, object)) * np.uint64(0x9E3779B97F4A7C15) + pd.util.hash_array(np.array(langs, object))
+_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bytes_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64 bits of each string's bytes and their places; none is empty."""
+    size = np.diff(offsets)
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    weight = _POWERS[at % 64] + at.astype(np.uint64) // np.uint64(64) * np.uint64(0xD1342543DE82EF95)
+    return _mixed(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * weight, offsets[:-1]) + size.astype(np.uint64))
+
+
+def _hashes(words: pa.Array, langs: np.ndarray, names: list[str]) -> np.ndarray:
+    """Of each word in its lang."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    return _mixed(_bytes_hash(data, offsets) + pd.util.hash_array(np.array(names, object))[langs]) if len(words) else np.zeros(0, np.uint64)
 
 
 def _phrase_hash(word_hash: np.ndarray, tokens: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -162,7 +190,7 @@ def _phrase_hash(word_hash: np.ndarray, tokens: np.ndarray, at: np.ndarray, k: i
 
 def _spell(words: pa.Array, tokens: np.ndarray, at: np.ndarray, k: int) -> pa.Array:
     parts = [words.take(pa.array(tokens[at + i] - 1)) for i in range(k)]
-    return pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]
+    return pc.binary_join_element_wise(*parts, pa.scalar(" ", words.type)) if k > 1 else parts[0]
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -178,17 +206,31 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u2" if width == 2 else "<u4").ravel().astype(np.int32)
 
 
-def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, words, langs) -> dict:
-    """A row of _SHARD: tokens, the places at which phrases may begin, and the words of the ids."""
-    return {"shard": shard, "tokens": _pack(tokens), "starts": zstandard.ZstdCompressor(level=3).compress(np.packbits(starts).tobytes()), "words": words, "langs": langs}
+def _zipped(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unzipped(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+
+def _packed(shard: int, tokens: np.ndarray, starts: np.ndarray, words: pa.Array, langs: np.ndarray, names: list[str]) -> dict:
+    """A row of _SHARD: tokens, the places at which phrases may begin, the words of the ids, each with a blank behind it, and their langs as places in
+    names. It is a few binary values, since a reader holds thousands of array elements a word apiece."""
+    spelled = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())), b" ")[0].as_py() + b" " if len(words) else b""
+    return {"shard": shard, "tokens": _pack(tokens), "starts": _zipped(np.packbits(starts).tobytes()), "words": _zipped(spelled), "langs": _pack(langs), "names": names}
 
 
-def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """Number, tokens, places and the words' hashes of a shard."""
-    tokens = _unpack(batch.column("tokens")[i].as_py())
-    starts = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("starts")[i].as_py()), np.uint8), count=len(tokens)).astype(bool)
-    words, langs = (batch.column(c)[i].values.to_pylist() for c in ("words", "langs"))
-    return batch.column("shard")[i].as_py(), tokens, starts, _hashes(words, langs)
+def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, pa.Array, np.ndarray, list[str]]:
+    """Number, tokens, places, words, their langs' places in the names, and these."""
+    row = {c: batch.column(c)[i].as_py() for c in ("shard", "tokens", "starts", "words", "langs", "names")}
+    tokens = _unpack(row["tokens"])
+    starts = np.unpackbits(_unzipped(row["starts"]), count=len(tokens)).astype(bool)
+    spelled = _unzipped(row["words"])
+    ends = np.flatnonzero(spelled == 0x20)
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(spelled[spelled != 0x20]))])
+    return row["shard"], tokens, starts, words, _unpack(row["langs"]), row["names"]
 
 
 def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -209,51 +251,100 @@ def _first(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Recor
             tokens, words, of = shard_tokens(data[start:stop], np.maximum(offsets[first:end] - start, 0), numbers[first:end])
             if len(tokens):
                 each = np.bincount(of[tokens[tokens > 0] - 1], minlength=len(names))
-                row = _packed(base + made, tokens, tokens > 0, pc.cast(words, pa.string()), [names[i] for i in of]) | {"total_lang": names, "total_n": each}
+                row = _packed(base + made, tokens, tokens > 0, words, of, names) | {"total_lang": names, "total_n": each}
                 yield _batch(row, pa.schema([*_SHARD_ARROW, *_TOTAL_ARROW]))
                 made += 1
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The phrases of k words of each shard: their numbers in it, hashes and counts."""
+    """The phrases of k words of each shard: their numbers in it and hashes."""
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, tokens, starts, hashes = _unpacked(batch, i)
+            shard, tokens, starts, *words = _unpacked(batch, i)
+            at = Suffixes(tokens, k, starts).intervals(k)[0]
+            h = _phrase_hash(_hashes(*words), tokens, at, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(h)], ["shard", "number", "h"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Hashes and counts of the phrases of k words, merged over shards."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, tokens, starts, *words = _unpacked(batch, i)
             at, count, _, _ = Suffixes(tokens, k, starts).intervals(k)
-            h = _phrase_hash(hashes, tokens, at, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(h), pa.array(count.astype(np.int64))], ["shard", "number", "h", "c"])
+            held.append((_phrase_hash(_hashes(*words), tokens, at, k), count.astype(np.int64)))
+            if sum(len(h) for h, _ in held) > HELD_HASHES:
+                held = [_summed(held)]
+                if len(held[0][0]) > HELD_HASHES // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["h", "c"])
+                    held = []
+    if held:
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(held))), ["h", "c"])
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, c = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    return h[first], np.add.reduceat(c, first) if len(h) else c
+
+
+def _found_rows(held: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Counts as rows of arrays, without a shard."""
+    for start in range(0, held.num_rows, ROW_PHRASES):
+        part = held.slice(start, ROW_PHRASES)
+        row = {c: part.column(c).combine_chunks() for c in part.column_names}
+        at = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        yield pa.RecordBatch.from_arrays([at(row[f.name].cast(f.type.value_type)) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
 
 
 def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Of each shard the exact counts of its phrases of k words that were kept (their hashes are in `often`, sorted, or their numbers in the column kept)
-    and, but for the last k, the shard cut down to where phrases of k + 1 words may be."""
+    """The exact counts of the phrases of k words that were kept (their hashes are in `often`, sorted, or their numbers in a shard in its column kept), merged
+    over shards in rows of their own, and, but for the last k, each shard cut down to where phrases of k + 1 words may be."""
     last = k == longest
     schema = _FOUND_ARROW if last else pa.schema([*_SHARD_ARROW, *_FOUND_ARROW])
+    held: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, tokens, allowed, hashes = _unpacked(batch, i)
-            words, langs = batch.column("words")[i].values, batch.column("langs")[i].values
+            shard, tokens, allowed, words, langs, names = _unpacked(batch, i)
             at, count, places, number = Suffixes(tokens, k, allowed).intervals(k)
             kept = np.zeros(len(at), bool)
             if often is None:
                 kept[batch.column("kept")[i].values.to_numpy()] = True
             elif len(often):
-                h = _phrase_hash(hashes, tokens, at, k)
+                h = _phrase_hash(_hashes(words, langs, names), tokens, at, k)
                 kept = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
             at, count = at[kept], count[kept]
-            out = {"k": np.full(len(at), k, np.int32), "lang": langs.take(pa.array(tokens[at] - 1)), "phrase": _spell(words, tokens, at, k), "n": count.astype(np.int64)}
+            if len(at):
+                lang = pa.array(names, pa.large_string()).take(pa.array(langs[tokens[at] - 1]))
+                held.append(pa.table({"lang": lang, "phrase": _spell(words, tokens, at, k), "n": count.astype(np.int64)}))
+            if sum(t.num_rows for t in held) > HELD_PHRASES:
+                held = [merged()]
+                if held[0].num_rows > HELD_PHRASES // 2:
+                    yield from _found_rows(held[0], schema)
+                    held = []
             if not last:
                 starts = np.zeros(len(tokens) + 1, bool)
                 starts[places[kept[number]]] = True
                 follow = starts[:-1] & starts[1:]  # phrases of k + 1 words of which both parts are left
+                if not follow.any():
+                    continue
                 covered = follow.copy()
                 for j in range(1, min(k + 1, len(follow))):
                     covered[j:] |= follow[:-j]
-                out |= _packed(shard, *_compact(tokens, covered, follow, words, langs))
-            yield _batch(out, schema)
+                row = _packed(shard, *_compact(tokens, covered, follow, words, langs), names)
+                yield _batch(row | {f.name: None for f in _FOUND_ARROW}, schema)
+    if held:
+        yield from _found_rows(merged(), schema)
 
 
-def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words: pa.Array, langs: pa.Array):
+def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words: pa.Array, langs: np.ndarray):
     """Only the covered places and the words that they use; whatever lies between becomes one end of a piece."""
     ends = np.concatenate([[False], covered[:-1]]) & ~covered
     stay = covered | ends
@@ -262,19 +353,21 @@ def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words:
     used[tokens] = True
     used[0] = True
     keep = np.flatnonzero(used)[1:] - 1
-    return (np.cumsum(used) - 1)[tokens], follow, words.take(pa.array(keep)), langs.take(pa.array(keep))
+    return (np.cumsum(used) - 1)[tokens], follow, words.take(pa.array(keep)), langs[keep]
 
 
 @contextmanager
 def _rows_at_once(spark: SparkSession, rows: int):
-    """Jobs within hand so many rows at once to Python: a shard takes some MB in a row, so that ten thousand, as usual, are a whole partition."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """Jobs within read and hand so many rows at once to Python: a shard takes some MB in a row, so that thousands, as usual, are a whole partition."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, least: int = 100, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -287,28 +380,32 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     that occurs `least` times (hashes that collide only let more pass), and the counts returned are summed by the phrases themselves. The hashes that passed are
     broadcast if they are BROADCAST_HASHES at most; else they are joined to the shards.
     """
+    spark = docs.sparkSession
     read = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"))
+    with _rows_at_once(spark, TEXTS_AT_ONCE):
+        shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"), GROUP_BYTES)
     totals = shards.select(F.explode(F.arrays_zip("total_lang", "total_n")).alias("x")).groupBy(F.col("x.total_lang").alias("lang")).agg(F.sum("x.total_n").alias("n")).where("n > 0")
     totals = materialize(totals)
     found = []
     for k in range(1, longest + 1):
-        state = shards.select("shard", "tokens", "starts", "words", "langs")
-        hashed = state.mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long, c long")
-        with _rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
-            often = materialize(hashed.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
+        state = shards.select("shard", "tokens", "starts", "words", "langs", "names").where("shard is not null")
+        counted = state.mapInArrow(lambda batches, k=k: _counted(batches, k), "h long, c long")
+        with _rows_at_once(spark, SHARDS_AT_ONCE):
+            often = materialize(counted.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
         if often.count() <= BROADCAST_HASHES:
-            sent = often.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], np.int64)))
+            sent = spark.sparkContext.broadcast(np.sort(often.toArrow().column("h").to_numpy()))
             step = state.mapInArrow(lambda batches, k=k, sent=sent: _next(batches, k, longest, sent.value), _next_schema(k, longest))
         else:
+            hashed = state.mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long")
             kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
             step = state.join(kept, "shard").mapInArrow(lambda batches, k=k: _next(batches, k, longest, None), _next_schema(k, longest))
-        with _rows_at_once(docs.sparkSession, SHARDS_AT_ONCE):
-            before, shards = shards, materialize(step)
-        found.append(materialize(shards.select(F.explode(F.arrays_zip("k", "lang", "phrase", "n")).alias("x")).select("x.*")))
+        with _rows_at_once(spark, SHARDS_AT_ONCE):
+            before, shards = shards, materialize(step, GROUP_BYTES)
+            each = shards.where("n is not null").select(F.explode(F.arrays_zip("lang", "phrase", "n")).alias("x")).select("x.*")
+            merged = each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+            found.append(materialize(merged.select("lang", F.lit(k).alias("k"), "phrase", "f")))
         discard(before)  # its counts and what is left of it have been written
-    merged = reduce(DataFrame.unionByName, found).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"))
-    return materialize(merged.where(F.col("f") >= least)), totals
+    return reduce(DataFrame.unionByName, found), totals
 
 
 def _next_schema(k: int, longest: int) -> str:

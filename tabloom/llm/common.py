@@ -43,15 +43,15 @@ def _remove_written() -> None:
             return
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; group_bytes: size of its row groups.
 
     This cuts the lineage like checkpoint() and survives lost executors, but stays columnar and compressed, so that
     later steps read only the columns they use. The files go when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tabloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     _written.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))  # usable after the session's end too
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path

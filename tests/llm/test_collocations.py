@@ -112,3 +112,27 @@ def test_long_texts_are_cut_where_pieces_end():
     cuts = list(c._cuts(data, offsets, 8))
     assert cuts[0][0] == 0 and cuts[-1][1] == 43 and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
     assert all(stop in offsets or data[stop - 1] == ord(".") for _, stop in cuts)
+
+
+def test_shards_are_read_a_few_at_a_time(spark, monkeypatch):
+    """The reader's batches, too: thousands of rows of shards would be a whole partition."""
+    name, seen, made = "spark.sql.parquet.columnarReaderBatchSize", [], c.materialize
+    monkeypatch.setattr(c, "materialize", lambda df, *more: seen.append(int(spark.conf.get(name))) or made(df, *more))
+    c.phrase_counts(spark.createDataFrame([(1, "a b c, a b c", "en")], SCHEMA), least=1)
+    assert seen.count(c.SHARDS_AT_ONCE) == 15 and int(spark.conf.get(name)) > c.SHARDS_AT_ONCE
+
+
+def test_counts_are_merged_over_the_shards_of_a_task():
+    """A task hands on each phrase once, not once for each of its shards."""
+    words = c.pa.array(["a", "bé", "c"], c.pa.large_string())
+    tokens = np.array([1, 2, 3, 0, 1, 2, 0], np.int32)
+    rows = [c._packed(i, tokens, tokens > 0, words, np.array([0, 0, 1], np.int32), ["en", "und"]) for i in range(4)]
+    batches = [c._batch(r, c._SHARD_ARROW) for r in rows]
+    number, got, starts, spelled, langs, names = c._unpacked(batches[2], 0)
+    assert (number, got.tolist(), starts.tolist(), spelled.to_pylist(), langs.tolist(), names) == (2, tokens.tolist(), (tokens > 0).tolist(), ["a", "bé", "c"], [0, 0, 1], ["en", "und"])
+    hashed = [b for b in c._counted(iter(batches), 2)]
+    assert sum(b.num_rows for b in hashed) == 2 and sorted(hashed[0].column("c").to_pylist()) == [4, 8]
+    often = np.sort(hashed[0].column("h").to_numpy())
+    out = [r for b in c._next(iter(batches), 2, 5, often) for r in b.to_pylist()]
+    found = [x for r in out if r["n"] for x in zip(r["lang"], r["phrase"], r["n"])]
+    assert sorted(found) == [("en", "a bé", 8), ("en", "bé c", 4)] and sum(r["shard"] is not None for r in out) == 4
