@@ -89,7 +89,12 @@ class Forest:
             node = np.where(inner, self.left[node] + ~below, node)
 
     def predict(self, x: np.ndarray, part: int) -> np.ndarray:
-        return self.mean + self.value[self.walk(self.filled(x, part), part)].mean(axis=1)
+        """Equal rows walk the trees once."""
+        if not x.shape[1] or not len(x):
+            return np.full(len(x), self.mean)
+        x = np.ascontiguousarray(x)
+        _, first, which = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        return (self.mean + self.value[self.walk(self.filled(x[first], part), part)].mean(axis=1))[which]
 
 
 @dataclass
@@ -147,6 +152,50 @@ def features(groups: Groups, cuts: bool) -> Features | None:
     return Features(F.array(*[F.coalesce(c, F.lit(float("nan"))) for c in columns]), fills, low, high, fixed)
 
 
+def cells(groups: Groups, spec: TreeSpec, made: Features, mean: float, seed: int) -> DataFrame | None:
+    """Rows of equal features and fold as one cell: x, __fold, and the arrays n and s, their number and the sum of their labels less mean, once for all
+    trees, or for each tree by its draws of the rows. Sums over cells are sums over rows, so trees grow alike. None unless that halves the rows, or if cells
+    and trees are too many for a task to hold."""
+    rows, width = groups.rows, 1 if spec.random else spec.trees
+    keys = [*[f"`{c}`" for c in (*groups.numeric, *groups.categories)], "__fold"]
+    about = rows.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    if 2 * about > groups.n_rows or (not spec.random and about * width > HELD_ENTRIES):
+        return None
+    context = rows.sparkSession.sparkContext
+    tasks = min(about // 1_000 + 1, max(context.defaultParallelism, about // 100_000))
+    y = F.col("__label") - F.lit(mean)
+    x = made.column.alias("x")
+    if spec.random:
+        alike = rows.groupBy(*[F.col(k) for k in keys]).agg(F.count("*").cast("double").alias("__n"), F.sum(y).alias("__s"))
+        return alike.select(x, "__fold", F.array("__n").alias("n"), F.array("__s").alias("s")).repartition(tasks)
+    alike = rows.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
+    alike = alike.withColumn("__cell", F.row_number().over(Window.orderBy(*[f"__k{i}" for i in range(len(keys))])) - 1).cache()  # few, see above
+    count = alike.count()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s = np.zeros((count, width)), np.zeros((count, width))
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch.sort_values("cell")
+            at, first = np.unique(batch["cell"].to_numpy(), return_index=True)
+            weight = draws(seed, batch["row"].to_numpy(), width)
+            n[at] += np.add.reduceat(weight, first)
+            s[at] += np.add.reduceat(weight * batch["y"].to_numpy()[:, None], first)
+        cell, tree = np.nonzero(n)
+        yield pd.DataFrame({"cell": cell.astype(np.int32), "tree": tree.astype(np.int32), "n": n[cell, tree], "s": s[cell, tree]})
+
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    met = rows.join(F.broadcast(alike), same).select(F.col("__cell").alias("cell"), y.alias("y"), F.xxhash64("__key").alias("row"))
+    drawn = met.mapInPandas(partial, "cell int, tree int, n double, s double").groupBy("cell", "tree").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    of = drawn.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("tree", "n"))).alias("__n"), F.map_from_entries(F.collect_list(F.struct("tree", "s"))).alias("__s"))
+    every = lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda t: F.coalesce(F.col(c)[t], F.lit(0.0)))
+    known = of.join(F.broadcast(alike), F.col("cell") == F.col("__cell")).select(*[F.col(f"__k{i}").alias(k.strip("`")) for i, k in enumerate(keys)], every("__n").alias("__n"), every("__s").alias("__s"))
+    return known.select(x, "__fold", F.col("__n").alias("n"), F.col("__s").alias("s")).repartition(tasks)
+
+
 def grow(groups: Groups, spec: TreeSpec, made: Features, parts: Sequence[int], seed: int = 42) -> Forest:
     """Trees of the training parts `parts` (without fold i; groups.folds: of all rows), all at once.
 
@@ -154,11 +203,15 @@ def grow(groups: Groups, spec: TreeSpec, made: Features, parts: Sequence[int], s
     the engine merges the sums and picks each node's split of largest gain (of equal ones the first feature, then the lowest cut), with `leaf` rows on either
     side at least. A random cut lies uniformly in the node's box: the feature's range in the table, narrowed by the cuts above it; it is drawn from a
     hash of seed, tree, path and feature, so a tree is the same wherever it grows. The nodes (parts x trees x 2^depth at most, and no more than the rows allow) are
-    the only thing that passes the driver.
+    the only thing that passes the driver. Where many rows have the same features, the passes are over their cells.
     """
     p, trees = made.fills.shape[1], spec.trees
-    rows = groups.rows.select(made.column.alias("x"), "__fold", "__label", F.xxhash64("__key").alias("row"))
-    mean = rows.agg(F.avg("__label")).first()[0] or 0.0
+    mean = groups.rows.agg(F.avg("__label")).first()[0] or 0.0
+    rows = cells(groups, spec, made, mean, seed)
+    if rows is not None:
+        rows = rows.cache()
+    else:
+        rows = groups.rows.select(made.column.alias("x"), "__fold", "__label", F.xxhash64("__key").alias("row"))
     roots = np.full((groups.folds + 1, trees), -1, np.int64)
     roots[list(parts)] = np.arange(len(parts) * trees).reshape(len(parts), trees)
     count = len(parts) * trees
@@ -215,18 +268,23 @@ def _level(forest: Forest, active: np.ndarray, cuts: np.ndarray | None, fixed: l
         for batch in batches:
             if not len(batch):
                 continue
-            x, y, fold = np.stack(batch["x"].to_numpy()), batch["__label"].to_numpy() - forest.mean, batch["__fold"].to_numpy()
-            weight = None if spec.random else draws(seed, batch["row"].to_numpy(), forest.roots.shape[1])
+            x, fold = np.stack(batch["x"].to_numpy()), batch["__fold"].to_numpy()
+            if "n" in batch:
+                weight, label = np.stack(batch["n"].to_numpy()), np.stack(batch["s"].to_numpy())
+            else:
+                weight = np.ones((len(x), 1)) if spec.random else draws(seed, batch["row"].to_numpy(), forest.roots.shape[1])
+                label = weight * (batch["__label"].to_numpy() - forest.mean)[:, None]
             for part in parts:
-                mine = fold != part if part < folds else np.ones(len(y), bool)
-                xs, ys = forest.filled(x[mine], part), y[mine]
+                mine = fold != part if part < folds else np.ones(len(x), bool)
+                xs = forest.filled(x[mine], part)
                 slot = slots[forest.walk(xs, part)]
                 growing = slot >= 0
-                row, _ = np.nonzero(growing)
+                row, tree = np.nonzero(growing)
                 at = slot[growing]
                 if not len(at):
                     continue
-                w = np.ones(len(at)) if weight is None else weight[mine][growing]
+                column = tree if weight.shape[1] > 1 else 0
+                w, ws = weight[mine][row, column], label[mine][row, column]
                 keys = []
                 for f in range(p):
                     side = xs[row, f] > cuts[at, f] if cuts is not None else np.searchsorted(fixed[f], xs[:, f], "left")[row]
@@ -234,11 +292,11 @@ def _level(forest: Forest, active: np.ndarray, cuts: np.ndarray | None, fixed: l
                 if dense:
                     for key in keys:
                         n += np.bincount(key, w, size)
-                        s += np.bincount(key, w * ys[row], size)
+                        s += np.bincount(key, ws, size)
                 else:
                     key = np.concatenate(keys)
                     u, inverse = np.unique(key, return_inverse=True)
-                    yield _entries(u, np.bincount(inverse, np.tile(w, p)), np.bincount(inverse, np.tile(w * ys[row], p)), width, bins)
+                    yield _entries(u, np.bincount(inverse, np.tile(w, p)), np.bincount(inverse, np.tile(ws, p)), width, bins)
         if dense:
             there = np.flatnonzero(n)
             yield _entries(there, n[there], s[there], width, bins)

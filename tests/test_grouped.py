@@ -180,3 +180,22 @@ def test_a_slow_candidate_ends_with_the_clock(spark):
 def test_errors_of_candidates_come_through(spark):
     with pytest.raises(KeyError):
         models.Clock(30).within(spark, lambda: {}["no"])
+
+
+@pytest.mark.parametrize("random", [True, False])
+def test_trees_of_cells_are_trees_of_rows(spark, monkeypatch, random):
+    """Rows of equal features are one row of each level's pass, and the forest is the same (4096 rows: sums are exact, so ties fall alike)."""
+    df = spark.range(4096).select((F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 11 > 0, F.col("id") % 5).alias("z"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("c"), (F.col("id") % 7 * 3 + F.hash("id") % 5).cast("double").alias("y"), F.col("id").alias(ORD))
+    groups = models._groups(models.Task(df, "y", ["x", "z"], ["c"]), 3)
+    spec = trees.TreeSpec(4, 4, 2, random)
+    made = trees.features(groups, not random)
+    alike = trees.cells(groups, spec, made, 1.0, 5)
+    assert alike.count() <= 7 * 6 * 3 * 3
+    if random:
+        assert alike.agg(F.sum(F.col("n")[0])).first()[0] == 4096
+    merged = trees.grow(groups, spec, made, [0, 2, 3], seed=5)
+    monkeypatch.setattr(trees, "cells", lambda *a: None)
+    plain = trees.grow(groups, spec, made, [0, 2, 3], seed=5)
+    assert (merged.feature == plain.feature).all() and (merged.left == plain.left).all() and np.allclose(merged.cut, plain.cut) and np.allclose(merged.value, plain.value)
+    x = np.array([[1.0, 2.0], [np.nan, 2.0], [1.0, 2.0]])
+    assert trees.Forest(np.zeros((1, 1), int), np.zeros((1, 2)), 5.0, np.array([-1]), np.zeros(1), np.zeros(1, int), np.ones(1)).predict(x, 0).tolist() == [6.0] * 3
