@@ -129,12 +129,14 @@ def candidate_pairs(sets: DataFrame, images: DataFrame) -> DataFrame:
     """sets (want: tokens) with each image that has the rarest piece of all pieces of its tokens; sets of which a piece is in no name have none.
 
     Names are indexed by their pieces (a posting for each), and a piece's frequency is the length of its postings, so a set meets
-    no more images than hold its rarest piece."""
-    posted = images.withColumn("piece", F.explode(F.array_distinct(F.flatten(F.array(*[_cut(F.col("norm"), n) for n in PIECES])))))
-    frequency = posted.groupBy("piece").agg(F.count("*").alias("n"))
+    no more images than hold its rarest piece. Postings are shuffled, never broadcast: compressed they look small, but they are many times the names."""
+    pieces = F.array_distinct(F.flatten(F.array(*[_cut(F.col("norm"), n) for n in PIECES])))
+    frequency = images.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
     asked = sets.select("want", F.explode(F.array_distinct(F.flatten(F.transform("want", _lookups)))).alias("piece"))
-    rarest = asked.join(frequency, "piece", "left").groupBy("want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("least"))
-    return rarest.where("least.n > 0").select("want", F.col("least.piece").alias("piece")).join(posted, "piece").drop("piece")
+    rarest = asked.hint("shuffle_merge").join(frequency.hint("shuffle_merge"), "piece", "left").groupBy("want").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("piece"))).alias("least"))
+    looked = rarest.where("least.n > 0").select("want", F.col("least.piece").alias("piece"))
+    posted = images.withColumn("piece", F.explode(pieces))
+    return looked.hint("shuffle_merge").join(posted.hint("shuffle_merge"), "piece").drop("piece")
 
 
 def match_images(rows: DataFrame, key: str, keys: Sequence[str], images: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def match_images(rows: DataFrame, key: str, keys: Sequence[str], images: DataFra
     hit = F.forall("want", lambda t: F.array_contains("tokens", t) | F.contains("norm", t) | F.contains("stem", t))
     pairs = candidate_pairs(wanted.select("want").distinct(), images).where(hit)
     found = pairs.groupBy("want").agg(F.count_distinct("path").alias("candidates"), F.min("path").alias("path"))
-    out = wanted.join(found, "want", "left")
+    out = wanted.hint("shuffle_merge").join(found.hint("shuffle_merge"), "want", "left")
     return out.select("key", F.when(F.col("candidates") == 1, F.col("path")).alias("path"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 

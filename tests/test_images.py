@@ -41,3 +41,10 @@ def test_signature(spark):
     assert first == images.signature(df.repartition(7)) == images.signature(df.orderBy(F.desc("path"))) and len(first) == 40
     others = [images.signature(df.limit(0)), images.signature(df.where("path <> '/a/5.png'")), images.signature(df.unionByName(df.limit(1))), images.signature(spark.createDataFrame([("/a/5.jpg" if p == "/a/5.png" else p,) for (p,) in paths], "path string"))]
     assert len({first, *others}) == 5
+
+
+def test_postings_are_not_broadcast(spark):
+    """They are many times the names, whatever their compressed size."""
+    names = images.with_tokens(spark.range(500).select(F.format_string("/x/cust%06d.png", "id").alias("path")))
+    pairs = images.candidate_pairs(spark.range(500).select(F.array(F.format_string("cust%06d", "id")).alias("want")), names)
+    assert pairs.count() == 500 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
