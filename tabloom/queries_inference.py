@@ -142,7 +142,8 @@ def described_tasks(spark, sf_dir):
     even = F.format_string("Block column: group_%d\nScoring categories: %s, rest. Categories are nested.\n", "c_custkey", F.lower("c_mktsegment"))
     odd = F.format_string("{%s, rest} are segments.\n", F.lower("c_mktsegment"))
     head = F.format_string("Rows are described below.\nMerge on `id %d` and `day_%d`.\n", "c_nationkey", "c_custkey")
-    texts = read(spark, sf_dir, "customer").select("c_custkey", F.concat(head, F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd)).alias("text"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")  # a file has few splits, and reading a text takes far longer than a row
+    texts = rows.select("c_custkey", F.concat(head, F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd)).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -208,13 +209,14 @@ def inferred_keys(spark, sf_dir):
 def pipeline_keys(spark, sf_dir):
     """Keys of the two merges of a task that is cut from the line items, with the rows of both sides and of the merge."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.col("l_linenumber").alias("time_key"), "l_quantity", "l_partkey", "l_extendedprice")
-    one = ordering.keep_first(lines, ["entity_id", "time_key"], ["l_partkey", "l_extendedprice"])
+    one = ordering.keep_first(lines, ["entity_id", "time_key"], ["l_partkey", "l_extendedprice"]).drop("l_partkey").cache()  # a shuffle of all lines, which every count below would repeat
     train, later = one.where("entity_id % 3 <> 0"), one.where("entity_id % 3 = 0")
     tables = [train.select("entity_id", "time_key", F.col("l_extendedprice").alias("y")), train.select("entity_id", "time_key", "l_quantity"), later.select("entity_id", "time_key", F.lit(0.0).alias("y")), later.select("entity_id", "time_key", "l_quantity")]
     got = joins.infer_pipeline_keys(*tables, exclude=["y"], described=None)
     rows = [(part, "+".join(keys), m["left_rows"], m["right_rows"], m["merged_rows"]) for part, keys, m in (("train", got.train_keys, got.train_merge_metadata), ("predict", got.predict_keys, got.predict_merge_metadata))]
     shared = joins.shared_columns(tables[0], tables[1])
     sizes = one.agg(F.count("*"), F.count_distinct("entity_id"), F.count_distinct("time_key")).first()
+    one.unpersist()
     return spark.createDataFrame([*rows, ("shared", "+".join(shared), *sizes)], "part string, keys string, left_rows long, right_rows long, merged_rows long")
 
 

@@ -188,3 +188,13 @@ def test_places_are_ranked_in_ranges(spark, monkeypatch):
     want = {r.row_id: i for i, r in enumerate(sorted(df.collect(), key=lambda r: r[ORD]), 1)}
     assert {r.row_id: r.place for r in validate.places(df).collect()} == want
     assert validate.places(df.limit(0)).count() == 0
+
+
+def test_first_rows_are_taken_once(spark, monkeypatch):
+    """Key search counts a task's tables many times; the shuffle that makes them runs once."""
+    from tabloom import queries
+    from tabloom.operators import joins, ordering
+
+    seen, made = [], joins.infer_pipeline_keys
+    monkeypatch.setattr(joins, "infer_pipeline_keys", lambda *t, **more: seen.extend("InMemoryTableScan" in x._jdf.queryExecution().executedPlan().toString() for x in t) or made(*t, **more))
+    assert queries.queries()["pipeline_keys"](spark, "/root/testdata/sf0.001").count() == 3 and seen == [True] * 4
