@@ -266,8 +266,8 @@ def model_selection(spark, sf_dir):
 @query(q(f"""WITH {_LINE_CV} SELECT model, family AS model_family, round(score_mean, 3) AS score_mean, round(score_std, 3) AS score_std, round(score_mean, 3) AS mae_mean, model = (SELECT arg_min(model, (score_mean, model)) FROM t) AS is_selected
     FROM t ORDER BY score_mean, model LIMIT 8"""))
 def cv_report(spark, sf_dir):
-    got = report.global_comparison(models.cv_frame(spark, _selection(spark, sf_dir).rows))
-    return _rounded(got, "score_mean", "score_std", "mae_mean")
+    """In the order of the scores shown: of equal ones the model's name comes next, not what the rounding hides."""
+    return report.global_comparison(_rounded(models.cv_frame(spark, _selection(spark, sf_dir).rows), "score_mean", "score_std", "mae_mean"))
 
 
 @query(q(f"WITH {_LINE_CV} SELECT 'global' AS strategy, round(min(score_mean), 3) AS strategy_score, true AS is_selected FROM t"))

@@ -198,3 +198,12 @@ def test_first_rows_are_taken_once(spark, monkeypatch):
     seen, made = [], joins.infer_pipeline_keys
     monkeypatch.setattr(joins, "infer_pipeline_keys", lambda *t, **more: seen.extend("InMemoryTableScan" in x._jdf.queryExecution().executedPlan().toString() for x in t) or made(*t, **more))
     assert queries.queries()["pipeline_keys"](spark, "/root/testdata/sf0.001").count() == 3 and seen == [True] * 4
+
+
+def test_report_orders_by_the_scores_shown(spark, monkeypatch):
+    """Scores that are equal once rounded go by the model's name, as in the SQL."""
+    from tabloom import queries_inference
+
+    rows = [models.Row("global", "__all__", m, 3, s, 0.0, s, 0.0) for m, s in (("c", 2.0), ("b", 1.00001), ("a", 1.00002))]
+    monkeypatch.setattr(queries_inference, "_selection", lambda *_: models.Selection("global", 1.0, None, {}, rows))
+    assert [(r.model, r.score_mean) for r in queries_inference.cv_report(spark, "").collect()] == [("a", 1.0), ("b", 1.0), ("c", 2.0)]
