@@ -230,3 +230,25 @@ def test_accents_of_many_languages_are_taken_off(spark):
     df = spark.createDataFrame([("Žluťoučký kůň łódź ŞIŞLİ Việt été",)], "t string")
     (got,) = df.select(text_features.tokens(F.col("t"))).first()
     assert got[:2] == ["zlutoucky", "kun"] and "viet" in got and "ete" in got and any(w.startswith("sisl") for w in got)
+
+
+@pytest.mark.parametrize("ties", [20_000, 0])
+def test_vocabulary_counts_only_pairs_that_may_be_in_it(spark, monkeypatch, ties):
+    """Against a plain count of all terms, with ties at the vocabulary's end; it is counted once, not anew by whatever uses it."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    docs = [[f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 12))] for _ in range(300)]
+    grams = [d + [f"{a} {b}" for a, b in zip(d, d[1:])] for d in docs]
+    tf, df = Counter(g for d in grams for g in d), Counter(g for d in grams for g in set(d))
+    want = sorted((t for t in tf if df[t] >= 2), key=lambda t: (-tf[t], t))[:100]
+    assert tf[want[-1]] == tf[sorted((t for t in tf if df[t] >= 2), key=lambda t: (-tf[t], t))[100]] and any(" " in t for t in want)
+    monkeypatch.setattr(text_features, "MOST_TIES", ties)
+    monkeypatch.setattr(text_features, "most_terms", lambda n: 100)
+    monkeypatch.setattr(text_features, "COUNTED_ROWS", 7)
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], f"{ORD} long, t string").repartition(3)
+    vocab = text_features.vocabulary(frame, "t", 300)
+    assert {r.term: r.df for r in vocab.collect()} == {t: df[t] for t in want}
+    assert "Generate" not in vocab._jdf.queryExecution().executedPlan().toString()
+    assert text_features.vocabulary(frame.limit(0), "t", 300).count() == 0
