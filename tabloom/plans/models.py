@@ -503,14 +503,15 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Seque
     official = set(metrics.clean_blocks(task.spec.block_values))
     train = task.train.where(key.isNotNull() & (key.isin(list(official)) if official else F.lit(True)))
     here = replace(task, train=train, spec=MetricSpec(), block=None)
-    groups = _groups(here, 1, key)
-    medians = grouped_quantiles(groups.rows, ["__group"], {"m": F.col("__label")}, [0.5], groups.n_rows).select("__group", F.get("m", 0).alias("m"))
-    sizes = groups.rows.join(medians, "__group").groupBy("__group").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("__label") - F.col("m"))).alias("error")).orderBy("__group").collect()
+    groups = _groups(here, 1, key, 0)
+    sizes = groups.rows.groupBy("__group").agg(F.count("*").alias("n")).orderBy("__group").collect()
+    groups = replace(groups, n_rows=sum(s["n"] for s in sizes))
     pool = candidates if candidates is not None else select(0, len(task.numeric) + len(task.categories), "per_block", seed)
     enough = {s["__group"] for s in sizes if s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None}
     ready = (clock.within(train.sparkSession, lambda: _blocks_ready(here, groups, pool)) or {}) if enough and not clock.over() else {}
     chosen: dict[str, BlockChoice] = {}
     found: list[Row] = []
+    left: dict[str, Row] = {}  # blocks that take their median
     for s in sizes:
         b, best, late = s["__group"], BlockChoice(None, None), False
         alone = None  # the block's own rows and folds, for candidates that aren't ready
@@ -530,13 +531,27 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Seque
             alone.__exit__()
         if best.candidate is None:
             status = "fallback_insufficient_rows" if b not in enough else "fallback_time_budget" if late else "fallback_failed"
-            best = BlockChoice(None, s["error"])
-            found.append(Row("per_block", b, "median_fallback", score_mean=s["error"], mae_mean=s["error"], status=status, notes=f"{s['n']} rows", model_family="dummy"))
+            found.append(Row("per_block", b, "median_fallback", status=status, notes=f"{s['n']} rows", model_family="dummy"))
+            left[b] = found[-1]
         chosen[b] = best
+    for b, error in _median_errors(groups, list(left)).items():
+        chosen[b] = BlockChoice(None, error)
+        left[b].score_mean = left[b].mae_mean = error
     scores = [c.score for c in chosen.values() if c.score is not None]
     return chosen, sum(scores) / len(scores) if scores else None, found
 
 
+def _median_errors(groups: grouped.Groups, blocks: Sequence[str]) -> dict[str, float]:
+    """Mean absolute error of each of these blocks' own median; the rows of other blocks are passed over."""
+    if not blocks:
+        return {}
+    wanted = groups.rows.sparkSession.createDataFrame([(b,) for b in blocks], "__group string")
+    rows = groups.rows.select("__group", "__label").join(F.broadcast(wanted), "__group", "left_semi")
+    medians = grouped_quantiles(rows, ["__group"], {"m": F.col("__label")}, [0.5], groups.n_rows).select("__group", F.get("m", 0).alias("m"))
+    got = rows.join(medians, "__group").groupBy("__group").agg(F.avg(F.abs(F.col("__label") - F.col("m"))).alias("error"))
+    return {r["__group"]: r["error"] for r in got.collect()}
+
+
 def _blocks_ready(task: Task, groups: grouped.Groups, pool: Sequence[Candidate]) -> dict[tuple[str, str], Row]:
     """Rows of the linear candidates and the median for every block that is large enough, all blocks and folds in one aggregate and one pass for errors."""
     linear = [c for c in pool if c.linear] if task.numeric or task.categories else []

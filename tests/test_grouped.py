@@ -199,3 +199,17 @@ def test_trees_of_cells_are_trees_of_rows(spark, monkeypatch, random):
     assert (merged.feature == plain.feature).all() and (merged.left == plain.left).all() and np.allclose(merged.cut, plain.cut) and np.allclose(merged.value, plain.value)
     x = np.array([[1.0, 2.0], [np.nan, 2.0], [1.0, 2.0]])
     assert trees.Forest(np.zeros((1, 1), int), np.zeros((1, 2)), 5.0, np.array([-1]), np.zeros(1), np.zeros(1, int), np.ones(1)).predict(x, 0).tolist() == [6.0] * 3
+
+
+def test_medians_are_only_taken_for_blocks_without_models(spark, monkeypatch):
+    """Blocks with a model of their own don't pay for a median and its error that nobody asks for."""
+    rows = [(i, "large" if i < 60 else "small", float(i % 7), float(3 * (i % 7) + i % 2)) for i in range(70)]
+    df = spark.createDataFrame(rows, f"{ORD} long, b string, x double, y double").repartition(3)
+    asked, made = [], models.grouped_quantiles
+    monkeypatch.setattr(models, "grouped_quantiles", lambda frame, *more: asked.append({r["__group"] for r in frame.select("__group").distinct().collect()}) or made(frame, *more))
+    pool = [c for c in models.registry() if c.family in ("ridge", "dummy")]
+    blocks, score, found = models.search_per_block(models.Task(df, "y", ["x"], [], block="b"), models.Clock(600), candidates=pool)
+    labels = [r[3] for r in rows[60:]]
+    error = float(np.mean(np.abs(np.array(labels) - np.median(labels))))
+    assert asked == [{"small"}] and blocks["small"].candidate is None and blocks["small"].score == pytest.approx(error) and blocks["large"].candidate.family == "ridge"
+    assert [(r.block, r.status, r.score_mean) for r in found if r.model == "median_fallback"] == [("small", "fallback_insufficient_rows", pytest.approx(error))]
