@@ -14,12 +14,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import discard, hot_join, materialize
+from tabloom.llm.common import discard, gapless_rank, hot_join, materialize
 
 #: Bytes of text in a shard. Longer texts are cut where a piece ends, since no phrase crosses that.
 SHARD_BYTES = 2 << 20
-#: So many hashes that passed go to every task (8 bytes each); more of them meet the shards by a shuffle.
-BROADCAST_HASHES = 2_000_000
+#: So many hashes, or phrases with their ids, go to every task (8 or 16 bytes each); more of them meet the shards by a shuffle. Words go so if they take
+#: WORD_BYTES each on average at most.
+BROADCAST_HASHES, WORD_BYTES = 2_000_000, 16
 #: Texts, and shards, that a task looks at together.
 TEXTS_AT_ONCE, SHARDS_AT_ONCE = 1_000, 3
 #: Hashes or phrases of several shards that a task merges before it hands them on.
@@ -28,7 +29,7 @@ HELD_HASHES, HELD_PHRASES = 2_000_000, 400_000
 ROW_PHRASES = 50_000
 #: Bytes of a row group of shards: a task holds the columns of one, compressed.
 GROUP_BYTES = 16 << 20
-#: Bits of the hashes by which phrases are first merged; phrases that share one only pass together.
+#: Bits of the hashes by which words are first merged; words that share one only pass together.
 HASH_BITS = 40
 
 #: A cut's score; 1000 * a * n may pass 64 bits, and a quotient of decimals without scale is exact.
@@ -42,9 +43,11 @@ _CLASS[[0x20, 0x09]] = _BLANK
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 
 _SHARD = "shard long, tokens binary, starts binary, words binary, langs binary, names array<string>"
+_NUMBERED = "shard long, tokens binary, starts binary, ids binary, heads binary"
 _FOUND = "lang array<string>, phrase array<string>, n array<long>"
 _STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
 _SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", pa.binary()), ("langs", pa.binary()), ("names", _STRINGS)])
+_NUMBERED_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("ids", pa.binary()), ("heads", pa.binary())])
 _FOUND_ARROW = pa.schema([("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
 _TOTAL_ARROW = pa.schema([("total_lang", _STRINGS), ("total_n", _LONGS)])
 
@@ -195,15 +198,16 @@ def _spell(words: pa.Array, tokens: np.ndarray, at: np.ndarray, k: int) -> pa.Ar
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Token ids, their low bytes first and then the higher ones, compressed: common words have small ids, so that most high bytes are 0."""
-    width = 2 if int(numbers.max(initial=0)) < 1 << 16 else 4
-    planes = numbers.astype("<u2" if width == 2 else "<u4").view(np.uint8).reshape(-1, width).T
+    most = int(numbers.max(initial=0))
+    width = 2 if most < 1 << 16 else 4 if most < 1 << 31 else 8
+    planes = numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
     return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     width = packed[0]
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view("<u2" if width == 2 else "<u4").ravel().astype(np.int32)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int32 if width < 8 else np.int64)
 
 
 def _zipped(data: bytes) -> bytes:
@@ -233,6 +237,21 @@ def _unpacked(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarra
     return row["shard"], tokens, starts, words, _unpack(row["langs"]), row["names"]
 
 
+def _numbered_row(shard: int, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, heads: np.ndarray | None) -> dict:
+    """A row of _NUMBERED: instead of words it has their ids, and heads are the ids of the phrases of one word less at the places in starts (null: words)."""
+    return {"shard": shard, "tokens": _pack(tokens), "starts": _zipped(np.packbits(starts).tobytes()), "ids": _pack(ids), "heads": None if heads is None else _pack(heads)}
+
+
+def _numbered_shard(batch: pa.RecordBatch, i: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, tokens, places, ids of the words, and heads, by place (-1 where no phrase may begin)."""
+    row = {c: batch.column(c)[i].as_py() for c in ("shard", "tokens", "starts", "ids", "heads")}
+    tokens, ids = _unpack(row["tokens"]), _unpack(row["ids"]).astype(np.int64)
+    starts = np.unpackbits(_unzipped(row["starts"]), count=len(tokens)).astype(bool)
+    heads = np.full(len(tokens), -1, np.int64)
+    heads[starts] = ids[tokens[starts] - 1] if row["heads"] is None else _unpack(row["heads"])
+    return row["shard"], tokens, starts, ids, heads
+
+
 def _batch(row: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({f.name: pa.array([row[f.name]], f.type) for f in schema}, schema)
 
@@ -268,17 +287,44 @@ def _hashed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Hashes and counts of the phrases of k words, merged over shards."""
+
+    def counts():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, tokens, starts, *words = _unpacked(batch, i)
+                at, count, _, _ = Suffixes(tokens, k, starts).intervals(k)
+                yield _phrase_hash(_hashes(*words), tokens, at, k), count.astype(np.int64)
+
+    return _merged(counts())
+
+
+def _counted_keys(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
+    """Keys and counts of the phrases of k words, merged over shards."""
+
+    def counts():
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, tokens, starts, ids, heads = _numbered_shard(batch, i)
+                at, count, _, _ = Suffixes(tokens, k, starts).intervals(k)
+                yield _keys(tokens, ids, heads, at, k, words), count.astype(np.int64)
+
+    return _merged(counts())
+
+
+def _keys(tokens: np.ndarray, ids: np.ndarray, heads: np.ndarray, at: np.ndarray, k: int, words: int) -> np.ndarray:
+    """Of the phrases of k words at these places: the id of the first k - 1 words and the last word's in one number, which no other phrase has."""
+    return heads[at] * words + ids[tokens[at + k - 1] - 1]
+
+
+def _merged(counts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            _, tokens, starts, *words = _unpacked(batch, i)
-            at, count, _, _ = Suffixes(tokens, k, starts).intervals(k)
-            held.append((_phrase_hash(_hashes(*words), tokens, at, k), count.astype(np.int64)))
-            if sum(len(h) for h, _ in held) > HELD_HASHES:
-                held = [_summed(held)]
-                if len(held[0][0]) > HELD_HASHES // 2:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["h", "c"])
-                    held = []
+    for one in counts:
+        held.append(one)
+        if sum(len(h) for h, _ in held) > HELD_HASHES:
+            held = [_summed(held)]
+            if len(held[0][0]) > HELD_HASHES // 2:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["h", "c"])
+                held = []
     if held:
         yield pa.RecordBatch.from_arrays(list(map(pa.array, _summed(held))), ["h", "c"])
 
@@ -335,25 +381,121 @@ def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.nda
                 follow = starts[:-1] & starts[1:]  # phrases of k + 1 words of which both parts are left
                 if not follow.any():
                     continue
-                covered = follow.copy()
-                for j in range(1, min(k + 1, len(follow))):
-                    covered[j:] |= follow[:-j]
-                row = _packed(shard, *_compact(tokens, covered, follow, words, langs), names)
+                tokens, follow, keep = _compact(tokens, follow, k + 1)
+                row = _packed(shard, tokens, follow, words.take(pa.array(keep)), langs[keep], names)
                 yield _batch(row | {f.name: None for f in _FOUND_ARROW}, schema)
     if held:
         yield from _found_rows(merged(), schema)
 
 
-def _compact(tokens: np.ndarray, covered: np.ndarray, follow: np.ndarray, words: pa.Array, langs: np.ndarray):
-    """Only the covered places and the words that they use; whatever lies between becomes one end of a piece."""
+def _compact(tokens: np.ndarray, follow: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Only what the phrases of k words cover that begin at `follow`, these places, and the words that are used; whatever lies between becomes one end of a piece."""
+    covered = follow.copy()
+    for j in range(1, min(k, len(follow))):
+        covered[j:] |= follow[:-j]
     ends = np.concatenate([[False], covered[:-1]]) & ~covered
     stay = covered | ends
+    used = np.zeros(int(tokens.max(initial=0)) + 1, bool)
     tokens, follow = np.where(covered, tokens, 0)[stay], follow[stay]
-    used = np.zeros(len(words) + 1, bool)
     used[tokens] = True
     used[0] = True
-    keep = np.flatnonzero(used)[1:] - 1
-    return (np.cumsum(used) - 1)[tokens], follow, words.take(pa.array(keep)), langs[keep]
+    return (np.cumsum(used) - 1)[tokens], follow, np.flatnonzero(used)[1:] - 1
+
+
+def _with_lang(words: pa.Array, langs: np.ndarray, names: list[str]) -> pa.Array:
+    """No word holds a blank, so that word and lang are told apart."""
+    return pc.binary_join_element_wise(words, pa.array(names, words.type).take(pa.array(langs)), pa.scalar(" ", words.type))
+
+
+def _vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """lang, phrase and id of words as (hashes, sorted, ids, words with their langs)."""
+    lang = table.column("lang").combine_chunks().dictionary_encode()
+    langs, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
+    words = pa.concat_arrays([pa.array([], pa.large_string()), *table.column("phrase").cast(pa.large_string()).chunks])
+    h = _hashes(words, langs, names)
+    order = np.argsort(h)
+    return h[order], table.column("id").to_numpy()[order], _with_lang(words, langs, names).take(pa.array(order))
+
+
+def _word_ids(words: pa.Array, langs: np.ndarray, names: list[str], vocabulary: tuple[np.ndarray, np.ndarray, pa.Array]) -> np.ndarray:
+    """Ids of a shard's words, -1 for those that the vocabulary lacks; words that share a hash are told apart."""
+    hashes, ids, known = vocabulary
+    out = np.full(len(words), -1, np.int64)
+    if not len(words):
+        return out
+    h, spelled, left = _hashes(words, langs, names), _with_lang(words, langs, names), np.arange(len(words))
+    at = np.searchsorted(hashes, h)
+    while True:
+        there = at < len(hashes)
+        there[there] = hashes[at[there]] == h[left[there]]
+        left, at = left[there], at[there]
+        if not len(left):
+            return out
+        same = pc.equal(known.take(pa.array(at)), spelled.take(pa.array(left))).to_numpy(zero_copy_only=False)
+        out[left[same]] = ids[at[same]]
+        left, at = left[~same], at[~same] + 1
+
+
+def _of_kept(batch: pa.RecordBatch, i: int, n: int) -> np.ndarray:
+    """The ids that a join has found for n numbers, else -1."""
+    kept, out = batch.column("kept")[i].values, np.full(n, -1, np.int64)
+    out[kept.field("number").to_numpy()] = kept.field("id").to_numpy()
+    return out
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each shard."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, _, _, words, langs, names = _unpacked(batch, i)
+            lang = pa.array(names, pa.string()).take(pa.array(langs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), shard)), pa.array(np.arange(len(words), dtype=np.int32)), lang, words.cast(pa.string())], ["shard", "number", "lang", "phrase"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], vocabulary: tuple[np.ndarray, np.ndarray, pa.Array] | None) -> Iterator[pa.RecordBatch]:
+    """Shards of words as shards of ids (of the vocabulary, or those in the column kept), cut down to where two such words meet."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, tokens, starts, words, langs, names = _unpacked(batch, i)
+            ids = _of_kept(batch, i, len(words)) if vocabulary is None else _word_ids(words, langs, names, vocabulary)
+            known = np.concatenate([[False], ids >= 0])[tokens]
+            follow = starts & known & np.append(known[1:], False)
+            if follow.any():
+                tokens, follow, keep = _compact(tokens, follow, 2)
+                yield _batch(_numbered_row(shard, tokens, follow, ids[keep], None), _NUMBERED_ARROW)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], k: int, words: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of k words of each shard: their numbers in it and keys."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, tokens, starts, ids, heads = _numbered_shard(batch, i)
+            at = Suffixes(tokens, k, starts).intervals(k)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard)), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(_keys(tokens, ids, heads, at, k, words))], ["shard", "number", "h"])
+
+
+def _next_numbered(batches: Iterator[pa.RecordBatch], k: int, words: int, often: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+    """Each shard cut down to where phrases of k + 1 words may be, with the ids of the phrases of k words there (of `often`, sorted keys and their ids, or
+    those in the column kept)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard, tokens, starts, ids, heads = _numbered_shard(batch, i)
+            at, _, places, number = Suffixes(tokens, k, starts).intervals(k)
+            if often is None:
+                of = _of_kept(batch, i, len(at))
+            elif len(often[0]):
+                key = _keys(tokens, ids, heads, at, k, words)
+                near = np.minimum(np.searchsorted(often[0], key), len(often[0]) - 1)
+                of = np.where(often[0][near] == key, often[1][near], -1)
+            else:
+                continue
+            phrase = np.full(len(tokens) + 1, -1, np.int64)
+            phrase[places] = of[number]
+            follow = (phrase[:-1] >= 0) & (phrase[1:] >= 0)
+            if follow.any():
+                new = phrase[:-1][follow]
+                tokens, follow, keep = _compact(tokens, follow, k + 1)
+                yield _batch(_numbered_row(shard, tokens, follow, ids[keep], new), _NUMBERED_ARROW)
 
 
 @contextmanager
@@ -375,10 +517,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     lang; totals: lang, n (all word occurrences).
 
     Each shard of texts becomes word ids, a suffix array by prefix doubling, and counts from its LCP intervals; counts are merged by
-    key over all shards. So that not every phrase that occurs once must be shuffled as text, phrases of 1, 2, ... words are first merged
-    by a hash alone, and a longer phrase is only counted where both its parts of one word less passed. That loses none
-    that occurs `least` times (hashes that collide only let more pass), and the counts returned are summed by the phrases themselves. The hashes that passed are
-    broadcast if they are BROADCAST_HASHES at most; else they are joined to the shards.
+    key over all shards. So that not every word that occurs once must be shuffled as text, words are first merged by a hash alone; those that pass
+    are counted by themselves and numbered. A longer phrase is only looked at where both its parts of one word less passed. Its key is the number of its first
+    part and that of its last word, so that keys, which no two phrases share, are all that tasks hand on; each phrase that passed is spelled once, from
+    its key. That loses none that occurs `least` times. Hashes, words and keys that passed are broadcast if they are BROADCAST_HASHES at most; else
+    they are joined to the shards. Keys are 64 bits: phrases that pass, times words that pass, must stay under 2^63, which holds up to 3e11 words at a least count of 100.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -386,26 +529,85 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"), GROUP_BYTES)
     totals = shards.select(F.explode(F.arrays_zip("total_lang", "total_n")).alias("x")).groupBy(F.col("x.total_lang").alias("lang")).agg(F.sum("x.total_n").alias("n")).where("n > 0")
     totals = materialize(totals)
-    found = []
-    for k in range(1, longest + 1):
-        state = shards.select("shard", "tokens", "starts", "words", "langs", "names").where("shard is not null")
-        counted = state.mapInArrow(lambda batches, k=k: _counted(batches, k), "h long, c long")
-        with _rows_at_once(spark, SHARDS_AT_ONCE):
-            often = materialize(counted.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
-        if often.count() <= BROADCAST_HASHES:
-            sent = spark.sparkContext.broadcast(np.sort(often.toArrow().column("h").to_numpy()))
-            step = state.mapInArrow(lambda batches, k=k, sent=sent: _next(batches, k, longest, sent.value), _next_schema(k, longest))
-        else:
-            hashed = state.mapInArrow(lambda batches, k=k: _hashed(batches, k), "shard long, number int, h long")
-            kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
-            step = state.join(kept, "shard").mapInArrow(lambda batches, k=k: _next(batches, k, longest, None), _next_schema(k, longest))
+    state = shards.select("shard", "tokens", "starts", "words", "langs", "names")
+    counted = state.mapInArrow(lambda batches: _counted(batches, 1), "h long, c long")
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        often = materialize(counted.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
+    if often.count() <= BROADCAST_HASHES:
+        sent = spark.sparkContext.broadcast(np.sort(often.toArrow().column("h").to_numpy()))
+        step = state.mapInArrow(lambda batches, sent=sent: _next(batches, 1, longest, sent.value), _next_schema(1, longest))
+    else:
+        hashed = state.mapInArrow(lambda batches: _hashed(batches, 1), "shard long, number int, h long")
+        kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
+        step = state.join(kept, "shard").mapInArrow(lambda batches: _next(batches, 1, longest, None), _next_schema(1, longest))
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        before, shards = shards, materialize(step, GROUP_BYTES)
+        each = shards.where("n is not null").select(F.explode(F.arrays_zip("lang", "phrase", "n")).alias("x")).select("x.*")
+        exact = materialize(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    discard(before)  # its counts and what is left of it have been written
+    vocabulary = materialize(gapless_rank(exact, [], ["lang", "phrase"], "id").withColumn("k", F.lit(1)))
+    found = [vocabulary]
+    if longest > 1:
+        shards = _to_numbers(shards, vocabulary)
+    words = vocabulary.count()
+    for k in range(2, longest + 1):
+        if found[-1].count() * words >= 1 << 63:
+            raise ValueError("phrases and words that pass are too many for keys of 64 bits")
+        counted = shards.mapInArrow(lambda batches, k=k: _counted_keys(batches, k, words), "h long, c long")
         with _rows_at_once(spark, SHARDS_AT_ONCE):
-            before, shards = shards, materialize(step, GROUP_BYTES)
-            each = shards.where("n is not null").select(F.explode(F.arrays_zip("lang", "phrase", "n")).alias("x")).select("x.*")
-            merged = each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-            found.append(materialize(merged.select("lang", F.lit(k).alias("k"), "phrase", "f")))
-        discard(before)  # its counts and what is left of it have been written
-    return reduce(DataFrame.unionByName, found), totals
+            passed = materialize(counted.groupBy("h").agg(F.sum("c").alias("f")).where(F.col("f") >= least))
+            phrases = materialize(_spell_keys(passed, found[-1], vocabulary, words, k))
+        found.append(phrases)
+        if k < longest:
+            shards = _cut_down(shards, phrases, k, words)
+    return reduce(DataFrame.unionByName, [p.select("lang", "k", "phrase", "f") for p in found]), totals
+
+
+def _to_numbers(shards: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The shards as _NUMBERED."""
+    spark = shards.sparkSession
+    state = shards.select("shard", "tokens", "starts", "words", "langs", "names").where("shard is not null")
+    n, size = vocabulary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    if n <= BROADCAST_HASHES and size <= WORD_BYTES * BROADCAST_HASHES:
+        sent = spark.sparkContext.broadcast(_vocabulary(vocabulary.select("lang", "phrase", "id").toArrow()))
+        step = state.mapInArrow(lambda batches: _numbered(batches, sent.value), _NUMBERED)
+    else:
+        spelled = state.mapInArrow(_spelled, "shard long, number int, lang string, phrase string")
+        step = state.join(_kept(spelled, vocabulary, ["lang", "phrase"]), "shard").mapInArrow(lambda batches: _numbered(batches, None), _NUMBERED)
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        out = materialize(step, GROUP_BYTES)
+    discard(shards)
+    return out
+
+
+def _cut_down(shards: DataFrame, phrases: DataFrame, k: int, words: int) -> DataFrame:
+    """The shards for phrases of k + 1 words."""
+    spark = shards.sparkSession
+    if phrases.count() <= BROADCAST_HASHES:
+        h, ids = (phrases.select("h", "id").toArrow().column(c).to_numpy() for c in ("h", "id"))
+        order = np.argsort(h)
+        sent = spark.sparkContext.broadcast((h[order], ids[order]))
+        step = shards.mapInArrow(lambda batches: _next_numbered(batches, k, words, sent.value), _NUMBERED)
+    else:
+        keyed = shards.mapInArrow(lambda batches: _keyed(batches, k, words), "shard long, number int, h long")
+        step = shards.join(_kept(keyed, phrases, ["h"]), "shard").mapInArrow(lambda batches: _next_numbered(batches, k, words, None), _NUMBERED)
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        out = materialize(step, GROUP_BYTES)
+    discard(shards)
+    return out
+
+
+def _kept(of_shards: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    return of_shards.join(ids.select(*on, "id"), on).groupBy("shard").agg(F.collect_list(F.struct("number", "id")).alias("kept"))
+
+
+def _spell_keys(passed: DataFrame, shorter: DataFrame, vocabulary: DataFrame, words: int, k: int) -> DataFrame:
+    """lang, phrase, f, h (the key), id and k of the keys that passed."""
+    parts = gapless_rank(passed, [], ["h"], "id").withColumn("head", F.expr(f"h div {max(words, 1)}L")).withColumn("tail", F.expr(f"h % {max(words, 1)}L"))
+    first = shorter.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"))
+    last = vocabulary.select(F.col("id").alias("tail"), F.col("phrase").alias("last"))
+    spelled = parts.join(first, "head").join(last, "tail")
+    return spelled.select("lang", F.concat_ws(" ", "first", "last").alias("phrase"), "f", "h", "id", F.lit(k).alias("k"))
 
 
 def _next_schema(k: int, longest: int) -> str:

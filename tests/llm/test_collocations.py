@@ -136,3 +136,33 @@ def test_counts_are_merged_over_the_shards_of_a_task():
     out = [r for b in c._next(iter(batches), 2, 5, often) for r in b.to_pylist()]
     found = [x for r in out if r["n"] for x in zip(r["lang"], r["phrase"], r["n"])]
     assert sorted(found) == [("en", "a bé", 8), ("en", "bé c", 4)] and sum(r["shard"] is not None for r in out) == 4
+
+
+def test_only_words_leave_tasks_as_text(spark, monkeypatch):
+    """Longer phrases are handed on as keys and spelled once, however many tasks hold them."""
+    tables, made = [], c.materialize
+
+    def seen(df, *more):
+        tables.append((dict(df.dtypes), made(df, *more)))
+        if tables[-1][0].get("phrase") == "array<string>":
+            handed.append(sum(len(r[0]) for r in tables[-1][1].where("phrase is not null").select("phrase").collect()))
+        return tables[-1][1]
+
+    handed: list[int] = []
+    monkeypatch.setattr(c, "materialize", seen)
+    rows = [(i, "a b c d e f, " * 5, "en") for i in range(64)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    assert sorted(map(tuple, c.collocations(docs, shard_bytes=200).collect())) == brute(rows) != []
+    assert 0 < sum(handed) <= 6 * 8
+
+
+def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr(c, "_hashes", lambda words, langs, names: np.full(len(words), 7, np.uint64))
+    table = c.pa.table({"lang": ["en", "en", "und", "und x"], "phrase": ["a", "b", "a", "b"], "id": [3, 0, 1, 2]})
+    words, langs = c.pa.array(["b", "a", "a", "q", "b"], c.pa.large_string()), np.array([0, 1, 0, 0, 1], np.int32)
+    assert c._word_ids(words, langs, ["en", "und"], c._vocabulary(table)).tolist() == [0, 1, 3, -1, -1]
+
+
+def test_numbers_of_all_widths_come_back():
+    for most in (0, 65_535, 65_536, (1 << 31) - 1, 1 << 31, 1 << 40):
+        assert c._unpack(c._pack(np.array([0, 1, most], np.int64))).tolist() == [0, 1, most]
