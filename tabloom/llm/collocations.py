@@ -44,11 +44,11 @@ _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 
 _SHARD = "shard long, tokens binary, starts binary, words binary, langs binary, names array<string>"
 _NUMBERED = "shard long, tokens binary, starts binary, ids binary, heads binary"
-_FOUND = "lang array<string>, phrase array<string>, n array<long>"
+_FOUND = "lang array<string>, phrase array<string>, n array<long>, h array<long>"
 _STRINGS, _LONGS = pa.list_(pa.string()), pa.list_(pa.int64())
 _SHARD_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("words", pa.binary()), ("langs", pa.binary()), ("names", _STRINGS)])
 _NUMBERED_ARROW = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), ("starts", pa.binary()), ("ids", pa.binary()), ("heads", pa.binary())])
-_FOUND_ARROW = pa.schema([("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS)])
+_FOUND_ARROW = pa.schema([("lang", _STRINGS), ("phrase", _STRINGS), ("n", _LONGS), ("h", _LONGS)])
 _TOTAL_ARROW = pa.schema([("total_lang", _STRINGS), ("total_n", _LONGS)])
 
 
@@ -346,30 +346,34 @@ def _found_rows(held: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([at(row[f.name].cast(f.type.value_type)) if f.name in row else pa.nulls(1, f.type) for f in schema], schema=schema)
 
 
-def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The exact counts of the phrases of k words that were kept (their hashes are in `often`, sorted, or their numbers in a shard in its column kept), merged
-    over shards in rows of their own, and, but for the last k, each shard cut down to where phrases of k + 1 words may be."""
+def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.ndarray | None, tasks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The counts of the phrases of k words that were kept (their hashes are in `often`, sorted, or their numbers in a shard in its column kept), merged
+    over shards in rows of their own, and, but for the last k, each shard cut down to where phrases of k + 1 words may be. With `tasks`, which are those that
+    shall spell each hash, or else a column `spelled` of numbers, only phrases of a task's own are in those rows."""
     last = k == longest
     schema = _FOUND_ARROW if last else pa.schema([*_SHARD_ARROW, *_FOUND_ARROW])
     held: list[pa.Table] = []
 
     def merged() -> pa.Table:
-        return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+        return _by_phrase(held)
 
     for batch in batches:
         for i in range(batch.num_rows):
             shard, tokens, allowed, words, langs, names = _unpacked(batch, i)
             at, count, places, number = Suffixes(tokens, k, allowed).intervals(k)
             kept = np.zeros(len(at), bool)
+            h = _phrase_hash(_hashes(words, langs, names), tokens, at, k)
             if often is None:
                 kept[batch.column("kept")[i].values.to_numpy()] = True
-            elif len(often):
-                h = _phrase_hash(_hashes(words, langs, names), tokens, at, k)
-                kept = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
-            at, count = at[kept], count[kept]
+                own = np.zeros(len(at), bool)
+                own[batch.column("spelled")[i].values.to_numpy()] = True
+            else:
+                kept, near = _among(often, h)
+                own = kept if tasks is None or not len(often) else kept & (tasks[near] == batch.column("task")[i].as_py())
+            at, count, h = at[own], count[own], h[own]
             if len(at):
                 lang = pa.array(names, pa.large_string()).take(pa.array(langs[tokens[at] - 1]))
-                held.append(pa.table({"lang": lang, "phrase": _spell(words, tokens, at, k), "n": count.astype(np.int64)}))
+                held.append(pa.table({"lang": lang, "phrase": _spell(words, tokens, at, k), "n": count.astype(np.int64), "h": h}))
             if sum(t.num_rows for t in held) > HELD_PHRASES:
                 held = [merged()]
                 if held[0].num_rows > HELD_PHRASES // 2:
@@ -388,6 +392,42 @@ def _next(batches: Iterator[pa.RecordBatch], k: int, longest: int, often: np.nda
         yield from _found_rows(merged(), schema)
 
 
+def _by_phrase(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by(["lang", "phrase", "h"]).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum", "h"]).rename_columns(["lang", "phrase", "n", "h"])
+
+
+def _among(often: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of h are among `often`, sorted, and where."""
+    if not len(often):
+        return np.zeros(len(h), bool), np.zeros(len(h), int)
+    near = np.minimum(np.searchsorted(often, h), len(often) - 1)
+    return often[near] == h, near
+
+
+def _strays(batches: Iterator[pa.RecordBatch], often: np.ndarray, known: tuple[np.ndarray, np.ndarray, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words that passed by their hash but aren't known, merged over shards: they share it with another word, or nobody has spelled them."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, tokens, starts, words, langs, names = _unpacked(batch, i)
+            h = _phrase_hash(_hashes(words, langs, names), np.arange(1, len(words) + 1), np.arange(len(words)), 1)
+            stray = np.flatnonzero(_among(often, h)[0] & (_word_ids(words, langs, names, known) < 0))
+            if len(stray):
+                n = np.bincount(tokens[starts], minlength=len(words) + 1)[1:][stray]
+                lang = pa.array(names, pa.large_string()).take(pa.array(langs[stray]))
+                held.append(pa.table({"lang": lang, "phrase": words.take(pa.array(stray)), "n": n.astype(np.int64), "h": h[stray]}))
+            if sum(t.num_rows for t in held) > HELD_PHRASES:
+                yield from _plain_rows(_by_phrase(held))
+                held = []
+    if held:
+        yield from _plain_rows(_by_phrase(held))
+
+
+def _plain_rows(held: pa.Table) -> Iterator[pa.RecordBatch]:
+    strings = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()), ("h", pa.int64())])
+    yield from held.cast(strings).to_batches(ROW_PHRASES)
+
+
 def _compact(tokens: np.ndarray, follow: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Only what the phrases of k words cover that begin at `follow`, these places, and the words that are used; whatever lies between becomes one end of a piece."""
     covered = follow.copy()
@@ -444,12 +484,15 @@ def _of_kept(batch: pa.RecordBatch, i: int, n: int) -> np.ndarray:
 
 
 def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each shard."""
+    """The words of each shard, their hashes and counts."""
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, _, _, words, langs, names = _unpacked(batch, i)
+            shard, tokens, starts, words, langs, names = _unpacked(batch, i)
             lang = pa.array(names, pa.string()).take(pa.array(langs))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), shard)), pa.array(np.arange(len(words), dtype=np.int32)), lang, words.cast(pa.string())], ["shard", "number", "lang", "phrase"])
+            h = _phrase_hash(_hashes(words, langs, names), np.arange(1, len(words) + 1), np.arange(len(words)), 1)
+            n = np.bincount(tokens[starts], minlength=len(words) + 1)[1:]
+            columns = [np.full(len(words), shard), np.arange(len(words), dtype=np.int32), lang, words.cast(pa.string()), h, n]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["shard", "number", "lang", "phrase", "h", "n"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], vocabulary: tuple[np.ndarray, np.ndarray, pa.Array] | None) -> Iterator[pa.RecordBatch]:
@@ -529,22 +572,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         shards = materialize(read.mapInArrow(lambda batches: _first(batches, shard_bytes), f"{_SHARD}, total_lang array<string>, total_n array<long>"), GROUP_BYTES)
     totals = shards.select(F.explode(F.arrays_zip("total_lang", "total_n")).alias("x")).groupBy(F.col("x.total_lang").alias("lang")).agg(F.sum("x.total_n").alias("n")).where("n > 0")
     totals = materialize(totals)
-    state = shards.select("shard", "tokens", "starts", "words", "langs", "names")
-    counted = state.mapInArrow(lambda batches: _counted(batches, 1), "h long, c long")
-    with _rows_at_once(spark, SHARDS_AT_ONCE):
-        often = materialize(counted.groupBy("h").agg(F.sum("c").alias("n")).where(F.col("n") >= least).select("h"))
-    if often.count() <= BROADCAST_HASHES:
-        sent = spark.sparkContext.broadcast(np.sort(often.toArrow().column("h").to_numpy()))
-        step = state.mapInArrow(lambda batches, sent=sent: _next(batches, 1, longest, sent.value), _next_schema(1, longest))
-    else:
-        hashed = state.mapInArrow(lambda batches: _hashed(batches, 1), "shard long, number int, h long")
-        kept = hashed.join(often, "h", "left_semi").groupBy("shard").agg(F.collect_list("number").alias("kept"))
-        step = state.join(kept, "shard").mapInArrow(lambda batches: _next(batches, 1, longest, None), _next_schema(1, longest))
-    with _rows_at_once(spark, SHARDS_AT_ONCE):
-        before, shards = shards, materialize(step, GROUP_BYTES)
-        each = shards.where("n is not null").select(F.explode(F.arrays_zip("lang", "phrase", "n")).alias("x")).select("x.*")
-        exact = materialize(each.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    discard(before)  # its counts and what is left of it have been written
+    shards, exact = _words(shards, longest, least)
     vocabulary = materialize(gapless_rank(exact, [], ["lang", "phrase"], "id").withColumn("k", F.lit(1)))
     found = [vocabulary]
     if longest > 1:
@@ -563,16 +591,64 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
     return reduce(DataFrame.unionByName, [p.select("lang", "k", "phrase", "f") for p in found]), totals
 
 
+def _words(shards: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The shards cut down to where words that passed by their hash meet, and lang, phrase and f of the words that passed.
+
+    A hash's words are spelled by one of the tasks that have it, so that words aren't handed on once for each task. Of a hash of which one word
+    was spelled, that one has the hash's count less that of its strays, which each task counts by themselves; so have all words of other hashes.
+    """
+    spark = shards.sparkSession
+    state = shards.select("shard", "tokens", "starts", "words", "langs", "names", F.spark_partition_id().alias("task"))
+    counted = state.mapInArrow(lambda batches: _counted(batches, 1), "h long, c long").withColumn("task", F.spark_partition_id())
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        often = materialize(counted.groupBy("h").agg(F.sum("c").alias("n"), F.min("task").alias("task")).where(F.col("n") >= least))
+    small = often.count() <= BROADCAST_HASHES
+    if small:
+        h, tasks = (often.select("h", "task").toArrow().column(c).to_numpy() for c in ("h", "task"))
+        order = np.argsort(h)
+        sent = spark.sparkContext.broadcast((h[order], tasks[order]))
+        step = state.mapInArrow(lambda batches: _next(batches, 1, longest, *sent.value), _next_schema(1, longest))
+    else:
+        hashed = state.mapInArrow(lambda batches: _hashed(batches, 1), "shard long, number int, h long").withColumn("task", F.spark_partition_id())
+        passed = hashed.join(often.select("h", F.col("task").alias("by")), "h")
+        kept = passed.groupBy("shard").agg(F.collect_list("number").alias("kept"), F.collect_list(F.when(F.col("task") == F.col("by"), F.col("number"))).alias("spelled"))
+        step = state.join(kept, "shard").mapInArrow(lambda batches: _next(batches, 1, longest, None), _next_schema(1, longest))
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        cut = materialize(step, GROUP_BYTES)
+    each = cut.where("n is not null").select(F.explode(F.arrays_zip("lang", "phrase", "h")).alias("x")).select("x.*").distinct()
+    alone = each.groupBy("h").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase"), F.count("*").alias("words")).where("words = 1").drop("words")
+    known = materialize(alone.join(often.select("h", "n"), "h"))
+    if small and _fits(known):
+        names = spark.sparkContext.broadcast(_vocabulary(known.select("lang", "phrase", F.lit(0).cast("long").alias("id")).toArrow()))
+        strays = state.mapInArrow(lambda batches: _strays(batches, sent.value[0], names.value), "lang string, phrase string, n long, h long")
+    else:
+        spelled = state.mapInArrow(_spelled, "shard long, number int, lang string, phrase string, h long, n long")
+        strays = spelled.join(often.select("h"), "h", "left_semi").join(known.select("lang", "phrase"), ["lang", "phrase"], "left_anti").select("lang", "phrase", "n", "h")
+    both = known.select("lang", "phrase", "n", "h", F.lit(False).alias("stray")).unionByName(strays.withColumn("stray", F.lit(True)))
+    summed = both.groupBy("h", "stray", "lang", "phrase").agg(F.sum("n").alias("n"))
+    of_strays = F.coalesce(F.sum(F.when(F.col("stray"), F.col("n"))).over(Window.partitionBy("h")), F.lit(0))
+    f = F.when(F.col("stray"), F.col("n")).otherwise(F.col("n") - of_strays)
+    with _rows_at_once(spark, SHARDS_AT_ONCE):
+        exact = materialize(summed.withColumn("f", f).where(F.col("f") >= least).select("lang", "phrase", "f"))
+    discard(shards)  # its counts and what is left of it have been written
+    return cut, exact
+
+
+def _fits(words: DataFrame) -> bool:
+    """Whether words may be broadcast."""
+    n, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    return n <= BROADCAST_HASHES and size <= WORD_BYTES * BROADCAST_HASHES
+
+
 def _to_numbers(shards: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """The shards as _NUMBERED."""
     spark = shards.sparkSession
     state = shards.select("shard", "tokens", "starts", "words", "langs", "names").where("shard is not null")
-    n, size = vocabulary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
-    if n <= BROADCAST_HASHES and size <= WORD_BYTES * BROADCAST_HASHES:
+    if _fits(vocabulary):
         sent = spark.sparkContext.broadcast(_vocabulary(vocabulary.select("lang", "phrase", "id").toArrow()))
         step = state.mapInArrow(lambda batches: _numbered(batches, sent.value), _NUMBERED)
     else:
-        spelled = state.mapInArrow(_spelled, "shard long, number int, lang string, phrase string")
+        spelled = state.mapInArrow(_spelled, "shard long, number int, lang string, phrase string, h long, n long")
         step = state.join(_kept(spelled, vocabulary, ["lang", "phrase"]), "shard").mapInArrow(lambda batches: _numbered(batches, None), _NUMBERED)
     with _rows_at_once(spark, SHARDS_AT_ONCE):
         out = materialize(step, GROUP_BYTES)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tabloom.llm import collocations as c
@@ -139,7 +140,7 @@ def test_counts_are_merged_over_the_shards_of_a_task():
 
 
 def test_only_words_leave_tasks_as_text(spark, monkeypatch):
-    """Longer phrases are handed on as keys and spelled once, however many tasks hold them."""
+    """Each from one task; longer phrases are handed on as keys and spelled once, however many tasks hold them."""
     tables, made = [], c.materialize
 
     def seen(df, *more):
@@ -153,7 +154,7 @@ def test_only_words_leave_tasks_as_text(spark, monkeypatch):
     rows = [(i, "a b c d e f, " * 5, "en") for i in range(64)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
     assert sorted(map(tuple, c.collocations(docs, shard_bytes=200).collect())) == brute(rows) != []
-    assert 0 < sum(handed) <= 6 * 8
+    assert sum(handed) == 6
 
 
 def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
@@ -166,3 +167,27 @@ def test_words_that_share_a_hash_keep_their_own_ids(monkeypatch):
 def test_numbers_of_all_widths_come_back():
     for most in (0, 65_535, 65_536, (1 << 31) - 1, 1 << 31, 1 << 40):
         assert c._unpack(c._pack(np.array([0, 1, most], np.int64))).tolist() == [0, 1, most]
+
+
+@pytest.mark.parametrize("broadcast", [0, 2_000_000])
+def test_words_whose_hashes_collide_are_counted_by_themselves(spark, monkeypatch, broadcast):
+    """Tasks get the module by value, and with it hashes of 2 bits."""
+    monkeypatch.setattr(c, "HASH_BITS", 2)
+    monkeypatch.setattr(c, "BROADCAST_HASHES", broadcast)
+    cloudpickle.register_pickle_by_value(c)
+    try:
+        rows = texts(8)
+        got = sorted(map(tuple, c.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), least=30, shard_bytes=500).collect()))
+    finally:
+        cloudpickle.unregister_pickle_by_value(c)
+    assert got == brute(rows, least=30) != []
+
+
+def test_strays_are_words_that_nobody_spelled():
+    words = c.pa.array(["a", "b", "c"], c.pa.large_string())
+    tokens, langs = np.array([1, 2, 3, 0, 1, 2, 0], np.int32), np.array([0, 0, 1], np.int32)
+    batches = [c._batch(c._packed(i, tokens, tokens > 0, words, langs, ["en", "und"]), c._SHARD_ARROW) for i in range(2)]
+    h = c._phrase_hash(c._hashes(words, langs, ["en", "und"]), np.arange(1, 4), np.arange(3), 1)
+    known = c._vocabulary(c.pa.table({"lang": ["en"], "phrase": ["a"], "id": [0]}))
+    out = [r for b in c._strays(iter(batches), np.sort(h[:2]), known) for r in b.to_pylist()]
+    assert out == [{"lang": "en", "phrase": "b", "n": 4, "h": h[1]}]
