@@ -18,7 +18,7 @@ from tabloom.llm.common import discard, gapless_rank, hot_join, materialize
 
 #: Bytes of text in a shard. Longer texts are cut where a piece ends, since no phrase crosses that.
 SHARD_BYTES = 2 << 20
-#: So many hashes, or phrases with their ids, go to every task (8 or 16 bytes each); more of them meet the shards by a shuffle. Words go so if they take
+#: So many hashes, or phrases with their ids, go to every task (12 or 16 bytes each); more of them meet the shards by a shuffle. Words go so if they take
 #: WORD_BYTES each on average at most.
 BROADCAST_HASHES, WORD_BYTES = 2_000_000, 16
 #: Texts, and shards, that a task looks at together.
@@ -561,7 +561,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
 
     Each shard of texts becomes word ids, a suffix array by prefix doubling, and counts from its LCP intervals; counts are merged by
     key over all shards. So that not every word that occurs once must be shuffled as text, words are first merged by a hash alone; those that pass
-    are counted by themselves and numbered. A longer phrase is only looked at where both its parts of one word less passed. Its key is the number of its first
+    are spelled by one task each (see _words) and numbered. A longer phrase is only looked at where both its parts of one word less passed. Its key is the number of its first
     part and that of its last word, so that keys, which no two phrases share, are all that tasks hand on; each phrase that passed is spelled once, from
     its key. That loses none that occurs `least` times. Hashes, words and keys that passed are broadcast if they are BROADCAST_HASHES at most; else
     they are joined to the shards. Keys are 64 bits: phrases that pass, times words that pass, must stay under 2^63, which holds up to 3e11 words at a least count of 100.
