@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,13 +25,15 @@ HELD_BYTES = 64 << 20
 
 @dataclass
 class Groups:
-    """Rows with a finite label (`__label`), their group (`__group`, never null), the row's key (`__key`), and its fold (`__fold`, under `folds`)."""
+    """Rows with a finite label (`__label`), their group (`__group`, never null), the row's key (`__key`), and its fold (`__fold`, under `folds`).
+    top: the largest label, without its sign."""
 
     rows: DataFrame
     folds: int
     numeric: Sequence[str]
     categories: Sequence[str]
     n_rows: int
+    top: float = 0.0
 
     def train_columns(self, value: Column) -> list[Column]:
         """value where it belongs to the training part of fold 0, 1, ..., and of the model of all rows."""
@@ -227,13 +230,25 @@ def solve(groups: Groups, models: Sequence[tuple[float, float | None]]) -> Solve
     return Solved(table, few, t, k, len(models))
 
 
+def exact_mean(x: Column, rows: int, top: float) -> Column:
+    """Aggregate: the mean of x whatever the order of the rows, for up to `rows` values of about `top`; models may score closer to each other than a running sum
+    rounds off. Each value is cut at a grid so coarse that sums of its multiples are exact, and the small rests are summed by themselves."""
+    whole = 4.0 * rows * top
+    if not 0.0 < whole < 2.0**1000:
+        return F.avg(x)
+    shift = F.lit(math.ldexp(1.5, math.frexp(whole)[1] + 1))
+    coarse = (x + shift) - shift
+    return F.try_divide(F.sum(coarse) + F.sum(x - coarse), F.count(x))
+
+
 def errors(groups: Groups, solved: Solved, by: Sequence[Column] = ()) -> DataFrame:
-    """Per group, fold and `by`: n and e0, e1, ...: the mean absolute errors of the held-out rows by each model, and last by the median. A prediction that isn't
-    finite is the median."""
+    """Per group, fold and `by`: n and e0, e1, ...: the mean absolute errors of the held-out rows by each model, and last by the median, the same however the rows
+    are dealt. A prediction that isn't finite is the median."""
     fold = F.col("__fold")
     base = solved.median(fold)
     predictions = [solved.prediction(fold, m) for m in range(solved.models)] if solved.terms else []
     sure = [F.when(is_finite(F.col(f"p{m}")), F.col(f"p{m}")).otherwise(F.col("m")) for m in range(len(predictions))] + [F.col("m")]
     rows = solved.joined(groups.rows).select("__group", "__fold", "__label", *by, base.alias("m"), *[p.alias(f"p{m}") for m, p in enumerate(predictions)])
     names = [c for c in rows.columns if c not in ("__label", "m") and c not in {f"p{m}" for m in range(len(predictions))}]
-    return rows.groupBy(*names).agg(F.count("*").alias("n"), *[F.avg(F.abs(F.col("__label") - p)).alias(f"e{m}") for m, p in enumerate(sure)])
+    each = rows.select(*names, *[F.abs(F.col("__label") - p).alias(f"e{m}") for m, p in enumerate(sure)])
+    return each.groupBy(*names).agg(F.count("*").alias("n"), *[exact_mean(F.col(f"e{m}"), groups.n_rows, groups.top).alias(f"e{m}") for m in range(len(sure))])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import math
 import os
 import time
 import uuid
@@ -166,7 +167,8 @@ def _groups(task: Task, k: int, block: Column | None = None, rows: int | None =
     good = good.withColumn("__group", F.lit("all") if block is None else block)
     key = F.col(task.key) if task.key in task.train.columns else F.monotonically_increasing_id()
     good = good.withColumn("__key", key.cast("string")).withColumn("__fold", row_bucket("__key", k) if k else F.lit(-1))
-    return grouped.Groups(good, k, task.numeric, task.categories, good.count() if rows is None else rows)
+    n, top = good.agg(F.count("*"), F.max(F.abs("__label"))).first() if rows is None else (rows, None)
+    return grouped.Groups(good, k, task.numeric, task.categories, n, top or 0.0)
 
 
 def _direct(task: Task, candidate: Candidate) -> Direct | None:
@@ -353,14 +355,14 @@ def cross_validate(task: Task, candidate: Candidate, rows: int, strategy: str =
     errors = [m for _, m in got if m is not None]
     if not scores:
         return replace(out, status="failed", notes="no fold has a finite score")
-    mean = lambda x: sum(x) / len(x)
-    std = lambda x: (sum((v - mean(x)) ** 2 for v in x) / len(x)) ** 0.5
+    mean = lambda x: math.fsum(x) / len(x)
+    std = lambda x: (math.fsum((v - mean(x)) ** 2 for v in x) / len(x)) ** 0.5
     return replace(out, cv_folds=folds.k, score_mean=mean(scores), score_std=std(scores), mae_mean=mean(errors), mae_std=std(errors))
 
 
 def _row(task: Task, candidate: Candidate, strategy: str, block: str, scores: Sequence[float], errors: Sequence[float]) -> Row:
-    mean = lambda x: sum(x) / len(x)
-    std = lambda x: (sum((v - mean(x)) ** 2 for v in x) / len(x)) ** 0.5
+    mean = lambda x: math.fsum(x) / len(x)
+    std = lambda x: (math.fsum((v - mean(x)) ** 2 for v in x) / len(x)) ** 0.5
     out = Row(strategy, block, candidate.name, metric_mode=task.spec.mode, model_family=candidate.family, is_third_party=candidate.third_party, is_heavy=candidate.heavy, notes=candidate.note)
     if not scores:
         return replace(out, status="failed", notes="no fold has a finite score")
@@ -386,7 +388,7 @@ def _side_by_side(task: Task, candidates: Sequence[Candidate], k: int) -> dict[s
     got = grouped.errors(groups, solved, [F.col(task.block).alias("__b"), _official(task).alias("__o")] if by_block else [])
     each = [f"e{i}" for i in range(len(linear) + 1)]
     sums = [(F.sum(F.col(e) * F.col("n")) / F.sum("n")).alias(f"mae_{e}") for e in each]
-    score = [F.avg(F.when(F.col("__o"), F.col(e)) if by_block else F.col(e)).alias(f"score_{e}") for e in each]
+    score = [grouped.exact_mean(F.when(F.col("__o"), F.col(e)) if by_block else F.col(e), groups.n_rows, groups.top).alias(f"score_{e}") for e in each]
     rows = got.groupBy("__fold").agg(*sums, *score).orderBy("__fold").collect()
     pick = lambda name: [r[name] for r in rows if r[name] is not None]
     return {c.name: _row(task, c, "global", "__all__", pick(f"score_{e}"), pick(f"mae_{e}")) for c, e in zip([*linear, *simple[:1]], [*each[: len(linear)], each[-1]])}
@@ -504,8 +506,8 @@ def search_per_block(task: Task, clock: Clock, seed: int = 42, candidates: Seque
     train = task.train.where(key.isNotNull() & (key.isin(list(official)) if official else F.lit(True)))
     here = replace(task, train=train, spec=MetricSpec(), block=None)
     groups = _groups(here, 1, key, 0)
-    sizes = groups.rows.groupBy("__group").agg(F.count("*").alias("n")).orderBy("__group").collect()
-    groups = replace(groups, n_rows=sum(s["n"] for s in sizes))
+    sizes = groups.rows.groupBy("__group").agg(F.count("*").alias("n"), F.max(F.abs("__label")).alias("top")).orderBy("__group").collect()
+    groups = replace(groups, n_rows=sum(s["n"] for s in sizes), top=max((s["top"] for s in sizes), default=0.0))
     pool = candidates if candidates is not None else select(0, len(task.numeric) + len(task.categories), "per_block", seed)
     enough = {s["__group"] for s in sizes if s["n"] >= MIN_BLOCK_ROWS and fold_count(s["n"]) is not None}
     ready = (clock.within(train.sparkSession, lambda: _blocks_ready(here, groups, pool)) or {}) if enough and not clock.over() else {}

@@ -1,6 +1,8 @@
 """Linear models from sums of products, and trees that grow in shared passes, against plain computations."""
 
+import math
 import time
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -213,3 +215,27 @@ def test_medians_are_only_taken_for_blocks_without_models(spark, monkeypatch):
     error = float(np.mean(np.abs(np.array(labels) - np.median(labels))))
     assert asked == [{"small"}] and blocks["small"].candidate is None and blocks["small"].score == pytest.approx(error) and blocks["large"].candidate.family == "ridge"
     assert [(r.block, r.status, r.score_mean) for r in found if r.model == "median_fallback"] == [("small", "fallback_insufficient_rows", pytest.approx(error))]
+
+
+def test_means_hold_no_round_off(spark):
+    """However the rows are dealt; values far beyond the expected size, and sizes for which there is no grid, still have a mean."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(0, 1e5, 20_000), rng.uniform(0, 1e-9, 500), -rng.uniform(0, 1e3, 500)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    mean = lambda rows, n, top: rows.agg(grouped.exact_mean(F.col("x"), n, top)).first()[0]
+    assert {mean(df.repartition(k), len(x), 1e5) for k in (1, 2, 7)} == {math.fsum(x) / len(x)}
+    assert mean(df, len(x), 1e-3) == mean(df, 1, 1e-300) == mean(df, len(x), 1e308) == mean(df, 0, 0.0) == pytest.approx(math.fsum(x) / len(x), rel=1e-12)
+    assert mean(df.limit(0), 5, 1.0) is None
+
+
+def test_scores_do_not_hang_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, float(rng.integers(1, 50)), float(rng.integers(10**5, 10**7)) / 100) for i in range(20_000)]
+    groups = models._groups(models.Task(spark.createDataFrame(rows, f"{ORD} long, x double, y double"), "y", ["x"], []), 3)
+    assert groups.top == max(r[2] for r in rows)
+    solved = grouped.solve(groups, [(0.1, None), (10, None)])
+    fold = F.col("__fold")
+    each = solved.joined(groups.rows).select(fold, *[F.abs(F.col("__label") - p) for p in (solved.prediction(fold, 0), solved.prediction(fold, 1), solved.median(fold))]).collect()
+    for parts in (1, 6):
+        for r in grouped.errors(replace(groups, rows=groups.rows.repartition(parts)), solved).collect():
+            assert [r[f"e{m}"] for m in range(3)] == [math.fsum(x[m + 1] for x in each if x[0] == r["__fold"]) / r["n"] for m in range(3)]
