@@ -209,7 +209,7 @@ def test_report_orders_by_the_scores_shown(spark, monkeypatch):
     assert [(r.model, r.score_mean) for r in queries_inference.cv_report(spark, "").collect()] == [("a", 1.0), ("b", 1.0), ("c", 2.0)]
 
 
-@pytest.mark.parametrize("query", ["cv_report"])
+@pytest.mark.parametrize("query", ["cv_report", "model_selection"])
 def test_near_scores_are_told_apart(spark, tmp_path, query):
     """In exact arithmetic the ridge model of penalty 10 is the best here, by 5e-11 of 25,000; sums that round off row by row miss that."""
     from tabloom import queries_inference
